@@ -30,12 +30,24 @@ def class_margin(logits: str | Column, high: int, low: int) -> Column:
     return F.get(x, F.lit(high)).cast("double") - F.get(x, F.lit(low)).cast("double")
 
 
+def log_sum_exp(logits: str | Column) -> Column:
+    """Shifted by the maximum, which travels in the accumulator so that it is found once."""
+    x = as_column(logits)
+    start = F.struct(F.array_max(x).cast("double").alias("top"), F.lit(0.0).alias("total"))
+    return F.aggregate(
+        x,
+        start,
+        lambda a, v: F.struct(
+            a["top"].alias("top"), (a["total"] + F.exp(v.cast("double") - a["top"])).alias("total")
+        ),
+        lambda a: a["top"] + F.log(a["total"]),
+    )
+
+
 def target_logprob(logits: str | Column, target: str | Column) -> Column:
-    """Log-softmax of a logit vector at a 0-based target, shifted by the maximum."""
+    """Log-softmax of a logit vector at a 0-based target."""
     x = as_column(logits)
-    top = F.array_max(x).cast("double")
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - top))
-    return F.get(x, as_column(target)).cast("double") - top - F.log(total)
+    return F.get(x, as_column(target)).cast("double") - log_sum_exp(x)
 
 
 def answer_logprobs(predicted: DataFrame, tokens: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -68,22 +80,41 @@ def likelihood_stats(logprobs: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def array_stats(sequence: str | Column) -> dict[str, Column]:
-    """The same ten statistics of an array column, without a shuffle."""
-    x = F.transform(as_column(sequence), lambda v: v.cast("double"))
-    n = F.size(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    mean = F.try_divide(total, n)
-    spread = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    return {
-        "lp_mean": mean,
-        "lp_min": F.array_min(x),
-        "lp_max": F.array_max(x),
-        "lp_var": F.when(n > 1, F.try_divide(spread, n)).otherwise(F.lit(0.0)),
-        "lp_first": F.get(x, F.lit(0)),
-        "lp_last": F.get(x, n - 1),
-        "lp_sum": total,
-        "nll": -total,
-        "nll_per_token": -mean,
-        "n_answer_tokens": n,
-    }
+def with_array_stats(df: DataFrame, sequence: str | Column) -> DataFrame:
+    """Add the same ten statistics of an array column, without a shuffle.
+
+    One pass over the array: sums of the deviations from its first element.
+    """
+    x = as_column(sequence)
+    first = F.get(x, F.lit(0)).cast("double")
+    moments = F.aggregate(
+        x,
+        F.struct(first.alias("first"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        lambda a, v: F.struct(
+            a["first"].alias("first"),
+            (a["s"] + (v.cast("double") - a["first"])).alias("s"),
+            (
+                a["q"]
+                + (v.cast("double") - a["first"]) * (v.cast("double") - a["first"])
+            ).alias("q"),
+        ),
+    )
+    staged = df.withColumns({"_x": x}).withColumns({"_a": moments, "_n": F.size("_x")})
+    n, shift = F.col("_n"), F.try_divide(F.col("_a.s"), F.col("_n"))
+    total = F.col("_a.s") + n * F.col("_a.first")
+    mean = F.col("_a.first") + shift
+    spread = F.greatest(F.try_divide(F.col("_a.q"), n) - shift * shift, F.lit(0.0))
+    return staged.withColumns(
+        {
+            "lp_mean": mean,
+            "lp_min": F.array_min("_x").cast("double"),
+            "lp_max": F.array_max("_x").cast("double"),
+            "lp_var": F.when(n > 1, spread).otherwise(F.lit(0.0)),
+            "lp_first": F.col("_a.first"),
+            "lp_last": F.get("_x", n - 1).cast("double"),
+            "lp_sum": total,
+            "nll": -total,
+            "nll_per_token": -mean,
+            "n_answer_tokens": n,
+        }
+    ).drop("_x", "_a", "_n")

@@ -6,13 +6,17 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossblock.functions.names import PositionNames
 
-TOKENS = "array<struct<id:int,start:int,end:int>>"
+TOKENS = T.ArrayType(
+    T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")])
+)
 #: Pieces of the default tokenizer: a word with its leading blank, or one other character.
 PIECES = r" ?[A-Za-z0-9]+|[^A-Za-z0-9]"
 
@@ -39,15 +43,22 @@ def piece_tokenizer() -> Tokenizer:
 
 def encode(text: str | Column, factory: Callable[[], Tokenizer] = piece_tokenizer) -> Column:
     """Token ids with character offsets. `factory` is called once per worker iterator."""
+    names = ["id", "start", "end"]
 
-    @F.pandas_udf(TOKENS)
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(TOKENS)
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = factory()
         for texts in batches:
-            yield texts.map(
-                lambda t: None
-                if t is None
-                else [{"id": int(i), "start": int(s), "end": int(e)} for i, s, e in run(t)]
+            flat, ends, missing = [], [0], []
+            for t in texts.to_pylist():
+                if t is not None:
+                    flat.extend(run(t))
+                missing.append(t is None)
+                ends.append(len(flat))
+            columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
+            spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
+            yield pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), spans, mask=pa.array(missing, pa.bool_())
             )
 
     return tokens(F.col(text) if isinstance(text, str) else text)

@@ -9,7 +9,7 @@ from crossblock.functions.keyed import digest
 from crossblock.functions.text import fill_template
 from crossblock.functions.values import insist, insist_once
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import global_rank, shuffle_rank
+from crossblock.operators.ranking import global_rank, hash_bucket, shuffle_rank
 from crossblock.session import cut
 from crossblock.sources.contract import CELL_COLUMNS
 from crossblock.sources.facts import can_pair
@@ -114,19 +114,14 @@ def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame
     rest = _facts_of(judged.where(~F.col("ok"))).unionByName(_facts_of(broken))
     hashed = rest.withColumns(
         {"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")}
-    ).withColumn("_b", F.concat("_a", F.substring("_f", 1, 2)))
-    laid = global_rank(hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket="_b", name="_rank")
-    sizes = rest.groupBy(*POOL).agg(F.count("*").alias("_n"))
-    half = F.floor(F.col("_n") / 2)
+    ).withColumn("_b", F.concat("_a", hash_bucket("_f")))
+    laid = global_rank(
+        hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket="_b", name="_rank", totals=True
+    )
+    half = F.floor(F.col("_rank_total") / 2)
     second = F.col("_rank") >= half
-    seated = sized_lookup(laid, sizes, POOL, "_n")
-    repaired = _judge(
-        _couple(
-            seated, F.when(second, F.col("_rank") - half).otherwise(F.col("_rank")),
-            second.cast("int"),
-        ),
-        used,
-    ).where("ok")
+    slot = F.when(second, F.col("_rank") - half).otherwise(F.col("_rank"))
+    repaired = _judge(_couple(laid, slot, second.cast("int")), used).where("ok")
     columns = [*POOL, "fact_q1", "fact_q2"]
     return kept.select(*columns).unionByName(repaired.select(*columns))
 

@@ -11,30 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
-from crossblock.functions.keyed import digest, stable_seed, uniform
+from crossblock.functions import keyed
+from crossblock.functions.keyed import digest, uniform
 from crossblock.functions.values import insist
-from crossblock.operators.ranking import prefix_sums
+from crossblock.operators.ranking import hash_bucket, prefix_sums
+from crossblock.session import cut
 
 
-def donor_pool(cells: DataFrame) -> DataFrame:
-    """Index the pool so that each block owns the range [lo, lo + m).
-
-    Blocks are laid out in hash order by a prefix sum of their sizes. A block has at most
-    four cells, which the inner numbering relies on.
-    """
+def donor_ranges(cells: DataFrame) -> DataFrame:
+    """Lay the pool's blocks end to end in hash order: block_id owns the indices [lo, lo + m)."""
     blocks = cells.groupBy("block_id").agg(F.count("*").alias("m"))
-    hashed = blocks.withColumn("_h", digest("pool", "block_id")).withColumn(
-        "_b", F.substring("_h", 1, 2)
-    )
+    hashed = blocks.withColumn("_h", digest("pool", "block_id")).withColumn("_b", hash_bucket("_h"))
     laid = prefix_sums(
         hashed, {"lo": F.col("m")}, group=[], order=["_h", "block_id"], bucket="_b"
-    ).select("block_id", "m", "lo")
-    inner = Window.partitionBy("block_id").orderBy("cell")
-    return (
-        cells.withColumn("_i", F.row_number().over(inner) - 1)
-        .join(laid, "block_id")
-        .select("block_id", "cell", "m", "lo", (F.col("lo") + F.col("_i")).alias("index"))
     )
+    return laid.select("block_id", "m", "lo")
 
 
 def draw_donors(
@@ -44,33 +35,34 @@ def draw_donors(
 
     The draw is an index into the pool with the own range cut out, so no redraw is needed.
     A pair whose block is the whole pool is an error. `seed` should name position and kind;
-    the layer stays out of it, so one donor serves all layers.
+    the layer stays out of it, so one donor serves all layers. A block has at most four
+    cells, which the numbering inside a block relies on.
     """
-    pool = donor_pool(cells)
-    size = pool.agg(F.count("*").alias("n"))
-    own = pool.groupBy("block_id").agg(F.min("lo").alias("_lo"), F.min("m").alias("_m"))
+    ranges = cut(donor_ranges(cells))
     placed = (
-        pairs.join(own, "block_id", "left")
-        .withColumn("_n", size.scalar())
+        pairs.join(
+            ranges.select("block_id", F.col("lo").alias("_lo"), F.col("m").alias("_m")),
+            "block_id",
+            "left",
+        )
         .withColumn("_m", F.coalesce("_m", F.lit(0)))
-        .withColumn("_free", F.col("_n") - F.col("_m"))
+        .withColumn("_free", F.coalesce(ranges.agg(F.sum("m")).scalar(), F.lit(0)) - F.col("_m"))
     )
     placed = insist(placed, F.col("_free") > 0, "no donor outside the own block")
     u = F.floor(uniform(seed, *key) * F.col("_free"))
-    skip = F.col("_m") > 0
-    index = F.when(skip & (u >= F.col("_lo")), u + F.col("_m")).otherwise(u)
-    return (
-        placed.withColumn("_u", index)
-        .join(
-            pool.select(
-                F.col("index").alias("_u"),
-                F.col("block_id").alias("donor_block"),
-                F.col("cell").alias("donor_cell"),
-            ),
-            "_u",
+    skip = (F.col("_m") > 0) & (u >= F.col("_lo"))
+    inner = Window.partitionBy("block_id").orderBy("cell")
+    pool = (
+        cells.select("block_id", "cell", (F.row_number().over(inner) - 1).alias("_i"))
+        .join(ranges, "block_id")
+        .select(
+            (F.col("lo") + F.col("_i")).alias("_u"),
+            F.col("block_id").alias("donor_block"),
+            F.col("cell").alias("donor_cell"),
         )
-        .drop("_u", "_lo", "_m", "_n", "_free")
     )
+    drawn = placed.withColumn("_u", F.when(skip, u + F.col("_m")).otherwise(u))
+    return drawn.join(pool, "_u").drop("_u", "_lo", "_m", "_free")
 
 
 def gather_vectors(
@@ -108,21 +100,31 @@ def gaussian_vectors(
 ) -> DataFrame:
     """Replace each vector by Gaussian noise of the same norm.
 
-    Every row has a generator seeded from (seed, position, kind, key, layer), so the noise
-    does not depend on partitioning.
+    Box-Muller on counter-based draws: element j of a row is a function of (seed, position,
+    kind, key, layer) and j, so the noise does not depend on partitioning.
     """
-    parts = ["position", F.lit(kind), *[F.col(k) for k in key], "layer"]
-    seeded = sources.withColumn("_seed", stable_seed(seed, *parts))
+    parts = ["position", F.lit(kind), *key, "layer"]
+    seeded = sources.withColumn("_h", digest(seed, *parts)).withColumns(
+        {"_h0": keyed.word(F.col("_h"), 0), "_h1": keyed.word(F.col("_h"), 1)}
+    )
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            drawn = []
-            for vec, row_seed in zip(pdf["vec"], pdf["_seed"], strict=True):
-                noise = np.random.default_rng(row_seed).standard_normal(len(vec))
-                length = np.linalg.norm(noise)
-                scale = np.linalg.norm(np.asarray(vec, dtype=np.float64)) / length if length else 0.0
-                drawn.append((noise * scale).astype(np.float32))
-            pdf["vec"] = drawn
-            yield pdf.drop(columns="_seed")
-
-    return seeded.mapInPandas(fill, sources.schema)
+            pdf = pdf.reset_index(drop=True)
+            widths = pdf["vec"].map(len)
+            filled: list[np.ndarray | None] = [None] * len(pdf)
+            for width, rows in pdf.groupby(widths).groups.items():
+                words = pdf.loc[rows, ["_h0", "_h1"]].to_numpy().astype(np.uint32)
+                x = keyed.np_mix32(keyed.np_first_mix(words[:, 0], 2 * width) ^ words[:, 1, None])
+                u = (x.astype(np.float64) + 1.0) / 2.0**32
+                noise = np.sqrt(-2.0 * np.log(u[:, 0::2])) * np.cos(2.0 * np.pi * u[:, 1::2])
+                real = np.stack(pdf.loc[rows, "vec"].to_numpy()).astype(np.float64)
+                size = np.linalg.norm(noise, axis=1, keepdims=True)
+                scale = np.linalg.norm(real, axis=1, keepdims=True) / np.where(size > 0, size, 1.0)
+                for row, vec in zip(rows, (noise * scale).astype(np.float32), strict=True):
+                    filled[row] = vec
+            pdf["vec"] = filled
+            yield pdf[names]
+
+    names = sources.columns
+    return seeded.drop("_h").mapInPandas(fill, sources.schema)

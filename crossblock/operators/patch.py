@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossblock.functions.names import ConditionNames, PositionNames
 from crossblock.functions.values import changed_side, finite, insist
 from crossblock.operators.resample import bootstrap_mean, bootstrap_ratio
+from crossblock.session import cut
 
 
 def direction(matched: str | Column = "matched") -> Column:
@@ -107,7 +108,8 @@ def summarize_groups(
 ) -> DataFrame:
     """Ratio effect and absolute shift over blocks, flip rate over pairs, per group."""
     keys = list(keys)
-    blocks = _per_block(patched, keys)
+    # Read three times below, and small beside the sweep it comes from.
+    blocks = cut(_per_block(patched, keys))
     effect = bootstrap_ratio(
         blocks, "moved", "gap", keys=keys, n_boot=n_boot, seed=seed, with_shift=True, form=form
     )
@@ -183,6 +185,7 @@ def condition_table(
         F.try_divide(F.col("sum_m"), F.col("n_m")) - F.try_divide(F.col("sum_c"), F.col("n_c")),
     )
     keys = ["condition", "subset"]
+    members = cut(members)
     estimate = bootstrap_mean(
         members, "gap", keys=keys, n_boot=n_boot, seed=seed, permutation=False, form=form
     )

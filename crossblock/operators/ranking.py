@@ -18,6 +18,14 @@ from crossblock.functions.values import finite
 from crossblock.session import cut
 
 
+#: Hex digits of a hash that make its bucket: 4096 buckets per group.
+BUCKET_DIGITS = 3
+
+
+def hash_bucket(hex_digest: str) -> Column:
+    return F.substring(hex_digest, 1, BUCKET_DIGITS)
+
+
 def prefix_sums(
     df: DataFrame,
     measures: dict[str, Column],
@@ -25,8 +33,12 @@ def prefix_sums(
     group: Sequence[str],
     order: Sequence[str],
     bucket: str,
+    totals: bool = False,
 ) -> DataFrame:
-    """Exclusive running sum of every measure along `order` inside each group."""
+    """Exclusive running sum of every measure along `order` inside each group.
+
+    `totals` adds the sum over the whole group as <name>_total, at no further join.
+    """
     staged = df.withColumns({f"_m_{name}": value for name, value in measures.items()})
     inside = (
         Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,16 +46,19 @@ def prefix_sums(
     earlier = (
         Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = staged.groupBy(*group, bucket).agg(
+    per_bucket = staged.groupBy(*group, bucket).agg(
         *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures]
     )
-    offsets = totals.select(
+    whole = Window.partitionBy(*group)
+    added = [f"{name}_total" for name in measures] if totals else []
+    offsets = per_bucket.select(
         *group,
         bucket,
         *[
             F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}")
             for name in measures
         ],
+        *[F.sum(f"_t_{t[:-6]}").over(whole).alias(t) for t in added],
     )
     local = staged.withColumns(
         {f"_l_{name}": F.coalesce(F.sum(f"_m_{name}").over(inside), F.lit(0)) for name in measures}
@@ -51,14 +66,22 @@ def prefix_sums(
     return local.join(offsets, [*group, bucket]).select(
         *df.columns,
         *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in measures],
+        *added,
     )
 
 
 def global_rank(
-    df: DataFrame, *, group: Sequence[str], order: Sequence[str], bucket: str, name: str = "rank"
+    df: DataFrame,
+    *,
+    group: Sequence[str],
+    order: Sequence[str],
+    bucket: str,
+    name: str = "rank",
+    totals: bool = False,
 ) -> DataFrame:
     """0-based rank along `order` inside each group."""
-    return prefix_sums(df, {name: F.lit(1).cast("long")}, group=group, order=order, bucket=bucket)
+    one = {name: F.lit(1).cast("long")}
+    return prefix_sums(df, one, group=group, order=order, bucket=bucket, totals=totals)
 
 
 def shuffle_rank(
@@ -68,12 +91,9 @@ def shuffle_rank(
     key: Sequence[str],
     seed: int | str,
     name: str = "rank",
-    bucket_digits: int = 2,
 ) -> DataFrame:
     """Seeded shuffle: rank of each row in keyed-hash order inside its group."""
-    hashed = df.withColumn("_h", digest(seed, *key)).withColumn(
-        "_b", F.substring("_h", 1, bucket_digits)
-    )
+    hashed = df.withColumn("_h", digest(seed, *key)).withColumn("_b", hash_bucket("_h"))
     ranked = global_rank(hashed, group=group, order=["_h", *key], bucket="_b", name=name)
     return ranked.drop("_h", "_b")
 
@@ -125,7 +145,9 @@ def value_counts(
     )
     bucketed = value_buckets(collapsed, value)
     sums = {f"{name}_below": F.col(name) for name in measures}
-    return prefix_sums(bucketed, sums, group=group, order=[value], bucket="_bucket").drop("_bucket")
+    return prefix_sums(
+        bucketed, sums, group=group, order=[value], bucket="_bucket", totals=True
+    ).drop("_bucket")
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -141,11 +163,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles by counting, never by collecting the values."""
     counted = value_counts(df, value, {"n": F.count(F.lit(1))}, group=group)
-    sizes = counted.groupBy(*group).agg(F.sum("n").alias("_size"))
-    if group:
-        placed = counted.join(sizes, list(group))
-    else:
-        placed = counted.withColumn("_size", sizes.scalar())
+    size = F.col("n_below_total")
 
     def at(position: Column) -> Column:
         held = (F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n"))
@@ -153,12 +171,12 @@ def exact_quantiles(
 
     columns = []
     for name, q in quantiles.items():
-        exact = F.lit(float(q)) * (F.col("_size") - 1)
+        exact = F.lit(float(q)) * (size - 1)
         low = F.floor(exact)
-        high = F.least(low + 1, F.col("_size") - 1)
+        high = F.least(low + 1, size - 1)
         share = F.max(exact - low)
         columns.append((at(low) + (at(high) - at(low)) * share).alias(name))
-    return placed.groupBy(*group).agg(*columns)
+    return counted.groupBy(*group).agg(*columns)
 
 
 def batch_numbers(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossblock.functions.text import first_line, normalize_entity
-from crossblock.functions.values import finite, insist_once
+from crossblock.functions.values import finite
 from crossblock.operators.ranking import exact_quantiles
+from crossblock.session import cut
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -37,13 +38,19 @@ def select_rows(
         held = held.where(F.col("relation_family").isin(list(families)))
     if n_blocks is None:
         return held
-    first = held.select("block_id").distinct().orderBy("block_id").limit(n_blocks)
-    count = first.agg(F.count("*").alias("n"))
-    message = F.concat(
-        F.lit(f"asked for {n_blocks} blocks but only "), F.col("n").cast("string"), F.lit(" match")
-    )
-    enough = insist_once(held, count, F.col("n") >= n_blocks, message)
-    return enough.join(first, "block_id", "left_semi")
+    first = cut(held.select("block_id").distinct().orderBy("block_id").limit(n_blocks))
+    found = first.count()
+    if found < n_blocks:
+        raise ValueError(f"asked for {n_blocks} blocks but only {found} match")
+    return held.join(first, "block_id", "left_semi")
+
+
+def spread_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash rows over all cores. The number is set here, because rows that are few bytes
+    and much model time would otherwise be merged into few tasks."""
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, spark.sparkContext.defaultParallelism), *key)
 
 
 def score(
@@ -52,24 +59,28 @@ def score(
     schema: str,
     *,
     key: Sequence[str],
+    keep: Sequence[str] | None = None,
     length: str = "n_tokens",
     batch_size: int = 32,
-    partitions: int | None = None,
+    spread: bool = True,
 ) -> DataFrame:
-    """Score rows in batches of one token length; join the result back by `key`.
+    """Score rows in batches of one token length and add the scorer's columns to them.
 
     `factory` builds the scorer once per worker partition. The scorer gets a pandas frame
     of at most batch_size rows of equal length and returns the columns of `schema` for them
-    in order. Lengths are spread by a hash of the key, so a common length fills many tasks.
+    in order. `keep` lists the columns of the result besides those (default: the key).
+
+    Rows are spread by a hash of the key, so a common length fills many tasks; pass
+    spread=False for a frame that already is.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size must be >= 1, got {batch_size}")
-    keys = list(key)
-    scored = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    out = T.StructType([df.schema[k] for k in keys] + list(scored.fields))
+    kept = list(keep if keep is not None else key)
+    scored = T.StructType.fromDDL(schema)
+    out = T.StructType([df.schema[k] for k in kept] + list(scored.fields))
     names = [f.name for f in scored.fields]
-    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    ordered = spread.sortWithinPartitions(length, *keys)
+    rows = spread_rows(df, key) if spread else df
+    ordered = rows.sortWithinPartitions(length, *key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer: Scorer | None = None
@@ -82,7 +93,7 @@ def score(
             result = scorer(part.reset_index(drop=True))
             if len(result) != len(part):
                 raise ValueError(f"scorer returned {len(result)} rows for {len(part)}")
-            done = part[keys].reset_index(drop=True)
+            done = part[kept].reset_index(drop=True)
             for name in names:
                 done[name] = result[name].to_numpy()
             return done
@@ -146,4 +157,5 @@ __all__ = [
     "score_flags",
     "score_summary",
     "select_rows",
+    "spread_rows",
 ]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from crossblock.functions.keyed import digest, uniform
 from crossblock.functions.names import FITTABLE_SPLITS, HOLDOUT
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import prefix_sums
+from crossblock.operators.ranking import hash_bucket, prefix_sums
+from crossblock.session import cut
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def cluster_splits(
     """
     clusters = answer_clusters(facts)
     hashed = clusters.withColumn("_h", digest(seed, "relation_family", "answer_id")).withColumn(
-        "_b", F.substring("_h", 1, 2)
+        "_b", hash_bucket("_h")
     )
     laid = prefix_sums(
         hashed,
@@ -60,13 +61,10 @@ def cluster_splits(
         group=["relation_family"],
         order=["_h", "answer_id"],
         bucket="_b",
+        totals=True,
     )
-    totals = clusters.groupBy("relation_family").agg(
-        F.sum("cluster_size").alias("_total"), F.count("*").alias("_n")
-    )
-    placed = sized_lookup(laid, totals, ["relation_family"], "_n")
-    middle = (F.col("_before") + F.col("cluster_size") / 2) / F.col("_total")
-    return placed.select(
+    middle = (F.col("_before") + F.col("cluster_size") / 2) / F.col("_before_total")
+    return laid.select(
         "relation_family",
         "answer_id",
         "cluster_size",
@@ -95,7 +93,7 @@ def assign_facts(
         return facts.withColumn("split", F.when(held, F.lit(HOLDOUT)).otherwise(drawn))
     if method != "exact":
         raise ValueError(f"unknown split method {method!r}")
-    splits = cluster_splits(facts, holdout=holdout, ratios=ratios, seed=seed)
+    splits = cut(cluster_splits(facts, holdout=holdout, ratios=ratios, seed=seed))
     return sized_lookup(
         facts, splits, ["relation_family", "answer_id"], "cluster_size"
     ).drop("cluster_size")

@@ -19,7 +19,7 @@ from crossblock.operators.patch import (
     summarize_isolated,
     summarize_patching,
 )
-from crossblock.operators.score import Scorer, score
+from crossblock.operators.score import Scorer, score, spread_rows
 from crossblock.sources.contract import write_result
 
 KEY = ["block_id", "cell"]
@@ -48,16 +48,25 @@ def resolved_cells(
 
 
 def measure(
-    resolved: DataFrame,
+    cells: DataFrame,
     factory: Callable[[], Scorer],
     *,
     schema: str = "confidence_margin double",
     batch_size: int = 32,
+    names: PositionNames = PositionNames(),
+    **options,
 ) -> DataFrame:
-    """Behaviour rows: the cells joined with what the scorer returned for them."""
-    inputs = resolved.select(*KEY, "n_tokens", "input_ids", "answer_start", "answer_end")
-    return resolved.join(
-        score(inputs, factory, schema, key=KEY, batch_size=batch_size), KEY, "left"
+    """Behaviour rows: cells, positions, prompt checksum and what the scorer returned.
+
+    One shuffle, of the cells while they are still small: prompts and tokens are made after
+    it and are dropped before anything leaves the worker.
+    """
+    resolved = resolved_cells(spread_rows(cells, KEY), names=names, **options)
+    positions = [f"{p}_{n}" for n in names.ordered() for p in ("pos", "tok")]
+    keep = [*cells.columns, "n_tokens", "n_answer_tokens", "prompt_sha256", *positions]
+    inputs = resolved.select(*keep, "input_ids", "answer_start", "answer_end")
+    return score(
+        inputs, factory, schema, key=KEY, keep=keep, batch_size=batch_size, spread=False
     )
 
 

@@ -991,6 +991,20 @@ def queries() -> dict[str, str]:
             ("pr", "SELECT label, vec_id + 1 AS index, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings")],
             f"""SELECT label, index, {rd('e[t + 1] - list_max(e) - ln(list_sum(list_transform(e, lambda x: exp(x - list_max(e)))))', 'logprob')}
             FROM lg LEFT JOIN pr USING (label, index)"""),
+        "h15_half_precision": sql([("el", "SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings"), ("st", """SELECT vec_id, x,
+            pow(CAST(2 AS DOUBLE), greatest(floor(log2(greatest(abs(x), 1e-30::DOUBLE))), -14) - 10) AS step FROM el""")],
+            f"SELECT vec_id, {rd('max(abs(x - round_even(x / step, 0) * step)) * 1000', 'largest_error')} FROM st GROUP BY 1"),
+        "h16_gaussian": sql([VECTORS, ("hh", """SELECT *, md5('7:' || position || ':gaussian:' || "row" || ':' || layer) AS h FROM vectors"""),
+            ("ww", f"SELECT * EXCLUDE (h), {hex32('h')} AS h0, {hex32('h', 1)} AS h1 FROM hh"),
+            ("m0", f'SELECT "row", layer, position, vec, h1, k, (h0 + k * {GOLDEN}) & {MASK} AS x FROM ww, range({2 * WIDTH}) t(k)'),
+            *[(f"m{i + 1}", f'SELECT "row", layer, position, vec, h1, k, (xor(x >> 16, x) * {MULTIPLIER}) & {MASK} AS x FROM m{i}') for i in (0, 1)],
+            ("m3", 'SELECT "row", layer, position, vec, k, xor(xor(x >> 16, x), h1) AS x FROM m2'),
+            *[(f"m{i + 1}", f'SELECT "row", layer, position, vec, k, (xor(x >> 16, x) * {MULTIPLIER}) & {MASK} AS x FROM m{i}') for i in (3, 4)],
+            ("u", 'SELECT "row", layer, position, vec, k, (xor(x >> 16, x) + 1) / CAST(4294967296 AS DOUBLE) AS u FROM m5'),
+            ("z", """SELECT a."row", a.layer, a.position, a.vec, a.k // 2 AS dim, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS z
+              FROM u a JOIN u b ON a."row" = b."row" AND a.layer = b.layer AND b.k = a.k + 1 AND a.k % 2 = 0"""),
+            ("n", f'SELECT "row", layer, position, dim, z, {NORM} / sqrt(sum(z * z) OVER (PARTITION BY "row", layer)) AS scale FROM z')],
+            f"""SELECT "row", layer, position, CAST(dim AS INTEGER) AS dim, {rd('CAST(z * scale AS FLOAT) * CAST(1000 AS DOUBLE)', 'value', 2)} FROM n"""),
         "h17_stable_seed": """SELECT c_custkey, (2147483643 + CAST(('0x' || substr(sha256(c_name || chr(31) || c_mktsegment), 1, 8)) AS BIGINT))
             % 2147483648 AS seed FROM customer""",
         "h18_first_line": f"SELECT doc_id, {strip('split_part(text, chr(10), 1)')} AS first_line FROM documents",

@@ -421,9 +421,8 @@ def d12_pool_sizes(spark, sf):
 @query
 def d13_likelihood_array(spark, sf):
     sequence = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
-    stats = likelihood.array_stats(sequence)
-    held = inputs.table(spark, sf, "embeddings")
-    return tidy(held.select("vec_id", *[c.alias(n) for n, c in stats.items()]))
+    stats = likelihood.with_array_stats(inputs.table(spark, sf, "embeddings"), sequence)
+    return tidy(stats.drop("embedding", "label"))
 
 
 @query
@@ -716,14 +715,16 @@ def h14_answer_logprobs(spark, sf):
 @query
 def h15_half_precision(spark, sf):
     held = inputs.table(spark, sf, "embeddings").withColumn("half", vectors.half_precision("embedding"))
-    error = F.zip_with("embedding", "half", lambda a, b: F.abs(a - b))
-    return tidy(held.select("vec_id", F.array_max(error).alias("largest_error")))
+    error = F.zip_with("embedding", "half", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    return tidy(held.select("vec_id", (F.array_max(error) * 1000).alias("largest_error")))
 
 
 @query
 def h16_gaussian(spark, sf):
+    """The noise itself, element by element, in thousandths."""
     noise = donors.gaussian_vectors(inputs.vectors(spark, sf), key=["row"], seed=7)
-    return tidy(noise.select("row", "layer", "position", donors.norm("vec").alias("norm")))
+    long = noise.select("row", "layer", "position", F.posexplode("vec").alias("dim", "value"))
+    return long.withColumn("value", F.round(F.col("value").cast("double") * 1000, 2) + F.lit(0.0))
 
 
 @query
@@ -819,7 +820,7 @@ def l2_build_dataset(spark, sf):
 def l3_measured_behavior(spark, sf):
     """Built cells, rendered, resolved, scored and reduced to block gaps."""
     cells = cut(built_cells(spark, sf))
-    behavior = measure.measure(measure.resolved_cells(cells), inputs.id_mean_scorer)
+    behavior = measure.measure(cells, inputs.id_mean_scorer)
     return tidy(contrast.block_gaps(behavior))
 
 

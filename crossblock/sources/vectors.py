@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def half_precision(vec: str | Column) -> Column:
     """Round every element to 16-bit float precision; the column stays array<float>."""
 
-    @F.pandas_udf("array<float>")
-    def rounded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            yield vectors.map(
-                lambda v: None if v is None else v.astype(np.float16).astype(np.float32)
-            )
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def rounded(vectors: pa.Array) -> pa.Array:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        # Beyond the half range a value becomes infinite, as a half-precision store would have it.
+        with np.errstate(over="ignore"):
+            halves = flat.astype(np.float16).astype(np.float32)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(halves), mask=pc.is_null(vectors)
+        )
 
     return rounded(F.col(vec) if isinstance(vec, str) else vec)
 
