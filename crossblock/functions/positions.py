@@ -149,57 +149,62 @@ def resolve_positions(
     at = {c: F.col(f"{anchors}.{c}") for c in (
         "answer_colon", "answer_boundary", "answer_start", "answer_end", "newline",
         "confidence_colon",
-    )}
-    found = df.withColumns(
-        {
-            "_ac": covering_token(tokens, at["answer_colon"]),
-            "_first": covering_token(tokens, at["answer_start"]),
-            "_lat": covering_token(tokens, at["answer_end"] - 1),
-            "_nl": covering_token(tokens, at["newline"]),
-            "_cc": covering_token(tokens, at["confidence_colon"]),
-            "n_tokens": F.size(tokens),
-        }
+    )}
+    hits = F.struct(
+        covering_token(tokens, at["answer_colon"]).alias("ac"),
+        covering_token(tokens, at["answer_start"]).alias("first"),
+        covering_token(tokens, at["answer_end"] - 1).alias("lat"),
+        covering_token(tokens, at["newline"]).alias("nl"),
+        covering_token(tokens, at["confidence_colon"]).alias("cc"),
+        F.size(tokens).alias("n"),
     )
 
-    def edge(index: str, field: str) -> Column:
-        return F.get(F.col(tokens), F.col(index))[field]
-
-    ac, first, lat, nl, cc = (F.col(c) for c in ("_ac", "_first", "_lat", "_nl", "_cc"))
-    after, n = nl + 1, F.col("n_tokens")
-    broken = [
-        ac < 0,
-        edge("_ac", "end") != at["answer_boundary"],
-        first < 0,
-        edge("_first", "start") < at["answer_boundary"],
-        lat < 0,
-        edge("_lat", "end") != at["answer_end"],
-        nl < 0,
-        (edge("_nl", "start") != at["newline"]) | (edge("_nl", "end") != at["newline"] + 1),
-        after >= n,
-        cc < 0,
-        edge("_cc", "end") != at["confidence_colon"] + 1,
-        cc != n - 1,
-        ~((ac < lat) & (lat < nl) & (after < cc)),
-    ]
-    code = F.lit(None).cast("string")
-    for condition, name in reversed(list(zip(broken, ERRORS, strict=True))):
-        code = F.when(condition, F.lit(name)).otherwise(code)
-    flat = {"position_error": code}
-    for label, index in zip(names.ordered(), (ac, lat, nl, after, cc), strict=True):
-        flat[f"pos_{label}"] = index
-        flat[f"tok_{label}"] = F.get(F.col(tokens), F.when(index >= 0, index))["id"]
-    return (
-        found.withColumns(flat)
-        .withColumns(
-            {
-                "input_ids": F.transform(tokens, lambda t: t["id"]),
-                "answer_start": first,
-                "answer_end": lat + 1,
-                "n_answer_tokens": lat + 1 - first,
-            }
-        )
-        .drop("_ac", "_first", "_lat", "_nl", "_cc")
-    )
+    def describe(h: Column) -> Column:
+        def edge(index: Column, field: str) -> Column:
+            return F.get(F.col(tokens), index)[field]
+
+        ac, first, lat, nl, cc, n = (h[c] for c in ("ac", "first", "lat", "nl", "cc", "n"))
+        after = nl + 1
+        broken = [
+            ac < 0,
+            edge(ac, "end") != at["answer_boundary"],
+            first < 0,
+            edge(first, "start") < at["answer_boundary"],
+            lat < 0,
+            edge(lat, "end") != at["answer_end"],
+            nl < 0,
+            (edge(nl, "start") != at["newline"]) | (edge(nl, "end") != at["newline"] + 1),
+            after >= n,
+            cc < 0,
+            edge(cc, "end") != at["confidence_colon"] + 1,
+            cc != n - 1,
+            ~((ac < lat) & (lat < nl) & (after < cc)),
+        ]
+        code = F.lit(None).cast("string")
+        for condition, name in reversed(list(zip(broken, ERRORS, strict=True))):
+            code = F.when(condition, F.lit(name)).otherwise(code)
+        fields = [code.alias("position_error"), n.alias("n_tokens")]
+        for label, index in zip(names.ordered(), (ac, lat, nl, after, cc), strict=True):
+            fields.append(index.alias(f"pos_{label}"))
+            token = F.get(F.col(tokens), F.when(index >= 0, index))["id"]
+            fields.append(token.alias(f"tok_{label}"))
+        fields.append(first.alias("answer_start"))
+        fields.append((lat + 1).alias("answer_end"))
+        fields.append((lat + 1 - first).alias("n_answer_tokens"))
+        return F.struct(*fields)
+
+    # The lambda binds the hits once. Spelled out flat, a filter on any of the columns would
+    # be pushed below them with a copy of the token scan for every mention.
+    found = df.withColumn("_p", F.get(F.transform(F.array(hits), describe), F.lit(0)))
+    fields = ["position_error", "n_tokens"]
+    fields += [f"{p}_{label}" for label in names.ordered() for p in ("pos", "tok")]
+    fields += ["answer_start", "answer_end", "n_answer_tokens"]
+    return found.withColumns(
+        {
+            **{f: F.col(f"_p.{f}") for f in fields},
+            "input_ids": F.transform(tokens, lambda t: t["id"]),
+        }
+    ).drop("_p")
 
 
 # The named position sets.

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from crossblock.functions.names import PositionNames
 from crossblock.functions.positions import encode, piece_tokenizer, resolve_positions
 from crossblock.functions.prompts import PromptText, render_prompts
-from crossblock.functions.values import insist
 from crossblock.operators.contrast import confidence_signal
 from crossblock.operators.gates import control_gates, route_gates, signal_gates
 from crossblock.operators.patch import (
@@ -40,10 +39,12 @@ def resolved_cells(
     resolved = resolve_positions(tokens, names=names)
     if not strict:
         return resolved
-    return insist(
-        resolved,
-        F.col("position_error").isNull(),
-        F.concat(F.lit("unresolved position: "), F.coalesce("position_error", F.lit(""))),
+    # Checked in the column that every consumer needs, not by a filter: a filter would be
+    # pushed below the token scan and repeat it.
+    error = F.raise_error(F.concat(F.lit("unresolved position: "), F.col("position_error")))
+    return resolved.withColumn(
+        "n_tokens",
+        F.when(F.col("position_error").isNull(), F.col("n_tokens")).otherwise(error.cast("int")),
     )
 
 
