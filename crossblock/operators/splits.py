@@ -50,6 +50,9 @@ def cluster_splits(
 
     A cluster goes to the band that holds its midpoint, so each cut is off by at most half
     a cluster. Hash order rather than size order keeps large clusters out of one band.
+
+    Where a family has so few clusters that a band holds fewer than two, its clusters are
+    cut by number instead, with at least two for every split if there are six.
     """
     clusters = answer_clusters(facts)
     hashed = clusters.withColumn("_h", digest(seed, "relation_family", "answer_id")).withColumn(
@@ -57,19 +60,37 @@ def cluster_splits(
     )
     laid = prefix_sums(
         hashed,
-        {"_before": F.col("cluster_size")},
+        {"_before": F.col("cluster_size"), "_rank": F.lit(1).cast("long")},
         group=["relation_family"],
         order=["_h", "answer_id"],
         bucket="_b",
         totals=True,
     )
     middle = (F.col("_before") + F.col("cluster_size") / 2) / F.col("_before_total")
-    return laid.select(
+    banded = laid.withColumn("_band", ratios.band(middle))
+    in_band = [F.count_if(F.col("_band") == s) for s in FITTABLE_SPLITS]
+    fewest = banded.groupBy("relation_family").agg(
+        F.least(*in_band).alias("_fewest"), F.count("*").alias("_n")
+    )
+    judged = sized_lookup(banded, fewest, ["relation_family"], "_n")
+    n, rank = F.col("_rank_total"), F.col("_rank")
+
+    def at_least_two(ratio: float) -> Column:
+        return F.greatest(F.lit(2), F.floor(F.lit(ratio) * n + 0.5))
+
+    n_test = at_least_two(ratios.test)
+    n_held = n_test + at_least_two(ratios.validation)
+    by_number = (
+        F.when(rank < n - n_held, "train").when(rank < n - n_test, "validation").otherwise("test")
+    )
+    thin = (F.col("_fewest") < 2) & (n >= 6)
+    return judged.select(
         "relation_family",
         "answer_id",
         "cluster_size",
         F.when(F.col("relation_family").isin(list(holdout)), F.lit(HOLDOUT))
-        .otherwise(ratios.band(middle))
+        .when(thin, by_number)
+        .otherwise(F.col("_band"))
         .alias("split"),
     )
 

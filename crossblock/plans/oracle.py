@@ -306,12 +306,18 @@ FACTS = (
 )
 SPLIT = [
     ("clusters", """SELECT relation_family, answer_id, count(*) AS cluster_size FROM facts GROUP BY 1, 2"""),
-    ("laid", """SELECT *, sum(cluster_size) OVER (PARTITION BY relation_family
+    ("laid", """SELECT *, sum(cluster_size) OVER o - cluster_size AS before,
+      sum(cluster_size) OVER (PARTITION BY relation_family) AS total, row_number() OVER o - 1 AS rk,
+      count(*) OVER (PARTITION BY relation_family) AS n FROM clusters WINDOW o AS (PARTITION BY relation_family
       ORDER BY md5('7:' || relation_family || ':' || answer_id), answer_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cluster_size AS before,
-      sum(cluster_size) OVER (PARTITION BY relation_family) AS total FROM clusters"""),
-    ("cluster_split", f"""SELECT relation_family, answer_id, CASE WHEN relation_family = 'FURNITURE'
-      THEN 'family_holdout' ELSE {band('(before + cluster_size / CAST(2 AS DOUBLE)) / total')} END AS split FROM laid"""),
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    ("banded", f"SELECT *, {band('(before + cluster_size / CAST(2 AS DOUBLE)) / total')} AS band FROM laid"),
+    ("thin", """SELECT *, n >= 6 AND least(count(*) FILTER (band = 'train') OVER f, count(*) FILTER (band = 'validation') OVER f,
+      count(*) FILTER (band = 'test') OVER f) < 2 AS thin, greatest(2, floor(CAST(0.15 AS DOUBLE) * n + 0.5)) AS k
+      FROM banded WINDOW f AS (PARTITION BY relation_family)"""),
+    ("cluster_split", """SELECT relation_family, answer_id, CASE WHEN relation_family = 'FURNITURE'
+      THEN 'family_holdout' WHEN NOT thin THEN band WHEN rk < n - 2 * k THEN 'train' WHEN rk < n - k
+      THEN 'validation' ELSE 'test' END AS split FROM thin"""),
     ("assigned", "SELECT facts.*, split FROM facts JOIN cluster_split USING (relation_family, answer_id)"),
 ]
 FACT_PARTS: Parts = [RAW, FACTS, *SPLIT]
