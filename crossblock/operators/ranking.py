@@ -136,8 +136,11 @@ def value_buckets(df: DataFrame, value: str, n_buckets: int = 256) -> DataFrame:
 def value_counts(
     df: DataFrame, value: str, measures: dict[str, Column], *, group: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per (group, distinct value) with the measures and their sums over smaller values."""
-    collapsed = (
+    """One row per (group, distinct value) with the measures and their sums over smaller values.
+
+    The collapsed table is written once: cut points, totals and running sums all read it.
+    """
+    collapsed = cut(
         df.withColumn(value, finite(value) + F.lit(0.0))
         .where(F.col(value).isNotNull())
         .groupBy(*group, value)

@@ -172,12 +172,23 @@ def _replicates(df, keys, block, weighted, signed, n_boot, seed, form):
     return FORMS[form](df, keys, block, weighted, signed, n_boot, seed)
 
 
-def _edges(value: Column, alpha: float, prefix: str = "") -> list[Column]:
-    """Interval over replicates: their number is n_boot, so an exact percentile is bounded."""
-    return [
-        F.percentile(value, F.lit(alpha / 2)).alias(f"{prefix}ci_low"),
-        F.percentile(value, F.lit(1 - alpha / 2)).alias(f"{prefix}ci_high"),
-    ]
+def _edges(value: Column, alpha: float, prefix: str = "") -> Column:
+    """Both ends of the interval over replicates, as one array.
+
+    Their number is n_boot, so the exact percentile holds a bounded number of values.
+    """
+    ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    return F.percentile(value, ends).alias(f"_{prefix}ci")
+
+
+def _open_edges(df: DataFrame) -> DataFrame:
+    for prefix in ("", "moved_"):
+        if f"_{prefix}ci" in df.columns:
+            ends = F.col(f"_{prefix}ci")
+            df = df.withColumns(
+                {f"{prefix}ci_low": F.get(ends, F.lit(0)), f"{prefix}ci_high": F.get(ends, F.lit(1))}
+            ).drop(f"_{prefix}ci")
+    return df
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -229,17 +240,16 @@ def bootstrap_mean(
     )
     drawn = F.when(F.col("_w1") > 0, F.col("_wx") / F.col("_w1"))
     if not permutation:
-        return _attach(point, sums.groupBy(*keys).agg(*_edges(drawn, alpha)), keys).withColumn(
-            "excludes_zero", excludes_zero()
-        )
+        spread = _open_edges(sums.groupBy(*keys).agg(_edges(drawn, alpha)))
+        return _attach(point, spread, keys).withColumn("excludes_zero", excludes_zero())
     with_point = _attach(sums, point.select(*keys, "mean", "n_blocks"), keys)
     # Sums in another order differ in the last digits; such a tie still counts as a tie.
     extreme = F.abs(F.col("_flip") / F.col("n_blocks")) >= F.abs("mean") * (1 - 1e-12)
     spread = with_point.groupBy(*keys).agg(
-        *_edges(drawn, alpha),
+        _edges(drawn, alpha),
         ((F.sum(extreme.cast("int")) + 1) / F.lit(n_boot + 1)).alias("p_permutation"),
     )
-    return _attach(point, spread, keys).withColumn("excludes_zero", excludes_zero())
+    return _attach(point, _open_edges(spread), keys).withColumn("excludes_zero", excludes_zero())
 
 
 def bootstrap_ratio(
@@ -277,12 +287,11 @@ def bootstrap_ratio(
     if with_shift:
         weighted |= {"_wm": num, "_w1": F.when(num.isNotNull(), F.lit(1.0))}
     sums = _replicates(base, keys, block, weighted, {}, n_boot, seed, form)
-    edges = _edges(F.try_divide(F.col("_wn"), F.col("_wd")), alpha)
+    edges = [_edges(F.try_divide(F.col("_wn"), F.col("_wd")), alpha)]
     if with_shift:
-        edges += _edges(F.try_divide(F.col("_wm"), F.col("_w1")), alpha, "moved_")
-    return _attach(point, sums.groupBy(*keys).agg(*edges), keys).withColumn(
-        "excludes_zero", excludes_zero()
-    )
+        edges.append(_edges(F.try_divide(F.col("_wm"), F.col("_w1")), alpha, "moved_"))
+    spread = _open_edges(sums.groupBy(*keys).agg(*edges))
+    return _attach(point, spread, keys).withColumn("excludes_zero", excludes_zero())
 
 
 def paired_effect_size(blocks: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

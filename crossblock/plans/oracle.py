@@ -854,6 +854,20 @@ def queries() -> dict[str, str]:
             """SELECT x.relation_family, x.fact_id AS first, y.fact_id AS second,
             NOT list_contains(y.correct_ids, x.answer_id) AND NOT list_contains(x.correct_ids, y.answer_id) AS can_pair
             FROM k x JOIN k y ON x.relation_family = y.relation_family AND y.i = x.i + 1 AND x.i % 2 = 0"""),
+        "b5_expand_blocks": sql([RAW, FACTS, TEMPLATES, ("k", """SELECT *, row_number() OVER (PARTITION BY relation_family
+            ORDER BY md5('b4:' || fact_id), fact_id) - 1 AS i FROM facts"""), ("pr", """SELECT least(x.fact_id, y.fact_id) AS a,
+            greatest(x.fact_id, y.fact_id) AS b FROM k x JOIN k y ON x.relation_family = y.relation_family AND y.i = x.i + 1
+            AND x.i % 2 = 0 AND NOT list_contains(y.correct_ids, x.answer_id) AND NOT list_contains(x.correct_ids, y.answer_id)""")],
+            """SELECT f.relation_family || '/' || f.subject_slug || '__' || g.subject_slug || '/t1' AS block_id,
+            f.relation_family, CAST(2 AS TINYINT) AS dataset_tier, 'q' || q || 'a' || s AS cell, CAST(q AS TINYINT) AS q_index,
+            CAST(s AS TINYINT) AS a_index, qf.question_id, af.answer_id, qf.subject, replace(t.text, '{s}', qf.subject_phrase) AS question,
+            af.answer, q = s AS matched, list_contains(qf.correct_ids, af.answer_id) AS correct,
+            CASE WHEN q = s THEN 'gold' ELSE 'distractor' END AS answer_source,
+            CASE WHEN q = s THEN 'natural' ELSE 'off_policy' END AS policy_status, t.template_id, 'train' AS split
+            FROM pr JOIN facts f ON f.fact_id = pr.a JOIN facts g ON g.fact_id = pr.b, (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) v(q, s)
+            JOIN facts qf ON qf.fact_id = CASE WHEN q = 1 THEN pr.a ELSE pr.b END
+            JOIN facts af ON af.fact_id = CASE WHEN s = 1 THEN pr.a ELSE pr.b END
+            JOIN templates t ON t.relation_family = f.relation_family AND t.ordinal = 0"""),
         "b9_readouts": sql([*NATURAL, SWEEP], f"""SELECT block_id, target_cell, position, layer, {rd('moved')},
             {rd('gap')}, flipped FROM sweep"""),
         "b11_finite_only": f"""SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal >= 100) AS n_finite,

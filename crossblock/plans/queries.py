@@ -184,6 +184,22 @@ def b4_can_pair(spark, sf):
     )
 
 
+@query
+def b5_expand_blocks(spark, sf):
+    """Cells, ids and labels of the valid couples of b4, before any split."""
+    facts = facts_with_ids(spark, sf).withColumn("split", F.lit("train"))
+    ranked = ranking.shuffle_rank(
+        facts, group=block_ops.POOL, key=["fact_id"], seed="b4", name="_rank"
+    )
+    couples = block_ops._couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
+    pairs = block_ops._judge(couples, None).where("ok")
+    blocks = block_ops.assign_templates(
+        pairs.select(*block_ops.POOL, "fact_q1", "fact_q2"), inputs.templates(spark, sf),
+        templates_per_family=1, seed="b5",
+    )
+    return block_ops.expand_blocks(blocks, dataset_tier=2)
+
+
 @query
 def b9_readouts(spark, sf):
     return tidy(

@@ -30,9 +30,22 @@ def half_precision(vec: str | Column) -> Column:
     return rounded(F.col(vec) if isinstance(vec, str) else vec)
 
 
-def write_vectors(df: DataFrame, path: str, *, half: bool = True, mode: str = "append") -> None:
-    """Append a batch of vectors. Reading one layer touches only that layer's folder."""
+def write_vectors(
+    df: DataFrame,
+    path: str,
+    *,
+    half: bool = True,
+    mode: str = "append",
+    files_per_layer: int | None = None,
+) -> None:
+    """Append a batch of vectors. Reading one layer touches only that layer's folder.
+
+    Each task writes one file per layer it holds. With many tasks, `files_per_layer` first
+    brings the rows of a layer together in that many hash slices.
+    """
     out = df.withColumn("vec", half_precision("vec")) if half else df
+    if files_per_layer:
+        out = out.repartition("layer", F.pmod(F.xxhash64("row"), F.lit(files_per_layer)))
     out.write.mode(mode).partitionBy("layer").option("compression", "zstd").parquet(path)
 
 
