@@ -114,7 +114,7 @@ def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame
     rest = _facts_of(judged.where(~F.col("ok"))).unionByName(_facts_of(broken))
     hashed = rest.withColumns(
         {"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")}
-    ).withColumn("_b", F.concat("_a", hash_bucket("_f")))
+    ).withColumn("_b", F.concat("_a", hash_bucket("_f", 2)))
     laid = global_rank(
         hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket="_b", name="_rank", totals=True
     )

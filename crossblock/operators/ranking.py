@@ -15,15 +15,33 @@ from pyspark.sql import functions as F
 
 from crossblock.functions.keyed import digest
 from crossblock.functions.values import finite
+from crossblock.operators.lookup import HEAVY
 from crossblock.session import cut
 
 
-#: Hex digits of a hash that make its bucket: 4096 buckets per group.
-BUCKET_DIGITS = 3
+# Hex digits of a hash that make its bucket: 4096 buckets for a heavy group, 16 for others.
+HEAVY_DIGITS, LIGHT_DIGITS = 3, 1
 
 
-def hash_bucket(hex_digest: str) -> Column:
-    return F.substring(hex_digest, 1, BUCKET_DIGITS)
+def hash_bucket(hex_digest: str | Column, digits: int = HEAVY_DIGITS) -> Column:
+    return F.substring(hex_digest, 1, digits)
+
+
+def with_hash_bucket(df: DataFrame, group: Sequence[str], hex_digest: str, name: str) -> DataFrame:
+    """Bucket rows by their hash, finely in heavy groups and coarsely in the many others.
+
+    A group above 1/HEAVY of the rows is heavy. There are fewer than HEAVY of them, so they
+    are broadcast and the table of bucket totals stays short.
+    """
+    if not group:
+        return df.withColumn(name, hash_bucket(hex_digest))
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
+    heavy = sizes.where(F.col("_size") * F.lit(HEAVY) > sizes.agg(F.sum("_size")).scalar())
+    marked = df.join(
+        F.broadcast(heavy.select(*group, F.lit(True).alias("_heavy"))), list(group), "left"
+    )
+    fine, coarse = hash_bucket(hex_digest), hash_bucket(hex_digest, LIGHT_DIGITS)
+    return marked.select(*df.columns, F.when(F.col("_heavy"), fine).otherwise(coarse).alias(name))
 
 
 def prefix_sums(
@@ -93,7 +111,7 @@ def shuffle_rank(
     name: str = "rank",
 ) -> DataFrame:
     """Seeded shuffle: rank of each row in keyed-hash order inside its group."""
-    hashed = df.withColumn("_h", digest(seed, *key)).withColumn("_b", hash_bucket("_h"))
+    hashed = with_hash_bucket(df.withColumn("_h", digest(seed, *key)), group, "_h", "_b")
     ranked = global_rank(hashed, group=group, order=["_h", *key], bucket="_b", name=name)
     return ranked.drop("_h", "_b")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crossblock.functions.keyed import digest, uniform
 from crossblock.functions.names import FITTABLE_SPLITS, HOLDOUT
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import hash_bucket, prefix_sums
+from crossblock.operators.ranking import prefix_sums, with_hash_bucket
 from crossblock.session import cut
 
 
@@ -55,8 +55,11 @@ def cluster_splits(
     cut by number instead, with at least two for every split if there are six.
     """
     clusters = answer_clusters(facts)
-    hashed = clusters.withColumn("_h", digest(seed, "relation_family", "answer_id")).withColumn(
-        "_b", hash_bucket("_h")
+    hashed = with_hash_bucket(
+        clusters.withColumn("_h", digest(seed, "relation_family", "answer_id")),
+        ["relation_family"],
+        "_h",
+        "_b",
     )
     laid = prefix_sums(
         hashed,
