@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crossblock.functions.keyed import digest
 from crossblock.functions.text import fill_template
-from crossblock.functions.values import insist, insist_once
+from crossblock.functions.values import insist
 from crossblock.operators.lookup import sized_lookup
 from crossblock.operators.ranking import global_rank, hash_bucket, shuffle_rank
 from crossblock.session import cut
@@ -39,7 +39,8 @@ def _sorted_pair(df: DataFrame) -> DataFrame:
 def _judge(couples: DataFrame, used: DataFrame | None) -> DataFrame:
     """Mark each couple as a block or not: a partner, valid answers, never paired before."""
     judged = _sorted_pair(couples).withColumn(
-        "ok", F.col("y").isNotNull() & can_pair("fact_q1", "fact_q2")
+        "ok",
+        F.col("y").isNotNull() & F.coalesce(can_pair("fact_q1", "fact_q2"), F.lit(False)),
     )
     if used is None:
         return judged
@@ -190,10 +191,10 @@ def duplicate_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_unique_blocks(blocks: DataFrame) -> DataFrame:
-    first = duplicate_blocks(blocks).agg(F.min("block_id").alias("first"))
-    message = F.concat(F.lit("duplicate block_id generated: "), F.col("first"))
-    return insist_once(blocks, first, F.col("first").isNull(), message)
+def require_unique_blocks(blocks: DataFrame) -> None:
+    first = duplicate_blocks(blocks).orderBy("block_id").limit(1).collect()
+    if first:
+        raise ValueError(f"duplicate block_id generated: {first[0]['block_id']}")
 
 
 def cell_factors(cell: str | Column = "cell") -> dict[str, Column]:

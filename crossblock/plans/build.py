@@ -59,10 +59,13 @@ def build_blocks(facts: DataFrame, templates: DataFrame, config: BuildConfig) ->
     require_pools(assigned)
     pairs = pair_facts(assigned, pairings_per_fact=config.pairings_per_fact, seed=config.seed)
     wanted = templates_for(templates, assigned, config.templates_per_family)
-    blocks = assign_templates(
-        pairs, wanted, templates_per_family=config.templates_per_family, seed=config.seed
+    blocks = cut(
+        assign_templates(
+            pairs, wanted, templates_per_family=config.templates_per_family, seed=config.seed
+        )
     )
-    return require_unique_blocks(blocks)
+    require_unique_blocks(blocks)
+    return blocks
 
 
 def build_cells(facts: DataFrame, templates: DataFrame, config: BuildConfig) -> DataFrame:

@@ -36,7 +36,9 @@ def read_facts(df: DataFrame) -> DataFrame:
     missing = [f.name for f in FACT if f.name not in df.columns]
     if missing:
         raise ValueError(f"the fact table lacks {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT])
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT])
+    # A missing value means the same as a missing column.
+    return typed.withColumns({n: F.coalesce(F.col(n), v.cast(FACT[n].dataType)) for n, v in defaults.items()})
 
 
 def concat_facts(*frames: DataFrame) -> DataFrame:

@@ -141,6 +141,18 @@ def test_build_dataset_writes_a_valid_table(spark, tmp_path):
     assert row["command"] == "data build" and row["artifacts"]["cells"]["n_rows"] > 0
 
 
+def test_missing_optional_fields_and_duplicate_ids(spark):
+    raw = spark.createDataFrame(
+        [("f", "x", None, "one", None)],
+        "relation_family string, subject string, subject_phrase string, answer string, also_correct array<string>",
+    )
+    row = fact_source.with_ids(fact_source.read_facts(raw)).first()
+    assert row["subject_phrase"] == "x" and row["correct_ids"] == ["a:f:one"]
+    twice = spark.createDataFrame([("b",), ("b",), ("c",)], "block_id string")
+    with pytest.raises(ValueError, match="duplicate block_id generated: b"):
+        blocks.require_unique_blocks(twice)
+
+
 def test_unknown_family_and_template_errors(spark):
     facts = fact_source.read_facts(toy_facts(spark))
     with pytest.raises(Exception, match="unknown relation families: nowhere"):
