@@ -34,4 +34,49 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
-SQL: dict[str, str] = {"op5_mixing": MIXING}
+_NAME = "|".join(
+    "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    for w in ["password", "passwd", "secret", "token", "api_?key"]
+)
+
+
+def _spans(kind: str, rank: int, pattern: str, longest: int, group: int = 0) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(list_filter(list_transform(
+    range(1, len(found) + 1),
+    lambda i: {{'start': list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0),
+          'n': length(found[i]), 'g': length(kept[i])}}), lambda s: s.g >= {longest})) AS s
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+          regexp_extract_all(text, '{pattern}', {group}) AS kept,
+          string_split_regex(text, '{pattern}') AS gaps
+        FROM docs)"""
+
+
+SECRETS = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+{_spans("assign", 1, "(" + _NAME + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 2)} UNION ALL
+{_spans("access", 2, "AKIA[A-Z0-9]+", 16)} UNION ALL
+{_spans("hex", 3, "[0-9a-f]+", 32)} UNION ALL
+{_spans("pem", 4, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1)} UNION ALL
+{_spans("jwt", 5, "eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 1)}),
+listed AS (
+  SELECT doc_id, kind, rank, s.start::BIGINT AS start,
+    kind || ':' || s.start::BIGINT || ':' || (s.start + s.n)::BIGINT AS span FROM found),
+grouped AS (
+  SELECT doc_id,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'pem') AS n_pem,
+    count(*) FILTER (kind = 'jwt') AS n_jwt,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= 3) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM listed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_pem, 0) AS n_pem, coalesce(n_jwt, 0) AS n_jwt, sha256(d.text) AS blob
+FROM docs d LEFT JOIN grouped g ON d.doc_id = g.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_secret_scan": SECRETS, "op5_mixing": MIXING}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import mixing
+from crossblock.llm import mixing, secrets
 from crossblock.llm.common import table, word_count
+from crossblock.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -19,6 +20,17 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of secrets in every document, through a ledger that starts empty."""
+    ledger = scratch_path(spark, "ledger")
+    docs = table(spark, sf, "documents")
+    paths, holders = secrets.scan(docs, ledger, path=["doc_id"])
+    return secrets.findings(paths, holders, ledger).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_pem", "n_jwt", "blob"
+    )
+
+
 @query
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words the mix takes of every document; targets by repeating weights 5, 2, 1."""
