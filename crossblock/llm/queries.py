@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import mixing, secrets
+from crossblock.llm import mixing, secrets, spotsigs
 from crossblock.llm.common import table, word_count
 from crossblock.session import scratch_path
 
@@ -39,3 +39,21 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op8_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, with their likeness."""
+    beside = spotsigs.neighbours(table(spark, sf, "documents"))
+    changed = beside.withColumn("edit", spotsigs.edited(F.col("text"), F.col("next_text")))
+    signed = changed.withColumn("edit_sigs", spotsigs.signatures(F.col("edit")))
+    return signed.select(
+        F.col("key").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edit", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edit_sigs")).alias("edited_fingerprint"),
+        spotsigs.jaccard(F.col("sigs"), F.col("edit_sigs")).alias("near_edited"),
+        spotsigs.jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        spotsigs.length_partition(F.col("sigs"), spotsigs.LIKENESS).alias("length_partition"),
+    )
