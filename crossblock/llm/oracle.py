@@ -79,4 +79,45 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM docs d LEFT JOIN grouped g ON d.doc_id = g.doc_id
 """
 
-SQL: dict[str, str] = {"op3_secret_scan": SECRETS, "op5_mixing": MIXING}
+LINES = r"""
+WITH lined AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS idx
+  FROM documents),
+solid AS (
+  SELECT doc_id, idx, trim(raw, ' ' || chr(9) || chr(13)) AS line,
+    row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM lined WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
+runs AS (
+  SELECT doc_id, j, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run,
+    [idx, lead(idx, 1) OVER w, lead(idx, 2) OVER w] AS ats
+  FROM solid WHERE n >= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY j)
+  UNION ALL
+  SELECT doc_id, 0, n || chr(10) || string_agg(line, chr(10) ORDER BY j), list(idx ORDER BY j)
+  FROM solid WHERE n < 3 GROUP BY doc_id, n),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, j) AS k FROM runs WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(ats) AS idx FROM ranked WHERE k > 1),
+counted AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.idx IS NULL THEN raw END, chr(10) ORDER BY l.idx) AS rest, count(g.idx) AS removed
+  FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.idx = g.idx GROUP BY l.doc_id),
+lengths AS (SELECT doc_id, max(n) AS n FROM solid GROUP BY doc_id)
+SELECT d.doc_id,
+  CASE WHEN coalesce(removed, 0) = 0 THEN d.text WHEN removed = n THEN '' ELSE rest END AS text,
+  coalesce(n, 0) AS lines, coalesce(removed, 0) AS removed
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN lengths USING (doc_id)
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS keeper FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINES, "op3_secret_scan": SECRETS, "op5_mixing": MIXING, "op9_warc": WARC}

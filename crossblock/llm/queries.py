@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import mixing, secrets, spotsigs
+from crossblock.llm import line_dedup, mixing, secrets, spotsigs, warc
 from crossblock.llm.common import table, word_count
 from crossblock.session import scratch_path
 
@@ -20,6 +20,14 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document when repeated three-line windows are removed."""
+    return line_dedup.dedup(table(spark, sf, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "text", "lines", "removed"
+    )
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of secrets in every document, through a ledger that starts empty."""
@@ -57,3 +65,13 @@ def op8_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
         spotsigs.jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         spotsigs.length_partition(F.col("sigs"), spotsigs.LIKENESS).alias("length_partition"),
     )
+
+
+@query
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as WARC bundles and read back."""
+    folder = scratch_path(spark, "warc")
+    index = warc.write(table(spark, sf, "pages"), folder)
+    return warc.read(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
