@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import line_dedup, mixing, secrets, spotsigs, warc
+from crossblock.llm import line_dedup, mixing, packing, secrets, spotsigs, warc
 from crossblock.llm.common import table, word_count
-from crossblock.session import scratch_path
+from crossblock.session import cut, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,6 +49,22 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tokenizer() -> str:
+    """Where the public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Token pieces of every document, packed into sequences of 2048."""
+    items = cut(packing.pieces(table(spark, sf, "documents"), tokenizer()))
+    return packing.pack(items).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"
+    )
+
+
 @query
 def op8_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness."""
