@@ -58,7 +58,7 @@ def encoder(path: str):
     ranks = {bytes(spelt[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    unsure = re.compile(r"[^\u0000-ͷ‐-‧‰-⁞₠-€]|" + re.escape(SPECIAL))
+    unsure = re.compile(r"[^\u0000-\u0377\u2010-\u2027\u2030-\u205e\u20a0-\u20ac]|" + re.escape(SPECIAL))
 
     def encode(text: str) -> list[int]:
         if unsure.search(text):

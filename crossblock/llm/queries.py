@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import line_dedup, mixing, packing, secrets, spotsigs, warc
-from crossblock.llm.common import table, word_count
+from crossblock.llm import line_dedup, mixing, packing, quality, secrets, spotsigs, warc
+from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside fold 0 of 5."""
+    vectors = cut(quality.measured(table(spark, sf, "documents")))
+    learnt = quality.with_labels(
+        vectors, table(spark, sf, "labels"), key="doc_id", label="quality", where=fold("key", 5) != 0
+    )
+    scored = quality.score(vectors, quality.fit(learnt))
+    return scored.select(
+        F.col("key").alias("doc_id"),
+        (fold("key", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of every document when repeated three-line windows are removed."""
