@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import line_dedup, mixing, packing, quality, secrets, spotsigs, warc
+from crossblock.llm import language, line_dedup, mixing, packing, quality, secrets, spotsigs, warc
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -107,3 +107,13 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read(index, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside fold 1 of 3."""
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs, where=fold("doc_id", 3) != 1)
+    return language.predict(docs, model).select(
+        F.col("key").alias("doc_id"), (fold("key", 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
