@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import language, line_dedup, mixing, packing, quality, secrets, spotsigs, warc
+from crossblock.llm import language, line_dedup, mixing, neighbours, packing, quality, secrets, spotsigs, warc
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -81,6 +81,13 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest of every 50th vector among all others."""
+    found = neighbours.search(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op8_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness."""
