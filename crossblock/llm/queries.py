@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import language, line_dedup, mixing, neighbours, packing, quality, secrets, spotsigs, warc
+from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, spotsigs, warc
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -55,6 +55,15 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9."""
+    found = ngram_join.linked_components(table(spark, sf, "documents"), ngram_join.Rule(3, 9, 10))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
 @query
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words the mix takes of every document; targets by repeating weights 5, 2, 1."""
