@@ -475,3 +475,28 @@ def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule,
     spread = held.withColumn("block", block).select("root", "id", "tokens", F.explode(pairs).alias("at"))
     flat = spread.select("root", "at.i", "at.j", "id", "tokens")
     return flat.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+
+
+def representatives(docs: DataFrame, rule: Rule, *, key: str = "doc_id", text: str = "text",
+                    broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of `docs` without all but one of every component: that with the smallest key.
+
+    Of equal keys the one whose text has the smallest hash stays, and of repeated rows one.
+    Texts without a word are linked with nothing and stay.
+    """
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash")).alias("_own"),
+        F.col(text).alias("_text"),
+    )
+    found = linked_components(marked, rule, key="_own", text="_text", broadcast_keys=broadcast_keys)
+    linked = cut(found.where("n > 0"))
+    gone = cut(linked.where("key <> component").select("key").distinct())
+    again = cut(linked.where("key = component").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    gone = F.broadcast(gone) if gone.count() <= broadcast_keys else gone
+    kept = marked.join(gone, F.col("_own") == F.col("key"), "left_anti")
+    if not again.isEmpty():
+        repeated = F.col("_own") == F.col("key")
+        once = kept.join(again, repeated, "left_semi").dropDuplicates(["_own"])
+        kept = kept.join(again, repeated, "left_anti").unionByName(once)
+    return kept.select("row.*")

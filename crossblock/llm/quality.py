@@ -233,6 +233,19 @@ def score(vectors: DataFrame, model: Model) -> DataFrame:
     return vectors.select("key", "x").mapInArrow(apply, f"key {kind}, score double")
 
 
+def kept(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores the threshold or more."""
+    schema, at = docs.schema, docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(statistics(chunk)) for chunk in chunks(batch.column(at))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return docs.mapInArrow(apply, schema)
+
+
 def with_labels(vectors: DataFrame, labels: DataFrame, *, key: str, label: str, where: Column) -> DataFrame:
     """Vectors of labelled keys; `where` (over the column key) says which keys may be learnt from."""
     known = labels.groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
