@@ -205,7 +205,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     turns = [examples[i] for _ in range(EPOCHS) for i in rng.permutation(rest)]
     weights, bias = train(turns, max(len(languages), 1))
     model = Model(languages, idf, weights.astype(np.float32), bias, 1.0)
-    logits = np.array([model.logits(examples[i][0], examples[i][1]) for i in back]).reshape(len(back), -1)
+    logits = np.array([model.logits(examples[i][0], examples[i][1]) for i in back]).reshape(len(back), weights.shape[1])
     heat = temperature(logits, np.array([examples[i][2] for i in back], dtype=int))
     return Model(languages, idf, model.weights, bias, heat)
 

@@ -133,7 +133,7 @@ def slot_counts(profiled: DataFrame) -> np.ndarray:
     """Counts by slot over all documents: a fixed 2^SLOT_BITS numbers, summed in two steps."""
 
     def add(width: str):
-        def apply(_, rows: pd.DataFrame) -> pd.DataFrame:
+        def apply(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(x, width).astype("<i8") for x in rows["counts"])
             return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [total.tobytes()]})
 
