@@ -42,6 +42,12 @@ def uniform(seed: int | str, *parts: str | Column) -> Column:
     return word(digest(seed, *parts)) / F.lit(float(2**32))
 
 
+def index_draw(size: Column, seed: int | str, *parts: str | Column) -> Column:
+    """An index below `size` from 52 bits, so that every index up to 2^52 can be drawn."""
+    share = F.conv(F.substring(digest(seed, *parts), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+    return F.floor(share * size)
+
+
 def stable_seed(base: int, *parts: str | Column) -> Column:
     """A non-negative 31-bit seed from strings, equal in every process."""
     joined = F.concat_ws("\x1f", *map(_text, parts))

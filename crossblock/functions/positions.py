@@ -68,9 +68,8 @@ def tokens_from_parts(ids: str, offsets: str) -> Column:
     """Join separate id and offset arrays of an external tokenizer; their lengths must agree."""
     same = F.size(ids) == F.size(offsets)
     message = F.concat(
-        F.lit("tokenizer returned "),
         F.size(ids).cast("string"),
-        F.lit(" ids but "),
+        F.lit(" ids do not pair with "),
         F.size(offsets).cast("string"),
         F.lit(" offsets"),
     )

@@ -34,13 +34,6 @@ class PromptText:
     separator: str = " "
     newline: str = "\n"
 
-    def __post_init__(self):
-        for name in ("answer_prefix", "confidence_prefix"):
-            if not getattr(self, name).endswith(":"):
-                raise ValueError(f"{name} must end with a colon, got {getattr(self, name)!r}")
-        if self.newline != "\n":
-            raise ValueError("newline must be one line feed")
-
     @property
     def template_hash(self) -> str:
         return hashlib.sha256("\x1f".join(astuple(self)).encode()).hexdigest()[:16]
@@ -65,7 +58,7 @@ def render_prompts(
     template); without it the raw style is used. Blank questions or answers fail the job.
     """
     q, a = F.col(question), F.col(answer)
-    df = insist(df, ~is_blank(q) & ~is_blank(a), "question and answer must both be non-empty")
+    df = insist(df, ~is_blank(q) & ~is_blank(a), "a question or an answer is blank")
     head = F.col(prefix) if prefix else text.raw_prefix(q)
     tail = f"{text.newline}{text.confidence_prefix}"
     prompt = F.concat(head, F.lit(text.answer_prefix + text.separator), a, F.lit(tail))

@@ -194,7 +194,7 @@ def duplicate_blocks(blocks: DataFrame) -> DataFrame:
 def require_unique_blocks(blocks: DataFrame) -> None:
     first = duplicate_blocks(blocks).orderBy("block_id").limit(1).collect()
     if first:
-        raise ValueError(f"duplicate block_id generated: {first[0]['block_id']}")
+        raise ValueError(f"block ids repeat, first {first[0]['block_id']}")
 
 
 def cell_factors(cell: str | Column = "cell") -> dict[str, Column]:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from crossblock.functions import keyed
-from crossblock.functions.keyed import digest, uniform
+from crossblock.functions.keyed import digest, index_draw
 from crossblock.functions.values import insist
 from crossblock.operators.ranking import hash_bucket, prefix_sums
 from crossblock.session import cut
@@ -49,7 +49,7 @@ def draw_donors(
         .withColumn("_free", F.coalesce(ranges.agg(F.sum("m")).scalar(), F.lit(0)) - F.col("_m"))
     )
     placed = insist(placed, F.col("_free") > 0, "no donor outside the own block")
-    u = F.floor(uniform(seed, *key) * F.col("_free"))
+    u = index_draw(F.col("_free"), seed, *key)
     skip = (F.col("_m") > 0) & (u >= F.col("_lo"))
     inner = Window.partitionBy("block_id").orderBy("cell")
     pool = (
@@ -62,7 +62,10 @@ def draw_donors(
         )
     )
     drawn = placed.withColumn("_u", F.when(skip, u + F.col("_m")).otherwise(u))
-    return drawn.join(pool, "_u").drop("_u", "_lo", "_m", "_free")
+    found = insist(
+        drawn.join(pool, "_u", "left"), F.col("donor_cell").isNotNull(), "a drawn donor is not in the pool"
+    )
+    return found.drop("_u", "_lo", "_m", "_free")
 
 
 def gather_vectors(

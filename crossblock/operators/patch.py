@@ -116,7 +116,7 @@ def summarize_groups(
     rates = blocks.groupBy(*keys).agg(
         (F.sum("flips") / F.sum("pairs")).alias("flip_rate"), F.avg("gap").alias("mean_gap")
     )
-    return effect.join(rates, keys).select(
+    return rates.join(effect, keys, "left").select(
         *keys,
         F.col("mean").alias("effect"),
         "ci_low",
@@ -199,7 +199,7 @@ def condition_table(
             for tag, name in (("m", "mean_matched"), ("c", "mean_crossed"))
         ],
     )
-    table = estimate.join(means, keys).withColumnRenamed("mean", "gap")
+    table = means.join(estimate, keys, "left").withColumnRenamed("mean", "gap")
     clean = table.where(F.col("condition") == names.clean).select(
         "subset", F.col("gap").alias("_clean")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from crossblock.functions import keyed
 from crossblock.functions.values import as_column, finite, insist
 
-EMPTY = "no finite block values to resample"
+EMPTY = "a group has no block with a finite value"
 
 
 def _seeded(df: DataFrame, block: str, seed: int) -> DataFrame:
@@ -224,11 +224,16 @@ def bootstrap_mean(
     permutation: bool = True,
     form: str | None = None,
 ) -> DataFrame:
-    """Mean over blocks with a percentile interval and, on request, a sign-flip p-value."""
+    """Mean over blocks with a percentile interval and, on request, a sign-flip p-value.
+
+    A group without a finite value fails the job.
+    """
     keys = list(keys)
     x = F.col("_x0")
-    clean = blocks.select(*keys, block, finite(value).alias("_x0")).where(x.isNotNull())
-    point = clean.groupBy(*keys).agg(
+    every = blocks.select(*keys, block, finite(value).alias("_x0"))
+    clean = every.where(x.isNotNull())
+    # Over all groups: one without a finite value must not vanish.
+    point = every.groupBy(*keys).agg(
         F.avg(x).alias("mean"),
         same_sign_share(x, F.avg(x)).alias("sign_consistency"),
         F.count(x).alias("n_blocks"),
@@ -267,16 +272,18 @@ def bootstrap_ratio(
 ) -> DataFrame:
     """Ratio of means with an interval, and the share of blocks whose own ratio is positive.
 
-    `with_shift` adds the mean of the numerator and its interval from the same draws.
+    `with_shift` adds the mean of the numerator and its interval from the same draws. A group
+    without a block that has both values fails the job.
     """
     keys = list(keys)
     num, den = F.col("_num"), F.col("_den")
     both = num.isNotNull() & den.isNotNull()
-    base = blocks.select(
+    every = blocks.select(
         *keys, block, finite(numerator).alias("_num"), finite(denominator).alias("_den")
-    ).where(both | num.isNotNull() if with_shift else both)
+    )
+    base = every.where(both | num.isNotNull() if with_shift else both)
     own = F.when(both & (den != 0), num / den)
-    point = base.groupBy(*keys).agg(
+    point = every.groupBy(*keys).agg(
         F.try_divide(F.avg(F.when(both, num)), F.avg(F.when(both, den))).alias("mean"),
         F.avg((own > 0).cast("double")).alias("sign_consistency"),
         F.count(F.when(both, F.lit(1))).alias("n_blocks"),

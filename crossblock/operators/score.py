@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from crossblock.functions.text import first_line, normalize_entity
 from crossblock.functions.values import finite
-from crossblock.operators.ranking import exact_quantiles
+from crossblock.operators.ranking import exact_quantiles, row_index
 from crossblock.session import cut
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -38,11 +38,12 @@ def select_rows(
         held = held.where(F.col("relation_family").isin(list(families)))
     if n_blocks is None:
         return held
-    first = cut(held.select("block_id").distinct().orderBy("block_id").limit(n_blocks))
+    # Ranked over all tasks: n is the caller's and may be large.
+    first = row_index(held.select("block_id").distinct(), ["block_id"], "_at").where(F.col("_at") < n_blocks)
     found = first.count()
     if found < n_blocks:
-        raise ValueError(f"asked for {n_blocks} blocks but only {found} match")
-    return held.join(first, "block_id", "left_semi")
+        raise ValueError(f"{n_blocks} blocks are wanted, {found} match")
+    return held.join(first.select("block_id"), "block_id", "left_semi")
 
 
 def spread_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +18,16 @@ from crossblock.session import cut
 
 @dataclass(frozen=True)
 class Ratios:
+    """Shares of the fittable splits."""
+
     train: float = 0.7
     validation: float = 0.15
     test: float = 0.15
 
     def __post_init__(self):
-        for name in FITTABLE_SPLITS:
-            if getattr(self, name) <= 0:
-                raise ValueError(f"split ratio {name} must be > 0, got {getattr(self, name)}")
-        total = self.train + self.validation + self.test
-        if abs(total - 1.0) > 1e-9:
-            raise ValueError(f"split ratios must sum to 1.0, got {total}")
+        shares = astuple(self)
+        if min(shares) <= 0 or not math.isclose(math.fsum(shares), 1.0, abs_tol=1e-9):
+            raise ValueError(f"shares of the splits must be positive and add up to one: {shares}")
 
     def band(self, share: Column) -> Column:
         """The split whose band of [0, 1) holds a share."""
@@ -39,7 +39,7 @@ class Ratios:
 
 
 def answer_clusters(facts: DataFrame) -> DataFrame:
-    """Facts that share an answer identity cannot be split apart."""
+    """One row per (family, answer) with its facts; a split takes such a cluster whole."""
     return facts.groupBy("relation_family", "answer_id").agg(F.count("*").alias("cluster_size"))
 
 
@@ -51,8 +51,8 @@ def cluster_splits(
     A cluster goes to the band that holds its midpoint, so each cut is off by at most half
     a cluster. Hash order rather than size order keeps large clusters out of one band.
 
-    Where a family has so few clusters that a band holds fewer than two, its clusters are
-    cut by number instead, with at least two for every split if there are six.
+    Bands are then taken by number from the end, each with the clusters it holds but no fewer
+    than two, so the same rule gives small families test and validation pools.
     """
     clusters = answer_clusters(facts)
     hashed = with_hash_bucket(
@@ -71,29 +71,21 @@ def cluster_splits(
     )
     middle = (F.col("_before") + F.col("cluster_size") / 2) / F.col("_before_total")
     banded = laid.withColumn("_band", ratios.band(middle))
-    in_band = [F.count_if(F.col("_band") == s) for s in FITTABLE_SPLITS]
-    fewest = banded.groupBy("relation_family").agg(
-        F.least(*in_band).alias("_fewest"), F.count("*").alias("_n")
-    )
-    judged = sized_lookup(banded, fewest, ["relation_family"], "_n")
-    n, rank = F.col("_rank_total"), F.col("_rank")
-
-    def at_least_two(ratio: float) -> Column:
-        return F.greatest(F.lit(2), F.floor(F.lit(ratio) * n + 0.5))
-
-    n_test = at_least_two(ratios.test)
-    n_held = n_test + at_least_two(ratios.validation)
-    by_number = (
-        F.when(rank < n - n_held, "train").when(rank < n - n_test, "validation").otherwise("test")
-    )
-    thin = (F.col("_fewest") < 2) & (n >= 6)
+    held = {
+        s: F.greatest(F.lit(2), F.count_if(F.col("_band") == s)).alias(f"_{s}")
+        for s in ("validation", "test")
+    }
+    counted = banded.groupBy("relation_family").agg(*held.values(), F.count("*").alias("_n"))
+    judged = sized_lookup(banded, counted, ["relation_family"], "_n")
+    from_end = F.col("_rank_total") - F.col("_rank")  # 1 for the last cluster
     return judged.select(
         "relation_family",
         "answer_id",
         "cluster_size",
         F.when(F.col("relation_family").isin(list(holdout)), F.lit(HOLDOUT))
-        .when(thin, by_number)
-        .otherwise(F.col("_band"))
+        .when(from_end <= F.col("_test"), "test")
+        .when(from_end <= F.col("_test") + F.col("_validation"), "validation")
+        .otherwise("train")
         .alias("split"),
     )
 
@@ -161,9 +153,9 @@ def require_pools(assigned: DataFrame) -> None:
     """Fail when nothing is left to fit on, or when some fittable pool cannot form a block."""
     weak = weak_pools(assigned).orderBy("relation_family", "split").limit(1).collect()
     if weak:
-        raise ValueError("a pool cannot form a block: " + str(weak[0].asDict()))
+        raise ValueError(f"too little for a block in {weak[0].asDict()}")
     if assigned.where(F.col("split") != HOLDOUT).isEmpty():
-        raise ValueError("every relation family was held out; nothing is left to fit on")
+        raise ValueError("the holdout leaves no family to fit")
 
 
 __all__ = [

@@ -15,12 +15,13 @@ from crossblock.functions.names import (
 )
 from crossblock.functions.text import is_blank
 from crossblock.operators.blocks import cell_factors
+from crossblock.operators.ranking import row_index
+from crossblock.session import cut
 from crossblock.sources.contract import CELL_COLUMNS
 
 COLUMNS = ["rule", "kind", "id", "detail"]
 TEXT = ["block_id", "relation_family", "question_id", "answer_id", "subject", "question",
         "answer", "template_id"]
-ROW_LIMIT, LEAK_LIMIT = 20, 10
 
 
 def _cell_id() -> Column:
@@ -303,36 +304,38 @@ def validate(cells: DataFrame) -> DataFrame:
     return out
 
 
-def capped_report(violations: DataFrame) -> DataFrame:
-    """First violations of each check in id order, and how many further ones there are.
+def report(violations: DataFrame) -> DataFrame:
+    """Violations under the name of their check, in order of check, id, kind and detail.
 
-    Row checks show 20, leaks 10 per kind, the rest all. The table itself stays complete.
+    Leaks are checked by kind. `place` is the position in that order.
     """
-    group = F.when(F.col("rule") == "leak", F.concat_ws(" ", "rule", "kind")).otherwise(
-        F.col("rule")
-    )
-    marked = violations.withColumn("check", group)
-    counts = marked.groupBy("check").agg(F.count("*").alias("n_total"))
-    parts = []
-    for rule, limit in (("row", ROW_LIMIT), *[
-        (f"leak {k}", LEAK_LIMIT) for k in ("block", "question identity", "answer identity")
-    ]):
-        one = marked.where(F.col("check") == rule)
-        parts.append(one.orderBy("id", "kind", "detail").limit(limit))
-    capped = ["row", *[f"leak {k}" for k in ("block", "question identity", "answer identity")]]
-    shown = marked.where(~F.col("check").isin(capped))
-    for part in parts:
-        shown = shown.unionByName(part)
-    shown_counts = shown.groupBy("check").agg(F.count("*").alias("n_shown"))
-    further = counts.join(shown_counts, "check").where("n_total > n_shown")
-    return shown.select("check", *COLUMNS[1:]).unionByName(
-        further.select(
-            "check",
-            F.lit("further violations").alias("kind"),
-            F.lit("").alias("id"),
-            (F.col("n_total") - F.col("n_shown")).cast("string").alias("detail"),
-        )
+    check = F.when(F.col("rule") == "leak", F.concat_ws(" ", "rule", "kind")).otherwise(F.col("rule"))
+    named = violations.select(check.alias("check"), *COLUMNS[1:])
+    return row_index(named, ["check", "id", "kind", "detail"], "place")
+
+
+def capped_report(violations: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """The report with at most limits[check] lines of a check, and how many further ones there are.
+
+    A check without a limit is shown whole. Lines keep the report's order; a line about
+    further violations comes after those of its check. The table itself stays complete.
+    """
+    ordered = cut(report(violations))
+    if not limits:
+        return ordered.orderBy("place").drop("place")
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("check"))
+    first = ordered.groupBy("check").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))
+    # One row per check, fewer than ten.
+    placed = ordered.join(F.broadcast(first), "check")
+    shown = placed.where(most.isNull() | (F.col("place") - F.col("_first") < most))
+    further = first.where(F.col("_n") > most).select(
+        "check",
+        F.lit("further violations").alias("kind"),
+        F.lit("").alias("id"),
+        (F.col("_n") - most).cast("string").alias("detail"),
+        (F.col("_first") + F.col("_n")).alias("place"),
     )
+    return shown.select(*further.columns).unionByName(further).orderBy("check", "place").drop("place")
 
 
 def table_counts(cells: DataFrame) -> DataFrame:

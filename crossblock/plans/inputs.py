@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossblock.functions.keyed import uniform
-from crossblock.functions.names import ROUTES, SOURCE_KINDS, PositionNames
+from crossblock.functions.names import SOURCE_KINDS, PositionNames
 from crossblock.functions.text import fill_template, slugify
 from crossblock.functions.values import with_readouts
 from crossblock.operators.patch import partner_pairs
@@ -19,6 +19,11 @@ from crossblock.sources.facts import read_facts, with_ids
 
 POSITIONS = PositionNames().ordered()
 CONFIG = BuildConfig(holdout=("FURNITURE",), pairings_per_fact=2, templates_per_family=3, seed=7)
+#: Conditions of the scored table and how many routes each cuts.
+CONDITIONS = {
+    "clean": 0, "cut one": 1, "cut two": 2, "only via NL": 1,
+    "cut three": 3, "cut four": 4, "only direct": 2, "cut everything": 1,
+}
 TEMPLATE_TEXTS = ["Where is {s} based?", "Which nation is home to {s}?", "Name the nation of {s}."]
 
 
@@ -88,14 +93,13 @@ def controls(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_conditions(spark: SparkSession, sf: str) -> DataFrame:
     """Margins per (condition, cell): all line items for clean, one line number for the others."""
-    names = list(ROUTES)
     routes = F.array(
         *[
-            F.struct(F.lit(n).alias("condition"), F.lit(len(e)).alias("edges_cut"))
-            for n, e in ROUTES.items()
+            F.struct(F.lit(n).alias("condition"), F.lit(cut).alias("edges_cut"))
+            for n, cut in CONDITIONS.items()
         ]
     )
-    at = F.least(F.col("l_linenumber"), F.lit(len(names) - 1)) + 1
+    at = F.least(F.col("l_linenumber"), F.lit(len(CONDITIONS) - 1)) + 1
     both = F.array(F.element_at(routes, 1), F.element_at(routes, at))
     staged = lines(spark, sf).withColumn("_r", F.explode(both))
     cells = behavior(spark, sf).select("block_id", "cell", "matched", "n_answer_tokens")

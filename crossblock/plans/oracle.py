@@ -8,7 +8,6 @@ from crossblock.functions.names import (
     CELLS,
     FITTABLE_SPLITS,
     POLICY_STATUSES,
-    ROUTES,
     SOURCE_KINDS,
     SPLITS,
     PositionNames,
@@ -252,13 +251,14 @@ def rounded(names: list[str]) -> str:
 
 # Route conditions.
 
-_names = list(ROUTES)
+_names = ["clean", "cut one", "cut two", "only via NL", "cut three", "cut four", "only direct", "cut everything"]
+_edges = [0, 1, 2, 1, 3, 4, 2, 1]
 SCORED = (
     "scored",
     f"""SELECT m.*, b.matched, b.n_answer_tokens FROM (SELECT block_id, cell, r.condition, r.edges_cut,
       avg(v) AS confidence_margin FROM (SELECT *, unnest([{{'condition': 'clean', 'edges_cut': 0}},
       {{'condition': {array(_names)}[least(l_linenumber, {len(_names) - 1}) + 1],
-        'edges_cut': {[len(e) for e in ROUTES.values()]}[least(l_linenumber, {len(_names) - 1}) + 1]}}])
+        'edges_cut': {_edges}[least(l_linenumber, {len(_names) - 1}) + 1]}}])
       AS r FROM line) GROUP BY ALL) m JOIN behavior b USING (block_id, cell)""",
 )
 
@@ -312,12 +312,12 @@ SPLIT = [
       ORDER BY md5('7:' || relation_family || ':' || answer_id), answer_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
     ("banded", f"SELECT *, {band('(before + cluster_size / CAST(2 AS DOUBLE)) / total')} AS band FROM laid"),
-    ("thin", """SELECT *, n >= 6 AND least(count(*) FILTER (band = 'train') OVER f, count(*) FILTER (band = 'validation') OVER f,
-      count(*) FILTER (band = 'test') OVER f) < 2 AS thin, greatest(2, floor(CAST(0.15 AS DOUBLE) * n + 0.5)) AS k
+    ("counted", """SELECT *, greatest(2, count(*) FILTER (band = 'validation') OVER f) AS k_validation,
+      greatest(2, count(*) FILTER (band = 'test') OVER f) AS k_test
       FROM banded WINDOW f AS (PARTITION BY relation_family)"""),
     ("cluster_split", """SELECT relation_family, answer_id, CASE WHEN relation_family = 'FURNITURE'
-      THEN 'family_holdout' WHEN NOT thin THEN band WHEN rk < n - 2 * k THEN 'train' WHEN rk < n - k
-      THEN 'validation' ELSE 'test' END AS split FROM thin"""),
+      THEN 'family_holdout' WHEN rk >= n - k_test THEN 'test' WHEN rk >= n - k_test - k_validation
+      THEN 'validation' ELSE 'train' END AS split FROM counted"""),
     ("assigned", "SELECT facts.*, split FROM facts JOIN cluster_split USING (relation_family, answer_id)"),
 ]
 FACT_PARTS: Parts = [RAW, FACTS, *SPLIT]
@@ -625,7 +625,8 @@ def pool(rows: str) -> Parts:
 
 
 def donors(kind: str, where: str) -> str:
-    u = unit(f"'7:NL:{kind}:' || block_id || ':' || target_cell")
+    drawn = f"md5('7:NL:{kind}:' || block_id || ':' || target_cell)"
+    u = f"(CAST(('0x' || substr({drawn}, 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
     return sql(
         [
             *NATURAL,
@@ -824,7 +825,7 @@ def queries() -> dict[str, str]:
         "a2_contract_sink": sql(UNCHECKED, f"SELECT {cells} FROM dirty"),
         "a3_result_sink": sql(NATURAL, f"""SELECT block_id, q_index, a_index, {rd('confidence_margin')}, correct,
             n_answer_tokens, cell, matched FROM behavior"""),
-        "a4_saved_sweep_summary": sql([*NATURAL, SWEEP, restore_old, *summary("restore", iso_keys, 1000)],
+        "a4_saved_sweep_summary": sql([*NATURAL, SWEEP, restore_old, *summary("restore", iso_keys, 10_000)],
             f"SELECT {cols(iso_keys)}{rounded(SHORT)}, n_blocks FROM summ"),
         "a5_vector_store": sql([VECTORS], f"""SELECT "row", layer, position, {rd(NORM, 'norm')} FROM vectors
             WHERE layer IN (1, 3)"""),
@@ -891,12 +892,12 @@ def queries() -> dict[str, str]:
         "c5_cumulative_span": sql([VECTORS], f"""SELECT "row", CAST(s AS INTEGER) AS start_layer, count(*) AS n_layers,
             {rd(f'sum({NORM})', 'norms')} FROM vectors, (VALUES (0), (2), (4), (6)) t(s) WHERE layer >= s GROUP BY 1, 2"""),
         "c6_sweep_grid": sql(NATURAL, """SELECT block_id, target_cell, direction, position, CAST(layer AS INTEGER) AS layer FROM pairs,
-            (VALUES ('AC'), ('NL'), ('NL1')) p(position), (VALUES (0), (2), (4), (6)) l(layer)"""),
+            (VALUES ('AC'), ('LAT'), ('NL'), ('NL1'), ('CC')) p(position), range(7) l(layer)"""),
         "c7_keep_block_set": sql([*NATURAL, ("same", """SELECT block_id FROM behavior GROUP BY 1
             HAVING min(n_answer_tokens) = max(n_answer_tokens)""")], f"""SELECT block_id, cell, {rd('confidence_margin')}
             FROM behavior SEMI JOIN same USING (block_id)"""),
-        "c10_behavior_with_vectors": sql([VECTORS, VECTOR_CELLS], f"""SELECT block_id, cell, matched, {rd(NORM, 'norm')}
-            FROM vcells JOIN vectors USING ("row") WHERE layer = 3"""),
+        "c10_behavior_with_vectors": sql([VECTORS, VECTOR_CELLS], f"""SELECT block_id, cell, matched, position, layer, {rd(NORM, 'norm')}
+            FROM vcells JOIN vectors USING ("row")"""),
         "c11_template_assignment": sql(BLOCKS, "SELECT relation_family, split, template_id, count(*) AS n_blocks FROM blocks GROUP BY 1, 2, 3"),
         "c12_share_side_by_side": sql([*NATURAL, *conditions(10_000)], f"""SELECT condition,
             {rd("max(share_of_clean) FILTER (subset = 'all')", 'share_all')},
@@ -936,17 +937,18 @@ def queries() -> dict[str, str]:
         "d13_likelihood_array": sql([("seq", """SELECT vec_id, -abs(CAST(unnest(embedding) AS DOUBLE)) AS x,
             generate_subscripts(embedding, 1) AS i FROM embeddings"""), ("st", f"SELECT vec_id, {STATS}, count(*) AS n FROM seq GROUP BY 1")],
             f"SELECT vec_id, {rounded(STAT_NAMES)}, CAST(n AS INTEGER) AS n_answer_tokens FROM st"),
-        "d13_likelihood_rows": sql([("seq", "SELECT label, vec_id AS i, -abs(CAST(embedding[1] AS DOUBLE)) AS x FROM embeddings"),
+        "d13_likelihood_rows": sql([("seq", """SELECT label, vec_id * 64 + unnest(range(len(embedding))) AS i,
+            -abs(CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings"""),
             ("st", f"SELECT label, {STATS}, count(*) AS n FROM seq GROUP BY 1")],
             f"SELECT label, {rounded(STAT_NAMES)}, n AS n_answer_tokens FROM st"),
         "d14_mean_vectors": sql([VECTORS, ("el", """SELECT position, layer, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim,
             CAST(unnest(vec) AS DOUBLE) AS x FROM vectors""")], f"""SELECT position, layer, dim,
             {rd('CAST(avg(x) AS FLOAT)', 'value', 5)} FROM el GROUP BY 1, 2, 3"""),
-        "d15_patch_summary": sql([*NATURAL, SWEEP, *summary("sweep", summ_keys, 2000)],
+        "d15_patch_summary": sql([*NATURAL, SWEEP, *summary("sweep", summ_keys, 10_000)],
             f"SELECT {cols(summ_keys)}{rounded(SUMMARY)}, n_blocks FROM summ"),
-        "d16_isolated_summary": sql([*NATURAL, SWEEP, restore, *summary("restore", iso_keys, 2000)],
+        "d16_isolated_summary": sql([*NATURAL, SWEEP, restore, *summary("restore", iso_keys, 10_000)],
             f"SELECT {cols(iso_keys)}{rounded(SHORT)}, n_blocks FROM summ"),
-        "d17_control_summary": sql([*NATURAL, CONTROLS, *summary("controls", ctl_keys, 2000)],
+        "d17_control_summary": sql([*NATURAL, CONTROLS, *summary("controls", ctl_keys, 10_000)],
             f"SELECT {cols(ctl_keys)}{rounded(SHORT)}, n_blocks FROM summ"),
         "d18_condition_table": sql([*NATURAL, *conditions(10_000)], f"""SELECT condition, subset, edges_cut,
             {rounded(['gap', 'ci_low', 'ci_high', 'share_of_clean', 'mean_matched', 'mean_crossed'])}, n_blocks FROM ctab"""),
@@ -974,6 +976,9 @@ def queries() -> dict[str, str]:
             {quantile('o_totalprice / 37', '2 / CAST(3 AS DOUBLE)', 'upper')} FROM orders GROUP BY 1""",
         "e6_batch_numbers": """SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n_tokens, (row_number() OVER (
             PARTITION BY length(p_name) ORDER BY md5('0:' || p_partkey), p_partkey) - 1) // 32 AS batch FROM part""",
+        "f4_ordered_report": sql([*UNCHECKED, *_block_parts, ("viol", ALL_RULES), ("marked", """SELECT *, CASE WHEN rule = 'leak'
+            THEN 'leak ' || kind ELSE rule END AS "check" FROM viol""")], """SELECT "check", kind, id, detail,
+            row_number() OVER (ORDER BY "check", id, kind, detail) - 1 AS place FROM marked"""),
         "f3_capped_report": sql([*UNCHECKED, *_block_parts, ("viol", ALL_RULES), ("marked", """SELECT *, CASE WHEN rule = 'leak'
             THEN 'leak ' || kind ELSE rule END AS "check" FROM viol"""), ("numbered", """SELECT *, row_number() OVER (
             PARTITION BY "check" ORDER BY id, kind, detail) AS i, CASE WHEN "check" = 'row' THEN 20 WHEN rule = 'leak' THEN 10 ELSE NULL END AS cap FROM marked""")],

@@ -86,7 +86,7 @@ def a4_saved_sweep_summary(spark, sf):
     """A saved sweep without its derived columns, summarised without measuring again."""
     path = scratch_path(spark, "sweep")
     contract.write_result(inputs.sweep(spark, sf).drop("moved", "gap", "flipped"), path)
-    return tidy(patch.summarize_isolated(spark.read.parquet(path), n_boot=1000))
+    return tidy(patch.summarize_isolated(spark.read.parquet(path)))
 
 
 @query
@@ -319,8 +319,8 @@ def c6_sweep_grid(spark, sf):
     pairs = patch.partner_pairs(inputs.behavior(spark, sf))
     grid = patch.sweep_grid(
         pairs.select("block_id", "target_cell", "direction"),
-        position=["AC", "NL", "NL1"],
-        layer=patch.chosen_layers(7, step=2),
+        position=PositionNames().ordered(),
+        layer=patch.chosen_layers(7),
     )
     return grid
 
@@ -335,10 +335,9 @@ def c7_keep_block_set(spark, sf):
 @query
 def c10_behavior_with_vectors(spark, sf):
     cells = inputs.vector_cells(spark, sf).select("block_id", "cell", "row", "matched")
-    held = inputs.vectors(spark, sf).where(F.col("layer") == 3)
     return tidy(
-        cells.join(held, "row").select(
-            "block_id", "cell", "matched", donors.norm("vec").alias("norm")
+        cells.join(inputs.vectors(spark, sf), "row").select(
+            "block_id", "cell", "matched", "position", "layer", donors.norm("vec").alias("norm")
         )
     )
 
@@ -393,7 +392,7 @@ def d5_block_bootstrap(spark, sf):
 @query
 def d6_sign_flip_by_layer(spark, sf):
     moved = inputs.sweep(spark, sf).groupBy("layer", "block_id").agg(F.avg("moved").alias("moved"))
-    return tidy(resample.bootstrap_mean(moved, "moved", keys=["layer"], n_boot=2000))
+    return tidy(resample.bootstrap_mean(moved, "moved", keys=["layer"]))
 
 
 @query
@@ -444,10 +443,13 @@ def d13_likelihood_array(spark, sf):
 @query
 def d13_likelihood_rows(spark, sf):
     """The same statistics from one row per token: the vectors of a label are one sequence."""
-    rows = inputs.table(spark, sf, "embeddings").select(
+    long = inputs.table(spark, sf, "embeddings").select(
+        "label", "vec_id", F.posexplode("embedding").alias("at", "value")
+    )
+    rows = long.select(
         "label",
-        F.col("vec_id").alias("index"),
-        (-F.abs(F.element_at("embedding", 1).cast("double"))).alias("logprob"),
+        (F.col("vec_id") * 64 + F.col("at")).alias("index"),
+        (-F.abs(F.col("value").cast("double"))).alias("logprob"),
     )
     return tidy(likelihood.likelihood_stats(rows, ["label"]))
 
@@ -462,18 +464,18 @@ def d14_mean_vectors(spark, sf):
 
 @query
 def d15_patch_summary(spark, sf):
-    return tidy(patch.summarize_patching(inputs.sweep(spark, sf), n_boot=2000))
+    return tidy(patch.summarize_patching(inputs.sweep(spark, sf)))
 
 
 @query
 def d16_isolated_summary(spark, sf):
     marked = inputs.sweep(spark, sf).withColumn("cumulative", F.lit(True))
-    return tidy(patch.summarize_isolated(marked, n_boot=2000))
+    return tidy(patch.summarize_isolated(marked))
 
 
 @query
 def d17_control_summary(spark, sf):
-    return tidy(patch.summarize_controls(inputs.controls(spark, sf), n_boot=2000))
+    return tidy(patch.summarize_controls(inputs.controls(spark, sf)))
 
 
 def _conditions(spark, sf):
@@ -582,7 +584,16 @@ def e6_batch_numbers(spark, sf):
 
 @query
 def f3_capped_report(spark, sf):
-    return rules.capped_report(cut(rules.validate(cut(inputs.unchecked_cells(spark, sf)))))
+    """Twenty broken rows and ten leaks of a kind are shown, the rest is counted."""
+    leaks = {f"leak {kind}": 10 for kind in ("block", "question identity", "answer identity")}
+    violations = rules.validate(cut(inputs.unchecked_cells(spark, sf)))
+    return rules.capped_report(violations, {"row": 20, **leaks})
+
+
+@query
+def f4_ordered_report(spark, sf):
+    """Every violation with its place in the report."""
+    return rules.report(rules.validate(cut(inputs.unchecked_cells(spark, sf))))
 
 
 @query
@@ -773,8 +784,8 @@ def j1_score_batches(spark, sf):
 
 @query
 def k1_signal_gates(spark, sf):
-    signal = contrast.confidence_signal(inputs.behavior(spark, sf), n_boot=2000)
-    summary = patch.summarize_patching(inputs.sweep(spark, sf), n_boot=2000)
+    signal = contrast.confidence_signal(inputs.behavior(spark, sf))
+    summary = patch.summarize_patching(inputs.sweep(spark, sf))
     gated = gates.signal_gates(signal, summary)
     peaks = [F.col("peak_effect")[p].alias(f"peak_{p}") for p in PositionNames().ordered()]
     return tidy(gated.select(*[c for c in gated.columns if c != "peak_effect"], *peaks))
@@ -782,14 +793,14 @@ def k1_signal_gates(spark, sf):
 
 @query
 def k2_route_gates(spark, sf):
-    isolated = patch.summarize_isolated(inputs.sweep(spark, sf), n_boot=2000)
+    isolated = patch.summarize_isolated(inputs.sweep(spark, sf))
     return tidy(gates.route_gates(_conditions(spark, sf), isolated))
 
 
 @query
 def k3_control_gates(spark, sf):
     gated = gates.control_gates(
-        patch.summarize_controls(inputs.controls(spark, sf), n_boot=2000)
+        patch.summarize_controls(inputs.controls(spark, sf))
     )
     flips = [
         F.col("control_flips")[k][s].alias(f"{k}_{s}")

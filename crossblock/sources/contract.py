@@ -35,14 +35,14 @@ class ContractError(ValueError):
 
 def check_contract(df: DataFrame) -> DataFrame:
     if df.columns != CELL_COLUMNS:
-        raise ContractError(f"column set drifted: expected {CELL_COLUMNS}, found {df.columns}")
+        raise ContractError(f"columns {df.columns} are not those of the contract")
     drifted = [
         f"{f.name}: {f.dataType.simpleString()}"
         for f in df.schema
         if f.dataType != _TYPES[f.name]
     ]
     if drifted:
-        raise ContractError(f"types drifted: {drifted}")
+        raise ContractError(f"columns of another type than in the contract: {drifted}")
     return df
 
 

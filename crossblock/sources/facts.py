@@ -82,7 +82,7 @@ def facts_of_families(facts: DataFrame, families: Sequence[str]) -> DataFrame:
             for i, f in enumerate(wanted)
         ],
     )
-    message = F.concat(F.lit("unknown relation families: "), absent)
+    message = F.concat(F.lit("no facts for the families "), absent)
     return insist_once(held, present, absent == "", message)
 
 

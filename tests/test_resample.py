@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossblock.functions import keyed
-from crossblock.operators import contrast, ranking, resample
+from crossblock.operators import contrast, gates, patch, ranking, resample
 
 
 def frame(spark, values, name="x"):
@@ -67,7 +67,7 @@ def test_only_finite_blocks_count(spark):
     df = frame(spark, [1.0, 3.0, float("nan"), float("inf"), float("-inf")])
     row = resample.bootstrap_mean(df, "x", n_boot=100).first()
     assert row["n_blocks"] == 2 and row["mean"] == 2.0
-    with pytest.raises(Exception, match="no finite block values"):
+    with pytest.raises(Exception, match="no block with a finite value"):
         resample.bootstrap_mean(frame(spark, [float("nan")]), "x", n_boot=10).collect()
 
 
@@ -140,3 +140,89 @@ def test_row_index_and_batches(spark):
     numbered = ranking.batch_numbers(lengths, length="n", key=["id"], batch_size=32)
     sizes = sorted(r["count"] for r in numbered.where("n = 5").groupBy("batch").count().collect())
     assert sizes == [290 % 32] + [32] * 9
+
+
+MISSING = "no block with a finite value"
+NAN = float("nan")
+
+
+def groups(spark, **values):
+    rows = [(g, f"b{i}", v, w) for g, pairs in values.items() for i, (v, w) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "g string, block_id string, x double, y double")
+
+
+def test_a_group_without_a_value_is_an_error(spark):
+    measured = [(1.0, 2.0), (2.0, 2.0)]
+    for empty in ([(None, 1.0), (NAN, 1.0)], [(float("inf"), 1.0)]):
+        df = groups(spark, a=measured, b=empty)
+        for permutation in (True, False):
+            with pytest.raises(Exception, match=MISSING):
+                resample.bootstrap_mean(df, "x", keys=["g"], n_boot=20, permutation=permutation).collect()
+        for shift in (True, False):
+            with pytest.raises(Exception, match=MISSING):
+                resample.bootstrap_ratio(df, "x", "y", keys=["g"], n_boot=20, with_shift=shift).collect()
+    # A group with one value stays.
+    some = resample.bootstrap_mean(groups(spark, a=measured, b=[(None, 1.0), (3.0, 1.0)]), "x", keys=["g"], n_boot=20)
+    assert {r["g"]: r["n_blocks"] for r in some.collect()} == {"a": 2, "b": 1}
+
+
+SWEEP = "block_id string, position string, layer int, direction string, source_kind string, target_clean double, source_clean double, patched double"
+
+
+def sweep(spark, unmeasured):
+    """Two blocks per source kind, position and layer; `unmeasured` rows have no patched margin."""
+    rows = [
+        (f"b{i}", p, layer, d, kind, -1.0, 2.0, None if unmeasured(p, layer, kind) else 1.0 + i)
+        for i in range(2)
+        for p in ("NL", "AC")
+        for layer in (0, 1)
+        for d in ("restore", "ablate")
+        for kind in ("partner", "gaussian", "mean", "crossed_donor")
+    ]
+    return spark.createDataFrame(rows, SWEEP)
+
+
+@pytest.mark.parametrize(
+    ("summarise", "unmeasured"),
+    [
+        (patch.summarize_patching, lambda p, layer, kind: layer == 1),
+        (patch.summarize_isolated, lambda p, layer, kind: p == "AC"),
+        (patch.summarize_controls, lambda p, layer, kind: kind == "gaussian"),
+    ],
+)
+def test_an_unmeasured_group_fails_its_summary(spark, summarise, unmeasured):
+    whole = summarise(sweep(spark, lambda *_: False), n_boot=20).collect()
+    assert whole and all(r["n_blocks"] == 2 for r in whole)
+    with pytest.raises(Exception, match=MISSING):
+        summarise(sweep(spark, unmeasured), n_boot=20).collect()
+
+
+def test_unmeasured_controls_cannot_pass_the_gates(spark):
+    destroyed = sweep(spark, lambda p, layer, kind: kind != "partner")
+    with pytest.raises(Exception, match=MISSING):
+        gates.control_gates(patch.summarize_controls(destroyed, n_boot=20)).collect()
+    quiet = patch.summarize_isolated(sweep(spark, lambda p, layer, kind: p == "AC"), n_boot=20)
+    shares = spark.createDataFrame(
+        [("cut everything", 0.01), ("only via NL", 0.9), ("only direct", 0.1)], "condition string, share_of_clean double"
+    )
+    with pytest.raises(Exception, match=MISSING):
+        gates.route_gates(shares, quiet).collect()
+
+
+def test_an_unmeasured_condition_fails_the_table(spark):
+    rows = [
+        (c, f"b{i}", cell, cell in ("q1a1", "q2a2"), 1, None if c == "cut" else float(i))
+        for c in ("clean", "cut") for i in range(2) for cell in ("q1a1", "q1a2", "q2a1", "q2a2")
+    ]
+    schema = "condition string, block_id string, cell string, matched boolean, n_answer_tokens int, confidence_margin double"
+    scored = spark.createDataFrame(rows, schema)
+    assert patch.condition_table(scored.where("condition = 'clean'"), n_boot=20).count() == 2
+    with pytest.raises(Exception, match=MISSING):
+        patch.condition_table(scored, n_boot=20).collect()
+
+
+def test_draws_reach_indices_beyond_32_bits(spark):
+    size = 1 << 34
+    drawn = spark.range(4000).select(keyed.index_draw(F.lit(size), 1, "id").alias("u")).toPandas()["u"]
+    assert drawn.between(0, size - 1).all() and (drawn % 4 != 0).sum() > 2500
+    assert abs(drawn.mean() / size - 0.5) < 0.02
