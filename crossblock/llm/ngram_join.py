@@ -14,7 +14,8 @@ derived from that one's by the n-grams in which they differ. Members of the comp
 first set answered need no answer of their own: every pair that leaves it is seen from outside.
 
 Index lists that are long are salted, their blocks meeting in a second round. Groups with more
-than BLOCK_TOKENS n-grams are cut into blocks and done by pairs of blocks.
+than BLOCK_TOKENS n-grams are divided by equal parts of their sets, and where they stay large
+they are cut into blocks and done by pairs of blocks.
 
 Missing and empty texts have an empty set and link with nothing. Repeated rows and copies have
 equal sets and are linked. Ties need no rule. An empty table gives an empty result. Extra
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,13 @@ from crossblock.operators.lookup import sized_lookup
 from crossblock.session import cut
 
 #: Slots that n-grams are counted in, and the rows they travel in.
-SLOT_BITS, SLICES = 18, 64
+SLOT_BITS, SLICES = 22, 64
 #: Postings of an index list that one task sorts, about; n-grams of a block of a group.
 LIST_ROWS, BLOCK_TOKENS = 100_000, 1_000_000
 #: Documents up to which their keys are broadcast to fetch their texts again.
 BROADCAST_KEYS = 200_000
+#: Parts that may be empty where a large group is divided by parts.
+SPARE_PARTS = 2
 #: Sets whose answers others are derived from, in one group.
 LEADERS = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -99,13 +103,13 @@ def profile(docs: DataFrame, width: int, *, key: str, text: str) -> DataFrame:
     fields = ["key", "n", "name", "spare", "slice", "counts"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
             for chunk in chunks(batch.column(1)):
                 every = list(sets(chunk, width))
-                total += np.bincount(np.concatenate(every) >> np.uint64(64 - SLOT_BITS), minlength=len(total))
+                np.add.at(total, np.concatenate(every) >> np.uint64(64 - SLOT_BITS), np.uint32(1))
                 named = [names(t) for t in every]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -120,7 +124,7 @@ def profile(docs: DataFrame, width: int, *, key: str, text: str) -> DataFrame:
                 )
         if key_type is not None:
             none = [pa.nulls(SLICES, t) for t in (key_type, pa.int64(), pa.int64(), pa.int64())]
-            parts = [x.astype("<u4").tobytes() for x in np.split(total, SLICES)]
+            parts = [packed(x) for x in np.split(total, SLICES)]
             yield pa.RecordBatch.from_arrays(
                 [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=fields
             )
@@ -129,23 +133,31 @@ def profile(docs: DataFrame, width: int, *, key: str, text: str) -> DataFrame:
     return slim.mapInArrow(apply, f"key {kind}, n long, name long, spare long, slice int, counts binary")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Mostly small counts, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+
+
 def slot_counts(profiled: DataFrame) -> np.ndarray:
     """Counts by slot over all documents: a fixed 2^SLOT_BITS numbers, summed in two steps."""
 
-    def add(width: str):
-        def apply(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, width).astype("<i8") for x in rows["counts"])
-            return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [total.tobytes()]})
-
-        return apply
+    def add(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << SLOT_BITS) // SLICES, np.int64)
+        for data in rows["counts"]:
+            total += unpacked(data)
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [packed(total)]})
 
     rows = profiled.where("slice IS NOT NULL").select("slice", "counts")
     some = rows.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64))).groupBy("slice", "part")
-    once = some.applyInPandas(add("<u4"), "slice int, counts binary")
-    whole = once.groupBy("slice").applyInPandas(add("<i8"), "slice int, counts binary")
-    total = np.zeros((SLICES, (1 << SLOT_BITS) // SLICES), np.int64)
+    once = some.applyInPandas(add, "slice int, counts binary")
+    whole = once.groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    total = np.zeros((SLICES, (1 << SLOT_BITS) // SLICES), np.uint32)
     for r in whole.collect():
-        total[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+        total[r["slice"]] = np.minimum(unpacked(r["counts"]), 0xFFFFFFFF)
     return total.ravel()
 
 
@@ -160,12 +172,11 @@ def postings(docs: DataFrame, rule: Rule, counts: np.ndarray, shared: np.ndarray
 
     A list that is long by the counts is dealt to several routes.
     """
-    usual = np.median(counts)
-    routes = np.maximum(1, np.ceil((counts - usual) / list_rows)).astype(np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((counts, routes, shared))  # 2^SLOT_BITS numbers each
+    usual = float(np.median(counts))
+    held = docs.sparkSession.sparkContext.broadcast((counts, shared))  # 2^SLOT_BITS numbers
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, routes, shared = held.value
+        counts, shared = held.value
         seen: set[int] = set()  # ids of this task, so that its copies are posted once
         for batch in batches:
             for chunk in chunks(batch.column(0)):
@@ -181,9 +192,11 @@ def postings(docs: DataFrame, rule: Rule, counts: np.ndarray, shared: np.ndarray
                     seen.add(own)
                     slot = tokens >> np.uint64(64 - SLOT_BITS)
                     # Tokens are sorted, so equal counts keep the order of the hashes.
-                    rare = np.argsort(counts[slot], kind="stable")[: rule.prefix(n)]
+                    often = counts[slot]
+                    rare = np.argsort(often, kind="stable")[: rule.prefix(n)]
+                    routes = np.maximum(1, np.ceil((often[rare] - usual) / list_rows)).astype(np.int64)
                     out.append((
-                        tokens[rare].view(np.int64), routes[slot[rare]],
+                        tokens[rare].view(np.int64), routes,
                         (n << 32) + np.arange(len(rare), dtype=np.int64), np.full(len(rare), own, np.int64),
                     ))
                 if out:
@@ -432,7 +445,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_i
     ordered = posted.repartition("token", "route").sortWithinPartitions("token", "route", "place", "id")
     candidates = cut(candidate_links(ordered, rule))
     links = candidates.where("token IS NULL").select("a", "b")
-    if (counts - np.median(counts)).max() > list_rows:
+    if counts.max() - np.median(counts) > list_rows:
         heads = candidates.where("token IS NOT NULL").select(
             "token", F.lit(0).cast("long").alias("route"), "place", F.col("a").alias("id")
         )
@@ -452,21 +465,89 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_i
     )
 
 
-def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule, shared: np.ndarray,
-             key: str, text: str, block_tokens: int, broadcast_keys: int) -> DataFrame:
-    """The sets of every candidate group, a row for each pair of blocks that a set belongs to."""
-    sized = cut(groups.withColumnRenamed("node", "id").join(classes.select("id", "first", "n"), "id"))
-    totals = cut(
+def with_blocks(roots: DataFrame, sizes: DataFrame, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: roots (id, root) with the blocks of their group, and the groups."""
+    sized = cut(roots.join(sizes, "id"))
+    groups = cut(
         sized.groupBy("root").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
         .withColumn("blocks", F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int"))
     )
-    wanted = cut(sized_lookup(sized, totals.select("root", "blocks", "sets"), ["root"], "sets").drop("n", "sets"))
-    texts = docs.select(F.col(key).alias("first"), F.col(text).cast("string").alias("text"))
-    few = wanted.count() <= broadcast_keys
-    keyed = wanted.withColumnRenamed("first", "_first")
-    # A missing key is a key like others.
-    here = texts.join(F.broadcast(keyed) if few else keyed, F.col("first").eqNullSafe(F.col("_first")))
-    held = tokens_of(here, rule, shared)
+    placed = sized_lookup(sized, groups.select("root", "blocks", "sets"), ["root"], "sets")
+    return cut(placed.select("id", "root", "blocks", "first")), groups
+
+
+def part_names(held: DataFrame, rule: Rule) -> DataFrame:
+    """(name, id): names of the parts of each set, of which linked sets have one in common.
+
+    Sets are in classes of sizes within the rule's ratio, and a linked pair is in one class or
+    in two next to each other. For both, the n-grams are dealt to more parts than a linked pair
+    can differ in, by the pigeonhole principle leaving an equal part. SPARE_PARTS parts may be
+    empty; a set with more empty ones has a name for that as well.
+    """
+    ratio = rule.part / rule.whole
+
+    def named_parts(tokens: np.ndarray) -> np.ndarray:
+        own, out = int(np.floor(np.log(len(tokens)) / -np.log(ratio) + 1e-9)), []
+        for scope in (own - 1, own):
+            largest = int(np.ceil(ratio ** -(scope + 2)))
+            # Sizes up to `largest` twice, less twice what they must share.
+            differ = 2 * largest * (rule.whole - rule.part) // (rule.whole + rule.part) + 1
+            parts = differ + 1 + SPARE_PARTS
+            part = tokens % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            begin = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+            sums = np.add.reduceat(mix(tokens[order] ^ _ODD[2]), begin)
+            salt = np.uint64((scope + 1000) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            out.append(mix(sums + mix(part[order][begin] + salt)))
+            if parts - len(begin) > SPARE_PARTS:
+                out.append(mix(np.array([salt], np.uint64)))
+        return np.concatenate(out)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i in range(batch.num_rows):
+                found = named_parts(np.frombuffer(batch.column(1)[i].as_py(), "<u8")).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), ids[i]))], names=["name", "id"]
+                )
+
+    return held.select("id", "tokens").mapInArrow(apply, "name long, id long")
+
+
+def finer(held: DataFrame, rule: Rule) -> DataFrame:
+    """(id, root) of the sets that share a part with another one; the rest link with nothing."""
+    parts = cut(part_names(held, rule))
+    heads = cut(parts.groupBy("name").agg(F.min("id").alias("head"), F.count("*").alias("rows")).where("rows > 1"))
+    links = sized_lookup(parts, heads, ["name"], "rows").where("head IS NOT NULL")
+    return components(links.select(F.col("head").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
+
+
+def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule, shared: np.ndarray,
+             key: str, text: str, block_tokens: int, broadcast_keys: int) -> DataFrame:
+    """The sets of every candidate group, a row for each pair of blocks that a set belongs to.
+
+    Groups of more than one block are first divided by the parts that their sets share.
+    """
+    sizes = classes.select("id", "first", "n")
+    wanted, totals = with_blocks(groups.withColumnRenamed("node", "id"), sizes, block_tokens)
+
+    def fetched(some: DataFrame) -> DataFrame:
+        keyed = some.withColumnRenamed("first", "_first")
+        here = docs.select(F.col(key).alias("first"), F.col(text).cast("string").alias("text"))
+        few = some.count() <= broadcast_keys
+        # A missing key is a key like others.
+        found = here.join(F.broadcast(keyed) if few else keyed, F.col("first").eqNullSafe(F.col("_first")))
+        return tokens_of(found, rule, shared)
+
+    if totals.where("blocks > 1").isEmpty():
+        held = fetched(wanted)
+    else:
+        large = cut(fetched(wanted.where("blocks > 1")).select("id", "tokens").dropDuplicates(["id"]))
+        again, _ = with_blocks(finer(large, rule), sizes, block_tokens)
+        held = fetched(wanted.where("blocks = 1")).unionByName(
+            large.join(again.select("id", "root", "blocks"), "id")
+        )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
