@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,42 +23,55 @@ PIECES = r" ?[A-Za-z0-9]+|[^A-Za-z0-9]"
 Tokenizer = Callable[[str], list[tuple[int, int, int]]]
 
 
-def piece_tokenizer() -> Tokenizer:
-    """Default tokenizer: pieces covering every character, ids hashed from the piece."""
-    pattern = re.compile(PIECES)
-    known: dict[str, int] = {}
+def _piece_columns(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The default pieces of a batch of texts at once: (id, start, end) and where each text ends.
 
-    def piece_id(piece: str) -> int:
-        if piece not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[piece] = int(hashlib.md5(piece.encode()).hexdigest()[:7], 16)
-        return known[piece]
-
-    def run(text: str) -> list[tuple[int, int, int]]:
-        return [(piece_id(m[0]), m.start(), m.end()) for m in pattern.finditer(text)]
-
-    return run
-
-
-def encode(text: str | Column, factory: Callable[[], Tokenizer] = piece_tokenizer) -> Column:
-    """Token ids with character offsets. `factory` is called once per worker iterator."""
+    Pieces cover every character, so a piece ends where the next one starts. A character
+    starts one unless it goes on with a word or follows the word's blank.
+    """
+    joined = "".join(t or "" for t in texts)
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    edges = np.concatenate([[0], np.cumsum([len(t or "") for t in texts], dtype=np.int64)])
+    word = np.zeros(128, dtype=bool)
+    word[[c for c in range(128) if chr(c).isalnum()]] = True
+    inside = word[np.minimum(chars, 127)] & (chars < 128)
+    starts = np.ones(len(chars), dtype=bool)
+    starts[1:] = ~inside[1:] | ~(inside[:-1] | (chars[:-1] == 32))
+    starts[edges[:-1][edges[:-1] < len(chars)]] = True
+    begin = np.flatnonzero(starts)
+    end = np.append(begin[1:], len(chars)) if len(begin) else begin
+    pieces = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+    codes, distinct = pd.factorize(np.array(pieces, dtype=object))
+    hashed = [int(hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) for p in distinct]
+    held = np.searchsorted(begin, edges)
+    shift = np.repeat(edges[:-1], np.diff(held))
+    ids = np.array(hashed, dtype=np.int64)[codes] if len(codes) else codes
+    return np.stack([ids, begin - shift, end - shift]).astype(np.int32), held
+
+
+def encode(text: str | Column, factory: Callable[[], Tokenizer] | None = None) -> Column:
+    """Token ids with character offsets.
+
+    Without a factory the default pieces are found for a batch at once. A factory is called
+    once per worker iterator and its tokenizer once per text.
+    """
     names = ["id", "start", "end"]
 
     @F.arrow_udf(TOKENS)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = factory()
-        for texts in batches:
-            flat, ends, missing = [], [0], []
-            for t in texts.to_pylist():
-                if t is not None:
-                    flat.extend(run(t))
-                missing.append(t is None)
-                ends.append(len(flat))
-            columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
+        run = factory() if factory else None
+        for column in batches:
+            texts = column.to_pylist()
+            if run is None:
+                columns, ends = _piece_columns(texts)
+            else:
+                found = [run(t) if t is not None else [] for t in texts]
+                flat = [token for tokens_ in found for token in tokens_]
+                columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
             spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
             yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), spans, mask=pa.array(missing, pa.bool_())
+                pa.array(ends, pa.int32()), spans, mask=pa.array([t is None for t in texts], pa.bool_())
             )
 
     return tokens(F.col(text) if isinstance(text, str) else text)
@@ -242,11 +255,21 @@ def token_table(
     )
 
 
+def position_snapshot(
+    resolved: DataFrame, key: Sequence[str], names: PositionNames = PositionNames()
+) -> DataFrame:
+    """What a tokenizer made of each prompt: checksum, length, and index and id at every position."""
+    columns = [f"{p}_{n}" for n in names.ordered() for p in ("pos", "tok")]
+    return resolved.select(*key, "prompt_sha256", "n_tokens", *columns)
+
+
 def snapshot_drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
-    """Rows on one side only, labelled by side, counting repeats."""
-    frozen = frozen.select(*current.columns)
-    return (
-        current.exceptAll(frozen)
-        .withColumn("side", F.lit("current"))
-        .unionByName(frozen.exceptAll(current).withColumn("side", F.lit("frozen")))
+    """Rows on one side only, labelled by side, counting repeats: one signed count per row."""
+    columns = current.columns
+    both = current.withColumn("_s", F.lit(1)).unionByName(
+        frozen.select(*columns).withColumn("_s", F.lit(-1))
     )
+    net = both.groupBy(*columns).agg(F.sum("_s").alias("_net")).where("_net <> 0")
+    side = F.when(F.col("_net") > 0, "current").otherwise("frozen")
+    copies = F.sequence(F.lit(1).cast("long"), F.abs("_net"))
+    return net.select(*columns, side.alias("side"), F.explode(copies).alias("_c")).drop("_c")

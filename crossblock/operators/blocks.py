@@ -9,7 +9,7 @@ from crossblock.functions.keyed import digest
 from crossblock.functions.text import fill_template
 from crossblock.functions.values import insist
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import global_rank, hash_bucket, shuffle_rank
+from crossblock.operators.ranking import global_rank, large_groups, shuffle_rank
 from crossblock.session import cut
 from crossblock.sources.contract import CELL_COLUMNS
 from crossblock.sources.facts import can_pair
@@ -65,8 +65,8 @@ def _facts_of(couples: DataFrame) -> DataFrame:
     )
 
 
-def _broken_up(judged: DataFrame, seed: str) -> DataFrame:
-    """Valid couples that are broken up so that the leftovers can be matched.
+def _broken_up(judged: DataFrame, seed: str) -> DataFrame | None:
+    """Valid couples that are broken up so that the leftovers can be matched; None if none are.
 
     Where one answer holds the majority of a pool's leftovers, just enough valid couples
     without that answer give their members as partners.
@@ -85,7 +85,10 @@ def _broken_up(judged: DataFrame, seed: str) -> DataFrame:
     )
     good = judged.where("ok")
     sizes = good.groupBy(*POOL).agg(F.count("*").alias("_n"))
-    wanted = sizes.join(short.where("need > 0"), POOL).select(*POOL, "_n", "need", "majority")
+    # One row per pool that lacks partners.
+    wanted = cut(sizes.join(short.where("need > 0"), POOL).select(*POOL, "_n", "need", "majority"))
+    if wanted.isEmpty():
+        return None
     found = sized_lookup(good, wanted, POOL, "_n").where(
         (F.col("need") > 0)
         & ~F.array_contains("fact_q1.correct_ids", F.col("majority"))
@@ -94,8 +97,8 @@ def _broken_up(judged: DataFrame, seed: str) -> DataFrame:
     ids = found.withColumn("_k1", F.col("fact_q1.fact_id")).withColumn(
         "_k2", F.col("fact_q2.fact_id")
     )
-    ranked = shuffle_rank(ids, group=POOL, key=["_k1", "_k2"], seed=f"{seed}:d", name="_r")
-    return ranked.where(F.col("_r") < F.col("need")).select(*judged.columns)
+    ranked = shuffle_rank(cut(ids), group=POOL, key=["_k1", "_k2"], seed=f"{seed}:d", name="_r")
+    return cut(ranked.where(F.col("_r") < F.col("need")).select(*judged.columns))
 
 
 def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame:
@@ -107,17 +110,24 @@ def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame
     ranked = shuffle_rank(facts, group=POOL, key=["fact_id"], seed=seed, name="_rank")
     couples = _couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
     judged = cut(_judge(couples, used).select(*POOL, "x", "y", "fact_q1", "fact_q2", "ok"))
-    broken = cut(_broken_up(judged, seed))
-    keyed = F.col("fact_q1.fact_id").alias("_b1"), F.col("fact_q2.fact_id").alias("_b2")
-    kept = judged.where("ok").withColumns(
-        {"_b1": F.col("fact_q1.fact_id"), "_b2": F.col("fact_q2.fact_id")}
-    ).join(broken.select(*keyed), ["_b1", "_b2"], "left_anti")
-    rest = _facts_of(judged.where(~F.col("ok"))).unionByName(_facts_of(broken))
-    hashed = rest.withColumns(
-        {"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")}
-    ).withColumn("_b", F.concat("_a", hash_bucket("_f", 2)))
+    broken = _broken_up(judged, seed)
+    kept = judged.where("ok")
+    rest = _facts_of(judged.where(~F.col("ok")))
+    if broken is not None:
+        keyed = F.col("fact_q1.fact_id").alias("_b1"), F.col("fact_q2.fact_id").alias("_b2")
+        kept = kept.withColumns(
+            {"_b1": F.col("fact_q1.fact_id"), "_b2": F.col("fact_q2.fact_id")}
+        ).join(broken.select(*keyed), ["_b1", "_b2"], "left_anti")
+        rest = rest.unionByName(_facts_of(broken))
+    hashed = rest.withColumns({"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")})
+    # Five digits make the buckets of large pools, a number that does not grow with the data.
+    # They follow the order, and the last two divide a single answer.
+    bucket = None
+    if large_groups(hashed, POOL) is not None:
+        bucket = "_b"
+        hashed = hashed.withColumn("_b", F.concat(F.substring("_a", 1, 3), F.substring("_f", 1, 2)))
     laid = global_rank(
-        hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket="_b", name="_rank", totals=True
+        hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket=bucket, name="_rank", totals=True
     )
     half = F.floor(F.col("_rank_total") / 2)
     second = F.col("_rank") >= half
@@ -159,11 +169,11 @@ def assign_templates(
     # A family's short template list is looked up whole and indexed by the rank.
     sizes = pairs.groupBy("relation_family").agg(F.count("*").alias("_n"))
     sized = sizes.join(listed, "relation_family", "left")
-    sized = insist(
+    sized = cut(insist(
         sized,
         F.size("_list") >= F.lit(templates_per_family or 1),
         F.concat(F.lit("too few question templates for family "), F.col("relation_family")),
-    )
+    ))
     placed = sized_lookup(ranked, sized, ["relation_family"], "_n")
     picked = placed.withColumn(
         "template", F.get("_list", (F.col("_rank") % F.size("_list")).cast("int"))

@@ -9,28 +9,42 @@ from crossblock.functions.names import CELLS
 from crossblock.functions.values import finite, insist_once
 from crossblock.operators.ranking import value_counts
 from crossblock.operators.resample import bootstrap_mean, paired_effect_size
+from crossblock.session import cut
 
 
-def block_contrasts(behavior: DataFrame, margin: str = "confidence_margin") -> DataFrame:
-    """Interaction of the 2x2 per block, and half of it. NULL where one cell is missing.
+def _block_cells(behavior: DataFrame, margin: str) -> DataFrame:
+    """One written row per block: the four margins, and sums and counts by matched. One read.
 
     A cell column without a single value in the whole table is an error.
     """
-    z = finite(margin)
-    wide = behavior.groupBy("block_id").agg(
-        *[F.max(F.when(F.col("cell") == c, z)).alias(c) for c in CELLS]
-    )
-    present = behavior.agg(
-        *[F.max(F.when((F.col("cell") == c) & z.isNotNull(), F.lit(1))).alias(c) for c in CELLS]
+    z, matched = finite(margin), F.col("matched")
+    wide = cut(
+        behavior.groupBy("block_id").agg(
+            *[F.max(F.when(F.col("cell") == c, z)).alias(c) for c in CELLS],
+            *[
+                f(F.when(side, z)).alias(f"{what}_{name}")
+                for name, side in (("matched", matched), ("crossed", ~matched))
+                for what, f in (("sum", F.sum), ("n", F.count))
+            ],
+        )
     )
-    complete = F.col(CELLS[0]) + F.col(CELLS[1]) + F.col(CELLS[2]) + F.col(CELLS[3]) == len(CELLS)
-    wide = insist_once(wide, present, complete, "no block has a value for one of the cells")
+    present = wide.agg(*[F.count(c).alias(c) for c in CELLS])
+    complete = F.least(*[F.col(c) for c in CELLS]) > 0
+    return insist_once(wide, present, complete, "no block has a value for one of the cells")
+
+
+def _contrasts(wide: DataFrame) -> DataFrame:
     interaction = F.col("q1a1") - F.col("q1a2") - F.col("q2a1") + F.col("q2a2")
     return wide.select(
         "block_id", interaction.alias("interaction"), (interaction / 2).alias("delta_fit")
     )
 
 
+def block_contrasts(behavior: DataFrame, margin: str = "confidence_margin") -> DataFrame:
+    """Interaction of the 2x2 per block, and half of it. NULL where one cell is missing."""
+    return _contrasts(_block_cells(behavior, margin))
+
+
 def block_gaps(
     behavior: DataFrame, margin: str = "confidence_margin", keys: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -78,7 +92,8 @@ def confidence_signal(
     form: str | None = None,
 ) -> DataFrame:
     """One row: interaction estimate, its half, effect size, AUC and the two mean margins."""
-    contrasts = block_contrasts(behavior, margin)
+    wide = _block_cells(behavior, margin)
+    contrasts = _contrasts(wide)
     estimate = bootstrap_mean(contrasts, "interaction", n_boot=n_boot, seed=seed, form=form)
     # Half the contrast has half the estimate under the same draws.
     whole = ["mean", "ci_low", "ci_high", "sign_consistency", "n_blocks", "p_permutation"]
@@ -88,16 +103,18 @@ def confidence_signal(
         "excludes_zero",
         *[(F.col(c) / 2).alias(f"delta_fit_{c}") for c in halved],
     )
-    z = finite(margin)
-    means = behavior.agg(
-        F.avg(F.when(F.col("matched"), z)).alias("m"), F.avg(F.when(~F.col("matched"), z)).alias("c")
+    means = wide.agg(
+        *[
+            F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")).alias(name)
+            for name in ("matched", "crossed")
+        ]
     )
     return row.withColumns(
         {
             "effect_size": paired_effect_size(contrasts, "interaction").scalar(),
             "calibration_auc": auc(behavior, margin, "correct").scalar(),
-            "mean_margin_matched": means.select("m").scalar(),
-            "mean_margin_crossed": means.select("c").scalar(),
+            "mean_margin_matched": means.select("matched").scalar(),
+            "mean_margin_crossed": means.select("crossed").scalar(),
         }
     )
 

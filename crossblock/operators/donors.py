@@ -14,16 +14,16 @@ from pyspark.ml.stat import Summarizer
 from crossblock.functions import keyed
 from crossblock.functions.keyed import digest, index_draw
 from crossblock.functions.values import insist
-from crossblock.operators.ranking import hash_bucket, prefix_sums
+from crossblock.operators.ranking import hash_bucketed, prefix_sums
 from crossblock.session import cut
 
 
 def donor_ranges(cells: DataFrame) -> DataFrame:
     """Lay the pool's blocks end to end in hash order: block_id owns the indices [lo, lo + m)."""
     blocks = cells.groupBy("block_id").agg(F.count("*").alias("m"))
-    hashed = blocks.withColumn("_h", digest("pool", "block_id")).withColumn("_b", hash_bucket("_h"))
+    hashed, bucket = hash_bucketed(cut(blocks.withColumn("_h", digest("pool", "block_id"))), [], "_h", "_b")
     laid = prefix_sums(
-        hashed, {"lo": F.col("m")}, group=[], order=["_h", "block_id"], bucket="_b"
+        hashed, {"lo": F.col("m")}, group=[], order=["_h", "block_id"], bucket=bucket
     )
     return laid.select("block_id", "m", "lo")
 

@@ -1,47 +1,55 @@
 """Global order without a single-task window.
 
-Rows get a bucket that never decreases along the order. Each (group, bucket) is one
-window partition; the few bucket totals are summed along the order and added back. A
-group that holds a third of all rows is therefore spread over all of its buckets.
+Groups of up to WINDOW_ROWS rows are one window partition each. A larger group is cut into as
+many buckets as its rows ask for; buckets never decrease along the order, each is a window
+partition, and their totals, one number per WINDOW_ROWS rows, are summed along the order and
+added back. Results do not depend on the buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossblock.functions.keyed import digest
+from crossblock.functions.keyed import digest, word
 from crossblock.functions.values import finite
-from crossblock.operators.lookup import HEAVY
+from crossblock.operators.lookup import sized_lookup
 from crossblock.session import cut
 
+#: Rows that one window task orders, about.
+WINDOW_ROWS = 1_000_000
+#: Values that cut an order into buckets, at most; they are kept on the driver.
+MOST_BUCKETS = 10_000
 
-# Hex digits of a hash that make its bucket: 4096 buckets for a heavy group, 16 for others.
-HEAVY_DIGITS, LIGHT_DIGITS = 3, 1
 
+def large_groups(df: DataFrame, group: Sequence[str]) -> DataFrame | None:
+    """Groups above WINDOW_ROWS with their size `_n`, a written table; None if there are none."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WINDOW_ROWS)
+    found = cut(sizes)
+    return None if found.isEmpty() else found
 
-def hash_bucket(hex_digest: str | Column, digits: int = HEAVY_DIGITS) -> Column:
-    return F.substring(hex_digest, 1, digits)
 
+def hash_bucketed(
+    df: DataFrame, group: Sequence[str], hex_digest: str, name: str
+) -> tuple[DataFrame, str | None]:
+    """Bucket the rows of large groups by their hash; the name is None if no group is large.
 
-def with_hash_bucket(df: DataFrame, group: Sequence[str], hex_digest: str, name: str) -> DataFrame:
-    """Bucket rows by their hash, finely in heavy groups and coarsely in the many others.
-
-    A group above 1/HEAVY of the rows is heavy. There are fewer than HEAVY of them, so they
-    are broadcast and the table of bucket totals stays short.
+    `df` is read twice.
     """
-    if not group:
-        return df.withColumn(name, hash_bucket(hex_digest))
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
-    heavy = sizes.where(F.col("_size") * F.lit(HEAVY) > sizes.agg(F.sum("_size")).scalar())
-    marked = df.join(
-        F.broadcast(heavy.select(*group, F.lit(True).alias("_heavy"))), list(group), "left"
-    )
-    fine, coarse = hash_bucket(hex_digest), hash_bucket(hex_digest, LIGHT_DIGITS)
-    return marked.select(*df.columns, F.when(F.col("_heavy"), fine).otherwise(coarse).alias(name))
+    large = large_groups(df, group)
+    if large is None:
+        return df, None
+    if group:
+        placed = sized_lookup(df, large, group, "_n")
+    else:
+        placed = df.withColumn("_n", large.select("_n").scalar())
+    width = F.ceil(F.col("_n") / F.lit(WINDOW_ROWS))
+    bucket = F.floor(word(F.col(hex_digest)) * width / F.lit(2.0**32)).cast("long")
+    return placed.withColumn(name, F.coalesce(bucket, F.lit(0).cast("long"))).drop("_n"), name
 
 
 def prefix_sums(
@@ -50,24 +58,28 @@ def prefix_sums(
     *,
     group: Sequence[str],
     order: Sequence[str],
-    bucket: str,
+    bucket: str | None,
     totals: bool = False,
 ) -> DataFrame:
     """Exclusive running sum of every measure along `order` inside each group.
 
-    `totals` adds the sum over the whole group as <name>_total, at no further join.
+    `totals` adds the sum over the whole group as <name>_total, at no further join. Without a
+    bucket a group is one window partition, else `df` is read twice.
     """
+    before = Window.unboundedPreceding, -1
+    whole = Window.partitionBy(*group)
+    if bucket is None:
+        along = Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)
+        sums = {n: F.coalesce(F.sum(v).over(along), F.lit(0)) for n, v in measures.items()}
+        if totals:
+            sums |= {f"{n}_total": F.sum(v).over(whole) for n, v in measures.items()}
+        return df.withColumns(sums)
     staged = df.withColumns({f"_m_{name}": value for name, value in measures.items()})
-    inside = (
-        Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier = (
-        Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(*before)
+    earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(*before)
     per_bucket = staged.groupBy(*group, bucket).agg(
         *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures]
     )
-    whole = Window.partitionBy(*group)
     added = [f"{name}_total" for name in measures] if totals else []
     offsets = per_bucket.select(
         *group,
@@ -93,7 +105,7 @@ def global_rank(
     *,
     group: Sequence[str],
     order: Sequence[str],
-    bucket: str,
+    bucket: str | None,
     name: str = "rank",
     totals: bool = False,
 ) -> DataFrame:
@@ -110,9 +122,9 @@ def shuffle_rank(
     seed: int | str,
     name: str = "rank",
 ) -> DataFrame:
-    """Seeded shuffle: rank of each row in keyed-hash order inside its group."""
-    hashed = with_hash_bucket(df.withColumn("_h", digest(seed, *key)), group, "_h", "_b")
-    ranked = global_rank(hashed, group=group, order=["_h", *key], bucket="_b", name=name)
+    """Seeded shuffle: rank of each row in keyed-hash order inside its group. Reads df twice."""
+    hashed, bucket = hash_bucketed(df.withColumn("_h", digest(seed, *key)), group, "_h", "_b")
+    ranked = global_rank(hashed, group=group, order=["_h", *key], bucket=bucket, name=name)
     return ranked.drop("_h", "_b")
 
 
@@ -137,7 +149,7 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFra
     )
 
 
-def value_buckets(df: DataFrame, value: str, n_buckets: int = 256) -> DataFrame:
+def value_buckets(df: DataFrame, value: str, n_buckets: int) -> DataFrame:
     """Bucket a double column at approximate quantiles, so that buckets follow its order.
 
     The cut points (at most n_buckets - 1 numbers) are fetched first: every later branch
@@ -164,10 +176,12 @@ def value_counts(
         .groupBy(*group, value)
         .agg(*[m.alias(name) for name, m in measures.items()])
     )
-    bucketed = value_buckets(collapsed, value)
+    buckets = min(MOST_BUCKETS, math.ceil(collapsed.count() / WINDOW_ROWS))
+    if buckets > 1:
+        collapsed = value_buckets(collapsed, value, buckets)
     sums = {f"{name}_below": F.col(name) for name in measures}
     return prefix_sums(
-        bucketed, sums, group=group, order=[value], bucket="_bucket", totals=True
+        collapsed, sums, group=group, order=[value], bucket="_bucket" if buckets > 1 else None, totals=True
     ).drop("_bucket")
 
 

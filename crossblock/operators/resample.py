@@ -20,19 +20,26 @@ from pyspark.sql import types as T
 
 from crossblock.functions import keyed
 from crossblock.functions.values import as_column, finite, insist
+from crossblock.session import cut
 
 EMPTY = "a group has no block with a finite value"
 
 
+#: Blocks whose draws one task makes, about.
+TASK_ROWS = 50_000
+#: Session setting for the numbers that a task of the matrix form holds, and its default.
+BUDGET, NUMBERS = "crossblock.bootstrap.numbers", 16_000_000
+
+
 def _seeded(df: DataFrame, block: str, seed: int) -> DataFrame:
-    """Block words for the draws, spread by block over every core.
+    """Block words for the draws, spread by block.
 
-    The rows are few bytes and much work, so their number of partitions is set here:
+    The rows are few bytes and much work, so the number of partitions follows their count:
     by bytes alone they would be merged into one task.
     """
     hashed = keyed.digest(seed, block)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, block).withColumn("_h", hashed).withColumns(
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, block).withColumn("_h", hashed).withColumns(
         {f"_h{i}": keyed.word(F.col("_h"), i) for i in range(3)}
     )
 
@@ -80,16 +87,17 @@ def sums_by_matrix(
     n_boot: int,
     seed: int,
     chunk: int = 128,
-    budget: int = 64_000_000,
+    budget: int | None = None,
 ) -> DataFrame:
     """The same sums with each block's draws made once for all of its groups.
 
     All rows of a block meet in one partition (a block has one row per group), a matrix
     product adds them to vectors of length n_boot, and each task emits one row per group
-    it saw. `budget` bounds the numbers held per task: above it the vectors are emitted
-    and started again.
+    it saw. `budget` bounds the numbers held per task (by default the session's setting BUDGET):
+    above it the vectors are emitted and started again.
     """
     keys = list(keys)
+    budget = budget or int(df.sparkSession.conf.get(BUDGET, str(NUMBERS)))
     names = [*weighted, *signed]
     n_weighted, flips = len(weighted), bool(signed)
     staged = _seeded(df, block, seed).select(
@@ -230,7 +238,8 @@ def bootstrap_mean(
     """
     keys = list(keys)
     x = F.col("_x0")
-    every = blocks.select(*keys, block, finite(value).alias("_x0"))
+    # Written once: the point estimate, the draws and their number of tasks read it.
+    every = cut(blocks.select(*keys, block, finite(value).alias("_x0")))
     clean = every.where(x.isNotNull())
     # Over all groups: one without a finite value must not vanish.
     point = every.groupBy(*keys).agg(
@@ -278,8 +287,10 @@ def bootstrap_ratio(
     keys = list(keys)
     num, den = F.col("_num"), F.col("_den")
     both = num.isNotNull() & den.isNotNull()
-    every = blocks.select(
-        *keys, block, finite(numerator).alias("_num"), finite(denominator).alias("_den")
+    every = cut(
+        blocks.select(
+            *keys, block, finite(numerator).alias("_num"), finite(denominator).alias("_den")
+        )
     )
     base = every.where(both | num.isNotNull() if with_shift else both)
     own = F.when(both & (den != 0), num / den)

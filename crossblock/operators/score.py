@@ -46,12 +46,18 @@ def select_rows(
     return held.join(first.select("block_id"), "block_id", "left_semi")
 
 
+#: Rows that one task scores, about.
+TASK_ROWS = 20_000
+
+
 def spread_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Hash rows over all cores. The number is set here, because rows that are few bytes
-    and much model time would otherwise be merged into few tasks."""
-    spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(width, spark.sparkContext.defaultParallelism), *key)
+    """Hash rows over as many tasks as their number asks for, every core at least.
+
+    Rows that are few bytes and much model time would otherwise be merged into few tasks.
+    """
+    rows = cut(df)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *key)
 
 
 def score(

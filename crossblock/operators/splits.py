@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crossblock.functions.keyed import digest, uniform
 from crossblock.functions.names import FITTABLE_SPLITS, HOLDOUT
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import prefix_sums, with_hash_bucket
+from crossblock.operators.ranking import hash_bucketed, prefix_sums
 from crossblock.session import cut
 
 
@@ -54,28 +54,23 @@ def cluster_splits(
     Bands are then taken by number from the end, each with the clusters it holds but no fewer
     than two, so the same rule gives small families test and validation pools.
     """
-    clusters = answer_clusters(facts)
-    hashed = with_hash_bucket(
-        clusters.withColumn("_h", digest(seed, "relation_family", "answer_id")),
-        ["relation_family"],
-        "_h",
-        "_b",
-    )
+    clusters = cut(answer_clusters(facts).withColumn("_h", digest(seed, "relation_family", "answer_id")))
+    hashed, bucket = hash_bucketed(clusters, ["relation_family"], "_h", "_b")
     laid = prefix_sums(
         hashed,
         {"_before": F.col("cluster_size"), "_rank": F.lit(1).cast("long")},
         group=["relation_family"],
         order=["_h", "answer_id"],
-        bucket="_b",
+        bucket=bucket,
         totals=True,
     )
     middle = (F.col("_before") + F.col("cluster_size") / 2) / F.col("_before_total")
-    banded = laid.withColumn("_band", ratios.band(middle))
+    banded = cut(laid.withColumn("_band", ratios.band(middle)))
     held = {
         s: F.greatest(F.lit(2), F.count_if(F.col("_band") == s)).alias(f"_{s}")
         for s in ("validation", "test")
     }
-    counted = banded.groupBy("relation_family").agg(*held.values(), F.count("*").alias("_n"))
+    counted = cut(banded.groupBy("relation_family").agg(*held.values(), F.count("*").alias("_n")))
     judged = sized_lookup(banded, counted, ["relation_family"], "_n")
     from_end = F.col("_rank_total") - F.col("_rank")  # 1 for the last cluster
     return judged.select(

@@ -100,12 +100,6 @@ def block_rules(cells: DataFrame) -> DataFrame:
         F.count_if(F.greatest(*[F.col(k).isNull() for k in [*constant, "question_id", "answer_id",
                                                              "cell", "matched"]])).alias("n_null"),
     )
-    wrong_count = profile.where(F.col("n") != 4).select(
-        F.lit("block").alias("rule"),
-        F.lit("row count").alias("kind"),
-        F.col("block_id").alias("id"),
-        F.col("n").cast("string").alias("detail"),
-    )
     balanced = (
         (F.col("n_matched") == 2)
         & (F.col("qm_lo") == F.col("qc_lo")) & (F.col("qm_hi") == F.col("qc_hi"))
@@ -119,10 +113,21 @@ def block_rules(cells: DataFrame) -> DataFrame:
         balanced = balanced & (F.col(name) == 1)
     for k in constant:
         balanced = balanced & ~F.col(f"varies_{k}")
-    suspects = profile.where((F.col("n") == 4) & ~F.coalesce(balanced, F.lit(False)))
-    looked = cells.join(suspects.select("block_id"), "block_id", "left_semi")
-    four = looked.groupBy("block_id").agg(
-        F.collect_list(F.struct("cell", "question_id", "answer_id", "matched", *constant)).alias("r")
+    # Written once: the wrong counts and the second look both read these few blocks.
+    odd = cut(
+        profile.where((F.col("n") != 4) | ~F.coalesce(balanced, F.lit(False))).select("block_id", "n")
+    )
+    wrong_count = odd.where("n <> 4").select(
+        F.lit("block").alias("rule"),
+        F.lit("row count").alias("kind"),
+        F.col("block_id").alias("id"),
+        F.col("n").cast("string").alias("detail"),
+    )
+    looked = cells.join(odd.where("n = 4").select("block_id"), "block_id", "left_semi")
+    four = cut(
+        looked.groupBy("block_id").agg(
+            F.collect_list(F.struct("cell", "question_id", "answer_id", "matched", *constant)).alias("r")
+        )
     )
     return wrong_count.unionByName(_four_row_faults(four, constant))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossblock.functions.names import PositionNames
-from crossblock.functions.positions import encode, piece_tokenizer, resolve_positions
+from crossblock.functions.positions import encode, resolve_positions
 from crossblock.functions.prompts import PromptText, render_prompts
 from crossblock.operators.contrast import confidence_signal
 from crossblock.operators.gates import control_gates, route_gates, signal_gates
@@ -27,7 +27,7 @@ KEY = ["block_id", "cell"]
 def resolved_cells(
     cells: DataFrame,
     *,
-    tokenizer: Callable = piece_tokenizer,
+    tokenizer: Callable | None = None,
     text: PromptText = PromptText(),
     prefix: str | None = None,
     names: PositionNames = PositionNames(),

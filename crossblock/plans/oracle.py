@@ -12,11 +12,10 @@ from crossblock.functions.names import (
     SPLITS,
     PositionNames,
 )
-from crossblock.functions.positions import ERRORS, PIECES, SETS
+from crossblock.functions.positions import ERRORS, SETS
 from crossblock.functions.prompts import PromptText
 from crossblock.plans.inputs import POSITIONS, TEMPLATE_TEXTS, WIDTH
 from crossblock.sources.contract import CELL_COLUMNS
-from crossblock.sources.manifest import config_hash
 
 Parts = list[tuple[str, str]]
 
@@ -443,7 +442,7 @@ PROMPTS: Parts = [
 def tokens(rows: str, column: str, name: str = "tok") -> Parts:
     return [
         (f"{name}_p", f"""SELECT conv_id, turn, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS index
-          FROM (SELECT conv_id, turn, regexp_extract_all({column}, {text(PIECES)}) AS ps FROM {rows})"""),
+          FROM (SELECT conv_id, turn, regexp_extract_all({column}, {text(' ?[A-Za-z0-9]+|[^A-Za-z0-9]')}) AS ps FROM {rows})"""),
         (name, f"""SELECT conv_id, turn, CAST(index AS INTEGER) AS index, piece,
           CAST(('0x' || substr(md5(piece), 1, 7)) AS INTEGER) AS id,
           CAST(sum(length(piece)) OVER o - length(piece) AS INTEGER) AS start,
@@ -782,7 +781,6 @@ POINT_SUMMARY: Parts = [
       CAST(sum(flips) AS DOUBLE) / sum(pairs) AS flip_rate FROM ps_b GROUP BY 1, 2"""),
 ]
 
-_manifest_config = {"seed": 7, "splits": SPLITS}
 _W = r"[ \t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -831,7 +829,7 @@ def queries() -> dict[str, str]:
             WHERE layer IN (1, 3)"""),
         "a6_fingerprint": "SELECT " + fingerprint("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
         "a7_manifest": f"""SELECT 'report' AS command, '{{"seed": 7, "splits": ["train", "validation", "test", "family_holdout"]}}' AS config,
-            '{config_hash(_manifest_config)}' AS config_sha256, '{{"source": "driver tables"}}' AS payload,
+            sha256('{{"seed": 7, "splits": ["train", "validation", "test", "family_holdout"]}}') AS config_sha256, '{{"source": "driver tables"}}' AS payload,
             'unknown' AS revision, c.*, l.* FROM (SELECT {fingerprint('conversations', ['conv_id', 'turn', 'role', 'text'], 'conversations_')}) c,
             (SELECT {fingerprint('labels', ['doc_id', 'quality', 'toxic'], 'labels_')}) l""",
         "a8_fact_source": sql([RAW, FACTS], """SELECT relation_family, subject, subject_phrase, answer,
@@ -998,7 +996,7 @@ def queries() -> dict[str, str]:
         "h2_normalize_entity": f"SELECT doc_id, md5(s) AS entity_md5, CAST(length(s) AS INTEGER) AS entity_length FROM (SELECT doc_id, {entity('text')} AS s FROM documents)",
         "h3_fill_template": sql([RAW, FACTS, TEMPLATES], """SELECT subject, ordinal, replace(text, '{s}', subject_phrase) AS question
             FROM facts JOIN templates USING (relation_family)"""),
-        "h4_prompts": sql(PROMPTS, f"""SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, '{_prompt.template_hash}' AS template_hash,
+        "h4_prompts": sql(PROMPTS, f"""SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, '1759f5f1931e1e70' AS template_hash,
             CAST(length(prompt) AS INTEGER) AS n_chars, answer_colon, answer_boundary, answer_start, answer_end, newline, confidence_colon FROM prompts"""),
         "h7_tokens": sql(tokens("conversations", "text"), 'SELECT conv_id, turn, index, id, start, stop AS "end" FROM tok'),
         "h8_covering_token": sql(tokens("conversations", "text"), f"""SELECT t.conv_id, t.turn,
@@ -1035,6 +1033,15 @@ def queries() -> dict[str, str]:
         "h18_first_line": f"SELECT doc_id, {strip('split_part(text, chr(10), 1)')} AS first_line FROM documents",
         "j1_score_batches": sql(RESOLVED, f"""SELECT conv_id, turn, {rd('sum(id) / CAST(count(*) AS DOUBLE) / 134217728 - 1', 'confidence_margin')}
             FROM tok GROUP BY 1, 2"""),
+        "a4_signal_report": gates_signal(),
+        "a4_routes_report": gates_route(),
+        "a4_controls_report": gates_control(),
+        "j2_custom_tokenizer": sql([("p", "SELECT conv_id, turn, string_split(text, ' ') AS ps FROM conversations"),
+            ("e", "SELECT conv_id, turn, ps, unnest(range(1, len(ps) + 1)) AS i FROM p"),
+            ("t", """SELECT conv_id, turn, i, length(ps[i]) AS n,
+              coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) + i - 1 AS start FROM e WHERE ps[i] <> ''""")],
+            """SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS index,
+            CAST(n AS INTEGER) AS id, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS "end" FROM t"""),
         "k1_signal_gates": gates_signal(),
         "k2_route_gates": gates_route(),
         "k3_control_gates": gates_control(),

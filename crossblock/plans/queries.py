@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,20 @@ def tidy(df: DataFrame) -> DataFrame:
     )
 
 
+def _signal_columns(gated: DataFrame) -> DataFrame:
+    peaks = [F.col("peak_effect")[p].alias(f"peak_{p}") for p in PositionNames().ordered()]
+    return tidy(gated.select(*[c for c in gated.columns if c != "peak_effect"], *peaks))
+
+
+def _control_columns(gated: DataFrame) -> DataFrame:
+    flips = [
+        F.col("control_flips")[k][s].alias(f"{k}_{s}")
+        for k in ("random_cell", "gaussian", "mean", "matched_donor", "crossed_donor")
+        for s in ("restore", "ablate")
+    ]
+    return tidy(gated.select(*[c for c in gated.columns if c != "control_flips"], *flips))
+
+
 def built_cells(spark: SparkSession, sf: str) -> DataFrame:
     return build.build_cells(inputs.facts(spark, sf), inputs.templates(spark, sf), inputs.CONFIG)
 
@@ -89,6 +104,31 @@ def a4_saved_sweep_summary(spark, sf):
     return tidy(patch.summarize_isolated(spark.read.parquet(path)))
 
 
+@query
+def a4_signal_report(spark, sf):
+    """Gates of a saved run: behaviour and sweep are read back, nothing is measured again."""
+    path = scratch_path(spark, "run")
+    contract.write_result(inputs.behavior(spark, sf), f"{path}/behavior")
+    sweep = inputs.sweep(spark, sf).drop("moved", "gap", "flipped")
+    contract.write_result(sweep, f"{path}/patching")
+    return _signal_columns(measure.signal_report(spark, path))
+
+
+@query
+def a4_routes_report(spark, sf):
+    path = scratch_path(spark, "run")
+    contract.write_result(inputs.scored_conditions(spark, sf), f"{path}/conditions")
+    contract.write_result(inputs.sweep(spark, sf).drop("moved", "gap", "flipped"), f"{path}/isolated")
+    return tidy(measure.routes_report(spark, path))
+
+
+@query
+def a4_controls_report(spark, sf):
+    path = scratch_path(spark, "run")
+    contract.write_result(inputs.controls(spark, sf), f"{path}/controls")
+    return _control_columns(measure.controls_report(spark, path))
+
+
 @query
 def a5_vector_store(spark, sf):
     path = scratch_path(spark, "vectors")
@@ -619,7 +659,7 @@ def g3_duplicate_blocks(spark, sf):
 
 @query
 def g4_snapshot_drift(spark, sf):
-    """Parts against suppliers by key: what one side has and the other lacks, with repeats."""
+    """Order priorities by customer, against those of customers in credit: rows of one side only."""
     current = inputs.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("label")
     )
@@ -686,6 +726,21 @@ def h7_tokens(spark, sf):
     )
 
 
+def blank_tokenizer():
+    """Runs between blanks; the id is the length."""
+    pattern = re.compile("[^ ]+")
+    return lambda text: [(len(m[0]), m.start(), m.end()) for m in pattern.finditer(text)]
+
+
+@query
+def j2_custom_tokenizer(spark, sf):
+    held = inputs.table(spark, sf, "conversations")
+    tokens = held.withColumn("tokens", positions.encode("text", blank_tokenizer))
+    return tokens.select("conv_id", "turn", F.posexplode("tokens").alias("index", "t")).select(
+        "conv_id", "turn", "index", "t.*"
+    )
+
+
 @query
 def h8_covering_token(spark, sf):
     """The token over the middle character of each text."""
@@ -786,9 +841,7 @@ def j1_score_batches(spark, sf):
 def k1_signal_gates(spark, sf):
     signal = contrast.confidence_signal(inputs.behavior(spark, sf))
     summary = patch.summarize_patching(inputs.sweep(spark, sf))
-    gated = gates.signal_gates(signal, summary)
-    peaks = [F.col("peak_effect")[p].alias(f"peak_{p}") for p in PositionNames().ordered()]
-    return tidy(gated.select(*[c for c in gated.columns if c != "peak_effect"], *peaks))
+    return _signal_columns(gates.signal_gates(signal, summary))
 
 
 @query
@@ -799,15 +852,9 @@ def k2_route_gates(spark, sf):
 
 @query
 def k3_control_gates(spark, sf):
-    gated = gates.control_gates(
-        patch.summarize_controls(inputs.controls(spark, sf))
+    return _control_columns(
+        gates.control_gates(patch.summarize_controls(inputs.controls(spark, sf)))
     )
-    flips = [
-        F.col("control_flips")[k][s].alias(f"{k}_{s}")
-        for k in ("random_cell", "gaussian", "mean", "matched_donor", "crossed_donor")
-        for s in ("restore", "ablate")
-    ]
-    return tidy(gated.select(*[c for c in gated.columns if c != "control_flips"], *flips))
 
 
 # L. Splits and the build

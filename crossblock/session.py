@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,11 @@ CONF = {
 }
 
 
+#: A local session's own folder, and the folders of open workspaces.
+_own: str | None = None
+_folders: list[str] = []
+
+
 def session(master: str | None = None, app: str = "crossblock", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -32,19 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of its own: on a cluster a
     machine-local folder is lost with its machine.
     """
+    global _own
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="crossblock-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+    if named is not None:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="crossblock-")
+    return _own
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Collect the files that `cut` and `scratch_path` make inside, and delete them at the end.
+
+    What is still needed must have been read, or written elsewhere, by then.
+    """
+    folder = f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _folders[-1] if _folders else shared_dir(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

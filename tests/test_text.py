@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,7 +79,7 @@ def merged(spans, text_, *pairs):
 def test_broken_boundaries_are_coded(spark):
     base = rendered(spark).first()
     a, p = base["anchors"], base["prompt"]
-    spans = [(s, e) for _, s, e in positions.piece_tokenizer()(p)]
+    spans = [m.span() for m in re.finditer(positions.PIECES, p)]
     colon, start, end, nl, cc = (a["answer_colon"], a["answer_start"], a["answer_end"], a["newline"],
                                  a["confidence_colon"])
     cases = {
@@ -245,3 +247,28 @@ def test_fingerprint_sees_content_not_order(spark):
     assert first != manifest.fingerprint(table.withColumn("layer", F.col("layer") + 1)).first()
     doubled = manifest.fingerprint(table.union(table)).first()
     assert doubled["hash_xor"] == 0 and doubled["hash_sum"] != "0"
+
+
+def test_default_pieces_and_a_custom_tokenizer(spark):
+    texts = ["", " a  b", "x1-y\n Z", "é 日本 a", None, "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r["i"]: r["k"] for r in df.select("i", positions.encode("t").alias("k")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else [m.span() for m in re.finditer(positions.PIECES, t)]
+        assert (got[i] and [(x["start"], x["end"]) for x in got[i]]) == (want or got[i])
+        assert (got[i] is None) == (t is None)
+    def blanks():
+        return lambda t: [(len(m[0]), *m.span()) for m in re.finditer("[^ ]+", t)]
+
+    own = df.select(positions.encode("t", blanks).alias("k")).collect()
+    assert [tuple(x) for x in own[1]["k"]] == [(1, 1, 2), (1, 4, 5)]
+
+
+def test_snapshots_drift(spark):
+    df = rendered(spark).withColumn("tokens", positions.encode("prompt"))
+    now = positions.position_snapshot(positions.resolve_positions(df), ["question"])
+    assert positions.snapshot_drift(now, now).count() == 0
+    other = rendered(spark, "Lyon").withColumn("tokens", positions.encode("prompt"))
+    before = positions.position_snapshot(positions.resolve_positions(other), ["question"])
+    found = positions.snapshot_drift(now.union(now), before).collect()
+    assert sorted(r["side"] for r in found) == ["current", "current", "frozen"]
