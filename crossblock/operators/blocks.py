@@ -65,7 +65,7 @@ def _facts_of(couples: DataFrame) -> DataFrame:
     )
 
 
-def _broken_up(judged: DataFrame, seed: str) -> DataFrame | None:
+def _broken_up(judged: DataFrame, seed: str, narrow: bool) -> DataFrame | None:
     """Valid couples that are broken up so that the leftovers can be matched; None if none are.
 
     Where one answer holds the majority of a pool's leftovers, just enough valid couples
@@ -97,20 +97,21 @@ def _broken_up(judged: DataFrame, seed: str) -> DataFrame | None:
     ids = found.withColumn("_k1", F.col("fact_q1.fact_id")).withColumn(
         "_k2", F.col("fact_q2.fact_id")
     )
-    ranked = shuffle_rank(cut(ids), group=POOL, key=["_k1", "_k2"], seed=f"{seed}:d", name="_r")
+    ids = ids if narrow else cut(ids)
+    ranked = shuffle_rank(ids, group=POOL, key=["_k1", "_k2"], seed=f"{seed}:d", name="_r", narrow=narrow)
     return cut(ranked.where(F.col("_r") < F.col("need")).select(*judged.columns))
 
 
-def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame:
+def _one_round(facts: DataFrame, used: DataFrame | None, seed: str, narrow: bool) -> DataFrame:
     """One matching: neighbours in shuffled order, then one repair pass over the rest.
 
     The repair lays the leftovers out by answer and pairs rank i with i + n/2, which can
     only clash on an answer that holds more than half of them; `_broken_up` prevents that.
     """
-    ranked = shuffle_rank(facts, group=POOL, key=["fact_id"], seed=seed, name="_rank")
+    ranked = shuffle_rank(facts, group=POOL, key=["fact_id"], seed=seed, name="_rank", narrow=narrow)
     couples = _couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
     judged = cut(_judge(couples, used).select(*POOL, "x", "y", "fact_q1", "fact_q2", "ok"))
-    broken = _broken_up(judged, seed)
+    broken = _broken_up(judged, seed, narrow)
     kept = judged.where("ok")
     rest = _facts_of(judged.where(~F.col("ok")))
     if broken is not None:
@@ -123,7 +124,7 @@ def _one_round(facts: DataFrame, used: DataFrame | None, seed: str) -> DataFrame
     # Five digits make the buckets of large pools, a number that does not grow with the data.
     # They follow the order, and the last two divide a single answer.
     bucket = None
-    if large_groups(hashed, POOL) is not None:
+    if not narrow:
         bucket = "_b"
         hashed = hashed.withColumn("_b", F.concat(F.substring("_a", 1, 3), F.substring("_f", 1, 2)))
     laid = global_rank(
@@ -147,8 +148,10 @@ def pair_facts(facts: DataFrame, *, pairings_per_fact: int, seed: int | str) ->
     if pairings_per_fact < 1:
         raise ValueError(f"pairings_per_fact must be >= 1, got {pairings_per_fact}")
     pairs: DataFrame | None = None
+    # What a round ranks inside a pool is never more than the pool's facts.
+    narrow = large_groups(facts, POOL) is None
     for r in range(pairings_per_fact):
-        found = cut(_one_round(facts, pairs, f"{seed}:{r}").withColumn("round", F.lit(r)))
+        found = cut(_one_round(facts, pairs, f"{seed}:{r}", narrow).withColumn("round", F.lit(r)))
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.select(*POOL, "round", "fact_q1", "fact_q2")
 

@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 
 #: A key is heavy above 1/HEAVY of all rows, so there are fewer than HEAVY heavy keys.
 HEAVY = 1000
+#: Rows of the right side up to which all of it is broadcast.
+SMALL = 5_000
 
 
 def sized_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Left join to one row per key, where right[size] counts the left rows of the key.
 
-    Heavy keys number fewer than HEAVY whatever the data, so they are broadcast. Their
-    left rows then pass the shuffled join under a salt that spreads them and matches nothing.
+    `right` is read more than once, so pass a written table. Up to SMALL rows of it are
+    broadcast whole. Beyond that, heavy keys number fewer than HEAVY whatever the data, so
+    they are broadcast. Their left rows then pass the shuffled join under a salt that spreads
+    them and matches nothing.
     """
     values = [c for c in right.columns if c not in keys]
+    if len(right.select(F.lit(1)).head(SMALL + 1)) <= SMALL:
+        wanted = [c for c in values if c not in left.columns]
+        return left.join(F.broadcast(right.select(*keys, *wanted)), list(keys), "left").select(
+            *left.columns, *wanted
+        )
     # Rounded up so that the bound on their number holds exactly.
     heavy = right.where(
         F.col(size) * F.lit(HEAVY) > right.agg(F.sum(size)).scalar()

@@ -121,9 +121,15 @@ def shuffle_rank(
     key: Sequence[str],
     seed: int | str,
     name: str = "rank",
+    narrow: bool = False,
 ) -> DataFrame:
-    """Seeded shuffle: rank of each row in keyed-hash order inside its group. Reads df twice."""
-    hashed, bucket = hash_bucketed(df.withColumn("_h", digest(seed, *key)), group, "_h", "_b")
+    """Seeded shuffle: rank of each row in keyed-hash order inside its group.
+
+    Reads df twice, unless the caller knows that no group is large and says `narrow`.
+    """
+    hashed, bucket = df.withColumn("_h", digest(seed, *key)), None
+    if not narrow:
+        hashed, bucket = hash_bucketed(hashed, group, "_h", "_b")
     ranked = global_rank(hashed, group=group, order=["_h", *key], bucket=bucket, name=name)
     return ranked.drop("_h", "_b")
 

@@ -290,6 +290,32 @@ def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: How much of the partner's margin a position carries over, for the stand-in sweep.
+CARRIED = {"AC": 0.02, "LAT": 0.3, "NL": 0.9, "NL1": 0.05, "CC": 1.0}
+
+
+def blend_scorer():
+    """A stand-in model: the partner's margin shows through at some positions, less in late layers."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        share = batch["position"].map(CARRIED) * (1.0 - batch["layer"] / 10.0)
+        return pd.DataFrame(
+            {"patched": batch["target_clean"] + (batch["source_clean"] - batch["target_clean"]) * share}
+        )
+
+    return run
+
+
+def id_logprob_scorer():
+    """A stand-in model: every token's log-probability is its scaled id, negated."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        ids = batch["input_ids"].map(lambda x: -np.asarray(x, dtype=np.float64) / 2**28)
+        return pd.DataFrame({"logprobs": ids})
+
+    return run
+
+
 def id_mean_scorer():
     """A stand-in model: the margin is the mean token id, centred and scaled."""
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossblock.functions.likelihood import with_array_stats
 from crossblock.functions.names import PositionNames
 from crossblock.functions.positions import encode, resolve_positions
 from crossblock.functions.prompts import PromptText, render_prompts
+from crossblock.functions.values import with_readouts
 from crossblock.operators.contrast import confidence_signal
 from crossblock.operators.gates import control_gates, route_gates, signal_gates
 from crossblock.operators.patch import (
     condition_table,
+    partner_pairs,
     summarize_controls,
     summarize_isolated,
     summarize_patching,
+    sweep_grid,
 )
 from crossblock.operators.score import Scorer, score, spread_rows
 from crossblock.sources.contract import write_result
@@ -55,20 +59,46 @@ def measure(
     schema: str = "confidence_margin double",
     batch_size: int = 32,
     names: PositionNames = PositionNames(),
+    likelihood: str | None = None,
     **options,
 ) -> DataFrame:
     """Behaviour rows: cells, positions, prompt checksum and what the scorer returned.
 
     One shuffle, of the cells while they are still small: prompts and tokens are made after
-    it and are dropped before anything leaves the worker.
+    it and are dropped before anything leaves the worker. `likelihood` names a column of the
+    scorer, log-probabilities as an array, that is replaced by its ten statistics.
     """
     resolved = resolved_cells(spread_rows(cells, KEY), names=names, **options)
     positions = [f"{p}_{n}" for n in names.ordered() for p in ("pos", "tok")]
     keep = [*cells.columns, "n_tokens", "n_answer_tokens", "prompt_sha256", *positions]
     inputs = resolved.select(*keep, "input_ids", "answer_start", "answer_end")
-    return score(
+    scored = score(
         inputs, factory, schema, key=KEY, keep=keep, batch_size=batch_size, spread=False
     )
+    return with_array_stats(scored, likelihood).drop(likelihood) if likelihood else scored
+
+
+def sweep(
+    behavior: DataFrame,
+    factory: Callable[[], Scorer],
+    *,
+    positions: Sequence[str],
+    layers: Sequence[int],
+    margin: str = "confidence_margin",
+    batch_size: int = 32,
+) -> DataFrame:
+    """Every partner pair scored at every position and layer, with moved, gap and flipped.
+
+    The scorer gets rows of pairs with position and layer and returns `patched`.
+    """
+    pairs = partner_pairs(behavior, margin)
+    grid = sweep_grid(pairs, position=positions, layer=layers)
+    # All rows of a layer have one length, so a batch holds one layer.
+    scored = score(
+        grid, factory, "patched double", key=["block_id", "target_cell", "position"],
+        keep=grid.columns, length="layer", batch_size=batch_size,
+    )
+    return with_readouts(scored)
 
 
 def signal_report(

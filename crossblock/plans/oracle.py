@@ -667,13 +667,13 @@ AUC = """CAST(sum(pos * (below + neg / CAST(2 AS DOUBLE))) AS DOUBLE) / (CAST(su
   count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM scored_rows GROUP BY 1))"""
 
 
-def gates_signal() -> str:
-    n = 2000
+def gates_signal(sweep: tuple[str, str] = SWEEP) -> str:
+    n = 10_000
     names = PositionNames()
     peaks = ", ".join(f"max(effect) FILTER (position = '{p}') AS \"p_{p}\"" for p in POSITIONS)
     return sql(
         [
-            *NATURAL, SWEEP, CONTRASTS, *summary("sweep", ["direction", "position", "layer"], n),
+            *NATURAL, sweep, CONTRASTS, *summary("sweep", ["direction", "position", "layer"], n),
             *mean_estimate("contrasts", "interaction", [], n, False),
             ("g", f"""SELECT {peaks}, avg(mean_gap) AS mean_clean_gap,
               arg_max({{'l': layer, 'm': mean_moved, 'f': flip_rate}}, (effect, -layer))
@@ -1052,6 +1052,15 @@ def queries() -> dict[str, str]:
         "l2_build_dataset": sql(BUILT, "SELECT *, true AS valid FROM (" + union([f"SELECT '{s}' AS scope, {v} AS value, count(*) AS n_rows, "
             f"count(DISTINCT block_id) AS n_blocks FROM cells GROUP BY ALL" for s, v in
             (("table", "''"), ("split", "split"), ("family", "relation_family"))]) + ")"),
+        "l4_sweep_to_gates": gates_signal(("sweep", f"""SELECT {READOUTS} FROM (SELECT pairs.*, position, layer,
+            target_clean + (source_clean - target_clean) * (share * (CAST(1 AS DOUBLE) - layer / CAST(10 AS DOUBLE))) AS patched
+            FROM pairs, (VALUES ('AC', 0.02::DOUBLE), ('LAT', 0.3::DOUBLE), ('NL', 0.9::DOUBLE), ('NL1', 0.05::DOUBLE),
+            ('CC', 1.0::DOUBLE)) w(position, share), range(7) l(layer)) p""")),
+        "l5_behavior_likelihood": sql([*BUILT, ("cp", f"""SELECT block_id AS conv_id, cell AS turn, {text(_open)} || question || chr(10)
+            || 'Answer: ' || answer || chr(10) || 'Confidence:' AS prompt FROM cells"""), *tokens("cp", "prompt"),
+            ("seq", "SELECT conv_id, turn, index AS i, -(id / CAST(268435456 AS DOUBLE)) AS x FROM tok"),
+            ("st", f"SELECT conv_id, turn, {STATS}, count(*) AS n FROM seq GROUP BY 1, 2")],
+            f"""SELECT conv_id AS block_id, turn AS cell, {rounded(STAT_NAMES)}, CAST(n AS INTEGER) AS n_answer_tokens FROM st"""),
         "l3_measured_behavior": sql([*BUILT, ("cp", f"""SELECT block_id AS conv_id, cell AS turn, matched, {text(_open)} || question || chr(10)
             || 'Answer: ' || answer || chr(10) || 'Confidence:' AS prompt FROM cells"""), *tokens("cp", "prompt"), ("mb", """SELECT conv_id, turn,
             sum(id) / CAST(count(*) AS DOUBLE) / 134217728 - 1 AS z FROM tok GROUP BY 1, 2""")], f"""SELECT conv_id AS block_id,

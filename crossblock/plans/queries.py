@@ -898,6 +898,31 @@ def l3_measured_behavior(spark, sf):
     return tidy(contrast.block_gaps(behavior))
 
 
+@query
+def l4_sweep_to_gates(spark, sf):
+    """Pairs, grid, scorer, read-outs, summary and gates in one go."""
+    behavior = cut(inputs.behavior(spark, sf))
+    patched = cut(
+        measure.sweep(
+            behavior, inputs.blend_scorer, positions=PositionNames().ordered(),
+            layers=patch.chosen_layers(7),
+        )
+    )
+    signal = contrast.confidence_signal(behavior)
+    return _signal_columns(gates.signal_gates(signal, patch.summarize_patching(patched)))
+
+
+@query
+def l5_behavior_likelihood(spark, sf):
+    """Behaviour rows with the ten likelihood statistics in place of the scorer's arrays."""
+    behavior = measure.measure(
+        cut(built_cells(spark, sf)), inputs.id_logprob_scorer, schema="logprobs array<double>",
+        likelihood="logprobs",
+    )
+    stats = ["lp_mean", "lp_min", "lp_max", "lp_var", "lp_first", "lp_last", "lp_sum", "nll", "nll_per_token"]
+    return tidy(behavior.select("block_id", "cell", *stats, "n_answer_tokens"))
+
+
 # V. Validation
 
 

@@ -4,8 +4,10 @@ import pytest
 from check_oracle import rows_of
 
 import __spark_entry__ as entry
+from crossblock.plans import inputs
+from crossblock.session import cut
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def plan(df):
@@ -32,3 +34,65 @@ def test_partitioning_does_not_change_the_result(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(found) == 1
+
+
+RANKED = [
+    "c2_pair_facts", "c3_random_donors", "c3_crossed_donors", "d5_block_bootstrap", "d7_bootstrap_ratio",
+    "d9_auc_line_items", "e2_shuffle_rank", "e4_average_ranks", "e5_exact_terciles", "l1_split_exact",
+]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_window_width_does_not_change_the_result(spark, name, monkeypatch):
+    """The same rows when every group of more than forty rows is cut into buckets."""
+    from crossblock.operators import ranking
+
+    run = entry.queries()[name]
+    whole = run(spark, MID)
+    want = rows_of(whole.columns, [tuple(r) for r in whole.collect()])
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 40)
+    cut = run(spark, MID)
+    assert rows_of(cut.columns, [tuple(r) for r in cut.collect()]) == want
+
+
+def test_lookups_agree_however_the_right_side_travels(spark, monkeypatch):
+    from crossblock.operators import lookup
+
+    left = spark.range(9000).selectExpr("id", "IF(id % 3 = 0, 0, id) AS k", "IF(id = 5, NULL, 'x') AS t")
+    right = cut(left.groupBy("k").count().selectExpr("IF(k = 7, NULL, k) AS k", "count AS n", "k * 2 AS v").where("k <> 8"))
+    found = []
+    for small in (5, 100_000):
+        monkeypatch.setattr(lookup, "SMALL", small)
+        joined = lookup.sized_lookup(left, right, ["k"], "n")
+        found.append(rows_of(joined.columns, [tuple(r) for r in joined.collect()]))
+    assert found[0] == found[1] and len(found[0]) == 9000
+    assert all(r[-1] == (None if r[1] in (7, 8) else 2 * r[1]) for r in found[0])
+
+
+def jobs_of(spark, name):
+    """Jobs that a query starts, with its result written away."""
+    group = f"count-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        entry.queries()[name](spark, MID).write.format("noop").mode("overwrite").save()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize(("name", "most"), [("c2_pair_facts", 65), ("l2_build_cells", 85)])
+def test_pairing_takes_few_jobs(spark, name, most):
+    assert jobs_of(spark, name) <= most
+
+
+def test_the_signal_reads_its_blocks_once(spark, monkeypatch):
+    """Behaviour is read for the blocks and for the AUC; everything else reads the blocks."""
+    from crossblock.operators import contrast, ranking, resample
+
+    seen = []
+    for module in (contrast, ranking, resample):
+        plain = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, plain=plain: seen.append(plan(df)) or plain(df))
+    seen.append(plan(entry.queries()["d4_confidence_signal"](spark, SMALL)))
+    single = plan(inputs.behavior(spark, SMALL)).count("lineitem.parquet")
+    assert sum(text.count("lineitem.parquet") for text in seen) <= 2 * single
