@@ -918,7 +918,7 @@ def queries() -> dict[str, str]:
         "d5_block_bootstrap": sql([*NATURAL, CONTRASTS, *draws("contrasts", 10_000),
             *mean_estimate("contrasts", "interaction", [], 10_000, True)],
             f"SELECT {rounded(['mean', 'sign_consistency'])}, n_blocks, {rounded(['ci_low', 'ci_high', 'p_permutation'])}, excludes_zero FROM est"),
-        "d6_sign_flip_by_layer": moved_by_layer(2000),
+        "d6_sign_flip_by_layer": moved_by_layer(10_000),
         "d7_bootstrap_ratio": sql([LINE, ("nd", "SELECT block_id, avg(v) AS num, avg(l_quantity / 37) AS den FROM line GROUP BY 1"),
             *draws("nd", 10_000), ("rr", "SELECT r, sum(w * num) / sum(w * den) AS m FROM nd JOIN weights USING (block_id) GROUP BY 1"),
             ("cc", f"SELECT {edges('m')} FROM rr"), ("pp", """SELECT avg(num) / avg(den) AS mean,
