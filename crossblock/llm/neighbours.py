@@ -10,9 +10,11 @@ up. What is left is scored exactly, in double precision, on the original vectors
 Lists are cut into chunks and a list's queries into blocks, both of bounded size, so a hot list
 is many tasks. Vectors that are null, zero, hold null or non-finite components, or differ in
 length from most take no part, neither do rows without an id. Rows that repeat an id count
-once, with their best score; a query's own id is not among its answers. Ties go to the smaller
-id. A query with fewer candidates gets them all. An empty table gives an empty result. Extra
-columns are ignored.
+once, with their best score, and take one of the k places; a query id that repeats asks with
+the smallest of its vectors, compared component by component. A query's own id is not among
+its answers. Ties go to the smaller id. A query whose lists give fewer than k ids is asked
+again in all lists, so a query with fewer candidates gets them all. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], limit: float, alive: np.nd
 
 def search_chunk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
                  rotation: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query, id, cosine) of each query's k nearest in a chunk."""
+    """(query, id, cosine) of each query's k nearest ids in a chunk, each by its best row."""
     norms = np.sqrt((v**2).sum(axis=1))
     turned = np.ascontiguousarray((units(v) @ rotation).T)
     blocks = [turned[i : i + BLOCK] for i in range(0, len(turned), BLOCK)]
@@ -133,7 +135,10 @@ def search_chunk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries:
                 part = scan(turned_q, blocks, 2 - 2 * score[-1], part)
             exact = (v[part] * q).sum(axis=1) / (norms[part] * q_norm)
             found, score = np.concatenate([found, part]), np.concatenate([score, exact])
-            best = np.lexsort((ids[found], -score))[:k]
+            order = np.lexsort((ids[found], -score))
+            # The first row of every id in that order, so that k places are k ids.
+            _, first = np.unique(ids[found][order], return_index=True)
+            best = order[np.sort(first)[:k]]
             found, score = found[best], score[best]
         yield from ((qid, int(i), float(s)) for i, s in zip(ids[found], score, strict=True))
 
@@ -162,18 +167,20 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     # A vector's own list comes first.
     listed = cut(rows.mapInPandas(assign, "id long, v array<double>, lists array<int>"))
     stored = listed.select("id", "v", F.get("lists", F.lit(0)).alias("list"))
-    asked = listed.where(queries).select("id", "v", F.explode("lists").alias("list"))
-    # One row per list, at most LISTS.
-    held = {r["list"]: r["n"] for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    asking = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    one = listed.where(queries).groupBy("id").agg(F.min(F.struct("v", "lists")).alias("own"))
+    one = cut(one.select("id", "own.v", "own.lists"))
+
+    def counted(frame: DataFrame) -> dict[int, int]:
+        # One row per list, at most LISTS.
+        return {r["list"]: r["n"] for r in frame.groupBy("list").agg(F.count("*").alias("n")).collect()}
+
+    held = counted(stored)
 
     def parts(counts: dict[int, int], rows_each: int) -> Column:
         pairs = [F.lit(x) for at, n in sorted(counts.items()) for x in (at, -(-n // rows_each))]
         known = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
         return F.coalesce(F.element_at(known, F.col("list")), F.lit(1)).cast("int")
 
-    chunks, blocks = parts(held, CHUNK_ROWS), parts(asking, QUERY_ROWS)
-
     def dealt(frame: DataFrame, own: Column, own_name: str, every: Column, every_name: str) -> DataFrame:
         return frame.withColumn(own_name, F.pmod(F.xxhash64("id"), own).cast("int")).withColumn(
             every_name, F.explode(F.sequence(F.lit(0), every - 1))
@@ -182,21 +189,35 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        left, right = left.sort_values("id"), right.drop_duplicates("id")
+        left = left.sort_values("id")
         found = search_chunk(
             left["id"].to_numpy(), np.stack(left["v"].to_numpy()),
             right["id"].to_numpy(), np.stack(right["v"].to_numpy()), index.rotation, k,
         )
         return pd.DataFrame(list(found), columns=["query_id", "id", "score"])
 
-    group = ["list", "chunk", "block"]
-    searched = (
-        dealt(stored, chunks, "chunk", blocks, "block")
-        .groupBy(*group)
-        .cogroup(dealt(asked, blocks, "block", chunks, "chunk").groupBy(*group))
-        .applyInPandas(answer, schema)
-    )
-    return _ranked(searched, k)
+    def searched(asked: DataFrame) -> DataFrame:
+        chunks, blocks = parts(held, CHUNK_ROWS), parts(counted(asked), QUERY_ROWS)
+        group = ["list", "chunk", "block"]
+        return (
+            dealt(stored, chunks, "chunk", blocks, "block")
+            .groupBy(*group)
+            .cogroup(dealt(asked, blocks, "block", chunks, "chunk").groupBy(*group))
+            .applyInPandas(answer, schema)
+        )
+
+    ranked = _ranked(searched(one.select("id", "v", F.explode("lists").alias("list"))), k)
+    if probes == len(index.centroids):
+        return ranked
+    ranked = cut(ranked)
+    full = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = cut(one.join(full, "id", "left_anti").select("id", "v"))
+    if short.isEmpty():
+        return ranked
+    every = F.explode(F.array(*[F.lit(x) for x in sorted(held)])).alias("list")
+    again = _ranked(searched(short.select("id", "v", every)), k)
+    settled = ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    return settled.unionByName(again)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

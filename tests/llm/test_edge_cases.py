@@ -208,6 +208,18 @@ def test_neighbours(spark):
     assert neighbours.search(frame.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_count_ids_not_rows(spark):
+    """One id repeated 200 times next to the query takes one place; a repeated query asks once."""
+    near = [(1, [1.0, 0.001 * i]) for i in range(200)]
+    rest = [(i, [1.0, 0.3 + 0.1 * i]) for i in range(2, 12)]
+    twice = [(0, [1.0, 0.0]), (0, [1.0, 5.0]), (0, [1.0, 0.0])]
+    frame = spark.createDataFrame(twice + near + rest, "vec_id long, embedding array<double>")
+    for placed in (frame.repartition(1), frame.repartition(5)):
+        got = neighbours.search(placed, F.col("id") == 0).orderBy("rank").collect()
+        assert [(r["query_id"], r["rank"], r["id"]) for r in got] == [(0, i, i) for i in range(1, 6)]
+        assert got[0]["score"] == 1.0 and abs(got[1]["score"] - 1 / (1 + 0.5**2) ** 0.5) < 1e-12
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, odd, none, sf_dir, name):
     stage = dict(corpus_pipeline.STAGES)[name]
