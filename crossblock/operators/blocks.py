@@ -9,7 +9,7 @@ from crossblock.functions.keyed import digest
 from crossblock.functions.text import fill_template
 from crossblock.functions.values import insist
 from crossblock.operators.lookup import sized_lookup
-from crossblock.operators.ranking import global_rank, large_groups, shuffle_rank
+from crossblock.operators.ranking import global_rank, hash_bucketed, large_groups, prefix_sums, shuffle_rank
 from crossblock.session import cut
 from crossblock.sources.contract import CELL_COLUMNS
 from crossblock.sources.facts import can_pair
@@ -102,6 +102,30 @@ def _broken_up(judged: DataFrame, seed: str, narrow: bool) -> DataFrame | None:
     return cut(ranked.where(F.col("_r") < F.col("need")).select(*judged.columns))
 
 
+def _laid_out(rest: DataFrame, narrow: bool) -> DataFrame:
+    """Rank `_rank` along (_a, _f, fact_id) inside each pool, and the pool's rows `_rank_total`.
+
+    Where a pool may be large, an answer's rows are ranked by themselves, cut by `_f` if they
+    are many, and the rows of all answers before are added: every answer is one run.
+    """
+    if narrow:
+        order = ["_a", "_f", "fact_id"]
+        return global_rank(rest, group=POOL, order=order, bucket=None, name="_rank", totals=True)
+    rest, answer = cut(rest), [*POOL, "_a"]
+    sizes = cut(rest.groupBy(*answer).agg(F.count("*").alias("_held")))
+    sizes, bucket = hash_bucketed(sizes, POOL, "_a", "_b")
+    before = {"_start": F.col("_held")}
+    runs = prefix_sums(sizes, before, group=POOL, order=["_a"], bucket=bucket, totals=True)
+    placed, bucket = hash_bucketed(rest, answer, "_f", "_b")
+    ranked = global_rank(placed, group=answer, order=["_f", "fact_id"], bucket=bucket, name="_at")
+    found = sized_lookup(ranked, cut(runs.drop("_b")), answer, "_held")
+    return found.select(
+        *rest.columns,
+        (F.col("_start") + F.col("_at")).alias("_rank"),
+        F.col("_start_total").alias("_rank_total"),
+    )
+
+
 def _one_round(facts: DataFrame, used: DataFrame | None, seed: str, narrow: bool) -> DataFrame:
     """One matching: neighbours in shuffled order, then one repair pass over the rest.
 
@@ -121,15 +145,7 @@ def _one_round(facts: DataFrame, used: DataFrame | None, seed: str, narrow: bool
         ).join(broken.select(*keyed), ["_b1", "_b2"], "left_anti")
         rest = rest.unionByName(_facts_of(broken))
     hashed = rest.withColumns({"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")})
-    # Five digits make the buckets of large pools, a number that does not grow with the data.
-    # They follow the order, and the last two divide a single answer.
-    bucket = None
-    if not narrow:
-        bucket = "_b"
-        hashed = hashed.withColumn("_b", F.concat(F.substring("_a", 1, 3), F.substring("_f", 1, 2)))
-    laid = global_rank(
-        hashed, group=POOL, order=["_a", "_f", "fact_id"], bucket=bucket, name="_rank", totals=True
-    )
+    laid = _laid_out(hashed, narrow)
     half = F.floor(F.col("_rank_total") / 2)
     second = F.col("_rank") >= half
     slot = F.when(second, F.col("_rank") - half).otherwise(F.col("_rank"))

@@ -37,6 +37,17 @@ def test_pairing_is_as_large_as_it_can_be(spark, hot):
     assert all(r[3] != r[4] and r[1] < r[2] for r in rows)
 
 
+@pytest.mark.parametrize("hot", [12_000, 8_000])
+def test_large_pools_pair_as_small_ones_do(spark, monkeypatch, hot):
+    """One answer holds a half or a third among thousands: cut into buckets, no pair is lost."""
+    from crossblock.operators import ranking
+
+    facts = pool(spark, ["hot"] * hot + [f"a{i}" for i in range(24_000 - hot)])
+    want = sorted(pairs_of(facts))
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 500)
+    assert sorted(pairs_of(facts)) == want and len(want) == 12_000
+
+
 def test_no_pair_returns_and_the_result_is_deterministic(spark):
     answers = [f"a{i % 5}" for i in range(41)]
     first = pairs_of(pool(spark, answers, 1), k=2)
