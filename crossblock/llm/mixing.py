@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from crossblock.functions.keyed import digest, word
 from crossblock.llm.common import word_count
 from crossblock.operators.lookup import sized_lookup
+from crossblock.operators.ranking import prefix_sums, row_index
 from crossblock.session import cut
 
 WEIGHTS, SHARE, CEILING, SEED = (5, 2, 1), 1.5, 2, 20
-#: Rows of one (source, size) cell that one window task ranks at most, about.
+#: Rows of one (source, size) cell, or sources, that one window task ranks at most, about.
 CELL_ROWS = 20_000
 
 
@@ -41,30 +42,30 @@ def targets(
     Weights repeat along the sources' order. A target above `ceiling` times its source's size
     stops there and the excess goes to the others by weight. That ends where all targets are
     level * weight or their ceiling, and with sources ordered by ceiling / weight the level
-    follows from running sums. The windows have one row per source.
+    follows from running sums, which go over buckets of CELL_ROWS sources.
     """
-    in_order = Window.orderBy("_none", "_source")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.select(
-        "*",
-        F.element_at(cycle, (F.pmod(F.row_number().over(in_order) - 1, len(weights)) + 1).cast("int")).alias("_w"),
+    ranked = row_index(sizes, ["_none", "_source"], "_at").select(
+        *sizes.columns,
+        F.element_at(cycle, (F.pmod(F.col("_at"), len(weights)) + 1).cast("int")).alias("_w"),
         (F.col("source_size") * F.lit(float(ceiling))).alias("_top"),
     ).withColumn("_ratio", F.col("_top") / F.col("_w"))
-    by_ratio = Window.orderBy("_ratio", "_none", "_source")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = ranked.select(
-        "*",
+    placed = row_index(ranked, ["_ratio", "_none", "_source"], "_at").withColumn(
+        "_bucket", F.floor(F.col("_at") / F.lit(CELL_ROWS))
+    )
+    measures = {"_tops": F.col("_top"), "_ws": F.col("_w"), "_words": F.col("source_size")}
+    summed = prefix_sums(placed, measures, group=[], order=["_at"], bucket="_bucket", totals=True)
+    levels = cut(summed.select(
+        *ranked.columns,
+        "_at",
         # Level if exactly the sources before this one stop at their ceilings.
         (
-            (F.sum("source_size").over(everything) * F.lit(float(share))
-             - F.coalesce(F.sum("_top").over(before), F.lit(0.0)))
-            / F.sum("_w").over(after)
+            (F.col("_words_total") * F.lit(float(share)) - F.col("_tops")) / (F.col("_ws_total") - F.col("_ws"))
         ).alias("_level"),
-    )
-    free = F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_ratio", "_level"))).over(everything)
-    return levels.withColumn("_free", free["_level"]).select(
+    ))
+    # The first such source, also among equal ratios.
+    free = levels.where(F.col("_level") < F.col("_ratio")).agg(F.min(F.struct("_at", "_level")).alias("_f"))
+    return levels.withColumn("_free", free.select("_f._level").scalar()).select(
         "_none",
         "_source",
         "source_size",

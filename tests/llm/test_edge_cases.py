@@ -78,6 +78,42 @@ def test_mixing(odd, none):
     assert emitted.count() == sum(r["copies"] for r in got)
 
 
+def most_rows_read(spark, group):
+    """Rows that the largest task of a job group read from a shuffle."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = [t for s in stages if tracker.getStageInfo(s) for t in _each(store.taskList(s, 0, 1000))]
+    metrics = [t.taskMetrics() for t in tasks]
+    return max(m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined())
+
+
+def _each(found):
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """No task holds all sources, and targets are those of a plain loop."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 500)
+    words = {f"s{i:05}": i * 7919 % 1000 for i in range(20_000)}
+    sizes = spark.createDataFrame([(False, s, n) for s, n in words.items()], "_none boolean, _source string, source_size long")
+    sizes = cut(sizes.repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("many-sources", "targets")
+    try:
+        got = {r["_source"]: r["target"] for r in mixing.targets(sizes, share=0.9).collect()}
+        assert most_rows_read(spark, "many-sources") < 10_000
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(words))}
+    left, spread = sum(words.values()) * 0.9, sum(weight.values())
+    for s in sorted(words, key=lambda s: (2 * words[s] / weight[s], s)):
+        if left / spread < 2 * words[s] / weight[s]:
+            break
+        left, spread = left - 2 * words[s], spread - weight[s]
+    assert all(abs(got[s] - min(2 * words[s], left / spread * weight[s])) < 1e-6 for s in words) and len(got) == 20_000
+
+
 def test_line_dedup(odd, none):
     got = {(r["row"]["doc_id"], r["row"]["text"]): r for r in line_dedup.dedup(odd).collect()}
     assert got[(0, PROSE)]["removed"] == 0 and got[(1, PROSE)]["text"] == ""
