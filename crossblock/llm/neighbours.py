@@ -75,28 +75,41 @@ def _centroids(unit: np.ndarray, lists: int, rng: np.random.Generator) -> np.nda
     return centres
 
 
+def sampled(rows: DataFrame, n: int) -> DataFrame:
+    """About SAMPLE of the n rows (id, v), or fewer if rows repeat: equal rows are one."""
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "id", "v"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(draw < min(1.0, SAMPLE / max(n, 1))).select("id", "v").distinct()
+
+
 def fit(rows: DataFrame, n: int, k: int) -> Index:
-    """The index of `rows` (id, v), fitted on a sample by hash of the id."""
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    held = rows.where(draw < min(1.0, SAMPLE / max(n, 1))).select("id", "v").toPandas().sort_values("id")
+    """The index of `rows` (id, v), fitted on a sample of distinct rows by their hash."""
+    held = sampled(rows, n).orderBy("id", "v").toPandas()
     rng = np.random.default_rng(SEED)
     if held.empty:
-        held = rows.orderBy("id").limit(1).toPandas()
-    unit = units(np.stack(held["v"].to_numpy()))
+        held = rows.orderBy("id", "v").limit(1).toPandas()
+    ids, unit = held["id"].to_numpy(), units(np.stack(held["v"].to_numpy()))
     lists = max(1, min(LISTS, len(unit), round(math.sqrt(n) / 4)))
     centroids = _centroids(unit, lists, rng)
     rotation, _ = np.linalg.qr(rng.standard_normal((unit.shape[1], unit.shape[1])))
     index = Index(centroids, rotation, lists)
     asked = rng.choice(len(unit), min(SAMPLE_QUERIES, len(unit)), replace=False)
     near = unit[asked] @ unit.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    answers = np.argsort(-near, axis=1)[:, : min(k, len(unit) - 1)]
-    if not answers.size:
+    near[ids[asked][:, None] == ids[None, :]] = -np.inf
+    # The k nearest other ids of each, by their best rows.
+    answers, asking = [], []
+    for i, row in enumerate(near):
+        order = np.argsort(-row)
+        order = order[: np.count_nonzero(row > -np.inf)]
+        _, first = np.unique(ids[order], return_index=True)
+        best = order[np.sort(first)[:k]]
+        answers.extend(best)
+        asking.extend([i] * len(best))
+    if not answers:
         return index
     own = index.nearest(unit, 1)[:, 0]
     place = np.empty((len(asked), lists), np.int64)
     np.put_along_axis(place, index.nearest(unit[asked], lists), np.arange(lists)[None, :], axis=1)
-    ranks = np.sort(np.take_along_axis(place, own[answers], axis=1).ravel())
+    ranks = np.sort(place[asking, own[answers]])
     return Index(centroids, rotation, int(ranks[math.ceil(RECALL * len(ranks)) - 1]) + 1)
 
 

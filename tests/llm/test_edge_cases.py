@@ -244,6 +244,23 @@ def test_neighbours(spark):
     assert neighbours.search(frame.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_the_sample_is_bounded_when_an_id_holds_a_third(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    ids = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") + 1)
+    rows = spark.range(3000).select(ids.alias("id"), F.array(F.lit(1.0), F.col("id") * 0.01).alias("v"))
+    seen = []
+    plain = neighbours.units
+    monkeypatch.setattr(neighbours, "units", lambda v: seen.append(len(v)) or plain(v))
+    for seed in range(4):
+        monkeypatch.setattr(neighbours, "SEED", seed)
+        neighbours.fit(rows, 3000, 5)
+    same = rows.withColumn("v", F.when(F.col("id") == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.col("v")))
+    index = neighbours.fit(same, 3000, 5)
+    assert all(220 < n < 380 for n in seen[:4]) and seen[4] < 300 and index.probes >= 1
+    # Drawn or not, a third of the rows is one vector when they are equal.
+    assert max(r["n"] for r in neighbours.sampled(same, 300).groupBy("id", "v").agg(F.count("*").alias("n")).collect()) == 1
+
+
 def test_neighbours_count_ids_not_rows(spark):
     """One id repeated 200 times next to the query takes one place; a repeated query asks once."""
     near = [(1, [1.0, 0.001 * i]) for i in range(200)]
