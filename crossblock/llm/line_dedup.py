@@ -4,7 +4,8 @@ Every run of three consecutive lines is hashed (blank lines do not count, white
 line's ends is ignored). A text with fewer lines is one window of all it has. Windows that
 occur more than once anywhere are found with one aggregate; every occurrence but the first, in
 order of (key, text, position), marks its lines, overlapping marks merge, and marked lines go.
-A line that goes has an equal line earlier, so every line keeps its first copy.
+A line that goes has an equal line earlier, so every line keeps its first copy. Repeated runs
+of one or two lines inside a longer text stay, however long.
 
 Missing text stays missing and empty text empty. A text of which no line is left becomes
 empty. Missing keys sort first. Repeated rows (equal key and text) are one document and are
