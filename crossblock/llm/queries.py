@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, spotsigs, warc
+from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, spotsigs, warc, whitening
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -133,3 +133,18 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(docs, model).select(
         F.col("key").alias("doc_id"), (fold("key", 3) == 1).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable vector on the first 16 components of the distinct ones, with unit variance."""
+    found = whitening.whiten(table(spark, sf, "embeddings"))
+    return found.select(
+        F.col("key").alias("vec_id"),
+        "component",
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
