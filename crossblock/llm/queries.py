@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, quality, secrets, spotsigs, warc, whitening
+from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, prefix_trie, quality, secrets, spotsigs, warc, whitening
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -148,3 +148,13 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
         "explained",
         "identity_error",
     )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Trie of all conversations, each begun by turns of the first of its hundred."""
+    turns = prefix_trie.ordered(table(spark, sf, "conversations"))
+    conv = F.col("conv")
+    share = F.crc32(conv.cast("string").cast("binary")) % 6
+    rebuilt, convs = prefix_trie.share_heads(turns, base=conv - conv % 100, share=share, most=5)
+    return prefix_trie.trie(rebuilt, convs).drop("k1", "k2")
