@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossblock.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, prefix_trie, quality, secrets, spotsigs, warc, whitening
+from crossblock.llm import language, lattice, line_dedup, mixing, neighbours, ngram_join, packing, prefix_trie, quality, secrets, spotsigs, warc, whitening
 from crossblock.llm.common import fold, table, word_count
 from crossblock.session import cut, scratch_path
 
@@ -158,3 +158,25 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     share = F.crc32(conv.cast("string").cast("binary")) % 6
     rebuilt, convs = prefix_trie.share_heads(turns, base=conv - conv % 100, share=share, most=5)
     return prefix_trie.trie(rebuilt, convs).drop("k1", "k2")
+
+
+def pieces_file() -> str:
+    """Where the vocabulary of subwords lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every text, learnt from the documents outside fold 0 of 10."""
+    found = lattice.score(table(spark, sf, "documents"), pieces_file(), trains=fold("doc_id", 10) != 0)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        (fold("key", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
