@@ -345,9 +345,8 @@ def score(
                 at = pc.index_in(texts.words.cast(pa.string()), value_set=table)
                 place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)[texts.word]
                 light = place < 0
-                sums = [
-                    np.bincount(texts.text[~light], v[place[~light]], texts.n) for v in values
-                ]
+                # Without heavy words the sums are whole numbers unless made floats.
+                sums = [np.bincount(texts.text[~light], v[place[~light]], texts.n).astype(float) for v in values]
                 sizes = np.bincount(texts.text, minlength=texts.n) + 1
                 nothing = pa.nulls(texts.n, pa.string())
                 yield pa.RecordBatch.from_arrays(
