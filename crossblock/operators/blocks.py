@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossblock.functions.keyed import digest
@@ -172,31 +172,41 @@ def pair_facts(facts: DataFrame, *, pairings_per_fact: int, seed: int | str) ->
     return pairs.select(*POOL, "round", "fact_q1", "fact_q2")
 
 
+def pick_templates(rows: DataFrame, templates: DataFrame, rank: Column, *, least: int = 1) -> DataFrame:
+    """Add `template`, the one of the row's family at place rank modulo their number.
+
+    Templates are looked up by (family, place), however many a family has; a family with
+    fewer than `least` fails the job. `rows` is read twice.
+    """
+    family = "relation_family"
+    place = F.row_number().over(Window.partitionBy(family).orderBy("ordinal", "template_id")) - 1
+    held = F.struct("ordinal", "template_id", "text").alias("template")
+    numbered = templates.select(family, place.alias("_place"), held)
+    counts = numbered.groupBy(family).agg(F.count("*").alias("_count"))
+    sizes = rows.groupBy(family).agg(F.count("*").alias("_n")).join(counts, family, "left")
+    sizes = cut(insist(
+        sizes,
+        F.coalesce(F.col("_count"), F.lit(0)) >= F.lit(least),
+        F.concat(F.lit("too few question templates for family "), F.col(family)),
+    ))
+    # Ranks go round, so each place has its share of the family's rows.
+    shares = numbered.join(sizes.select(family, F.ceil(F.col("_n") / F.col("_count")).alias("_share")), family)
+    placed = sized_lookup(rows.withColumn("_rank_at", rank), sizes, [family], "_n")
+    placed = placed.withColumn("_place", (F.col("_rank_at") % F.col("_count")).cast("int"))
+    return sized_lookup(placed, cut(shares), [family, "_place"], "_share").select(*rows.columns, "template")
+
+
 def assign_templates(
     pairs: DataFrame, templates: DataFrame, *, templates_per_family: int | None, seed: int | str
 ) -> DataFrame:
     """Round-robin templates inside each (family, split) pool, and the block id."""
     if templates_per_family is not None:
         templates = templates.where(F.col("ordinal") < F.lit(templates_per_family))
-    listed = templates.groupBy("relation_family").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "template_id", "text"))).alias("_list")
-    )
     ids = pairs.withColumns(
         {"_k1": F.col("fact_q1.fact_id"), "_k2": F.col("fact_q2.fact_id")}
     )
     ranked = shuffle_rank(ids, group=POOL, key=["_k1", "_k2"], seed=f"{seed}:t", name="_rank")
-    # A family's short template list is looked up whole and indexed by the rank.
-    sizes = pairs.groupBy("relation_family").agg(F.count("*").alias("_n"))
-    sized = sizes.join(listed, "relation_family", "left")
-    sized = cut(insist(
-        sized,
-        F.size("_list") >= F.lit(templates_per_family or 1),
-        F.concat(F.lit("too few question templates for family "), F.col("relation_family")),
-    ))
-    placed = sized_lookup(ranked, sized, ["relation_family"], "_n")
-    picked = placed.withColumn(
-        "template", F.get("_list", (F.col("_rank") % F.size("_list")).cast("int"))
-    )
+    picked = pick_templates(ranked, templates, F.col("_rank"), least=templates_per_family or 1)
     return picked.select(
         block_id(F.col("relation_family"), F.col("template.template_id")).alias("block_id"),
         *[c for c in pairs.columns],

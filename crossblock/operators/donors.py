@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.ml.stat import Summarizer
 
 from crossblock.functions import keyed
 from crossblock.functions.keyed import digest, index_draw
-from crossblock.functions.values import insist
+from crossblock.functions.names import SOURCE_KINDS
+from crossblock.functions.values import insist, insist_once
+from crossblock.operators.patch import sweep_grid
 from crossblock.operators.ranking import hash_bucketed, prefix_sums
 from crossblock.session import cut
 
@@ -36,7 +39,8 @@ def draw_donors(
     The draw is an index into the pool with the own range cut out, so no redraw is needed.
     A pair whose block is the whole pool is an error. `seed` should name position and kind;
     the layer stays out of it, so one donor serves all layers. A block has at most four
-    cells, which the numbering inside a block relies on.
+    cells, which the numbering inside a block relies on. Where cells have a `row`, the donor's
+    comes with it.
     """
     ranges = cut(donor_ranges(cells))
     placed = (
@@ -52,13 +56,15 @@ def draw_donors(
     u = index_draw(F.col("_free"), seed, *key)
     skip = (F.col("_m") > 0) & (u >= F.col("_lo"))
     inner = Window.partitionBy("block_id").orderBy("cell")
+    rows = ["row"] if "row" in cells.columns else []
     pool = (
-        cells.select("block_id", "cell", (F.row_number().over(inner) - 1).alias("_i"))
+        cells.select("block_id", "cell", *rows, (F.row_number().over(inner) - 1).alias("_i"))
         .join(ranges, "block_id")
         .select(
             (F.col("lo") + F.col("_i")).alias("_u"),
             F.col("block_id").alias("donor_block"),
             F.col("cell").alias("donor_cell"),
+            *[F.col(r).alias("donor_row") for r in rows],
         )
     )
     drawn = placed.withColumn("_u", F.when(skip, u + F.col("_m")).otherwise(u))
@@ -75,14 +81,39 @@ def gather_vectors(
     row: str = "source_row",
     layers: Sequence[int] = (),
     positions: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    """Source vectors of each pair, one row per (pair, position, layer)."""
+    """Source vectors of each pair, one row per (pair, position, layer).
+
+    Every pair must have one vector at each wanted position and layer (without a wish: at each
+    that the table has), or the job fails and names the row; with strict=False a pair that
+    has none gets a NULL vector instead. Checking reads keys only. The join is on the row alone,
+    so vectors stored in buckets of rows stay where they are.
+    """
     held = vectors
     if layers:
         held = held.where(F.col("layer").isin([int(x) for x in layers]))
     if positions:
         held = held.where(F.col("position").isin(list(positions)))
-    return pairs.join(held.withColumnRenamed("row", row), row)
+    gathered = pairs.join(held.withColumnRenamed("row", row), row, "left")
+    if not strict:
+        return gathered
+    if layers and positions:
+        wanted = F.lit(len({int(x) for x in layers}) * len(set(positions)))
+    else:
+        wanted = held.select("position", "layer").distinct().agg(F.count("*")).scalar()
+    places = F.struct("position", "layer")
+    counts = held.groupBy(F.col("row").alias(row)).agg(
+        F.count("*").alias("_rows"), F.count_distinct(places).alias("_places")
+    )
+    asked = pairs.select(row).distinct().join(counts, row, "left")
+    whole = (F.col("_rows") == wanted) & (F.col("_places") == wanted)
+    wrong = asked.where(~F.coalesce(whole, F.lit(False))).agg(
+        F.min(F.coalesce(F.col(row).cast("string"), F.lit("NULL"))).alias("row")
+    )
+    message = F.concat(F.lit("missing or repeated vectors of row "), F.col("row"))
+    checked = insist_once(gathered, wrong, F.col("row").isNull(), message)
+    return insist(checked, F.col("vec").isNotNull(), F.concat(F.lit("no vector of row "), F.col(row).cast("string")))
 
 
 def mean_vectors(vectors: DataFrame) -> DataFrame:
@@ -104,7 +135,8 @@ def gaussian_vectors(
     """Replace each vector by Gaussian noise of the same norm.
 
     Box-Muller on counter-based draws: element j of a row is a function of (seed, position,
-    kind, key, layer) and j, so the noise does not depend on partitioning.
+    kind, key, layer) and j, so the noise does not depend on partitioning. A missing vector
+    stays missing; a missing element makes every element of its noise missing (NaN).
     """
     parts = ["position", F.lit(kind), *key, "layer"]
     seeded = sources.withColumn("_h", digest(seed, *parts)).withColumns(
@@ -114,9 +146,10 @@ def gaussian_vectors(
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            widths = pdf["vec"].map(len)
+            widths = pdf["vec"].map(len, na_action="ignore")
             filled: list[np.ndarray | None] = [None] * len(pdf)
             for width, rows in pdf.groupby(widths).groups.items():
+                width = int(width)
                 words = pdf.loc[rows, ["_h0", "_h1"]].to_numpy().astype(np.uint32)
                 x = keyed.np_mix32(keyed.np_first_mix(words[:, 0], 2 * width) ^ words[:, 1, None])
                 u = (x.astype(np.float64) + 1.0) / 2.0**32
@@ -131,3 +164,75 @@ def gaussian_vectors(
 
     names = sources.columns
     return seeded.drop("_h").mapInPandas(fill, sources.schema)
+
+
+#: Source kinds that take a cell of another block, and the value of `matched` they draw from.
+DONOR_POOLS = {"random_cell": None, "matched_donor": True, "crossed_donor": False}
+
+
+def _by_layer(long: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The vectors of a pair at one position as one array along the layers."""
+    each = F.sort_array(F.collect_list(F.struct("layer", "vec")))
+    return long.groupBy("_row", *columns).agg(each.alias("sources")).drop("_row")
+
+
+def control_sources(
+    pairs: DataFrame,
+    cells: DataFrame,
+    vectors: DataFrame,
+    *,
+    positions: Sequence[str],
+    layers: Sequence[int],
+    kinds: Sequence[str] = tuple(SOURCE_KINDS),
+    seed: int = 0,
+) -> DataFrame:
+    """Replacement vectors of every pair, position and source kind, along the layers.
+
+    `pairs` has block_id, target_cell and source_row, `cells` the block_id, cell, row and matched
+    of all rows, `vectors` theirs (row, layer, position, vec). Adds position, source_kind and
+    `sources`, an array of structs (layer, vec). One donor is drawn per (pair, position, kind)
+    and serves all layers. Vectors are joined per position on the row, where they lie if they
+    are stored in buckets of rows; only noise is moved. The means, positions x layers vectors,
+    are broadcast.
+    """
+    unknown = set(kinds) - set(SOURCE_KINDS)
+    if unknown:
+        raise ValueError(f"unknown source kinds {sorted(unknown)}")
+    layers = sorted({int(x) for x in layers})
+    columns = [*pairs.columns, "position", "source_kind"]
+    placed = sweep_grid(pairs, position=positions)
+    asked = []
+    for kind in kinds:
+        own = placed.withColumn("source_kind", F.lit(kind))
+        if kind in DONOR_POOLS:
+            wanted = DONOR_POOLS[kind]
+            pool = cells if wanted is None else cells.where(F.col("matched") == wanted)
+            key = ["position", F.lit(kind), "block_id", "target_cell"]
+            drawn = draw_donors(own, pool.select("block_id", "cell", "row"), key=key, seed=seed)
+            asked.append(drawn.select(*columns, F.col("donor_row").alias("_row")))
+        elif kind != "mean":
+            asked.append(own.select(*columns, F.col("source_row").alias("_row")))
+    parts = []
+    if asked:
+        requests = cut(reduce(DataFrame.unionByName, asked))
+        for position in positions:
+            here = requests.where(F.col("position") == position).drop("position")
+            long = gather_vectors(here, vectors, row="_row", layers=layers, positions=[position])
+            parts.append(_by_layer(long.where("source_kind <> 'gaussian'"), columns))
+            if "gaussian" in kinds:
+                noise = gaussian_vectors(
+                    long.where("source_kind = 'gaussian'"), key=["block_id", "target_cell"], seed=seed
+                )
+                parts.append(_by_layer(noise, columns))
+    if "mean" in kinds:
+        held = vectors.where(F.col("layer").isin(layers) & F.col("position").isin(list(positions)))
+        each = F.sort_array(F.collect_list(F.struct("layer", "vec")))
+        means = mean_vectors(held).groupBy("position").agg(each.alias("sources"))
+        own = placed.withColumn("source_kind", F.lit("mean"))
+        met = insist(
+            own.join(F.broadcast(means), "position", "left"),
+            F.size("sources") == len(layers),
+            "a position or layer has no vectors to take the mean of",
+        )
+        parts.append(met.select(*columns, "sources"))
+    return reduce(DataFrame.unionByName, [p.select(*columns, "sources") for p in parts])

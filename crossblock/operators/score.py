@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossblock.functions.text import first_line, normalize_entity
-from crossblock.functions.values import finite
-from crossblock.operators.ranking import exact_quantiles, row_index
+from crossblock.functions.values import finite, insist
+from crossblock.operators.lookup import sized_lookup
+from crossblock.operators.ranking import batch_numbers, exact_quantiles, row_index
 from crossblock.session import cut
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -48,16 +49,46 @@ def select_rows(
 
 #: Rows that one task scores, about.
 TASK_ROWS = 20_000
+#: Columns that in_batches adds: the batch number.
+BATCH = "_batch"
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    """As many tasks as the rows ask for, every core at least: few bytes may be much model time."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def spread_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Hash rows over as many tasks as their number asks for, every core at least.
+    """Hash rows over as many tasks as their number asks for.
 
     Rows that are few bytes and much model time would otherwise be merged into few tasks.
     """
     rows = cut(df)
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
-    return rows.repartition(tasks, *key)
+    return rows.repartition(_tasks(df, rows.count()), *key)
+
+
+def in_batches(
+    df: DataFrame, lengths: DataFrame, *, key: Sequence[str], length: str, batch_size: int
+) -> DataFrame:
+    """Rows laid out by (length, batch number): a batch lies in one task, a task holds many.
+
+    Rows of one length are numbered over all tasks in the order of a hash of the key, so that
+    a length has at most one batch that is not full, and batches do not depend on
+    partitioning. `lengths` holds the key, which must be present and unique, and the length of
+    every row of `df`; only those are ranked.
+    """
+    if batch_size < 1:
+        raise ValueError(f"batch_size must be >= 1, got {batch_size}")
+    size = [] if length in key else [F.max(length).alias(length)]
+    unique = lengths.groupBy(*key).agg(*size, F.count("*").alias("_n"))
+    unique = insist(unique, F.col("_n") == 1, "a key to score repeats")
+    for k in key:
+        unique = insist(unique, F.col(k).isNotNull(), f"a row to score has no {k}")
+    numbered = batch_numbers(cut(unique.drop("_n")), length=length, key=key, batch_size=batch_size)
+    numbered = cut(numbered.withColumnRenamed("batch", BATCH))
+    other = [c for c in df.columns if c != length or c in key]
+    placed = df.select(*other).join(numbered, list(key))
+    return placed.repartition(_tasks(df, numbered.count()), length, BATCH)
 
 
 def score(
@@ -77,8 +108,9 @@ def score(
     of at most batch_size rows of equal length and returns the columns of `schema` for them
     in order. `keep` lists the columns of the result besides those (default: the key).
 
-    Rows are spread by a hash of the key, so a common length fills many tasks; pass
-    spread=False for a frame that already is.
+    Rows are first written and laid out by `in_batches`. Pass spread=False for a frame that
+    already is, or for one whose rows are too heavy to move: without batch numbers each task
+    makes its own batches, and one of each length in a task may not be full.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size must be >= 1, got {batch_size}")
@@ -86,18 +118,23 @@ def score(
     scored = T.StructType.fromDDL(schema)
     out = T.StructType([df.schema[k] for k in kept] + list(scored.fields))
     names = [f.name for f in scored.fields]
-    rows = spread_rows(df, key) if spread else df
-    ordered = rows.sortWithinPartitions(length, *key)
+    rows = df
+    if spread:
+        held = cut(df)
+        rows = in_batches(held, held.select(*{*key, length}), key=key, length=length, batch_size=batch_size)
+    groups = [length, BATCH] if BATCH in rows.columns else [length]
+    ordered = rows.sortWithinPartitions(*groups, *key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer: Scorer | None = None
         waiting: pd.DataFrame | None = None
+        at: tuple | None = None
 
         def flush(part: pd.DataFrame) -> pd.DataFrame:
             nonlocal scorer
             if scorer is None:
                 scorer = factory()
-            result = scorer(part.reset_index(drop=True))
+            result = scorer(part.drop(columns=BATCH, errors="ignore").reset_index(drop=True))
             if len(result) != len(part):
                 raise ValueError(f"scorer returned {len(result)} rows for {len(part)}")
             done = part[kept].reset_index(drop=True)
@@ -106,13 +143,13 @@ def score(
             return done
 
         for pdf in batches:
-            for _, same in pdf.groupby(length, sort=True):
-                # Rows arrive sorted by length, so only the last group can continue.
-                if waiting is not None and waiting[length].iloc[0] == same[length].iloc[0]:
+            for group, same in pdf.groupby(groups, sort=True, dropna=False):
+                # Rows arrive sorted by group, so only the last one can continue.
+                if waiting is not None and group == at:
                     same = pd.concat([waiting, same])
                 elif waiting is not None:
                     yield flush(waiting)
-                waiting = None
+                waiting, at = None, group
                 while len(same) >= batch_size:
                     yield flush(same.iloc[:batch_size])
                     same = same.iloc[batch_size:]
@@ -123,6 +160,31 @@ def score(
     return ordered.mapInPandas(run, out)
 
 
+def score_once(
+    df: DataFrame,
+    factory: Callable[[], Scorer],
+    schema: str,
+    *,
+    address: str,
+    carry: Sequence[str],
+    length: str = "n_tokens",
+    batch_size: int = 32,
+) -> DataFrame:
+    """Score every distinct content once and give all its rows the result.
+
+    `address` names the content address (a hash of what the scorer reads), `carry` the columns
+    that the scorer needs, equal in all rows of an address. Rows without an address get
+    missing scores.
+    """
+    content = df.where(F.col(address).isNotNull()).groupBy(address).agg(
+        *[F.any_value(c).alias(c) for c in {*carry, length}], F.count("*").alias("_copies")
+    )
+    scored = cut(
+        score(content, factory, schema, key=[address], keep=[address, "_copies"], length=length, batch_size=batch_size)
+    )
+    return sized_lookup(df, scored, [address], "_copies").drop("_copies")
+
+
 def score_flags(df: DataFrame, greedy: str = "greedy_answer", gold: str = "gold") -> DataFrame:
     """Exact match, match as an entity, error (another entity), alias (other surface form)."""
     return df.withColumns(
@@ -160,8 +222,10 @@ def score_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 __all__ = [
     "Scorer",
     "first_line",
+    "in_batches",
     "score",
     "score_flags",
+    "score_once",
     "score_summary",
     "select_rows",
     "spread_rows",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -255,6 +257,37 @@ def fact_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def guess_answerer(nations: list[str]):
+    """A stand-in model that answers with some nation, small or in capitals, and goes on talking."""
+
+    def factory():
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            drawn = [int(hashlib.sha256(p.encode()).hexdigest()[:7], 16) for p in batch["prompt"]]
+            said = [nations[d % len(nations)] for d in drawn]
+            said = [s.lower() if d % 3 == 0 else s for s, d in zip(said, drawn, strict=True)]
+            return pd.DataFrame({"generated": [f" {s} \nas everybody knows" for s in said]})
+
+        return run
+
+    return factory
+
+
+def id_gold_scorer():
+    """A stand-in model: the margin is the mean token id, log-probabilities the answer's scaled ids."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        ids = np.stack(batch["input_ids"].to_numpy()).astype(np.float64)
+        spans = zip(ids, batch["answer_start"], batch["answer_end"], strict=True)
+        return pd.DataFrame(
+            {
+                "confidence_margin": (ids.sum(axis=1) / ids.shape[1] / 2**27 - 1.0) * 50,
+                "logprobs": [-row[start:end] / 2**28 for row, start, end in spans],
+            }
+        )
+
+    return run
+
+
 WIDTH = 8
 
 
@@ -290,6 +323,42 @@ def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Positions of the control sweep, and by how much each shifts the slices of an embedding.
+PLACES = {"NL": 0, "NL1": 1, "AC": 2}
+SHARES = {"NL": 0.875, "NL1": 0.25, "AC": 0.125}
+START = 3
+
+
+def position_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors at three positions: position k has slice l + k at layer l."""
+    slices = vectors(spark, sf)
+    n = slices.agg(F.max("layer") + 1).scalar()
+    shifts = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k")) for p, k in PLACES.items()])
+    return slices.select("row", F.explode(shifts).alias("s"), "layer", "vec").select(
+        "row", F.col("s.p").alias("position"), F.pmod(F.col("layer") - F.col("s.k"), n).cast("int").alias("layer"), "vec"
+    )
+
+
+def probed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of whole blocks of vector rows, whose margin is the sum of an embedding."""
+    held = vector_cells(spark, sf).drop("confidence_margin")
+    probe = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    sums = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), probe.alias("confidence_margin"))
+    whole = held.groupBy("block_id").agg(F.count("*").alias("n")).where("n = 4")
+    return held.join(sums, "row").join(whole, "block_id", "left_semi")
+
+
+def probe_scorer():
+    """A stand-in model that reads vectors: the margin moves towards the sum of the replaced ones."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        read = [sum(float(np.sum(s["vec"], dtype=np.float64)) for s in held) for held in batch["sources"]]
+        share = batch["position"].map(SHARES)
+        return pd.DataFrame({"patched": batch["target_clean"] * (1.0 - share) + np.array(read) * share})
+
+    return run
+
+
 #: How much of the partner's margin a position carries over, for the stand-in sweep.
 CARRIED = {"AC": 0.02, "LAT": 0.3, "NL": 0.9, "NL1": 0.05, "CC": 1.0}
 

@@ -1,4 +1,4 @@
-"""Cells to measured behaviour, and saved measurements to summaries and gates."""
+"""Cells to measured behaviour and patched margins, and saved measurements to summaries and gates."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossblock.functions.likelihood import with_array_stats
-from crossblock.functions.names import PositionNames
+from crossblock.functions.names import SOURCE_KINDS, PositionNames
 from crossblock.functions.positions import encode, resolve_positions
 from crossblock.functions.prompts import PromptText, render_prompts
 from crossblock.functions.values import with_readouts
 from crossblock.operators.contrast import confidence_signal
+from crossblock.operators.donors import control_sources
 from crossblock.operators.gates import control_gates, route_gates, signal_gates
 from crossblock.operators.patch import (
     condition_table,
@@ -22,7 +23,8 @@ from crossblock.operators.patch import (
     summarize_patching,
     sweep_grid,
 )
-from crossblock.operators.score import Scorer, score, spread_rows
+from crossblock.operators.score import BATCH, Scorer, in_batches, score, spread_rows
+from crossblock.session import cut
 from crossblock.sources.contract import write_result
 
 KEY = ["block_id", "cell"]
@@ -64,14 +66,18 @@ def measure(
 ) -> DataFrame:
     """Behaviour rows: cells, positions, prompt checksum and what the scorer returned.
 
-    One shuffle, of the cells while they are still small: prompts and tokens are made after
-    it and are dropped before anything leaves the worker. `likelihood` names a column of the
-    scorer, log-probabilities as an array, that is replaced by its ten statistics.
+    Cells are shuffled while they are still small. Their token counts come first, from a pass
+    that keeps nothing else; prompts and tokens are made again where the batches are scored, and
+    are dropped before anything leaves the worker. `likelihood` names a column of the scorer,
+    log-probabilities as an array, that is replaced by its ten statistics.
     """
-    resolved = resolved_cells(spread_rows(cells, KEY), names=names, **options)
+    cells = cut(cells)
+    lengths = resolved_cells(spread_rows(cells, KEY), names=names, **options).select(*KEY, "n_tokens")
+    placed = in_batches(cells, lengths, key=KEY, length="n_tokens", batch_size=batch_size)
+    resolved = resolved_cells(placed.drop("n_tokens"), names=names, **options)
     positions = [f"{p}_{n}" for n in names.ordered() for p in ("pos", "tok")]
     keep = [*cells.columns, "n_tokens", "n_answer_tokens", "prompt_sha256", *positions]
-    inputs = resolved.select(*keep, "input_ids", "answer_start", "answer_end")
+    inputs = resolved.select(*keep, "input_ids", "answer_start", "answer_end", BATCH)
     scored = score(
         inputs, factory, schema, key=KEY, keep=keep, batch_size=batch_size, spread=False
     )
@@ -95,12 +101,48 @@ def sweep(
     grid = sweep_grid(pairs, position=positions, layer=layers)
     # All rows of a layer have one length, so a batch holds one layer.
     scored = score(
-        grid, factory, "patched double", key=["block_id", "target_cell", "position"],
+        grid, factory, "patched double", key=["block_id", "target_cell", "position", "layer"],
         keep=grid.columns, length="layer", batch_size=batch_size,
     )
     return with_readouts(scored)
 
 
+def control_sweep(
+    behavior: DataFrame,
+    vectors: DataFrame,
+    factory: Callable[[], Scorer],
+    *,
+    positions: Sequence[str],
+    layers: Sequence[int],
+    kinds: Sequence[str] = SOURCE_KINDS,
+    margin: str = "confidence_margin",
+    length: str | None = None,
+    seed: int = 0,
+    batch_size: int = 32,
+) -> DataFrame:
+    """Every pair scored with each kind of replacement vectors at each position.
+
+    `behavior` has a `row` that the vectors share, and `vectors` those of all its rows at the
+    wanted positions and layers; a missing one fails the job. One row of the scorer holds the
+    pair, position, source_kind, and `sources`: structs (layer, vec) from the first to the last
+    layer; it returns `patched`. Where `length` names a column of the behaviour, batches have one
+    value of it among the targets. Rows carry vectors and are scored where they lie.
+    """
+    pairs = partner_pairs(behavior, margin)
+    size = F.lit(1) if length is None else F.col(length)
+    targets = behavior.select("block_id", F.col("cell").alias("target_cell"), size.alias("n_tokens"))
+    pairs = cut(pairs.join(targets, ["block_id", "target_cell"]))
+    sources = control_sources(
+        pairs, behavior, vectors, positions=positions, layers=layers, kinds=kinds, seed=seed
+    )
+    key = ["block_id", "target_cell", "position", "source_kind"]
+    scored = score(
+        sources, factory, "patched double", key=key, keep=[c for c in sources.columns if c != "sources"],
+        batch_size=batch_size, spread=False,
+    )
+    return with_readouts(scored.withColumn("start_layer", F.lit(min(layers))))
+
+
 def signal_report(
     spark: SparkSession,
     path: str,

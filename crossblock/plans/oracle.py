@@ -14,7 +14,7 @@ from crossblock.functions.names import (
 )
 from crossblock.functions.positions import ERRORS, SETS
 from crossblock.functions.prompts import PromptText
-from crossblock.plans.inputs import POSITIONS, TEMPLATE_TEXTS, WIDTH
+from crossblock.plans.inputs import PLACES, POSITIONS, SHARES, START, TEMPLATE_TEXTS, WIDTH
 from crossblock.sources.contract import CELL_COLUMNS
 
 Parts = list[tuple[str, str]]
@@ -613,13 +613,13 @@ VECTOR_CELLS = (
 )
 
 
-def pool(rows: str) -> Parts:
+def pool(rows: str, tag: str = "") -> Parts:
     return [
-        ("pool_b", f"SELECT block_id, count(*) AS m, md5('pool:' || block_id) AS h FROM {rows} GROUP BY 1"),
-        ("pool_l", "SELECT *, sum(m) OVER (ORDER BY h, block_id) - m AS lo FROM pool_b"),
-        ("pool", f"""SELECT r.block_id AS donor_block, r.cell AS donor_cell,
+        (f"pool_b{tag}", f"SELECT block_id, count(*) AS m, md5('pool:' || block_id) AS h FROM {rows} GROUP BY 1"),
+        (f"pool_l{tag}", f"SELECT *, sum(m) OVER (ORDER BY h, block_id) - m AS lo FROM pool_b{tag}"),
+        (f"pool{tag}", f"""SELECT r.block_id AS donor_block, r.cell AS donor_cell,
           lo + row_number() OVER (PARTITION BY r.block_id ORDER BY cell) - 1 AS index
-          FROM {rows} r JOIN pool_l USING (block_id)"""),
+          FROM {rows} r JOIN pool_l{tag} USING (block_id)"""),
     ]
 
 
@@ -640,6 +640,48 @@ def donors(kind: str, where: str) -> str:
     )
 
 
+def control_rows() -> str:
+    """Pairs of whole blocks, patched with the sums of five kinds of replacement vectors."""
+    where = {"random_cell": "true", "matched_donor": "matched", "crossed_donor": "NOT matched"}
+    parts: Parts = [
+        VECTOR_CELLS,
+        ("vsum", """SELECT vec_id AS "row", list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS z FROM embeddings"""),
+        ("pcells", """SELECT block_id, "row", cell, q_index, a_index, matched, z FROM vcells JOIN vsum USING ("row")
+          WHERE block_id IN (SELECT block_id FROM vcells GROUP BY 1 HAVING count(*) = 4)"""),
+        ("places", f"""SELECT position, CAST(k AS INTEGER) AS k, CAST(share AS DOUBLE) AS share FROM (VALUES
+          {', '.join(f"({text(p)}, {k}, {SHARES[p]})" for p, k in PLACES.items())}) t(position, k, share)"""),
+        ("ppairs", """SELECT t.block_id, t.cell AS target_cell, t.matched, s."row" AS source_row, t.z AS target_clean, s.z AS source_clean,
+          position, k, share FROM pcells t JOIN pcells s ON t.block_id = s.block_id AND t.q_index = s.q_index
+          AND t.a_index <> s.a_index, places"""),
+        ("el", f"""SELECT vec_id AS "row", position, ((i // {WIDTH}) - k + 8) % 8 AS layer, i, CAST(x AS DOUBLE) AS x
+          FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), places"""),
+        ("probe", f"""SELECT "row", position, sum(x) AS read FROM el WHERE layer >= {START} GROUP BY 1, 2"""),
+        ("middle", f"""SELECT position, sum(m) AS read FROM (SELECT position, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS m
+          FROM el WHERE layer >= {START} GROUP BY position, layer, i) GROUP BY 1"""),
+    ]
+    reads = ["""SELECT p.*, 'partner' AS source_kind, read FROM ppairs p JOIN probe b ON b."row" = source_row AND b.position = p.position""",
+             "SELECT p.*, 'mean' AS source_kind, read FROM ppairs p JOIN middle USING (position)"]
+    for kind, condition in where.items():
+        drawn = f"md5('7:' || position || ':{kind}:' || block_id || ':' || target_cell)"
+        u = f"(CAST(('0x' || substr({drawn}, 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+        parts += [
+            (f"c_{kind}", f"SELECT * FROM pcells WHERE {condition}"),
+            *pool(f"c_{kind}", f"_{kind}"),
+            (f"own_{kind}", f"""SELECT p.*, l.lo, coalesce(l.m, 0) AS m, floor({u} * (s.n - coalesce(l.m, 0))) AS u
+              FROM ppairs p LEFT JOIN pool_l_{kind} l USING (block_id), (SELECT count(*) AS n FROM pool_{kind}) s"""),
+        ]
+        reads.append(
+            f"""SELECT o.* EXCLUDE (lo, m, u), '{kind}' AS source_kind, read FROM own_{kind} o JOIN pool_{kind} d
+            ON d.index = CASE WHEN o.m > 0 AND o.u >= o.lo THEN o.u + o.m ELSE o.u END
+            JOIN pcells c ON c.block_id = d.donor_block AND c.cell = d.donor_cell
+            JOIN probe b ON b."row" = c."row" AND b.position = o.position"""
+        )
+    parts += [("reads", union(reads)), ("patched_rows", "SELECT *, target_clean * (1 - share) + read * share AS patched FROM reads")]
+    return sql(parts, f"""SELECT block_id, target_cell, position, source_kind, CAST({START} AS INTEGER) AS start_layer,
+        CASE WHEN matched THEN 'ablate' ELSE 'restore' END AS direction, {rd('patched', digits=5)},
+        {rd('patched - target_clean', 'moved', 5)}, {rd('source_clean - target_clean', 'gap', 5)} FROM patched_rows""")
+
+
 def quantile(value: str, q: str, name: str) -> str:
     return rd(f"quantile_cont({value}, {q})", name)
 
@@ -656,6 +698,27 @@ SCORE_SUMMARY = f"""count(*) AS n_facts, {rd('avg(greedy_exact::INT)', 'on_polic
   {rd('avg((abs(gold_margin) < 10)::INT)', 'unsaturated_fraction')},
   {quantile('gold_margin', '0.5', 'median_gold_margin')} FROM scores"""
 
+FACT_SCORES: Parts = [
+    RAW,
+    FACTS,
+    TEMPLATES,
+    ("names", "SELECT list(n_name ORDER BY n_nationkey) AS all_names FROM nation"),
+    ("asked", f"""SELECT fact_id AS conv_id, 0 AS turn, f.*, replace(t.text, '{{s}}', subject_phrase) AS question,
+      {text(_open)} || question || chr(10) || 'Answer:' AS head, head || ' ' || answer || chr(10) || 'Confidence:' AS prompt,
+      length(head) + 1 AS first_char, first_char + length(answer) AS past_char,
+      CAST(('0x' || substr(sha256(head), 1, 7)) AS BIGINT) AS drawn
+      FROM facts f JOIN templates t ON t.relation_family = f.relation_family AND t.ordinal = 1"""),
+    *tokens("asked", "prompt"),
+    ("read", """SELECT conv_id, (sum(id) / CAST(count(*) AS DOUBLE) / 134217728 - 1) * 50 AS gold_margin,
+      avg(id / CAST(268435456 AS DOUBLE)) FILTER (start < past_char AND stop > first_char) AS gold_nll_per_token,
+      CAST(count(*) FILTER (start < past_char AND stop > first_char) AS INTEGER) AS gold_n_tokens
+      FROM tok JOIN asked USING (conv_id, turn) GROUP BY 1"""),
+    ("scores", """SELECT fact_id, relation_family, subject, question, answer AS gold,
+      CASE WHEN drawn % 3 = 0 THEN lower(all_names[drawn % len(all_names) + 1]) ELSE all_names[drawn % len(all_names) + 1] END
+      AS greedy_answer, gold_margin, gold_nll_per_token, gold_n_tokens, greedy_answer = gold AS greedy_exact,
+      lower(greedy_answer) = lower(gold) AS greedy_entity FROM asked JOIN read USING (conv_id), names"""),
+]
+
 STATS = """avg(x) AS lp_mean, min(x) AS lp_min, max(x) AS lp_max, var_pop(x) AS lp_var,
   arg_min(x, i) AS lp_first, arg_max(x, i) AS lp_last, sum(x) AS lp_sum, -sum(x) AS nll,
   -avg(x) AS nll_per_token"""
@@ -1056,6 +1119,11 @@ def queries() -> dict[str, str]:
             target_clean + (source_clean - target_clean) * (share * (CAST(1 AS DOUBLE) - layer / CAST(10 AS DOUBLE))) AS patched
             FROM pairs, (VALUES ('AC', 0.02::DOUBLE), ('LAT', 0.3::DOUBLE), ('NL', 0.9::DOUBLE), ('NL1', 0.05::DOUBLE),
             ('CC', 1.0::DOUBLE)) w(position, share), range(7) l(layer)) p""")),
+        "l6_control_sweep": control_rows(),
+        "l8_scored_facts": sql(FACT_SCORES, f"""SELECT fact_id, relation_family, subject, question, gold, greedy_answer,
+            {rounded(['gold_margin', 'gold_nll_per_token'])}, gold_n_tokens, greedy_exact, greedy_entity,
+            NOT greedy_entity AS is_model_error, greedy_entity AND NOT greedy_exact AS is_alias FROM scores"""),
+        "l9_fact_score_summary": sql(FACT_SCORES, f"SELECT relation_family, {SCORE_SUMMARY} GROUP BY 1"),
         "l5_behavior_likelihood": sql([*BUILT, ("cp", f"""SELECT block_id AS conv_id, cell AS turn, {text(_open)} || question || chr(10)
             || 'Answer: ' || answer || chr(10) || 'Confidence:' AS prompt FROM cells"""), *tokens("cp", "prompt"),
             ("seq", "SELECT conv_id, turn, index AS i, -(id / CAST(268435456 AS DOUBLE)) AS x FROM tok"),

@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 from crossblock.functions import likelihood, positions, prompts, text
 from crossblock.functions.keyed import stable_seed
-from crossblock.functions.names import SPLITS, PositionNames
+from crossblock.functions.names import SOURCE_KINDS, SPLITS, PositionNames
 from crossblock.functions.values import finite
 from crossblock.operators import contrast, donors, gates, patch, ranking, resample, score, splits
 from crossblock.operators import blocks as block_ops
 from crossblock.operators import validate as rules
-from crossblock.plans import build, inputs, measure
+from crossblock.plans import build, inputs, measure, scoring
 from crossblock.session import cut, scratch_path
 from crossblock.sources import contract, manifest, vectors
 from crossblock.sources import facts as fact_source
@@ -131,8 +131,12 @@ def a4_controls_report(spark, sf):
 
 @query
 def a5_vector_store(spark, sf):
-    path = scratch_path(spark, "vectors")
-    vectors.write_vectors(inputs.vectors(spark, sf), path, half=False)
+    """A store whose first batch is written twice and whose second corrects a part of it."""
+    path, held = scratch_path(spark, "vectors"), inputs.vectors(spark, sf)
+    wrong = F.transform("vec", lambda x: x + F.lit(1).cast("float"))
+    vectors.write_vectors(held.withColumn("vec", F.when(F.col("row") % 3 == 0, wrong).otherwise(F.col("vec"))), path, half=False)
+    for _ in range(2):
+        vectors.write_vectors(held.where("row % 3 = 0"), path, half=False)
     held = vectors.read_vectors(spark, path, [1, 3]).withColumn("norm", donors.norm("vec"))
     return tidy(held.select("row", F.col("layer").cast("int"), "position", "norm"))
 
@@ -335,10 +339,12 @@ def c3_crossed_donors(spark, sf):
 
 @query
 def c4_gather_vectors(spark, sf):
-    pairs = patch.partner_pairs(inputs.vector_cells(spark, sf), strict=False)
+    path = scratch_path(spark, "vectors")
+    vectors.write_vectors(inputs.vectors(spark, sf), path, half=False)
+    pairs = patch.partner_pairs(inputs.vector_cells(spark, sf), strict=False).where("source_row IS NOT NULL")
     held = donors.gather_vectors(
         pairs.select("block_id", "target_row", "source_row"),
-        inputs.vectors(spark, sf), layers=[2, 5], positions=["NL"],
+        vectors.read_vectors(spark, path), layers=[2, 5], positions=["NL"],
     )
     return tidy(held.select("block_id", "target_row", "source_row", "layer",
                             donors.norm("vec").alias("norm")))
@@ -700,10 +706,10 @@ def h2_normalize_entity(spark, sf):
 
 @query
 def h3_fill_template(spark, sf):
-    facts = inputs.facts(spark, sf)
-    joined = facts.join(inputs.templates(spark, sf), "relation_family")
-    return joined.select("subject", "ordinal",
-                         text.fill_template("text", "subject_phrase").alias("question"))
+    facts = cut(patch.sweep_grid(inputs.facts(spark, sf), place=range(len(inputs.TEMPLATE_TEXTS))))
+    asked = block_ops.pick_templates(facts, inputs.templates(spark, sf), F.col("place"))
+    return asked.select("subject", "template.ordinal",
+                        text.fill_template("template.text", "subject_phrase").alias("question"))
 
 
 @query
@@ -923,6 +929,56 @@ def l5_behavior_likelihood(spark, sf):
     return tidy(behavior.select("block_id", "cell", *stats, "n_answer_tokens"))
 
 
+def _scored_facts(spark, sf):
+    names = [r["n_name"] for r in inputs.table(spark, sf, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    return scoring.score_facts(
+        inputs.facts(spark, sf), inputs.templates(spark, sf), inputs.guess_answerer(names), inputs.id_gold_scorer,
+        ordinal=1,
+    )
+
+
+@query
+def l8_scored_facts(spark, sf):
+    """Facts, questions, two passes of a model over distinct prompts, and flags."""
+    return tidy(_scored_facts(spark, sf))
+
+
+@query
+def l9_fact_score_summary(spark, sf):
+    scored = cut(_scored_facts(spark, sf))
+    return tidy(score.score_summary(scored, ["relation_family"]))
+
+
+def _control_sweep(spark, sf, kinds=SOURCE_KINDS):
+    """Pairs with replacement vectors from a store, scored by a model that reads them."""
+    path = scratch_path(spark, "vectors")
+    vectors.write_vectors(inputs.position_vectors(spark, sf), path, half=False)
+    cells = cut(inputs.probed_cells(spark, sf))
+    return measure.control_sweep(
+        cells, vectors.read_vectors(spark, path), inputs.probe_scorer, positions=list(inputs.PLACES),
+        layers=range(inputs.START, 8), kinds=kinds, seed=7,
+    )
+
+
+@query
+def l6_control_sweep(spark, sf):
+    """Patched margins of the five kinds of sources that are not noise."""
+    swept = _control_sweep(spark, sf, [k for k in SOURCE_KINDS if k != "gaussian"])
+    return tidy(
+        swept.select(
+            "block_id", "target_cell", "position", "source_kind", "start_layer", "direction",
+            *[F.round(c, 5).alias(c) for c in ("patched", "moved", "gap")],
+        )
+    )
+
+
+@query
+def l7_controls_to_gates(spark, sf):
+    """All six kinds of sources, from vectors to the control gates."""
+    summary = patch.summarize_controls(cut(_control_sweep(spark, sf)))
+    return _control_columns(gates.control_gates(summary))
+
+
 # V. Validation
 
 
