@@ -32,6 +32,8 @@ BITS, ORDERS = 15, (1, 2, 3)
 BUCKETS = 1 << BITS
 #: Texts to train on, at most about; share of them kept back for the temperature; seed.
 SAMPLE, KEPT_BACK, SEED = 6_000, 0.2, 5
+#: Languages whose weights fit into one task.
+MOST_LANGUAGES = 1_000
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 2
 UNKNOWN = "und"
@@ -98,13 +100,20 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sampled(learnable: DataFrame, size: int) -> pd.DataFrame:
-    """About `size` texts as bucket counts, the languages in equal parts as far as they go."""
-    counts = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """About `size` distinct texts as bucket counts, the languages in equal parts as far as they go.
+
+    Every language has at least one. Repeated rows are one.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = learnable.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("lowest"))
+    counts = {r["lang"]: r for r in each.limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "at": [], "n": []})
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     part = size / len(counts)
-    rate = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, part / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rates = [F.lit(v) for k, r in counts.items() for v in (k, max(min(1.0, part / r["n"]), r["lowest"]))]
+    rate = F.element_at(F.create_map(*rates), F.col("lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +130,7 @@ def sampled(learnable: DataFrame, size: int) -> pd.DataFrame:
                 )
 
     kind = learnable.schema["key"].dataType.simpleString()
-    chosen = learnable.where(draw < rate).select("key", "lang", "text")
+    chosen = learnable.where(draw <= rate).select("key", "lang", "text").distinct()
     frame = chosen.mapInArrow(vectors, f"key {kind}, lang string, at binary, n binary").toPandas()
     # An order of its own, the same in every run.
     return frame.sort_values(["lang", "key", "at", "n"], ignore_index=True)

@@ -86,7 +86,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
         F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_place"))
     )
     covered = later.groupBy(F.col("_place._key").alias("_k"), F.col("_place._h").alias("_kh")).agg(
-        F.array_distinct(F.flatten(F.collect_list("_lines"))).alias("_gone")
+        F.array_distinct(F.flatten(F.collect_set("_lines"))).alias("_gone")
     )
     joined = marked.join(
         covered, (F.col("_h") == F.col("_kh")) & F.col("_key").eqNullSafe(F.col("_k")), "left"

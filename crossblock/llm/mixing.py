@@ -28,6 +28,8 @@ from crossblock.session import cut
 WEIGHTS, SHARE, CEILING, SEED = (5, 2, 1), 1.5, 2, 20
 #: Rows of one (source, size) cell, or sources, that one window task ranks at most, about.
 CELL_ROWS = 20_000
+#: Copies of one row that one task makes.
+RUN = 1000
 
 
 def targets(
@@ -144,29 +146,39 @@ def taken(
 def emit(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mixed corpus: rows of `docs` with all their columns, each as often as it is taken.
 
-    Ranks are made without texts. Equal rows share the copies they got together.
+    Ranks are made without texts. Equal rows share the copies they got together; a row of any
+    number of copies is made in runs of RUN.
     """
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(key).alias("_id"),
+        F.xxhash64(F.col(key)).alias("_named"),
         F.xxhash64(F.col(source), F.col(text)).alias("_same"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"),
         F.col(source).alias("_from"),
         word_count(text).alias("_words"),
     )
-    counted = taken(marked, key="_id", source="_from", size="_words", keep=["_same"], **how)
-    shares = counted.groupBy(F.col("_id").alias("_i"), F.col("_same").alias("_s")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
-    )
-    alike = Window.partitionBy("_i", "_s").orderBy(F.lit(0))
-    each = F.floor(F.col("_copies") / F.col("_rows"))
-    extra = (F.row_number().over(alike) <= F.col("_copies") - each * F.col("_rows")).cast("long")
-    shared = (
-        marked.select("_row", "_id", "_same")
-        .join(shares.where("_copies > 0"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_same") == F.col("_s")))
-        .withColumn("_times", (each + extra).cast("int"))
-    )
-    return (
-        shared.where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select("_row.*")
-    )
+    cell = ["_named", "_same", "_all"]
+    counted = taken(marked, key="_id", source="_from", size="_words", keep=cell, **how)
+    cells = cut(counted.groupBy(*cell).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
+    # Rows with equal id, source and text share their copies evenly, in the order of the whole row.
+    alike = Window.partitionBy("_named", "_same")
+    whole, rows = F.sum("_copies").over(alike), F.sum("_rows").over(alike)
+    before = F.sum("_rows").over(alike.orderBy("_all")) - F.col("_rows")
+    each = F.floor(whole / rows)
+    extra = F.greatest(F.least(whole - each * rows - before, F.col("_rows")), F.lit(0))
+    times = cut(cells.select(*cell, (each * F.col("_rows") + extra).alias("_times")).where("_times > 0"))
+    # Copies of a row are merged before the shuffle; its copies in the mix are made after it.
+    mixed = marked.groupBy(*cell).agg(F.any_value("_row").alias("_row")).join(times, cell).select("_row", "_times")
+    few = _copied(mixed.where(F.col("_times") <= RUN), F.col("_times"))
+    if times.where(F.col("_times") > RUN).isEmpty():
+        return few
+    # Many copies of one row are made in runs, each of its own task.
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / RUN)))
+    many = mixed.where(F.col("_times") > RUN).withColumn("_run", runs)
+    many = many.repartition(F.xxhash64("_row"), "_run")
+    return few.unionByName(_copied(many, F.least(F.lit(RUN), F.col("_times") - F.col("_run") * RUN)))
+
+
+def _copied(rows: DataFrame, times: Column) -> DataFrame:
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("_row.*")

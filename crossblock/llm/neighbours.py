@@ -8,10 +8,11 @@ whole one, and candidates that a hypothesis test puts beyond the fifth best so f
 up. What is left is scored exactly, in double precision, on the original vectors.
 
 Lists are cut into chunks and a list's queries into blocks, both of bounded size, so a hot list
-is many tasks. Vectors that are null, zero, hold null or non-finite components, or differ in
-length from most take no part, neither do rows without an id. Rows that repeat an id count
-once, with their best score, and take one of the k places; a query id that repeats asks with
-the smallest of its vectors, compared component by component. A query's own id is not among
+is many tasks. Vectors that are null, zero, or hold null or non-finite components take no part,
+neither do rows without an id. Vectors of different width are searched apart, each width with
+its own index. Rows that repeat an id count once, with their best score, and take one of the k
+places; a query id that repeats asks with the smallest of its vectors, compared component by
+component, in every width that it has. A query's own id is not among
 its answers. Ties go to the smaller id. A query whose lists give fewer than k ids is asked
 again in all lists, so a query with fewer candidates gets them all. An empty table gives an
 empty result. Extra columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,11 @@ from crossblock.session import cut
 
 SAMPLE, SAMPLE_QUERIES, RECALL, SEED = 20_000, 400, 0.97, 11
 LISTS, ROUNDS = 1024, 8
+#: Widths that one table may mix.
+MOST_WIDTHS = 100
 #: Components of a column block; the test's quantile, in units of 1 / sqrt(components seen).
 BLOCK, EPSILON = 16, 2.1
+FOUND = "query_id long, id long, score double"
 #: Candidates of a chunk, queries of a block, about; candidates scored to have a first bound.
 CHUNK_ROWS, QUERY_ROWS, FIRST = 4096, 2048, 64
 
@@ -163,12 +168,18 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     `queries` is a condition on the column `id`.
     """
     rows = usable(vectors, key, vector)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    schema = "query_id long, id long, score double"
-    if sizes is None:
-        return _ranked(vectors.sparkSession.createDataFrame([], schema), k)
-    rows = rows.where(F.size("v") == sizes["d"])
-    index = fit(rows, sizes["n"], k)
+    counts = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(MOST_WIDTHS + 1).collect()
+    if len(counts) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} widths")
+    parts = [_search_width(rows.where(F.size("v") == r["d"]), r["n"], queries, k) for r in counts]
+    if not parts:
+        return _ranked(vectors.sparkSession.createDataFrame([], FOUND), k)
+    return parts[0] if len(parts) == 1 else _ranked(reduce(DataFrame.unionByName, parts), k)
+
+
+def _search_width(rows: DataFrame, n: int, queries: Column, k: int) -> DataFrame:
+    """The k nearest of each query among `rows` (id, v) of one width."""
+    index = fit(rows, n, k)
     probes = index.probes
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +227,7 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
             dealt(stored, chunks, "chunk", blocks, "block")
             .groupBy(*group)
             .cogroup(dealt(asked, blocks, "block", chunks, "chunk").groupBy(*group))
-            .applyInPandas(answer, schema)
+            .applyInPandas(answer, FOUND)
         )
 
     ranked = _ranked(searched(one.select("id", "v", F.explode("lists").alias("list"))), k)

@@ -13,7 +13,7 @@ end exclusive; a text may hold any number of them. Only DataFrame functions are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,14 +52,24 @@ RULES = (
     # A run is whole in either form; shorter runs need not be listed to be dropped.
     Rule("hex", "[0-9a-f]{32,}", 32, base=True),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", needle="PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", needle="eyJ"),
+    # A part that starts right and goes on wrong is matched and dropped: nothing in it can match.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]++(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?", 1, 1, needle="eyJ"),
 )
 SPANS = "array<struct<start:long,end:long>>"
 LEDGER = f"blob string, kind string, version int, spans {SPANS}"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is made once, however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Spans of a rule's matches, from the lengths of the matches and of the text between them."""
+    """Spans of a rule's matches, from the lengths of the matches and of the text between them.
+
+    The lists are built in slices of about the root of their number, since a list that grows
+    by one is copied whole.
+    """
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     # The group ends its match where it is not the match itself.
@@ -69,7 +79,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
         kept,
         lambda x, g: F.struct(x["n"].alias("n"), x["gap"].alias("gap"), F.length(g).alias("g")),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+    none = F.array().cast(SPANS)
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -78,10 +88,21 @@ def spans_of(text: Column, rule: Rule) -> Column:
         spans = F.when(x["g"] >= rule.min_length, F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
+    def part(state: Column, matches: Column) -> Column:
+        run = F.aggregate(matches, F.struct(state["at"].alias("at"), none.alias("spans")), step)
+        return bound(run, lambda r: F.struct(r["at"].alias("at"), F.concat(state["parts"], F.array(r["spans"])).alias("parts")))
+
+    def whole(matches: Column) -> Column:
+        size = F.size(matches)
+        width = F.ceil(F.sqrt(size)).cast("int")
+        slices = F.transform(F.sequence(F.lit(0), size - 1, width), lambda i: F.slice(matches, i + 1, width))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+        return F.when(size > 0, F.flatten(F.aggregate(slices, start, part, lambda s: s["parts"]))).otherwise(none)
+
     # The piece after the last match has no match of its own.
-    spans = F.aggregate(F.filter(zipped, lambda x: x["n"].isNotNull()), start, step, lambda s: s["spans"])
+    spans = bound(F.filter(zipped, lambda x: x["n"].isNotNull()), whole)
     present = text.contains(rule.needle) if rule.needle else F.lit(True)
-    return F.when(present & text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
+    return F.when(present & text.rlike(rule.pattern), spans).otherwise(none)
 
 
 def blobs(versions: DataFrame, *, path: Sequence[str], text: str = "text") -> DataFrame:
@@ -108,14 +129,13 @@ def scan(
     text: str = "text",
     rules: Sequence[Rule] = RULES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bring the ledger up to date; returns (paths with blob, blobs with the paths they have).
+    """Bring the ledger up to date; returns (paths with blob, blobs with how many paths they have).
 
-    Both are written tables without texts.
+    Both are written tables without texts. Each unseen blob is scanned once.
     """
     spark = versions.sparkSession
     paths = cut(blobs(versions, path=path, text=text))
-    first = F.min(F.struct(*[F.col(p) for p in path])).alias("_first")
-    holders = cut(paths.groupBy("blob").agg(first, F.count("*").alias("holders")))
+    holders = cut(paths.groupBy("blob").agg(F.count("*").alias("holders")))
     current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     known = read_ledger(spark, ledger).groupBy("blob").agg(
         F.collect_set(F.concat_ws(":", "kind", "version")).alias("_known")
@@ -124,14 +144,12 @@ def scan(
         holders.join(known, "blob", "left")
         .withColumn("_todo", F.array_except(current, F.coalesce("_known", F.array().cast("array<string>"))))
         .where(F.size("_todo") > 0)
-        .select(F.col("blob").alias("_blob"), "_first", "_todo")
-    )
-    same = F.col("_blob") == F.sha2("_text", 256)
-    for p in path:
-        same = same & F.col(f"_p_{p}").eqNullSafe(F.col("_first")[p])
-    texts = versions.select(
-        *[F.col(p).alias(f"_p_{p}") for p in path], F.coalesce(F.col(text), F.lit("")).alias("_text")
+        .select("blob", "_todo")
     )
+    # Copies are merged before the shuffle, so a text that many rows hold is one row a task.
+    held = F.coalesce(F.col(text), F.lit("")).alias("_text")
+    texts = versions.select(held).select(F.sha2("_text", 256).alias("blob"), "_text")
+    texts = texts.groupBy("blob").agg(F.any_value("_text").alias("_text"))
     scanned = F.array(
         *[
             F.when(
@@ -146,8 +164,8 @@ def scan(
         ]
     )
     (
-        texts.join(todo, same)
-        .select(F.col("_blob").alias("blob"), F.explode(F.filter(scanned, lambda x: x.isNotNull())).alias("_f"))
+        texts.join(todo, "blob")
+        .select("blob", F.explode(F.filter(scanned, lambda x: x.isNotNull())).alias("_f"))
         .select("blob", "_f.kind", "_f.version", "_f.spans")
         .write.mode("append")
         .parquet(ledger)

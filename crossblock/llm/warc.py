@@ -10,8 +10,13 @@ a reader would see.
 
 Of records with equal payloads of at least `least` bytes the one with the largest id is the
 response and the others revisit it. A missing payload is empty. Missing ids are smaller than all
-others. Rows that repeat an id and payload are each a response or each a revisit. An empty
-table gives an empty index. Extra columns are ignored.
+others. Rows that repeat an id and payload are each a response or each a revisit. A record id
+names the page, the payload's digest and the record's place, so that it is unique; a revisit
+refers to the first two of its response. An empty table gives an empty index. Extra columns are
+ignored.
+
+Bundles are written and read by Arrow's file systems; the schemes that Spark's folders have for
+the same stores are translated.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ from crossblock.session import cut
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 16 << 20
+# Schemes of Hadoop and what Arrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "gs": "gs"}
 INDEX = "record_id string, bundle string, frame int, offset long, length long"
 RECORD = (
     "record_id string, page_id long, url string, record_type string, refers_to long, "
@@ -41,6 +50,16 @@ RECORD = (
 )
 
 
+def arrow_uri(folder: str) -> str:
+    """The folder's address as Arrow's file systems spell it."""
+    scheme, found, rest = folder.partition("://")
+    if not found or scheme not in SCHEMES:
+        return folder
+    if scheme.startswith("wasb"):
+        rest = rest.replace(".blob.", ".dfs.", 1)
+    return f"{SCHEMES[scheme]}://{rest}"
+
+
 def plan_records(pages: DataFrame, *, key: str, url: str, payload: str, least: int = 0) -> DataFrame:
     """Columns key, url, payload (binary), sha1, keeper (id of the response), kind."""
     rows = pages.select(
@@ -77,7 +96,7 @@ def record_bytes(record_id: str, kind: str, url: str | None, page: int | None, k
     if kind == "revisit":
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{keeper}>",
+            f"WARC-Refers-To: <urn:page:{keeper}:{digest}>",
         ]
     else:
         head.append("Content-Type: text/html")
@@ -91,7 +110,7 @@ class Bundle:
     def __init__(self, folder: str, frame_bytes: int):
         import zstandard
 
-        self.store, root = fs.FileSystem.from_uri(folder)
+        self.store, root = fs.FileSystem.from_uri(arrow_uri(folder))
         self.store.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.out = self.store.open_output_stream(f"{root}/{self.name}", compression=None)
@@ -165,7 +184,7 @@ def parse(record: bytes) -> dict:
         if digest != told or len(block) != int(fields["X-Payload-Length"]):
             raise ValueError(f"record {fields['WARC-Record-ID']} does not match its digest")
     page = fields.get("X-Page-ID", "")
-    refers = fields.get("WARC-Refers-To", "").strip("<>").removeprefix("urn:page:")
+    refers = fields.get("WARC-Refers-To", "").strip("<>").removeprefix("urn:page:").partition(":")[0]
     return {
         "record_id": fields["WARC-Record-ID"].strip("<>"),
         "page_id": int(page) if page else None,
@@ -199,7 +218,9 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
                     bundle = Bundle(folder, frame_bytes)
                 page = None if pd.isna(page) else int(page)
                 keeper = None if pd.isna(keeper) else int(keeper)
-                name = f"urn:page:{'none' if page is None else page}"
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                place = f"{bundle.name.partition('.')[0]}-{len(rows)}"
+                name = f"urn:page:{'none' if page is None else page}:{digest}:{place}"
                 at = bundle.add(record_bytes(name, kind, uri, page, keeper, sha1, data))
                 rows.append((name, bundle.name, *at))
                 if bundle.size >= bundle_bytes:
@@ -217,10 +238,13 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     Pass the rows of some record ids only to read just the frames that hold them.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
+    # An index row is a few bytes and stands for its record: tasks follow the records' bytes.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = index.repartition(max(1, -(-total // TASK_BYTES)), "bundle", "frame")
+    frames = dealt.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(arrow_uri(folder))
         tables: dict[str, list] = {}
         columns = [c.split()[0] for c in RECORD.split(", ")]
         for batch in batches:

@@ -1,6 +1,7 @@
 """Every operator and stage on rows that are missing, empty, long, tied, repeated or absent."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +179,93 @@ def test_spans(spark, text, spans):
     assert secrets.findings(paths, holders, ledger).first()["spans"] == spans
 
 
+def test_many_secrets_in_one_text_and_repeated_rows(spark):
+    """Linear in the matches, and one scan of a blob that many equal rows hold."""
+    one = "0123456789abcdef" * 2
+    text = " ".join(f"{one}{i:06x}" for i in range(50_000))
+    docs = cut(spark.createDataFrame([(1, text)] * 50 + [(2, "eyJ" * 300_000 + " eyJab.c.d-e.f")], "doc_id long, text string"))
+    ledger = scratch_path(spark, "ledger")
+    began = time.time()
+    paths, holders = secrets.scan(docs, ledger, path=["doc_id"])
+    took = time.time() - began
+    assert secrets.read_ledger(spark, ledger).count() == 2 * len(secrets.RULES)
+    assert took < 60
+    rows = {r["doc_id"]: r for r in secrets.findings(paths, holders, ledger).collect()}
+    want = ",".join(f"hex:{39 * i}:{39 * i + 38}" for i in range(50_000))
+    assert rows[1]["spans"] == want and rows[1]["n_hex"] == 50_000
+    assert rows[2]["spans"] == f"jwt:{900_001}:{900_001 + 11}"
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 10, 17])
+def test_spans_of_any_number_of_matches(spark, n):
+    text = "x" + "".join(f"{'ab' * 16}{'z' * i}y" for i in range(n))
+    found, at = [], 1
+    for i in range(n):
+        found.append(f"hex:{at}:{at + 32}")
+        at += 33 + i
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ledger = scratch_path(spark, "ledger")
+    paths, holders = secrets.scan(docs, ledger, path=["doc_id"])
+    assert secrets.findings(paths, holders, ledger).first()["spans"] == ",".join(found)
+
+
+def test_a_row_repeated_many_times(spark):
+    """A hundred thousand equal rows in line dedup, mixing and the language sample."""
+    docs = cut(
+        spark.range(100_000).select(
+            F.lit(1).cast("long").alias("doc_id"), F.lit("one\ntwo\nthree\nfour").alias("text"), F.lit("en").alias("lang"),
+            F.lit("a").alias("source"), F.lit(18).cast("long").alias("n_chars"),
+        ).unionByName(spark.createDataFrame([(2, "eins zwei", "de", "b", 9), (3, "drei", "xx", "c", 4)],
+                                            "doc_id long, text string, lang string, source string, n_chars long"))
+    )
+    left = line_dedup.dedup(docs).groupBy("text").count().collect()
+    assert sum(r["count"] for r in left) == 100_002
+    emitted = mixing.emit(docs)
+    times = {r["doc_id"]: r["n"] for r in mixing.taken(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    got = {r["doc_id"]: r["count"] for r in emitted.groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in times.items() if n} and emitted.columns == docs.columns
+    learnable = docs.select(F.col("doc_id").alias("key"), "lang", "text")
+    sample = language.sampled(learnable, 30)
+    assert sorted(sample["lang"]) == ["de", "en", "xx"]
+
+
+def test_emit_shares_copies_among_rows_that_differ_in_other_columns(spark):
+    rows_ = [(1, "a b c", "s", i % 2) for i in range(6)] + [(2, "d e", "s", 5), (3, "f", "t", 0)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string, extra int")
+    first, second = (sorted(map(tuple, mixing.emit(docs.repartition(n)).collect())) for n in (1, 4))
+    assert first == second
+    copies = {r["doc_id"]: r["n"] for r in mixing.taken(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    assert sum(t[0] == 1 for t in first) == copies[1]
+    kinds = [sum(t[0] == 1 and t[3] == e for t in first) for e in (0, 1)]
+    assert abs(kinds[0] - kinds[1]) <= 3
+
+
+def test_vectors_of_two_widths_are_both_searched(spark):
+    rng = __import__("numpy").random.default_rng(1)
+    data = [(i, rng.standard_normal(2 if i < 59 else 3).tolist()) for i in range(110)]
+    got = neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    assert set(found) == {0, 50, 100} and all(len(v) == 5 for v in found.values())
+    assert all(i < 59 for q in (0, 50) for i in found[q]) and all(i >= 59 for i in found[100])
+
+
+def test_warc_reads_in_tasks_by_bytes_and_names_records_once(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 50_000)
+    pages = spark.range(400).select(
+        (F.col("id") % 100).alias("page_id"), F.lit("u").alias("url"),
+        F.concat(F.repeat(F.lit("x"), 1000), (F.col("id") % 300).cast("string")).alias("html"),
+    )
+    folder = scratch_path(spark, "warc")
+    index = warc.write(pages, folder, frame_bytes=5000)
+    assert index.select("record_id").distinct().count() == 400
+    back = warc.read(index, folder).withColumn("task", F.spark_partition_id())
+    assert back.count() == 400 and back.select("task").distinct().count() >= 8
+    place = {"s3a://b/x": "s3://b/x", "wasbs://c@a.blob.core.windows.net/x": "abfss://c@a.dfs.core.windows.net/x"}
+    assert all(warc.arrow_uri(k) == v for k, v in place.items()) and warc.arrow_uri("file:///x") == "file:///x"
+
+
 def test_spotsigs(odd, none):
     got = spotsigs.neighbours(odd).collect()
     assert len(got) == len(rows()) and all(r["next_text"] is not None for r in got)
@@ -195,7 +283,7 @@ def test_warc(spark, odd, none):
     assert len(got) == len(rows())
     kinds = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] in (0, 1, 2, 3))
     assert kinds == [(0, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 3), (3, "response", None)]
-    part = warc.read(index.where("record_id = 'urn:page:5'"), folder).collect()
+    part = warc.read(index.where("record_id LIKE 'urn:page:5:%'"), folder).collect()
     assert [bytes(r["payload"]).decode() for r in part] == [LONG]
     assert warc.read(warc.write(none.select(F.col("doc_id").alias("page_id"), F.col("key").alias("url"), F.col("text").alias("html")), folder), folder).count() == 0
 
