@@ -89,12 +89,11 @@ def confidence_signal(
     n_boot: int = 10_000,
     seed: int = 0,
     margin: str = "confidence_margin",
-    form: str | None = None,
 ) -> DataFrame:
     """One row: interaction estimate, its half, effect size, AUC and the two mean margins."""
     wide = _block_cells(behavior, margin)
     contrasts = _contrasts(wide)
-    estimate = bootstrap_mean(contrasts, "interaction", n_boot=n_boot, seed=seed, form=form)
+    estimate = bootstrap_mean(contrasts, "interaction", n_boot=n_boot, seed=seed)
     # Half the contrast has half the estimate under the same draws.
     whole = ["mean", "ci_low", "ci_high", "sign_consistency", "n_blocks", "p_permutation"]
     halved = ["mean", "ci_low", "ci_high"]

@@ -104,14 +104,13 @@ def summarize_groups(
     *,
     n_boot: int = 10_000,
     seed: int = 0,
-    form: str | None = None,
 ) -> DataFrame:
     """Ratio effect and absolute shift over blocks, flip rate over pairs, per group."""
     keys = list(keys)
     # Read three times below, and small beside the sweep it comes from.
     blocks = cut(_per_block(patched, keys))
     effect = bootstrap_ratio(
-        blocks, "moved", "gap", keys=keys, n_boot=n_boot, seed=seed, with_shift=True, form=form
+        blocks, "moved", "gap", keys=keys, n_boot=n_boot, seed=seed, with_shift=True
     )
     rates = blocks.groupBy(*keys).agg(
         (F.sum("flips") / F.sum("pairs")).alias("flip_rate"), F.avg("gap").alias("mean_gap")
@@ -159,7 +158,6 @@ def condition_table(
     names: ConditionNames = ConditionNames(),
     n_boot: int = 10_000,
     seed: int = 0,
-    form: str | None = None,
 ) -> DataFrame:
     """Gap, interval and share of the clean gap per (condition, subset).
 
@@ -187,7 +185,7 @@ def condition_table(
     keys = ["condition", "subset"]
     members = cut(members)
     estimate = bootstrap_mean(
-        members, "gap", keys=keys, n_boot=n_boot, seed=seed, permutation=False, form=form
+        members, "gap", keys=keys, n_boot=n_boot, seed=seed, permutation=False
     )
     means = members.groupBy(*keys).agg(
         F.max("edges_cut").alias("edges_cut"),

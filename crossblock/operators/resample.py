@@ -1,8 +1,10 @@
 """Block-level resampling: Poisson bootstrap, sign-flip test, ratio of means.
 
 The unit is the block. Its weight in a replicate is a function of (seed, block,
-replicate), so groups that hold the same blocks share draws, the result does not depend
-on partitioning, and only groups x replicates partial sums are shuffled.
+replicate), so groups that hold the same blocks share draws, and the result does not depend
+on partitioning. Sums over blocks are arrays along the replicates: a task makes one array per
+group it sees, arrays are added as vectors, and percentiles are taken on them. What is shuffled
+does not depend on the number of replicates in rows, nor on the number of cores.
 
 Poisson(1) weights stand in for multinomial draws (Hanley and MacGibbon 2006); the two
 differ by Monte-Carlo error.
@@ -14,6 +16,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,60 +30,41 @@ from crossblock.session import cut
 EMPTY = "a group has no block with a finite value"
 
 
-#: Blocks whose draws one task makes, about.
-TASK_ROWS = 50_000
-#: Session setting for the numbers that a task of the matrix form holds, and its default.
+#: Sums of a row and a replicate that one task makes, about.
+TASK_SUMS = 50_000_000
+#: Session setting for the numbers that a task holds, and its default.
 BUDGET, NUMBERS = "crossblock.bootstrap.numbers", 16_000_000
+#: Arrays of one group that one task adds up, about.
+FAN = 64
 
 
-def _seeded(df: DataFrame, block: str, seed: int) -> DataFrame:
-    """Block words for the draws, spread by block.
+def _seeded(df: DataFrame, block: str, seed: int, n_boot: int) -> tuple[DataFrame, int]:
+    """Block words for the draws, spread by block, and the number of tasks.
 
-    The rows are few bytes and much work, so the number of partitions follows their count:
-    by bytes alone they would be merged into one task.
+    The rows are few bytes and much work, so tasks follow their number: by bytes alone they
+    would be merged into one.
     """
     hashed = keyed.digest(seed, block)
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    tasks = max(1, -(-df.count() * n_boot // TASK_SUMS))
     return df.repartition(tasks, block).withColumn("_h", hashed).withColumns(
         {f"_h{i}": keyed.word(F.col("_h"), i) for i in range(3)}
-    )
+    ), tasks
 
 
-def sums_by_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: str,
-    weighted: dict[str, Column],
-    signed: dict[str, Column],
-    n_boot: int,
-    seed: int,
-) -> DataFrame:
-    """One row per (block, replicate) inside generated code, summed before the shuffle."""
-    staged = _seeded(df, block, seed).select(
-        *keys,
-        "_h0",
-        "_h1",
-        "_h2",
-        *[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in {**weighted, **signed}.items()],
-        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"),
-    )
-    first = staged.withColumn("_x", keyed.first_mix(F.col("_h0"), F.col("replicate")))
-    drawn = first
-    if weighted:
-        draw = keyed.mix32(F.col("_x").bitwiseXOR(F.col("_h1")))
-        drawn = drawn.withColumn("_d", draw).withColumn("_w", keyed.poisson_weight(F.col("_d")))
-    if signed:
-        coin = keyed.mix32(F.col("_x").bitwiseXOR(F.col("_h2")))
-        drawn = drawn.withColumn("_c", coin).withColumn(
-            "_s", F.when(F.col("_c") < F.lit(2**31), F.lit(-1.0)).otherwise(F.lit(1.0))
-        )
-    return drawn.groupBy(*keys, "replicate").agg(
-        *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in weighted],
-        *[F.sum(F.col("_s") * F.col(n)).alias(n) for n in signed],
-    )
+def _added(partial: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Arrays of equal length added up per group, FAN at a time where many tasks made some."""
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("_sums")))).alias("_sums")
+    fan = -(-tasks // FAN)
+    while fan > 1:
+        at = F.pmod(F.col("_task"), F.lit(fan)).cast("int").alias("_task")
+        partial = partial.select(*keys, at, "_sums").groupBy(*keys, "_task").agg(total)
+        fan = -(-fan // FAN) if fan > FAN else 1
+    # Without keys too, no row at all gives no group.
+    whole = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(0).alias("_all"))
+    return whole.agg(total).select(*keys, "_sums")
 
 
-def sums_by_matrix(
+def replicate_sums(
     df: DataFrame,
     keys: Sequence[str],
     block: str,
@@ -89,18 +75,19 @@ def sums_by_matrix(
     chunk: int = 128,
     budget: int | None = None,
 ) -> DataFrame:
-    """The same sums with each block's draws made once for all of its groups.
+    """One row per group: an array over the replicates for every weighted and signed sum.
 
-    All rows of a block meet in one partition (a block has one row per group), a matrix
-    product adds them to vectors of length n_boot, and each task emits one row per group
-    it saw. `budget` bounds the numbers held per task (by default the session's setting BUDGET):
-    above it the vectors are emitted and started again.
+    All rows of a block meet in one partition (a block has one row per group), its draws are
+    made once for all of its groups, a matrix product adds them, and each task emits one row per
+    group it saw. `budget` bounds the numbers held per task (by default the session's setting
+    BUDGET): above it the sums are emitted and started again.
     """
     keys = list(keys)
     budget = budget or int(df.sparkSession.conf.get(BUDGET, str(NUMBERS)))
     names = [*weighted, *signed]
     n_weighted, flips = len(weighted), bool(signed)
-    staged = _seeded(df, block, seed).select(
+    spread, tasks = _seeded(df, block, seed, n_boot)
+    staged = spread.select(
         *keys,
         F.col(block).alias("_block"),
         *[f"_h{i}" for i in range(3)],
@@ -110,13 +97,13 @@ def sums_by_matrix(
         staged = staged.sortWithinPartitions("_block")
     out_schema = T.StructType(
         [staged.schema[k] for k in keys]
-        + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
+        + [T.StructField("_task", T.IntegerType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))]
     )
 
     def emit(held: dict) -> pd.DataFrame:
         frame = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(len(held)))
-        for i, n in enumerate(names):
-            frame[n] = [sums[i] for sums in held.values()]
+        frame["_task"] = TaskContext.get().partitionId()
+        frame["_sums"] = [sums.ravel() for sums in held.values()]
         return frame
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,29 +151,25 @@ def sums_by_matrix(
         if held:
             yield emit(held)
 
-    partial = staged.mapInPandas(add, out_schema)
-    exploded = partial.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("replicate", "_v"))
-    return exploded.groupBy(*keys, "replicate").agg(
-        *[F.sum(f"_v.{n}").alias(n) for n in names]
-    )
-
+    summed = _added(staged.mapInPandas(add, out_schema), keys, tasks)
+    slices = [F.slice("_sums", i * n_boot + 1, n_boot).alias(n) for i, n in enumerate(names)]
+    return summed.select(*keys, *slices)
 
-FORMS = {"rows": sums_by_rows, "matrix": sums_by_matrix}
 
+def _edges(values: Column, alpha: float, prefix: str = "") -> dict[str, Column]:
+    """Both ends of the percentile interval over an array of replicates; missing ones do not count."""
+    there = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
 
-def _replicates(df, keys, block, weighted, signed, n_boot, seed, form):
-    if form is None:
-        form = "matrix"
-    return FORMS[form](df, keys, block, weighted, signed, n_boot, seed)
+    def at(ordered: Column, share: float) -> Column:
+        place = F.lit(share) * (F.size(ordered) - 1)
+        low = F.floor(place).cast("int")
+        below = F.get(ordered, low)
+        above = F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+        return below + (above - below) * (place - low)
 
-
-def _edges(value: Column, alpha: float, prefix: str = "") -> Column:
-    """Both ends of the interval over replicates, as one array.
-
-    Their number is n_boot, so the exact percentile holds a bounded number of values.
-    """
-    ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
-    return F.percentile(value, ends).alias(f"_{prefix}ci")
+    # One element, so that the replicates are sorted once.
+    pair = F.transform(F.array(there), lambda x: F.array(at(x, alpha / 2), at(x, 1 - alpha / 2)))
+    return {f"_{prefix}ci": F.element_at(pair, 1)}
 
 
 def _open_edges(df: DataFrame) -> DataFrame:
@@ -230,7 +213,6 @@ def bootstrap_mean(
     alpha: float = 0.05,
     seed: int = 0,
     permutation: bool = True,
-    form: str | None = None,
 ) -> DataFrame:
     """Mean over blocks with a percentile interval and, on request, a sign-flip p-value.
 
@@ -249,21 +231,15 @@ def bootstrap_mean(
     )
     point = insist(point, F.col("n_blocks") > 0, EMPTY)
     signed = {"_flip": x} if permutation else {}
-    sums = _replicates(
-        clean, keys, block, {"_wx": x, "_w1": F.lit(1.0)}, signed, n_boot, seed, form
-    )
-    drawn = F.when(F.col("_w1") > 0, F.col("_wx") / F.col("_w1"))
-    if not permutation:
-        spread = _open_edges(sums.groupBy(*keys).agg(_edges(drawn, alpha)))
-        return _attach(point, spread, keys).withColumn("excludes_zero", excludes_zero())
-    with_point = _attach(sums, point.select(*keys, "mean", "n_blocks"), keys)
-    # Sums in another order differ in the last digits; such a tie still counts as a tie.
-    extreme = F.abs(F.col("_flip") / F.col("n_blocks")) >= F.abs("mean") * (1 - 1e-12)
-    spread = with_point.groupBy(*keys).agg(
-        _edges(drawn, alpha),
-        ((F.sum(extreme.cast("int")) + 1) / F.lit(n_boot + 1)).alias("p_permutation"),
-    )
-    return _attach(point, _open_edges(spread), keys).withColumn("excludes_zero", excludes_zero())
+    sums = replicate_sums(clean, keys, block, {"_wx": x, "_w1": F.lit(1.0)}, signed, n_boot, seed)
+    drawn = F.zip_with("_wx", "_w1", lambda total, weight: F.when(weight > 0, total / weight))
+    found = _attach(point, sums, keys).withColumns(_edges(drawn, alpha))
+    if permutation:
+        # Sums in another order differ in the last digits; such a tie still counts as a tie.
+        far = F.filter("_flip", lambda m: F.abs(m / F.col("n_blocks")) >= F.abs("mean") * (1 - 1e-12))
+        found = found.withColumn("p_permutation", (F.size(far) + 1) / F.lit(n_boot + 1))
+    shown = [*point.columns, "ci_low", "ci_high", *(["p_permutation"] if permutation else [])]
+    return _open_edges(found).select(*shown).withColumn("excludes_zero", excludes_zero())
 
 
 def bootstrap_ratio(
@@ -277,7 +253,6 @@ def bootstrap_ratio(
     alpha: float = 0.05,
     seed: int = 0,
     with_shift: bool = False,
-    form: str | None = None,
 ) -> DataFrame:
     """Ratio of means with an interval, and the share of blocks whose own ratio is positive.
 
@@ -304,12 +279,13 @@ def bootstrap_ratio(
     weighted = {"_wn": F.when(both, num), "_wd": F.when(both, den)}
     if with_shift:
         weighted |= {"_wm": num, "_w1": F.when(num.isNotNull(), F.lit(1.0))}
-    sums = _replicates(base, keys, block, weighted, {}, n_boot, seed, form)
-    edges = [_edges(F.try_divide(F.col("_wn"), F.col("_wd")), alpha)]
+    sums = replicate_sums(base, keys, block, weighted, {}, n_boot, seed)
+    ends = _edges(F.zip_with("_wn", "_wd", F.try_divide), alpha)
     if with_shift:
-        edges.append(_edges(F.try_divide(F.col("_wm"), F.col("_w1")), alpha, "moved_"))
-    spread = _open_edges(sums.groupBy(*keys).agg(*edges))
-    return _attach(point, spread, keys).withColumn("excludes_zero", excludes_zero())
+        ends |= _edges(F.zip_with("_wm", "_w1", F.try_divide), alpha, "moved_")
+    found = _open_edges(_attach(point, sums, keys).withColumns(ends))
+    moved = ["moved_ci_low", "moved_ci_high"] if with_shift else []
+    return found.select(*point.columns, "ci_low", "ci_high", *moved).withColumn("excludes_zero", excludes_zero())
 
 
 def paired_effect_size(blocks: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,26 +13,70 @@ def frame(spark, values, name="x"):
     return spark.createDataFrame(rows, f"block_id string, {name} double")
 
 
-def test_forms_share_their_draws(spark):
+def plain_sums(rows, n_boot, seed=0):
+    """{group: (weighted sums, weights, flipped sums)} of rows (block, group, x), draw by draw."""
+    out = {}
+    for block, group, x in rows:
+        head = hashlib.md5(f"{seed}:{block}".encode()).hexdigest()
+        words = np.array([[int(head[8 * i : 8 * i + 8], 16) for i in range(3)]], np.uint32)
+        first = keyed.np_first_mix(words[:, 0], n_boot)
+        weight = keyed.np_poisson(keyed.np_mix32(first ^ words[:, 1, None]))[0]
+        sign = np.where(keyed.np_mix32(first ^ words[:, 2, None])[0] < 2**31, -1.0, 1.0)
+        sums = out.setdefault(group, np.zeros((3, n_boot)))
+        sums += np.stack([weight * x, weight, sign * x])
+    return out
+
+
+@pytest.mark.parametrize(("budget", "chunk"), [(None, 128), (1, 7)])
+def test_replicates_against_plain_draws(spark, monkeypatch, budget, chunk):
+    """In one task, and in many whose arrays are added in several steps."""
+    if budget:
+        monkeypatch.setattr(resample, "TASK_SUMS", 100)
+        monkeypatch.setattr(resample, "FAN", 2)
     rng = np.random.default_rng(0)
     rows = [(f"b{i}", g, float(rng.normal())) for i in range(60) for g in range(3)]
     df = spark.createDataFrame(rows, "block_id string, g int, x double")
-    found = [
-        resample.bootstrap_mean(df, "x", keys=["g"], n_boot=300, form=f).orderBy("g").toPandas()
-        for f in ("rows", "matrix")
-    ]
-    for c in found[0].columns:
-        assert np.allclose(found[0][c].astype(float), found[1][c].astype(float))
-
-
-@pytest.mark.parametrize("budget", [1, 10**9])
-def test_matrix_form_with_a_small_budget(spark, budget):
-    rows = [(f"b{i}", g, float(i * g)) for i in range(30) for g in range(4)]
+    got = resample.replicate_sums(
+        df, ["g"], "block_id", {"wx": F.col("x"), "w": F.lit(1.0)}, {"sx": F.col("x")}, 50, 0, budget=budget, chunk=chunk
+    ).collect()
+    want = plain_sums(rows, 50)
+    assert {r["g"] for r in got} == set(want)
+    for r in got:
+        for name, sums in zip(("wx", "w", "sx"), want[r["g"]], strict=True):
+            assert np.allclose(r[name], sums)
+    row = resample.bootstrap_mean(df.where("g = 1"), "x", n_boot=50).first()
+    wx, w, sx = want[1]
+    values = np.array([x for _, g, x in rows if g == 1])
+    assert (row["ci_low"], row["ci_high"]) == pytest.approx(tuple(np.quantile(wx / w, [0.025, 0.975])))
+    assert row["p_permutation"] == pytest.approx(((np.abs(sx / 60) >= abs(values.mean())).sum() + 1) / 51)
+
+
+def shuffled_rows(spark, n_boot):
+    """Rows that the shuffles of a bootstrap write, from the metrics of its plan."""
+    rows = [(f"b{i}", g, float(i * g)) for i in range(200) for g in range(3)]
     df = spark.createDataFrame(rows, "block_id string, g int, x double")
-    args = (df, ["g"], "block_id", {"s": F.col("x")}, {}, 50, 0)
-    a = resample.sums_by_matrix(*args, budget=budget, chunk=7).orderBy("g", "replicate").toPandas()
-    b = resample.sums_by_rows(*args).orderBy("g", "replicate").toPandas()
-    assert np.allclose(a["s"], b["s"])
+    got = resample.bootstrap_mean(df, "x", keys=["g"], n_boot=n_boot)
+    got.collect()
+    total, waiting = 0, [got._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            total += metrics.apply("shuffleRecordsWritten").value()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        else:
+            children = node.children()
+            waiting.extend(children.apply(i) for i in range(children.length()))
+    return total
+
+
+def test_shuffled_rows_do_not_follow_the_replicates(spark):
+    few, many = shuffled_rows(spark, 10), shuffled_rows(spark, 400)
+    assert 0 < many == few
 
 
 def test_weights_are_poisson(spark):
