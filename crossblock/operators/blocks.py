@@ -15,107 +15,106 @@ from crossblock.sources.contract import CELL_COLUMNS
 from crossblock.sources.facts import can_pair
 
 POOL = ["relation_family", "split"]
+#: What one matching covers.
+MATCHING = [*POOL, "round"]
+
+
+def _round_sum(r: Column, n: Column) -> Column:
+    """Sum, modulo n, of the ranks that round r pairs; NULL when all pairs of n facts are used up.
+
+    Odd sums come first where n is even: they leave no fact alone.
+    """
+    even = F.when(r < n / 2, 2 * r + 1).otherwise(2 * r - n)
+    return F.when(r < n, F.when(n % 2 == 0, even).otherwise((2 * r + 1) % n))
+
+
+def _sum_round(total: Column, n: Column) -> Column:
+    """The round that pairs ranks with this sum modulo n."""
+    even = F.when(total % 2 == 1, F.floor((total - 1) / 2)).otherwise(F.floor(n / 2) + F.floor(total / 2))
+    odd = ((total - 1 + n) % n) * F.floor((n + 1) / 2) % n
+    return F.when(n % 2 == 0, even).otherwise(odd)
 
 
 def _couple(facts: DataFrame, slot: Column, seat: Column) -> DataFrame:
-    """Seat the facts of a (pool, slot) as x and y. The second is NULL for an odd one out."""
-    held = F.struct(*[c for c in facts.columns if not c.startswith("_")])
-    return facts.withColumn("_slot", slot).withColumn("_seat", seat).groupBy(*POOL, "_slot").agg(
+    """Seat the facts of a (matching, slot) as x and y. The second is NULL for an odd one out."""
+    held = F.struct(*[c for c in facts.columns if not c.startswith("_") and c != "round"])
+    return facts.withColumn("_slot", slot).withColumn("_seat", seat).groupBy(*MATCHING, "_slot").agg(
         F.max(F.when(F.col("_seat") == 0, held)).alias("x"),
         F.max(F.when(F.col("_seat") == 1, held)).alias("y"),
     )
 
 
-def _sorted_pair(df: DataFrame) -> DataFrame:
+def _judge(couples: DataFrame) -> DataFrame:
+    """The couple in the order of its ids, and whether it has both partners and valid answers."""
     swap = F.col("y.fact_id") < F.col("x.fact_id")
-    return df.withColumns(
+    return couples.withColumns(
         {
             "fact_q1": F.when(swap, F.col("y")).otherwise(F.col("x")),
             "fact_q2": F.when(swap, F.col("x")).otherwise(F.col("y")),
         }
-    )
-
-
-def _judge(couples: DataFrame, used: DataFrame | None) -> DataFrame:
-    """Mark each couple as a block or not: a partner, valid answers, never paired before."""
-    judged = _sorted_pair(couples).withColumn(
-        "ok",
-        F.col("y").isNotNull() & F.coalesce(can_pair("fact_q1", "fact_q2"), F.lit(False)),
-    )
-    if used is None:
-        return judged
-    seen = used.select(
-        F.col("fact_q1.fact_id").alias("_id1"),
-        F.col("fact_q2.fact_id").alias("_id2"),
-        F.lit(True).alias("_seen"),
-    )
-    ids = judged.withColumn("_id1", F.col("fact_q1.fact_id")).withColumn(
-        "_id2", F.col("fact_q2.fact_id")
-    )
-    marked = ids.join(seen, ["_id1", "_id2"], "left")
-    return marked.withColumn("ok", F.col("ok") & F.col("_seen").isNull()).drop(
-        "_id1", "_id2", "_seen"
-    )
+    ).withColumn("ok", F.col("y").isNotNull() & F.coalesce(can_pair("fact_q1", "fact_q2"), F.lit(False)))
 
 
 def _facts_of(couples: DataFrame) -> DataFrame:
     members = F.filter(F.array("x", "y"), lambda f: f.isNotNull())
-    return couples.select(*POOL, F.explode(members).alias("f")).select(
-        *POOL, *[F.col(f"f.{c}").alias(c) for c in couples.schema["x"].dataType.names if c not in POOL]
+    return couples.select(*MATCHING, F.explode(members).alias("f")).select(
+        *MATCHING, *[F.col(f"f.{c}").alias(c) for c in couples.schema["x"].dataType.names if c not in MATCHING]
     )
 
 
+def _ids(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_k1": F.col("fact_q1.fact_id"), "_k2": F.col("fact_q2.fact_id")})
+
+
 def _broken_up(judged: DataFrame, seed: str, narrow: bool) -> DataFrame | None:
     """Valid couples that are broken up so that the leftovers can be matched; None if none are.
 
-    Where one answer holds the majority of a pool's leftovers, just enough valid couples
+    Where one answer holds the majority of a matching's leftovers, just enough valid couples
     without that answer give their members as partners.
     """
     leftovers = _facts_of(judged.where(~F.col("ok")))
-    by_answer = leftovers.groupBy(*POOL, "answer_id").agg(F.count("*").alias("n"))
+    by_answer = leftovers.groupBy(*MATCHING, "answer_id").agg(F.count("*").alias("n"))
     rank = F.struct("n", "answer_id")
     short = (
-        by_answer.groupBy(*POOL)
+        by_answer.groupBy(*MATCHING)
         .agg(
             F.sum("n").alias("m"),
             F.max("n").alias("h"),
             F.max_by("answer_id", rank).alias("majority"),
         )
-        .withColumn("need", F.ceil((2 * F.col("h") - F.col("m")) / 2))
+        .withColumn("need", F.col("h") - F.ceil(F.col("m") / 2))
     )
     good = judged.where("ok")
-    sizes = good.groupBy(*POOL).agg(F.count("*").alias("_n"))
-    # One row per pool that lacks partners.
-    wanted = cut(sizes.join(short.where("need > 0"), POOL).select(*POOL, "_n", "need", "majority"))
+    sizes = good.groupBy(*MATCHING).agg(F.count("*").alias("_n"))
+    # One row per matching that lacks partners.
+    wanted = cut(sizes.join(short.where("need > 0"), MATCHING).select(*MATCHING, "_n", "need", "majority"))
     if wanted.isEmpty():
         return None
-    found = sized_lookup(good, wanted, POOL, "_n").where(
+    found = sized_lookup(good, wanted, MATCHING, "_n").where(
         (F.col("need") > 0)
         & ~F.array_contains("fact_q1.correct_ids", F.col("majority"))
         & ~F.array_contains("fact_q2.correct_ids", F.col("majority"))
     )
-    ids = found.withColumn("_k1", F.col("fact_q1.fact_id")).withColumn(
-        "_k2", F.col("fact_q2.fact_id")
-    )
+    ids = _ids(found)
     ids = ids if narrow else cut(ids)
-    ranked = shuffle_rank(ids, group=POOL, key=["_k1", "_k2"], seed=f"{seed}:d", name="_r", narrow=narrow)
+    ranked = shuffle_rank(ids, group=MATCHING, key=["round", "_k1", "_k2"], seed=f"{seed}:d", name="_r", narrow=narrow)
     return cut(ranked.where(F.col("_r") < F.col("need")).select(*judged.columns))
 
 
 def _laid_out(rest: DataFrame, narrow: bool) -> DataFrame:
-    """Rank `_rank` along (_a, _f, fact_id) inside each pool, and the pool's rows `_rank_total`.
+    """Rank `_rank` along (_a, _f, fact_id) inside each matching, and its rows `_rank_total`.
 
     Where a pool may be large, an answer's rows are ranked by themselves, cut by `_f` if they
     are many, and the rows of all answers before are added: every answer is one run.
     """
     if narrow:
         order = ["_a", "_f", "fact_id"]
-        return global_rank(rest, group=POOL, order=order, bucket=None, name="_rank", totals=True)
-    rest, answer = cut(rest), [*POOL, "_a"]
+        return global_rank(rest, group=MATCHING, order=order, bucket=None, name="_rank", totals=True)
+    rest, answer = cut(rest), [*MATCHING, "_a"]
     sizes = cut(rest.groupBy(*answer).agg(F.count("*").alias("_held")))
-    sizes, bucket = hash_bucketed(sizes, POOL, "_a", "_b")
+    sizes, bucket = hash_bucketed(sizes, MATCHING, "_a", "_b")
     before = {"_start": F.col("_held")}
-    runs = prefix_sums(sizes, before, group=POOL, order=["_a"], bucket=bucket, totals=True)
+    runs = prefix_sums(sizes, before, group=MATCHING, order=["_a"], bucket=bucket, totals=True)
     placed, bucket = hash_bucketed(rest, answer, "_f", "_b")
     ranked = global_rank(placed, group=answer, order=["_f", "fact_id"], bucket=bucket, name="_at")
     found = sized_lookup(ranked, cut(runs.drop("_b")), answer, "_held")
@@ -126,50 +125,58 @@ def _laid_out(rest: DataFrame, narrow: bool) -> DataFrame:
     )
 
 
-def _one_round(facts: DataFrame, used: DataFrame | None, seed: str, narrow: bool) -> DataFrame:
-    """One matching: neighbours in shuffled order, then one repair pass over the rest.
+def _repaired(rest: DataFrame, seed: str, rounds: int, narrow: bool) -> DataFrame:
+    """Pairs among the leftovers of all rounds, none of which any round has otherwise.
 
-    The repair lays the leftovers out by answer and pairs rank i with i + n/2, which can
-    only clash on an answer that holds more than half of them; `_broken_up` prevents that.
+    They are laid out by answer and rank i meets i + n/2, rounded up, which can only clash on an
+    answer that holds more than half of them; `_broken_up` prevents that.
     """
-    ranked = shuffle_rank(facts, group=POOL, key=["fact_id"], seed=seed, name="_rank", narrow=narrow)
-    couples = _couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
-    judged = cut(_judge(couples, used).select(*POOL, "x", "y", "fact_q1", "fact_q2", "ok"))
-    broken = _broken_up(judged, seed, narrow)
-    kept = judged.where("ok")
-    rest = _facts_of(judged.where(~F.col("ok")))
-    if broken is not None:
-        keyed = F.col("fact_q1.fact_id").alias("_b1"), F.col("fact_q2.fact_id").alias("_b2")
-        kept = kept.withColumns(
-            {"_b1": F.col("fact_q1.fact_id"), "_b2": F.col("fact_q2.fact_id")}
-        ).join(broken.select(*keyed), ["_b1", "_b2"], "left_anti")
-        rest = rest.unionByName(_facts_of(broken))
-    hashed = rest.withColumns({"_a": digest(seed, "answer_id"), "_f": digest(seed, "fact_id")})
+    hashed = rest.withColumns({"_a": digest(seed, "round", "answer_id"), "_f": digest(seed, "round", "fact_id")})
     laid = _laid_out(hashed, narrow)
-    half = F.floor(F.col("_rank_total") / 2)
+    half = F.ceil(F.col("_rank_total") / 2)
     second = F.col("_rank") >= half
     slot = F.when(second, F.col("_rank") - half).otherwise(F.col("_rank"))
-    repaired = _judge(_couple(laid, slot, second.cast("int")), used).where("ok")
-    columns = [*POOL, "fact_q1", "fact_q2"]
-    return kept.select(*columns).unionByName(repaired.select(*columns))
+    judged = _judge(_couple(laid, slot, second.cast("int"))).where("ok")
+    n = F.col("x.pool_size")
+    own = _sum_round((F.col("x.place") + F.col("y.place")) % n, n)
+    fresh = _ids(judged.where((own >= rounds) | (own == F.col("round"))))
+    first = Window.partitionBy(*POOL, "_k1", "_k2").orderBy("round")
+    return fresh.withColumn("_again", F.row_number().over(first)).where("_again = 1")
 
 
 def pair_facts(facts: DataFrame, *, pairings_per_fact: int, seed: int | str) -> DataFrame:
     """Pairs (relation_family, split, round, fact_q1, fact_q2) inside each (family, split) pool.
 
-    Per round each fact is used at most once, and no pair returns in a later round. A fact
-    without a valid partner stays out of that round. Every round reads `facts` again, so
-    pass a written table.
+    A pool is ranked once, in a shuffled order, and round r pairs the ranks whose sum is s(r)
+    modulo the pool's size: every fact once, and no pair in two rounds. Couples that may not
+    pair are matched again, those of all rounds in one pass. Per round each fact is used at most
+    once, and no pair returns; a fact without a valid partner stays out of that round. `facts` is
+    read twice, so pass a written table.
     """
     if pairings_per_fact < 1:
         raise ValueError(f"pairings_per_fact must be >= 1, got {pairings_per_fact}")
-    pairs: DataFrame | None = None
-    # What a round ranks inside a pool is never more than the pool's facts.
+    seed = str(seed)
+    # What is ranked inside a matching is never more than the pool's facts.
     narrow = large_groups(facts, POOL) is None
-    for r in range(pairings_per_fact):
-        found = cut(_one_round(facts, pairs, f"{seed}:{r}", narrow).withColumn("round", F.lit(r)))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.select(*POOL, "round", "fact_q1", "fact_q2")
+    hashed, bucket = facts.withColumn("_h", digest(seed, "fact_id")), None
+    if not narrow:
+        hashed, bucket = hash_bucketed(hashed, POOL, "_h", "_b")
+    ranked = global_rank(hashed, group=POOL, order=["_h", "fact_id"], bucket=bucket, name="place", totals=True)
+    ranked = ranked.withColumnRenamed("place_total", "pool_size")
+    every = ranked.withColumn("round", F.explode(F.array(*[F.lit(r) for r in range(pairings_per_fact)])))
+    own, n = F.col("place"), F.col("pool_size")
+    other = F.coalesce((_round_sum(F.col("round"), n) - own + n) % n, own)
+    couples = _couple(every, F.least(own, other), (own > other).cast("int"))
+    judged = cut(_judge(couples).select(*MATCHING, "x", "y", "fact_q1", "fact_q2", "ok"))
+    broken = _broken_up(judged, seed, narrow)
+    kept = judged.where("ok")
+    rest = _facts_of(judged.where(~F.col("ok")))
+    if broken is not None:
+        kept = _ids(kept).join(_ids(broken).select("round", "_k1", "_k2"), ["round", "_k1", "_k2"], "left_anti")
+        rest = rest.unionByName(_facts_of(broken))
+    repaired = _repaired(rest, seed, pairings_per_fact, narrow)
+    sides = [F.col(f).dropFields("place", "pool_size").alias(f) for f in ("fact_q1", "fact_q2")]
+    return cut(kept.select(*MATCHING, *sides).unionByName(repaired.select(*MATCHING, *sides)))
 
 
 def pick_templates(rows: DataFrame, templates: DataFrame, rank: Column, *, least: int = 1) -> DataFrame:

@@ -322,48 +322,43 @@ SPLIT = [
 FACT_PARTS: Parts = [RAW, FACTS, *SPLIT]
 
 
-def valid_pair(used: str | None) -> str:
-    base = (
-        "b IS NOT NULL AND NOT list_contains(cb, aa) AND NOT list_contains(ca, ab)"
-    )
-    if used:
-        base += f" AND NOT EXISTS (SELECT 1 FROM {used} u WHERE u.a = least(x.a, x.b) AND u.b = greatest(x.a, x.b))"
-    return base
+VALID = "coalesce(b IS NOT NULL AND NOT list_contains(cb, aa) AND NOT list_contains(ca, ab), false)"
 
 
-def pairing_round(r: int, used: str | None) -> Parts:
-    """One matching: neighbours in hash order, then the repair of what is left."""
-    seed = f"7:{r}"
+def pairing(rounds: int) -> Parts:
+    """Ranks that add up to a round's sum meet; what may not pair is laid out by answer and met again."""
     pool = "relation_family, split"
+    both = "x.relation_family = y.relation_family AND x.split = y.split AND x.round = y.round"
+    sides = """x.relation_family, x.split, x.round, x.fact_id AS a, x.answer_id AS aa, x.correct_ids AS ca, x.place AS pa,
+      y.fact_id AS b, y.answer_id AS ab, y.correct_ids AS cb, y.place AS pb, x.n"""
+    own = """CASE WHEN n % 2 = 1 THEN (((pa + pb) % n - 1 + n) % n) * ((n + 1) // 2) % n
+      WHEN (pa + pb) % n % 2 = 1 THEN ((pa + pb) % n - 1) // 2 ELSE n // 2 + (pa + pb) % n // 2 END"""
     return [
-        (f"k{r}", f"""SELECT {pool}, fact_id, answer_id, correct_ids, row_number() OVER (
-          PARTITION BY {pool} ORDER BY md5('{seed}:' || fact_id), fact_id) - 1 AS i FROM assigned"""),
-        (f"c{r}", f"""SELECT x.{', x.'.join(pool.split(', '))}, x.fact_id AS a, x.answer_id AS aa,
-          x.correct_ids AS ca, y.fact_id AS b, y.answer_id AS ab, y.correct_ids AS cb
-          FROM k{r} x LEFT JOIN k{r} y ON x.relation_family = y.relation_family
-          AND x.split = y.split AND y.i = x.i + 1 WHERE x.i % 2 = 0"""),
-        (f"j{r}", f"SELECT *, coalesce({valid_pair(used)}, false) AS ok FROM c{r} x"),
-        (f"lo{r}", f"""SELECT {pool}, a AS fact_id, aa AS answer_id, ca AS correct_ids FROM j{r} WHERE NOT ok
-          UNION ALL SELECT {pool}, b, ab, cb FROM j{r} WHERE NOT ok AND b IS NOT NULL"""),
-        (f"sh{r}", f"""SELECT {pool}, sum(n) AS m, max(n) AS h, arg_max(answer_id, (n, answer_id)) AS top
-          FROM (SELECT {pool}, answer_id, count(*) AS n FROM lo{r} GROUP BY ALL) GROUP BY 1, 2"""),
-        (f"br{r}", f"""SELECT * FROM (SELECT j.*, need, row_number() OVER (PARTITION BY j.relation_family, j.split
-          ORDER BY md5('{seed}:d:' || least(a, b) || ':' || greatest(a, b)), least(a, b), greatest(a, b)) - 1 AS rk
-          FROM j{r} j JOIN (SELECT *, ceil((2 * h - m) / CAST(2 AS DOUBLE)) AS need FROM sh{r}) s
-          ON j.relation_family = s.relation_family AND j.split = s.split
-          WHERE ok AND need > 0 AND NOT list_contains(ca, top) AND NOT list_contains(cb, top))
-          WHERE rk < need"""),
-        (f"re{r}", f"""SELECT * FROM lo{r} UNION ALL SELECT {pool}, a, aa, ca FROM br{r}
-          UNION ALL SELECT {pool}, b, ab, cb FROM br{r}"""),
-        (f"ra{r}", f"""SELECT *, row_number() OVER (PARTITION BY {pool} ORDER BY md5('{seed}:' || answer_id),
-          md5('{seed}:' || fact_id), fact_id) - 1 AS i, count(*) OVER (PARTITION BY {pool}) // 2 AS half FROM re{r}"""),
-        (f"rc{r}", f"""SELECT x.relation_family, x.split, x.fact_id AS a, x.answer_id AS aa, x.correct_ids AS ca,
-          y.fact_id AS b, y.answer_id AS ab, y.correct_ids AS cb FROM ra{r} x JOIN ra{r} y
-          ON x.relation_family = y.relation_family AND x.split = y.split AND y.i = x.i + x.half
-          AND x.i < x.half"""),
-        (f"p{r}", f"""SELECT {pool}, {r} AS round, least(a, b) AS a, greatest(a, b) AS b FROM j{r} j
-          WHERE ok AND NOT EXISTS (SELECT 1 FROM br{r} z WHERE z.a = j.a AND z.b = j.b)
-          UNION ALL SELECT {pool}, {r}, least(a, b), greatest(a, b) FROM rc{r} x WHERE {valid_pair(used)}"""),
+        ("ranked_facts", f"""SELECT {pool}, fact_id, answer_id, correct_ids, count(*) OVER (PARTITION BY {pool}) AS n,
+          row_number() OVER (PARTITION BY {pool} ORDER BY md5('7:' || fact_id), fact_id) - 1 AS place FROM assigned"""),
+        ("seated", f"""SELECT *, CASE WHEN round >= n THEN place ELSE (CASE WHEN n % 2 = 1 THEN (2 * round + 1) % n
+          WHEN 2 * round < n THEN 2 * round + 1 ELSE 2 * round - n END - place + n) % n END AS other
+          FROM ranked_facts, range({rounds}) r(round)"""),
+        ("judged", f"""SELECT *, {VALID} AS ok FROM (SELECT {sides} FROM seated x LEFT JOIN seated y ON {both}
+          AND y.place = x.other AND y.place > x.place WHERE x.place <= x.other)"""),
+        ("loose", f"""SELECT {pool}, round, a AS fact_id, aa AS answer_id, ca AS correct_ids, pa AS place, n FROM judged WHERE NOT ok
+          UNION ALL SELECT {pool}, round, b, ab, cb, pb, n FROM judged WHERE NOT ok AND b IS NOT NULL"""),
+        ("short", f"""SELECT {pool}, round, sum(k) AS m, max(k) AS h, arg_max(answer_id, (k, answer_id)) AS top
+          FROM (SELECT {pool}, round, answer_id, count(*) AS k FROM loose GROUP BY ALL) GROUP BY ALL"""),
+        ("broken", f"""SELECT * FROM (SELECT x.*, need, row_number() OVER (PARTITION BY x.relation_family, x.split, x.round
+          ORDER BY md5('7:d:' || x.round || ':' || least(a, b) || ':' || greatest(a, b)), x.round, least(a, b), greatest(a, b)) - 1 AS rk
+          FROM judged x JOIN (SELECT *, h - (m + 1) // 2 AS need FROM short) y ON {both}
+          WHERE ok AND need > 0 AND NOT list_contains(ca, top) AND NOT list_contains(cb, top)) WHERE rk < need"""),
+        ("free_facts", f"""SELECT * FROM loose UNION ALL SELECT {pool}, round, a, aa, ca, pa, n FROM broken
+          UNION ALL SELECT {pool}, round, b, ab, cb, pb, n FROM broken"""),
+        ("met", f"""SELECT *, row_number() OVER (PARTITION BY {pool}, round ORDER BY md5('7:' || round || ':' || answer_id),
+          md5('7:' || round || ':' || fact_id), fact_id) - 1 AS i, (count(*) OVER (PARTITION BY {pool}, round) + 1) // 2 AS half FROM free_facts"""),
+        ("mended", f"""SELECT *, row_number() OVER (PARTITION BY {pool}, least(a, b), greatest(a, b) ORDER BY round) AS again
+          FROM (SELECT {sides} FROM met x JOIN met y ON {both} AND y.i = x.i + x.half)
+          WHERE {VALID} AND ({own} >= {rounds} OR {own} = round)"""),
+        ("fact_pairs", f"""SELECT {pool}, round, least(a, b) AS a, greatest(a, b) AS b FROM judged x
+          WHERE ok AND NOT EXISTS (SELECT 1 FROM broken y WHERE y.a = x.a AND y.b = x.b AND y.round = x.round)
+          UNION ALL SELECT {pool}, round, least(a, b), greatest(a, b) FROM mended WHERE again = 1"""),
     ]
 
 
@@ -373,12 +368,7 @@ TEMPLATES = (
       AS template_id, {array(TEMPLATE_TEXTS)}[o.i + 1] AS text
       FROM (SELECT DISTINCT c_mktsegment FROM customer), range({len(TEMPLATE_TEXTS)}) o(i)""",
 )
-PAIRED: Parts = [
-    *FACT_PARTS,
-    *pairing_round(0, None),
-    *pairing_round(1, "p0"),
-    ("fact_pairs", "SELECT * FROM p0 UNION ALL SELECT * FROM p1"),
-]
+PAIRED: Parts = [*FACT_PARTS, *pairing(2)]
 BLOCKS: Parts = [
     *PAIRED,
     TEMPLATES,

@@ -62,6 +62,34 @@ def test_no_pair_returns_and_the_result_is_deterministic(spark):
         pairs_of(pool(spark, answers), k=0)
 
 
+@pytest.mark.parametrize(("n", "k"), [(40, 10), (41, 10), (6, 10), (7, 10), (2, 3)])
+def test_many_rounds_from_one_layout(spark, n, k):
+    """All answers differ: rounds are full until every pair has been used."""
+    rows = pairs_of(pool(spark, [f"a{i}" for i in range(n)]), k=k)
+    couples = [(r[1], r[2]) for r in rows]
+    assert len(set(couples)) == len(couples)
+    for r in range(k):
+        used = Counter(x for row in rows if row[0] == r for x in (row[1], row[2]))
+        assert max(used.values(), default=0) <= 1
+    full = sum(min(n // 2, max(0, n * (n - 1) // 2 - r * (n // 2))) for r in range(k))
+    # An even pool has n - 1 full rounds, taken as n / 2 of them and n / 2 with two facts alone.
+    assert len(rows) >= min(full, n * (n - 1) // 2) - (0 if n % 2 or k <= n // 2 else k)
+    if k >= n:
+        assert len(rows) == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("hot", [0, 20])
+def test_many_rounds_with_clashes(spark, hot):
+    answers = ["hot"] * hot + [f"a{i % 6}" for i in range(60 - hot)]
+    rows = pairs_of(pool(spark, answers), k=10)
+    couples = [(r[1], r[2]) for r in rows]
+    assert len(set(couples)) == len(couples) and all(r[3] != r[4] for r in rows)
+    for r in range(10):
+        used = Counter(x for row in rows if row[0] == r for x in (row[1], row[2]))
+        assert max(used.values()) == 1
+    assert len(rows) >= 270
+
+
 def test_other_correct_answers_are_respected(spark):
     raw = spark.createDataFrame(
         [("f", "x", "one", ["two"]), ("f", "y", "two", []), ("f", "z", "three", [])],
