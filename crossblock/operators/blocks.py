@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crossblock.functions.keyed import digest
 from crossblock.functions.text import fill_template
 from crossblock.functions.values import insist
-from crossblock.operators.lookup import sized_lookup
+from crossblock.operators.lookup import narrow, sized_lookup
 from crossblock.operators.ranking import global_rank, hash_bucketed, large_groups, prefix_sums, shuffle_rank
 from crossblock.session import cut
 from crossblock.sources.contract import CELL_COLUMNS
@@ -183,26 +183,41 @@ def pick_templates(rows: DataFrame, templates: DataFrame, rank: Column, *, least
     """Add `template`, the one of the row's family at place rank modulo their number.
 
     Templates are looked up by (family, place), however many a family has; a family with
-    fewer than `least` fails the job. `rows` is read twice.
+    fewer than `least` fails the job. Where templates are too many to broadcast, `rows` is read
+    twice.
     """
     family = "relation_family"
-    place = F.row_number().over(Window.partitionBy(family).orderBy("ordinal", "template_id")) - 1
-    held = F.struct("ordinal", "template_id", "text").alias("template")
-    numbered = templates.select(family, place.alias("_place"), held)
-    counts = numbered.groupBy(family).agg(F.count("*").alias("_count"))
-    sizes = rows.groupBy(family).agg(F.count("*").alias("_n")).join(counts, family, "left")
-    sizes = cut(insist(
-        sizes,
-        F.coalesce(F.col("_count"), F.lit(0)) >= F.lit(least),
-        F.concat(F.lit("too few question templates for family "), F.col(family)),
-    ))
+    order = Window.partitionBy(family).orderBy("ordinal", "template_id")
+    numbered = cut(
+        templates.select(
+            family,
+            (F.row_number().over(order) - 1).alias("_place"),
+            F.count("*").over(Window.partitionBy(family)).alias("_count"),
+            F.struct("ordinal", "template_id", "text").alias("template"),
+        )
+    )
+    counts, places = numbered.where("_place = 0").select(family, "_count"), numbered.drop("_count")
+    ranked = rows.withColumn("_rank_at", rank)
+    if narrow(numbered):
+        counted = ranked.join(F.broadcast(counts), family, "left")
+        placed = _at_place(counted, least).join(F.broadcast(places), [family, "_place"], "left")
+        return placed.select(*rows.columns, "template")
+    sizes = cut(rows.groupBy(family).agg(F.count("*").alias("_n")).join(counts, family, "left"))
     # Ranks go round, so each place has its share of the family's rows.
-    shares = numbered.join(sizes.select(family, F.ceil(F.col("_n") / F.col("_count")).alias("_share")), family)
-    placed = sized_lookup(rows.withColumn("_rank_at", rank), sizes, [family], "_n")
-    placed = placed.withColumn("_place", (F.col("_rank_at") % F.col("_count")).cast("int"))
+    shares = places.join(sizes.select(family, F.ceil(F.col("_n") / F.col("_count")).alias("_share")), family)
+    placed = _at_place(sized_lookup(ranked, sizes, [family], "_n"), least)
     return sized_lookup(placed, cut(shares), [family, "_place"], "_share").select(*rows.columns, "template")
 
 
+def _at_place(counted: DataFrame, least: int) -> DataFrame:
+    enough = insist(
+        counted,
+        F.coalesce(F.col("_count"), F.lit(0)) >= F.lit(least),
+        F.concat(F.lit("too few question templates for family "), F.col("relation_family")),
+    )
+    return enough.withColumn("_place", (F.col("_rank_at") % F.col("_count")).cast("int"))
+
+
 def assign_templates(
     pairs: DataFrame, templates: DataFrame, *, templates_per_family: int | None, seed: int | str
 ) -> DataFrame:

@@ -15,7 +15,7 @@ SMALL, BYTES = 5_000, 8 << 20
 COPIES = 32
 
 
-def _narrow(rows: DataFrame) -> bool:
+def narrow(rows: DataFrame) -> bool:
     """Whether at most SMALL rows of at most BYTES are there."""
     size = F.octet_length(F.to_json(F.struct("*")))
     found = rows.select(size.alias("size")).limit(SMALL + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)))
@@ -35,13 +35,13 @@ def sized_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], size: s
     keys = list(keys)
     values = [c for c in right.columns if c not in keys and c not in left.columns]
     right = right.select(*keys, *values, *([] if size in [*keys, *values] else [size]))
-    if _narrow(right):
+    if narrow(right):
         return left.join(F.broadcast(right.select(*keys, *values)), keys, "left").select(*left.columns, *values)
     # Rounded up so that the bound on their number holds exactly.
     heavy = right.where(F.col(size) * F.lit(HEAVY) > right.agg(F.sum(size)).scalar())
     known = right.select(*keys, *values).withColumn("_salt", F.lit(0).cast("long"))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096))
-    if not _narrow(heavy):
+    if not narrow(heavy):
         marks = heavy.select(*keys, F.lit(True).alias("_hot"))
         salt = F.when(F.col("_hot"), spread % COPIES + 1).otherwise(F.lit(0))
         salts = F.sequence(*[F.lit(n).cast("long") for n in (1, COPIES)])

@@ -29,8 +29,7 @@ MOST_BUCKETS = 10_000
 def large_groups(df: DataFrame, group: Sequence[str]) -> DataFrame | None:
     """Groups above WINDOW_ROWS with their size `_n`, a written table; None if there are none."""
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WINDOW_ROWS)
-    found = cut(sizes)
-    return None if found.isEmpty() else found
+    return cut(sizes) if sizes.select("_n").head(1) else None
 
 
 def hash_bucketed(

@@ -80,7 +80,7 @@ def jobs_of(spark, name):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize(("name", "most"), [("c2_pair_facts", 30), ("l2_build_cells", 40)])
+@pytest.mark.parametrize(("name", "most"), [("c2_pair_facts", 50), ("l2_build_cells", 70)])
 def test_pairing_takes_few_jobs(spark, name, most):
     assert jobs_of(spark, name) <= most
 
