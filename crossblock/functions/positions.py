@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossblock.functions.names import PositionNames
+from crossblock.functions.values import as_column, bound, insist, running_totals
 
 TOKENS = T.ArrayType(
     T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")])
@@ -23,58 +22,49 @@ PIECES = r" ?[A-Za-z0-9]+|[^A-Za-z0-9]"
 Tokenizer = Callable[[str], list[tuple[int, int, int]]]
 
 
-def _piece_columns(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The default pieces of a batch of texts at once: (id, start, end) and where each text ends.
+def default_tokens(text: Column) -> Column:
+    """The default pieces with ids and character offsets, without leaving the JVM.
 
-    Pieces cover every character, so a piece ends where the next one starts. A character
-    starts one unless it goes on with a word or follows the word's blank.
+    Pieces cover every character, so offsets are running lengths. The id of a piece is the head
+    of its hash.
     """
-    joined = "".join(t or "" for t in texts)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    edges = np.concatenate([[0], np.cumsum([len(t or "") for t in texts], dtype=np.int64)])
-    word = np.zeros(128, dtype=bool)
-    word[[c for c in range(128) if chr(c).isalnum()]] = True
-    inside = word[np.minimum(chars, 127)] & (chars < 128)
-    starts = np.ones(len(chars), dtype=bool)
-    starts[1:] = ~inside[1:] | ~(inside[:-1] | (chars[:-1] == 32))
-    starts[edges[:-1][edges[:-1] < len(chars)]] = True
-    begin = np.flatnonzero(starts)
-    end = np.append(begin[1:], len(chars)) if len(begin) else begin
-    pieces = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-    codes, distinct = pd.factorize(np.array(pieces, dtype=object))
-    hashed = [int(hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) for p in distinct]
-    held = np.searchsorted(begin, edges)
-    shift = np.repeat(edges[:-1], np.diff(held))
-    ids = np.array(hashed, dtype=np.int64)[codes] if len(codes) else codes
-    return np.stack([ids, begin - shift, end - shift]).astype(np.int32), held
+    def token(piece: Column, end: Column) -> Column:
+        number = F.conv(F.substring(F.md5(piece.cast("binary")), 1, 7), 16, 10).cast("int")
+        return F.struct(number.alias("id"), (end - F.char_length(piece)).alias("start"), end.alias("end"))
+
+    def placed(pieces: Column) -> Column:
+        ends = running_totals(F.transform(pieces, lambda p: F.char_length(p)))
+        return bound(ends, lambda e: F.transform(pieces, lambda p, i: token(p, F.get(e, i))))
+
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    return F.when(text.isNotNull(), bound(pieces, placed)).cast(TOKENS)
 
 
 def encode(text: str | Column, factory: Callable[[], Tokenizer] | None = None) -> Column:
     """Token ids with character offsets.
 
-    Without a factory the default pieces are found for a batch at once. A factory is called
-    once per worker iterator and its tokenizer once per text.
+    Without a factory these are the default pieces. A factory is called once per worker
+    iterator and its tokenizer once per text.
     """
     names = ["id", "start", "end"]
+    if factory is None:
+        return default_tokens(as_column(text))
 
     @F.arrow_udf(TOKENS)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = factory() if factory else None
+        run = factory()
         for column in batches:
             texts = column.to_pylist()
-            if run is None:
-                columns, ends = _piece_columns(texts)
-            else:
-                found = [run(t) if t is not None else [] for t in texts]
-                flat = [token for tokens_ in found for token in tokens_]
-                columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+            found = [run(t) if t is not None else [] for t in texts]
+            flat = [token for tokens_ in found for token in tokens_]
+            columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
             spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
             yield pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), spans, mask=pa.array([t is None for t in texts], pa.bool_())
             )
 
-    return tokens(F.col(text) if isinstance(text, str) else text)
+    return tokens(as_column(text))
 
 
 def tokens_from_parts(ids: str, offsets: str) -> Column:
@@ -273,3 +263,38 @@ def snapshot_drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
     side = F.when(F.col("_net") > 0, "current").otherwise("frozen")
     copies = F.sequence(F.lit(1).cast("long"), F.abs("_net"))
     return net.select(*columns, side.alias("side"), F.explode(copies).alias("_c")).drop("_c")
+
+
+def field_drift(
+    current: DataFrame, frozen: DataFrame, key: Sequence[str], fields: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per key that is not the same on both sides: what happened to it and in which fields.
+
+    `change` is added, missing or changed; `fields` holds structs (field, was, now), values as
+    text, for the fields that differ (all of the present side's for the first two). Two missing
+    values are equal. A key that repeats on one side fails the job.
+    """
+    names = list(fields if fields is not None else [c for c in current.columns if c not in key])
+    held = F.struct(*[F.col(n).cast("string").alias(n) for n in names])
+    both = current.select(*key, F.lit(True).alias("_now"), held.alias("_held")).unionByName(
+        frozen.select(*key, F.lit(False).alias("_now"), held.alias("_held"))
+    )
+    sides = {"now": F.col("_now"), "was": ~F.col("_now")}
+    paired = both.groupBy(*key).agg(
+        *[F.max(F.when(side, F.col("_held"))).alias(name) for name, side in sides.items()],
+        *[F.count_if(side).alias(f"_n_{name}") for name, side in sides.items()],
+    )
+    once = insist(paired, (F.col("_n_now") <= 1) & (F.col("_n_was") <= 1), "a key of a snapshot repeats")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "missing").otherwise("changed")
+    differing = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    ~F.col(f"was.{n}").eqNullSafe(F.col(f"now.{n}")) | (change != "changed"),
+                    F.struct(F.lit(n).alias("field"), F.col(f"was.{n}").alias("was"), F.col(f"now.{n}").alias("now")),
+                )
+                for n in names
+            ]
+        )
+    )
+    return once.select(*key, change.alias("change"), differing.alias("fields")).where(F.size("fields") > 0)

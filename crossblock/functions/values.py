@@ -6,6 +6,8 @@ NaN that reached a gate would pass it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,26 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is made once, however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_totals(values: Column) -> Column:
+    """Inclusive running sums of an array of ints.
+
+    By doubling steps: a round adds what lies 2^k places before. An array that grows by one
+    would be copied whole for every element.
+    """
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, F.when(i >= back, i - back)), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), rounds - 1), values, add)
+
+
 def finite(value: str | Column) -> Column:
     """NaN and both infinities become NULL (NaN < inf is false in Spark)."""
     x = as_column(value).cast("double")

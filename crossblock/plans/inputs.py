@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -359,6 +360,21 @@ def probe_scorer():
     return run
 
 
+#: Pieces of at most four characters, as another tokenizer might cut them.
+SHORT_PIECES = r" ?[A-Za-z0-9]{1,4}|[^A-Za-z0-9]"
+
+
+def short_tokenizer():
+    """A stand-in for another tokenizer: short pieces, the id from their hash."""
+    pattern = re.compile(SHORT_PIECES)
+
+    def run(text: str) -> list[tuple[int, int, int]]:
+        found = [(m[0], m.start(), m.end()) for m in pattern.finditer(text)]
+        return [(int(hashlib.md5(p.encode()).hexdigest()[:7], 16), i, j) for p, i, j in found]
+
+    return run
+
+
 #: How much of the partner's margin a position carries over, for the stand-in sweep.
 CARRIED = {"AC": 0.02, "LAT": 0.3, "NL": 0.9, "NL1": 0.05, "CC": 1.0}
 

@@ -12,9 +12,9 @@ from crossblock.functions.names import (
     SPLITS,
     PositionNames,
 )
-from crossblock.functions.positions import ERRORS, SETS
+from crossblock.functions.positions import ERRORS, PIECES, SETS
 from crossblock.functions.prompts import PromptText
-from crossblock.plans.inputs import PLACES, POSITIONS, SHARES, START, TEMPLATE_TEXTS, WIDTH
+from crossblock.plans.inputs import PLACES, POSITIONS, SHARES, SHORT_PIECES, START, TEMPLATE_TEXTS, WIDTH
 from crossblock.sources.contract import CELL_COLUMNS
 
 Parts = list[tuple[str, str]]
@@ -429,10 +429,10 @@ PROMPTS: Parts = [
 ]
 
 
-def tokens(rows: str, column: str, name: str = "tok") -> Parts:
+def tokens(rows: str, column: str, name: str = "tok", pattern: str = PIECES) -> Parts:
     return [
         (f"{name}_p", f"""SELECT conv_id, turn, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS index
-          FROM (SELECT conv_id, turn, regexp_extract_all({column}, {text(' ?[A-Za-z0-9]+|[^A-Za-z0-9]')}) AS ps FROM {rows})"""),
+          FROM (SELECT conv_id, turn, regexp_extract_all({column}, {text(pattern)}) AS ps FROM {rows})"""),
         (name, f"""SELECT conv_id, turn, CAST(index AS INTEGER) AS index, piece,
           CAST(('0x' || substr(md5(piece), 1, 7)) AS INTEGER) AS id,
           CAST(sum(length(piece)) OVER o - length(piece) AS INTEGER) AS start,
@@ -447,27 +447,64 @@ def hit(char: str) -> str:
 
 _at = {"ac": "answer_colon", "fst": "answer_start", "lat": "answer_end - 1", "nl": "newline",
        "cc": "confidence_colon"}
-RESOLVED: Parts = [
-    *PROMPTS,
-    *tokens("prompts", "prompt"),
-    ("hits", f"""SELECT conv_id, turn, count(*) AS n, {', '.join(f'{hit(c)} AS {k}' for k, c in _at.items())}
-      FROM tok JOIN prompts USING (conv_id, turn) GROUP BY 1, 2"""),
-    ("found", """SELECT h.*, p.* EXCLUDE (conv_id, turn), """
-     + ", ".join(f"t{k}.start AS {k}_start, t{k}.stop AS {k}_stop" for k in _at)
-     + " FROM hits h JOIN prompts p USING (conv_id, turn) "
-     + " ".join(f"LEFT JOIN tok t{k} ON t{k}.conv_id = h.conv_id AND t{k}.turn = h.turn AND t{k}.index = h.{k}"
-                for k in _at)),
-    ("resolved", "SELECT *, CASE " + " ".join(
-        f"WHEN {c} THEN '{e}'" for c, e in zip([
-            "ac < 0", "ac_stop <> answer_boundary", "fst < 0", "fst_start < answer_boundary", "lat < 0",
-            "lat_stop <> answer_end", "nl < 0", "nl_start <> newline OR nl_stop <> newline + 1",
-            "nl + 1 >= n", "cc < 0", "cc_stop <> confidence_colon + 1", "cc <> n - 1",
-            "NOT (ac < lat AND lat < nl AND nl + 1 < cc)"], ERRORS, strict=True))
-     + " END AS position_error, nl + 1 AS af FROM found"),
-]
+
+
+def resolved(tag: str = "", pattern: str = PIECES) -> Parts:
+    """Tokens `tok` and positions `resolved` of all prompts, their names followed by the tag."""
+    tok = f"tok{tag}"
+    return [
+        *PROMPTS,
+        *tokens("prompts", "prompt", tok, pattern),
+        (f"hits{tag}", f"""SELECT conv_id, turn, count(*) AS n, {', '.join(f'{hit(c)} AS {k}' for k, c in _at.items())}
+          FROM {tok} JOIN prompts USING (conv_id, turn) GROUP BY 1, 2"""),
+        (f"found{tag}", """SELECT h.*, p.* EXCLUDE (conv_id, turn), """
+         + ", ".join(f"t{k}.start AS {k}_start, t{k}.stop AS {k}_stop" for k in _at)
+         + f" FROM hits{tag} h JOIN prompts p USING (conv_id, turn) "
+         + " ".join(f"LEFT JOIN {tok} t{k} ON t{k}.conv_id = h.conv_id AND t{k}.turn = h.turn AND t{k}.index = h.{k}"
+                    for k in _at)),
+        (f"resolved{tag}", "SELECT *, CASE " + " ".join(
+            f"WHEN {c} THEN '{e}'" for c, e in zip([
+                "ac < 0", "ac_stop <> answer_boundary", "fst < 0", "fst_start < answer_boundary", "lat < 0",
+                "lat_stop <> answer_end", "nl < 0", "nl_start <> newline OR nl_stop <> newline + 1",
+                "nl + 1 >= n", "cc < 0", "cc_stop <> confidence_colon + 1", "cc <> n - 1",
+                "NOT (ac < lat AND lat < nl AND nl + 1 < cc)"], ERRORS, strict=True))
+         + f" END AS position_error, nl + 1 AS af FROM found{tag}"),
+    ]
+
+
+RESOLVED = resolved()
 _role = dict(zip(PositionNames().ordered(), ["ac", "lat", "nl", "af", "cc"], strict=True))
 
 
+def snapshot(tag: str) -> str:
+    """Checksum, length, and index and id at every position, as text."""
+    fields = ["sha256(prompt) AS prompt_sha256", "CAST(n AS VARCHAR) AS n_tokens"]
+    for p, v in _role.items():
+        fields += [f'CAST(r.{v} AS VARCHAR) AS "pos_{p}"', f'CAST(k{v}.id AS VARCHAR) AS "tok_{p}"']
+    joins = " ".join(
+        f"LEFT JOIN tok{tag} k{v} ON k{v}.conv_id = r.conv_id AND k{v}.turn = r.turn AND k{v}.index = r.{v}" for v in _role.values()
+    )
+    return f"SELECT r.conv_id, r.turn, {', '.join(fields)} FROM resolved{tag} r {joins}"
+
+
+def position_drift() -> str:
+    names = ["prompt_sha256", "n_tokens", *[f"{k}_{p}" for p in _role for k in ("pos", "tok")]]
+    other = "(c.turn IS NULL OR f.turn IS NULL OR c.\"{n}\" IS DISTINCT FROM f.\"{n}\")"
+    listed_fields = ", ".join(
+        f"""CASE WHEN {other.format(n=n)} THEN ['{n}', coalesce(f."{n}", '-') || '>' || coalesce(c."{n}", '-')] END""" for n in names
+    )
+    return sql(
+        [*resolved(), *resolved("_short", SHORT_PIECES), ("snap_c", snapshot("") + " WHERE r.turn >= 2"),
+         ("snap_f", snapshot("_short") + " WHERE r.turn <= 4"),
+         ("diff", f"""SELECT coalesce(c.conv_id, f.conv_id) AS conv_id, coalesce(c.turn, f.turn) AS turn,
+           CASE WHEN f.turn IS NULL THEN 'added' WHEN c.turn IS NULL THEN 'missing' ELSE 'changed' END AS change,
+           list_filter([{listed_fields}], lambda x: x IS NOT NULL) AS d
+           FROM snap_c c FULL JOIN snap_f f ON c.conv_id = f.conv_id AND c.turn = f.turn""")],
+        """SELECT conv_id, turn, change, array_to_string(list_transform(d, lambda x: x[1]), ',') AS fields,
+        array_to_string(list_transform(d, lambda x: x[2]), ',') AS "values" FROM diff WHERE len(d) > 0""",
+    )
+
+
 # Validation rules.
 
 
@@ -1040,6 +1077,7 @@ def queries() -> dict[str, str]:
             array_to_string(also_correct, ',') AS also_correct FROM facts UNION ALL
             SELECT 'SUPPLIER', s_name, s_name, n_name, '' FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
         "g3_duplicate_blocks": sql([RAW], "SELECT c_mktsegment || '/' || n_name AS block_id, count(*) AS n FROM raw GROUP BY 1 HAVING count(*) > 1"),
+        "g4_position_drift": position_drift(),
         "g4_snapshot_drift": sql([("cur", "SELECT o_custkey AS key, o_orderpriority AS label FROM orders"), ("fro", """SELECT
             c_custkey AS key, o_orderpriority AS label FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0""")],
             """SELECT *, 'current' AS side FROM (SELECT * FROM cur EXCEPT ALL SELECT * FROM fro)

@@ -677,6 +677,25 @@ def g4_snapshot_drift(spark, sf):
     return positions.snapshot_drift(current, frozen)
 
 
+@query
+def g4_position_drift(spark, sf):
+    """Positions by one tokenizer against a frozen table by another, for turns of either table."""
+    rendered = prompts.render_prompts(inputs.turns(spark, sf))
+
+    def snapshot(held, tokenizer=None):
+        tokens = held.withColumn("tokens", positions.encode("prompt", tokenizer))
+        return positions.position_snapshot(positions.resolve_positions(tokens), ["conv_id", "turn"])
+
+    now = snapshot(rendered.where("turn >= 2"))
+    frozen = snapshot(rendered.where("turn <= 4"), inputs.short_tokenizer)
+    drift = positions.field_drift(now, frozen, ["conv_id", "turn"])
+    return drift.select(
+        "conv_id", "turn", "change", F.array_join("fields.field", ",").alias("fields"),
+        F.array_join(F.transform("fields", lambda f: F.concat_ws(">", F.coalesce(f["was"], F.lit("-")),
+                                                                  F.coalesce(f["now"], F.lit("-")))), ",").alias("values"),
+    )
+
+
 # H. Text, prompts, positions, likelihood, noise
 
 

@@ -272,3 +272,38 @@ def test_snapshots_drift(spark):
     before = positions.position_snapshot(positions.resolve_positions(other), ["question"])
     found = positions.snapshot_drift(now.union(now), before).collect()
     assert sorted(r["side"] for r in found) == ["current", "current", "frozen"]
+
+
+def test_field_drift(spark):
+    schema = "key long, a int, b string"
+    now = spark.createDataFrame([(1, 1, "x"), (2, None, "y"), (3, 5, None), (4, None, None)], schema)
+    was = spark.createDataFrame([(1, 1, "x"), (2, 2, "y"), (4, None, None), (5, 7, "z")], schema)
+    found = {r["key"]: (r["change"], [tuple(f) for f in r["fields"]]) for r in positions.field_drift(now, was, ["key"]).collect()}
+    assert found == {
+        2: ("changed", [("a", "2", None)]),
+        3: ("added", [("a", None, "5"), ("b", None, None)]),
+        5: ("missing", [("a", "7", None), ("b", "z", None)]),
+    }
+    with pytest.raises(Exception, match="a key of a snapshot repeats"):
+        positions.field_drift(now.union(now), was, ["key"]).collect()
+    df = rendered(spark).withColumn("tokens", positions.encode("prompt"))
+    snap = positions.position_snapshot(positions.resolve_positions(df), ["question"])
+    assert positions.field_drift(snap, snap, ["question"]).count() == 0
+
+
+def test_default_tokens_of_long_and_odd_texts(spark):
+    import hashlib
+    import re
+
+    texts = [None, "", "a", " ", "é 😀x y\n\n", "a b." * 25_000, "x" * 5000, " lead  two", "日本 語12"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("k", positions.encode("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        if r["t"] is None:
+            assert r["k"] is None
+            continue
+        want = [
+            (int(hashlib.md5(m[0].encode()).hexdigest()[:7], 16), m.start(), m.end())
+            for m in re.finditer(positions.PIECES, r["t"])
+        ]
+        assert [tuple(k) for k in r["k"]] == want
