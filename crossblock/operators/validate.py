@@ -309,6 +309,128 @@ def validate(cells: DataFrame) -> DataFrame:
     return out
 
 
+# Validation of a table that grows.
+
+#: Keys of the evidence: what kind of identity, and its one or two parts.
+IDENTITY = ["kind", "key", "second"]
+
+
+def evidence(cells: DataFrame) -> DataFrame:
+    """One row per identity of a table with all that the rules across blocks ask about it.
+
+    Fixed-size: splits seen, whether fittable, the least and the greatest text. Evidence of
+    parts of a table is merged by `merge_evidence`.
+    """
+    none = F.lit(None).cast("string")
+
+    def one(kind: str, key: str, second: Column = none, text: Column = none) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(key).alias("key"), second.alias("second"), text.alias("text")
+        )
+
+    every = F.array(
+        one("block", "block_id"),
+        one("question identity", "question_id"),
+        one("answer identity", "answer_id", text=F.col("answer")),
+        one("family", "relation_family"),
+        one("question text", "question_id", F.col("template_id"), F.col("question")),
+    )
+    long = cells.select("split", F.explode(every).alias("i")).select("i.*", "split")
+    return long.groupBy(*IDENTITY).agg(
+        *_splits_seen(),
+        F.max(F.col("split") != HOLDOUT).alias("fittable"),
+        F.min("text").alias("text_lo"),
+        F.max("text").alias("text_hi"),
+    )
+
+
+def merge_evidence(parts: DataFrame) -> DataFrame:
+    lowest = {"other_lo", "text_lo"}
+    return parts.groupBy(*IDENTITY).agg(
+        *[(F.min if c in lowest else F.max)(c).alias(c) for c in parts.columns if c not in IDENTITY]
+    )
+
+
+def evidence_rules(held: DataFrame) -> DataFrame:
+    """Violations of the leak, family and text rules, with the identity that each is about."""
+    seen = held.withColumn("_s", _splits_listed())
+    absent = F.array_compact(F.array(*[F.when(~F.col(f"in_{s}"), F.lit(s)) for s in sorted(FITTABLE_SPLITS)]))
+    family, varies = F.col("kind") == "family", F.col("text_lo") != F.col("text_hi")
+    leaks = F.col("kind").isin("block", "question identity", "answer identity") & (F.size("_s") > 1)
+
+    def fault(broken: Column, rule: str, kind: Column, detail: Column) -> Column:
+        return F.when(broken, F.struct(F.lit(rule).alias("rule"), kind.alias("fault"), detail.alias("detail")))
+
+    faults = F.array_compact(
+        F.array(
+            fault(leaks, "leak", F.col("kind"), F.array_join("_s", ",")),
+            fault(family & F.col(f"in_{HOLDOUT}") & F.col("fittable"), "family", F.lit("held out and fittable"), F.lit(HOLDOUT)),
+            fault(family & F.col("fittable") & (F.size(absent) > 0), "family",
+                  F.lit("absent from a fittable split"), F.array_join(absent, ",")),
+            fault((F.col("kind") == "question text") & varies, "text",
+                  F.lit("question text varies in a template"), F.col("second")),
+            fault((F.col("kind") == "answer identity") & varies, "text", F.lit("answer text varies"), F.lit("")),
+        )
+    )
+    return seen.select(*IDENTITY, F.explode(faults).alias("f")).select(
+        *IDENTITY, "f.rule", F.col("f.fault").alias("fault"), F.col("key").alias("id"), "f.detail"
+    )
+
+
+def _row_faults(cells: DataFrame) -> DataFrame:
+    """Violations that one row shows by itself, under its block."""
+    text = text_rules(cells).where(F.col("kind").isin("unfilled placeholder", "blank question or answer"))
+    return row_rules(cells).select(*COLUMNS).unionByName(label_rules(cells).select(*COLUMNS)).unionByName(text.select(*COLUMNS))
+
+
+def append_checked(new: DataFrame, path: str) -> DataFrame:
+    """Append cells to the table kept at `path` and return every violation of the whole table.
+
+    Equal to `validate` on all cells. Rows are checked once, when they come; blocks and
+    identities again only when new cells touch them, from the old cells of those blocks and
+    the old evidence of those identities. Each call adds a commit to every folder.
+    """
+    spark, new = new.sparkSession, cut(new)
+
+    def kept(name: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{path}/{name}")
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+
+    def both(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
+        return fresh if old is None else old.unionByName(fresh)
+
+    cells, faults, known = kept("cells"), kept("faults"), kept("evidence")
+    touched = new.select(F.col("block_id").alias("_b")).distinct()
+    in_touched = F.col("block_id").eqNullSafe(F.col("_b"))
+    again = both(None if cells is None else cells.join(touched, in_touched, "left_semi").select(*new.columns), new)
+
+    def subject(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(F.concat(F.lit("="), p), F.lit("~")) for p in parts])
+
+    rows = _row_faults(new).withColumn("about", F.lit("row"))
+    shape = block_rules(again).select(*COLUMNS).withColumn("about", subject("block", F.col("id")))
+    fresh = cut(evidence(new))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY]
+    named = fresh.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])
+    merged = merge_evidence(both(None if known is None else known.join(named, same, "left_semi"), fresh))
+    spread = evidence_rules(merged)
+    identity = subject("identity", *map(F.col, IDENTITY))
+    crossing = spread.select("rule", F.col("fault").alias("kind"), "id", "detail", identity.alias("about"))
+    latest = found = cut(rows.unionByName(shape).unionByName(crossing))
+    if faults is not None:
+        # What was said about a block or identity that is checked again no longer counts.
+        settled = touched.select(subject("block", F.col("_b")).alias("about")).unionByName(fresh.select(identity.alias("about")))
+        latest = cut(faults.select(*found.columns).join(settled, "about", "left_anti").select(*found.columns).unionByName(found))
+    new.write.mode("append").parquet(f"{path}/cells")
+    fresh.write.mode("append").parquet(f"{path}/evidence")
+    latest.write.mode("overwrite").parquet(f"{path}/faults")
+    return latest.select(*COLUMNS).unionByName(empty_table(spark.read.schema(new.schema).parquet(f"{path}/cells")))
+
+
 def report(violations: DataFrame) -> DataFrame:
     """Violations under the name of their check, in order of check, id, kind and detail.
 

@@ -1162,6 +1162,13 @@ def queries() -> dict[str, str]:
             sum(id) / CAST(count(*) AS DOUBLE) / 134217728 - 1 AS z FROM tok GROUP BY 1, 2""")], f"""SELECT conv_id AS block_id,
             {rd('avg(z) FILTER (matched) - avg(z) FILTER (NOT matched)', 'gap')} FROM mb JOIN cp USING (conv_id, turn) GROUP BY 1"""),
         "v1_row_rules": sql(UNCHECKED, union(row_rules("dirty"))),
+        "v7_appended_cells": sql([*UNCHECKED, *_block_parts], ALL_RULES),
+        "a7_altered_file": f"""WITH now AS (SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 AND c_mktsegment = 'MACHINERY'
+            THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer),
+            part AS (SELECT * FROM now WHERE c_mktsegment = 'MACHINERY')
+            SELECT 'altered' AS change, 'MACHINERY' AS segment, p.*, w.w_hash_xor AS table_xor
+            FROM (SELECT {fingerprint('part', ['c_custkey', 'c_name', 'c_mktsegment'])}) p,
+            (SELECT {fingerprint('now', ['c_custkey', 'c_name', 'c_mktsegment'], 'w_')}) w""",
         "v2_block_rules": sql([*UNCHECKED, *_block_parts], union(_block_selects)),
         "v3_split_leaks": sql(UNCHECKED, union(leak_rules("dirty"))),
         "v4_label_rules": sql(UNCHECKED, union(label_rules("dirty"))),

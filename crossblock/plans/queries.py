@@ -167,6 +167,36 @@ def a7_manifest(spark, sf):
     )
 
 
+def _move(spark, folder: str, to: str) -> None:
+    """Put the one Parquet file of a folder in the place of another file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = [s.getPath() for s in store.listStatus(path(folder)) if s.getPath().getName().endswith(".parquet")]
+    store.delete(path(to), False)
+    if len(written) != 1 or not store.rename(written[0], path(to)):
+        raise ValueError(f"{folder} does not hold one file that can be moved")
+
+
+@query
+def a7_altered_file(spark, sf):
+    """The one file of a table that was changed after its checksums were taken; only it is read again."""
+    path, columns = scratch_path(spark, "files"), ["c_custkey", "c_name", "c_mktsegment"]
+    rows = inputs.table(spark, sf, "customer").select(*columns)
+    rows.repartition("c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
+    saved = cut(manifest.file_digests(spark, path, columns))
+    name = F.when(F.col("c_custkey") % 100 == 7, F.upper("c_name")).otherwise(F.col("c_name"))
+    part = rows.where("c_mktsegment = 'MACHINERY'").withColumn("c_name", name).drop("c_mktsegment")
+    fresh = scratch_path(spark, "fresh")
+    part.coalesce(1).write.parquet(fresh)
+    _move(spark, fresh, saved.where("file LIKE '%MACHINERY%'").first()["file"])
+    found = manifest.changed_files(saved, path, columns)
+    segment = F.regexp_extract("file", "c_mktsegment=([A-Z]+)", 1).alias("segment")
+    whole = manifest.merged(manifest.file_digests(spark, path, columns)).select("hash_xor").scalar()
+    return found.select(
+        "change", segment, "hash_xor", F.col("hash_sum").cast("string").alias("hash_sum"), "n_rows", whole.alias("table_xor")
+    )
+
+
 @query
 def a8_fact_source(spark, sf):
     return inputs.facts(spark, sf).withColumn("also_correct", F.array_join("also_correct", ","))
@@ -1019,6 +1049,16 @@ for _name, _rule in {
     REGISTRY[_name] = _violations(_rule)
 
 
+@query
+def v7_appended_cells(spark, sf):
+    """Violations after three appends, cells dealt out so that blocks and identities meet in several."""
+    cells, path = cut(inputs.unchecked_cells(spark, sf)), scratch_path(spark, "appended")
+    for part in range(3):
+        held = cells.where(F.pmod(F.xxhash64("block_id", F.col("cell") < "q2"), F.lit(3)) == part)
+        found = rules.append_checked(held, path)
+    return found
+
+
 @query
 def v5_empty_table(spark, sf):
     """Blocks of each segment that pass a filter nothing passes: the empty-table rule."""

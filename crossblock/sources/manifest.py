@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossblock.session import cut
+
 
 def row_hash(columns: list[str]) -> Column:
     """60 bits of md5 over the row as text; any engine can recompute it."""
@@ -27,6 +29,70 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+def file_digests(spark: SparkSession, path: str, columns: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Checksum of every file of a Parquet table: file, bytes, modified, hash_xor, hash_sum, n_rows.
+
+    `columns` fixes what is hashed, partition columns included; without it these are the table's
+    at the time. `only` names files to read instead of all. A table's own checksum is `merged`.
+    """
+    table = spark.read.parquet(path) if only is None else spark.read.option("basePath", path).parquet(*only)
+    at = F.col("_metadata")
+    hashed = table.select(
+        at["file_path"].alias("file"),
+        at["file_size"].alias("bytes"),
+        at["file_modification_time"].alias("modified"),
+        row_hash(columns or table.columns).alias("h"),
+    )
+    return hashed.groupBy("file").agg(
+        F.max("bytes").alias("bytes"),
+        F.max("modified").alias("modified"),
+        F.bit_xor("h").alias("hash_xor"),
+        F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"),
+        F.count("*").alias("n_rows"),
+    )
+
+
+def merged(digests: DataFrame) -> DataFrame:
+    """The checksum of the whole table, as `fingerprint` makes it, from its files' checksums."""
+    return digests.agg(
+        F.bit_xor("hash_xor").alias("hash_xor"),
+        F.sum("hash_sum").cast("decimal(38,0)").cast("string").alias("hash_sum"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+    )
+
+
+def changed_files(saved: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Files of the table at `path` that are not as `saved` (file_digests) has them.
+
+    Only files of another size or time than saved, and new ones, are read. `change` is altered,
+    added or removed; the checksum is the one that the file has now (of a removed file, had). A
+    file without rows has no checksum and is not listed.
+    """
+    spark = saved.sparkSession
+    # The listing reads no contents.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    now = listed.select(F.col("path").alias("file"), F.col("length").alias("_bytes"), F.col("modificationTime").alias("_modified"))
+    now = now.withColumn("_there", F.lit(True))
+    both = cut(saved.withColumn("_known", F.lit(True)).join(now, "file", "full"))
+    same = F.col("_known") & F.col("_there") & (F.col("bytes") == F.col("_bytes")) & (F.col("modified") == F.col("_modified"))
+    suspects = [r["file"] for r in both.where(F.col("_there") & ~F.coalesce(same, F.lit(False))).select("file").toLocalIterator()]
+    gone = both.where(F.col("_there").isNull()).select(F.lit("removed").alias("change"), "file", "hash_xor", "hash_sum", "n_rows")
+    if not suspects:
+        return gone
+    fresh = file_digests(spark, path, columns, suspects).select(
+        "file", *[F.col(c).alias(f"_{c}") for c in ("hash_xor", "hash_sum", "n_rows")]
+    )
+    held = both.where("_there").select("file", "_known", "hash_xor", "hash_sum", "n_rows").join(fresh, "file")
+    equal = F.col("_known") & (F.col("hash_xor") == F.col("_hash_xor")) & (F.col("hash_sum") == F.col("_hash_sum")) & (
+        F.col("n_rows") == F.col("_n_rows")
+    )
+    differing = held.where(~F.coalesce(equal, F.lit(False))).select(
+        F.when(F.col("_known"), "altered").otherwise("added").alias("change"), "file",
+        F.col("_hash_xor").alias("hash_xor"), F.col("_hash_sum").alias("hash_sum"), F.col("_n_rows").alias("n_rows"),
+    )
+    return differing.unionByName(gone)
+
+
 def config_hash(config: Mapping[str, Any]) -> str:
     text = json.dumps(config, sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()

@@ -1,5 +1,7 @@
 """Corrupt a good table in one way and expect that violation."""
 
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,31 @@ def test_fact_rules(spark):
         ("also_correct repeats the answer", "f:b"), ("also_correct is no answer of the family", "f:b"),
         ("unknown family", "g:"), ("empty subject slug", "g:"), ("empty answer slug", "f:d"),
     }
+
+
+@pytest.mark.parametrize("dealt", ["block_id", "block_id, cell", "question_id"])
+def test_appended_cells_get_the_full_check(spark, tmp_path, dealt):
+    """Cells come in three parts that cut blocks and identities apart; faults also vanish again."""
+    from collections import Counter
+
+    from crossblock.plans import inputs
+
+    cells = cut(inputs.unchecked_cells(spark, "/root/testdata/sf0.001"))
+    # Two rows without a block.
+    blank = cells.limit(2).withColumn("block_id", F.lit(None).cast("string"))
+    cells = cut(cells.unionByName(blank))
+    path, kept = str(tmp_path / "grown"), []
+    for part in range(3):
+        held = cells.where(f"pmod(xxhash64({dealt}), 3) = {part}")
+        kept.append(held)
+        got = Counter(map(tuple, rules.append_checked(held, path).collect()))
+        so_far = cut(functools.reduce(lambda a, b: a.unionByName(b), kept))
+        assert got == Counter(map(tuple, rules.validate(so_far).collect()))
+    assert sum(got.values()) > 0
+
+
+def test_appending_nothing(spark, cells, tmp_path):
+    path = str(tmp_path / "none")
+    assert [r["kind"] for r in rules.append_checked(cells.limit(0), path).collect()] == ["empty"]
+    assert rules.append_checked(cells, path).count() == 0
+    assert rules.append_checked(cells.limit(0), path).count() == 0
