@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crossblock.llm import line_dedup, mixing, ngram_join, packing, quality
 from crossblock.llm.common import fold, table
 from crossblock.llm.queries import tokenizer
-from crossblock.session import cut
+from crossblock.session import cut, scratch_path, workspace
 
 #: Near copies: five-word shingles, similarity of 0.8 or more.
 NEAR = ngram_join.Rule(width=5, part=4, whole=5)
@@ -82,7 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. What a stage writes on its way is deleted when its rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        with workspace(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

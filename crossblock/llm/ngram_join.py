@@ -14,8 +14,10 @@ derived from that one's by the n-grams in which they differ. Members of the comp
 first set answered need no answer of their own: every pair that leaves it is seen from outside.
 
 Index lists that are long are salted, their blocks meeting in a second round. Groups with more
-than BLOCK_TOKENS n-grams are divided by equal parts of their sets, and where they stay large
-they are cut into blocks and done by pairs of blocks.
+than BLOCK_TOKENS n-grams are divided by equal parts of their sets. In those that stay large all
+sets are held against a few pivots, and the largest component that these links make needs no
+pairs of its own, as in a small group. The rest is cut into blocks that meet each other and those
+of that component, so a set is sent once per block of the rest and not of the group.
 
 Missing and empty texts have an empty set and link with nothing. Repeated rows and copies have
 equal sets and are linked. Ties need no rule. An empty table gives an empty result. Extra
@@ -31,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossblock.llm.arrays import Chunk, chunks, mix, word_hashes, words
@@ -47,8 +49,8 @@ LIST_ROWS, BLOCK_TOKENS = 100_000, 1_000_000
 BROADCAST_KEYS = 200_000
 #: Parts that may be empty where a large group is divided by parts.
 SPARE_PARTS = 2
-#: Sets whose answers others are derived from, in one group.
-LEADERS = 32
+#: Sets whose answers others are derived from, in one group; sets that a large group is held against.
+LEADERS, PIVOTS = 32, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -452,8 +454,9 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_i
         again = heads.repartition("token").sortWithinPartitions("token", "place", "id")
         links = links.unionByName(candidate_links(again, rule).select("a", "b"))
     groups = components(links)
-    joined = _grouped(docs, groups, classes, rule, shared, key, text, block_tokens, broadcast_keys)
-    roots = components(exact_links(joined, rule))
+    joined, stars = _grouped(docs, groups, classes, rule, shared, key, text, block_tokens, broadcast_keys)
+    found = exact_links(joined, rule)
+    roots = components(found if stars is None else found.unionByName(stars))
     rooted = cut(
         classes.join(roots.withColumnRenamed("node", "id"), "id", "left")
         .select("id", "first", "rows", F.coalesce("root", "id").alias("root"))
@@ -523,11 +526,76 @@ def finer(held: DataFrame, rule: Rule) -> DataFrame:
     return components(links.select(F.col("head").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
 
 
+def star_links(held: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """A written table (a, b) of the links of PIVOTS sets of each group with all sets of the group.
+
+    held: (root, id, tokens); groups: (root, sets).
+    """
+    first = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
+    chosen = held.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= PIVOTS)
+    pivots = chosen.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("id", "tokens"))).alias("pivots"))
+    table = cut(groups.join(pivots, "root").select("root", "pivots", "sets"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for own, mine, against in zip(*[batch.column(k) for k in range(3)], strict=True):
+                one = np.frombuffer(mine.as_py(), "<u8")
+                for pivot in against.as_py():
+                    other = np.frombuffer(pivot["tokens"], "<u8")
+                    if pivot["id"] == own.as_py():
+                        continue
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    if rule.enough(np.array(common), np.array(len(one) + len(other))):
+                        links.append((pivot["id"], own.as_py()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+    met = sized_lookup(held, table, ["root"], "sets").select("id", "tokens", "pivots")
+    return cut(met.mapInArrow(apply, "a long, b long"))
+
+
+def _meeting(held: DataFrame, stars: DataFrame, sizes: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows (root, i, j, id, tokens) of the pairs of blocks in which sets of large groups meet.
+
+    A set outside of its group's largest star component meets all blocks, one inside only the
+    blocks outside. held: (root, id, tokens).
+    """
+    members = cut(held.select("root", "id").join(sizes.select("id", "n"), "id").join(
+        components(stars).withColumnRenamed("root", "star").withColumnRenamed("node", "id"), "id", "left"
+    ))
+    stars_of = members.where("star IS NOT NULL").groupBy("root", "star").agg(F.count("*").alias("k"))
+    inner = stars_of.groupBy("root").agg(F.max_by("star", F.struct("k", "star")).alias("_inner"))
+    groups = members.groupBy("root").agg(F.count("*").alias("sets")).join(inner, "root", "left")
+    marked = sized_lookup(members, cut(groups), ["root"], "sets").withColumn(
+        "inside", F.coalesce(F.col("star") == F.col("_inner"), F.lit(False))
+    )
+    marked = cut(marked.select("root", "id", "n", "inside"))
+    blocks = [
+        F.ceil(F.coalesce(F.sum(F.when(F.col("inside") == side, F.col("n"))), F.lit(0)) / F.lit(block_tokens)).cast("int").alias(name)
+        for name, side in (("outer", False), ("inner", True))
+    ]
+    counts = cut(marked.groupBy("root").agg(*blocks, F.count("*").alias("sets")))
+    placed = sized_lookup(marked, counts, ["root"], "sets").where("NOT inside OR outer > 0")
+    own = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(
+        F.pmod(F.xxhash64("id"), F.col("outer"))
+    ).cast("int")
+    others = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), others - 1),
+        lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")),
+    )
+    spread = placed.withColumn("own", own).select("id", "root", F.explode(pairs).alias("at"))
+    return held.select("id", "tokens").join(spread, "id").select("root", "at.i", "at.j", "id", "tokens")
+
+
 def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule, shared: np.ndarray,
-             key: str, text: str, block_tokens: int, broadcast_keys: int) -> DataFrame:
+             key: str, text: str, block_tokens: int, broadcast_keys: int) -> tuple[DataFrame, DataFrame | None]:
     """The sets of every candidate group, a row for each pair of blocks that a set belongs to.
 
-    Groups of more than one block are first divided by the parts that their sets share.
+    Groups of more than one block are first divided by the parts that their sets share; with
+    what stays large come links that are known already.
     """
     sizes = classes.select("id", "first", "n")
     wanted, totals = with_blocks(groups.withColumnRenamed("node", "id"), sizes, block_tokens)
@@ -540,22 +608,23 @@ def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule,
         found = here.join(F.broadcast(keyed) if few else keyed, F.col("first").eqNullSafe(F.col("_first")))
         return tokens_of(found, rule, shared)
 
+    def alone(held: DataFrame) -> DataFrame:
+        nought = F.lit(0)
+        return held.select("root", nought.alias("i"), nought.alias("j"), "id", "tokens")
+
+    stars = None
     if totals.where("blocks > 1").isEmpty():
-        held = fetched(wanted)
+        flat = alone(fetched(wanted))
     else:
         large = cut(fetched(wanted.where("blocks > 1")).select("id", "tokens").dropDuplicates(["id"]))
-        again, _ = with_blocks(finer(large, rule), sizes, block_tokens)
-        held = fetched(wanted.where("blocks = 1")).unionByName(
-            large.join(again.select("id", "root", "blocks"), "id")
-        )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")),
-    )
-    spread = held.withColumn("block", block).select("root", "id", "tokens", F.explode(pairs).alias("at"))
-    flat = spread.select("root", "at.i", "at.j", "id", "tokens")
-    return flat.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+        again, parts = with_blocks(finer(large, rule), sizes, block_tokens)
+        flat = alone(fetched(wanted.where("blocks = 1")))
+        flat = flat.unionByName(alone(large.join(again.where("blocks = 1").select("id", "root"), "id")))
+        if not parts.where("blocks > 1").isEmpty():
+            held = cut(large.join(again.where("blocks > 1").select("id", "root"), "id"))
+            stars = star_links(held, parts.where("blocks > 1").select("root", "sets"), rule)
+            flat = flat.unionByName(_meeting(held, stars, sizes, block_tokens))
+    return flat.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id"), stars
 
 
 def representatives(docs: DataFrame, rule: Rule, *, key: str = "doc_id", text: str = "text",

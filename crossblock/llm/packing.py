@@ -160,7 +160,11 @@ def _round(rows: DataFrame, number: int, n: int, capacity: int, part_rows: int)
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
          rounds: int = ROUNDS, loose: int = LOOSE) -> DataFrame:
-    """Pieces with sequence_id and offset; `bins` and `bound` are those of the partition packed."""
+    """Pieces with sequence_id and offset.
+
+    `bins` and `bound` are those of the partition when it was packed; an exchange may since have
+    taken sequences from it. Exchange ends after `rounds` rounds, also where gaps remain.
+    """
     whole = _round(items, 0, items.count(), capacity, part_rows)
     for number in range(1, rounds + 1):
         open_ = (F.col("bins") > F.col("bound")) & (F.col("fill") <= capacity - loose)

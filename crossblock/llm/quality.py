@@ -99,7 +99,9 @@ def statistics(chunk: Chunk) -> np.ndarray:
     lines = np.diff(line_edges).astype(float)
     distinct_lines, _ = _repeats(line_hash, line_edges)
     last = np.where(data[ends] == 10, np.maximum(ends - 1, 0), ends) if len(ends) else ends
-    closed = _per_text(np.isin(data[last], list(b".!?:\"'")), line_edges) if len(ends) else np.zeros(n)
+    # An empty line has no last character, not even that of the text before.
+    ended = np.isin(data[last], list(b".!?:\"'")) & (last >= starts) if len(ends) else last
+    closed = _per_text(ended, line_edges) if len(ends) else np.zeros(n)
     share = histogram / np.maximum(size, 1)[:, None]
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     letters = upper + lower

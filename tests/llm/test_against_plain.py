@@ -292,3 +292,45 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: n for k, n in taken.items() if n})
     packed = corpus_pipeline.pack_sequences(spark, mixed, SMALL)
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_large_groups_of_near_copies_and_bridges(spark, seed):
+    """Most sets link with a pivot, some only with others, and chains lead from one cluster to the next."""
+    rng = np.random.default_rng(seed)
+    rule, rows = ngram_join.Rule(3, 9, 10), []
+    base = [f"w{i}" for i in range(200)]
+    words = list(base)
+    for i in range(60):  # a chain: each link changes one more word, so its ends do not link
+        words = list(words)
+        words[(7 * i) % 200] = f"c{i}"
+        rows.append((1000 + i, " ".join(words)))
+    for i in range(200):  # a cluster around the first
+        near = list(base)
+        near[int(rng.integers(0, 200))] = f"n{i}"
+        rows.append((2000 + i, " ".join(near)))
+    other = [f"w{i}" if i % 3 else f"o{i}" for i in range(200)]
+    for i in range(60):  # sets that share many n-grams with the others and link among themselves
+        near = list(other)
+        near[int(rng.integers(0, 200))] = f"m{i}"
+        rows.append((3000 + i, " ".join(near)))
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = plain_components(dict(rows), 3, 9, 10)
+    for block_tokens in (500, 5000):
+        got = ngram_join.linked_components(docs, rule, block_tokens=block_tokens).collect()
+        assert {r["key"]: (r["n"], r["component"]) for r in got} == want
+
+
+def test_sets_inside_a_star_are_not_paired(spark):
+    """Two thousand copies that all link with each other: a set is sent to no pair of blocks."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in range(400)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = cut(docs.select(F.lit(1).cast("long").alias("root"), F.col("doc_id").alias("id"), F.encode(F.repeat(F.lit("12345678"), 20), "utf-8").alias("tokens")))
+    groups = cut(spark.createDataFrame([(1, 400)], "root long, sets long"))
+    rule = ngram_join.Rule(3, 9, 10)
+    stars = ngram_join.star_links(held, groups, rule)
+    sizes = cut(held.select("id", F.lit(20).cast("long").alias("n")))
+    assert ngram_join._meeting(held, stars, sizes, 100).count() == 0
+    got = ngram_join.linked_components(docs, rule, block_tokens=1000).collect()
+    assert {r["component"] for r in got} == {0}
