@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,10 @@ def _sum_round(total: Column, n: Column) -> Column:
     return F.when(n % 2 == 0, even).otherwise(odd)
 
 
-def _couple(facts: DataFrame, slot: Column, seat: Column) -> DataFrame:
+def _couple(facts: DataFrame, slot: Column, seat: Column, group: Sequence[str] = tuple(MATCHING)) -> DataFrame:
     """Seat the facts of a (matching, slot) as x and y. The second is NULL for an odd one out."""
     held = F.struct(*[c for c in facts.columns if not c.startswith("_") and c != "round"])
-    return facts.withColumn("_slot", slot).withColumn("_seat", seat).groupBy(*MATCHING, "_slot").agg(
+    return facts.withColumn("_slot", slot).withColumn("_seat", seat).groupBy(*group, "_slot").agg(
         F.max(F.when(F.col("_seat") == 0, held)).alias("x"),
         F.max(F.when(F.col("_seat") == 1, held)).alias("y"),
     )

@@ -249,7 +249,7 @@ def b4_can_pair(spark, sf):
     ranked = ranking.shuffle_rank(
         facts, group=block_ops.POOL, key=["fact_id"], seed="b4", name="_rank"
     )
-    couples = block_ops._couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
+    couples = block_ops._couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2, block_ops.POOL)
     return couples.where("y IS NOT NULL").select(
         "relation_family",
         F.col("x.fact_id").alias("first"),
@@ -265,8 +265,8 @@ def b5_expand_blocks(spark, sf):
     ranked = ranking.shuffle_rank(
         facts, group=block_ops.POOL, key=["fact_id"], seed="b4", name="_rank"
     )
-    couples = block_ops._couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2)
-    pairs = block_ops._judge(couples, None).where("ok")
+    couples = block_ops._couple(ranked, F.floor(F.col("_rank") / 2), F.col("_rank") % 2, block_ops.POOL)
+    pairs = block_ops._judge(couples).where("ok")
     blocks = block_ops.assign_templates(
         pairs.select(*block_ops.POOL, "fact_q1", "fact_q2"), inputs.templates(spark, sf),
         templates_per_family=1, seed="b5",
