@@ -119,7 +119,7 @@ def plain_grams(text):
             h = order * 0x9E3779B1 & 0xFFFFFFFF
             for p in points[i : i + order]:
                 h = (h ^ p) * 0x85EBCA6B & 0xFFFFFFFF
-            h ^= h >> 15
+                h ^= h >> 15
             counts[(h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - language.BITS)] += 1
     return counts
 
