@@ -39,8 +39,8 @@ from crossblock.session import cut
 ROUNDS, PRIOR, DISCOUNT = 3, 1000.0, 0.75
 #: The share that makes a word heavy, and what is added to every count of the baseline.
 HEAVY, ADDED = 500_000, 0.1
-#: Bytes of text taken at once, and cells of a table of pieces.
-CHUNK, CELLS = 4 << 20, 1 << 17
+#: Bytes of text taken at once, words scored at once, and cells of a table of pieces.
+CHUNK, WORDS, CELLS = 4 << 20, 100_000, 1 << 17
 MARK = b" "
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
@@ -183,6 +183,19 @@ class Lattice:
         return total[:-1]
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about WORDS words or CHUNK bytes, so that tables fill up."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= WORDS or size >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _same_width(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words with their mark as rows of bytes, by length, in tables of bounded size."""
     held = [MARK + w.as_buffer().to_pybytes() for w in words.cast(pa.large_binary())]
@@ -254,7 +267,7 @@ def refined(words: DataFrame, kinds: int, pieces: Pieces, prior: Pieces) -> Piec
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
         total = np.zeros(len(shared.value.strings))
-        for batch in batches:
+        for batch in _larger(batches):
             for _, data in _same_width(batch.column(0)):
                 total += lattice.expected(data)
         at = np.flatnonzero(total)
@@ -317,7 +330,7 @@ def score(
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         lattice = Lattice(held.pieces)
-        for batch in batches:
+        for batch in _larger(batches):
             counts = batch.column(2).to_numpy(zero_copy_only=False)
             columns = [
                 batch.column(0),
