@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def in_batches(
     numbered = batch_numbers(cut(unique.drop("_n")), length=length, key=key, batch_size=batch_size)
     numbered = cut(numbered.withColumnRenamed("batch", BATCH))
     other = [c for c in df.columns if c != length or c in key]
-    placed = df.select(*other).join(numbered, list(key))
+    # Rows that repeat their columns are small as files and large in memory: never broadcast them.
+    placed = df.select(*other).join(numbered.hint("merge"), list(key))
     return placed.repartition(_tasks(df, numbered.count()), length, BATCH)
 
 
@@ -128,34 +130,46 @@ def score(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer: Scorer | None = None
         waiting: pd.DataFrame | None = None
-        at: tuple | None = None
 
-        def flush(part: pd.DataFrame) -> pd.DataFrame:
+        def scored_part(part: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+            """The rows up to the last end, scored in batches that stop at the ends."""
             nonlocal scorer
             if scorer is None:
                 scorer = factory()
-            result = scorer(part.drop(columns=BATCH, errors="ignore").reset_index(drop=True))
-            if len(result) != len(part):
-                raise ValueError(f"scorer returned {len(result)} rows for {len(part)}")
-            done = part[kept].reset_index(drop=True)
-            for name in names:
-                done[name] = result[name].to_numpy()
+            read = part.drop(columns=BATCH, errors="ignore")
+            found: dict[str, list[np.ndarray]] = {name: [] for name in names}
+            for start, end in zip([0, *ends], ends):  # noqa: B905
+                result = scorer(read.iloc[start:end].reset_index(drop=True))
+                if len(result) != end - start:
+                    raise ValueError(f"scorer returned {len(result)} rows for {end - start}")
+                for name in names:
+                    found[name].append(result[name].to_numpy())
+            done = part[kept].iloc[: ends[-1]].reset_index(drop=True)
+            for name, pieces in found.items():
+                same = len({p.dtype for p in pieces}) == 1
+                done[name] = np.concatenate(pieces if same else [p.astype(object) for p in pieces])
             return done
 
+        # Rows arrive sorted by group, so of a frame only the last batch can continue in the next.
+        # All others are scored together: one frame in, one frame out.
         for pdf in batches:
-            for group, same in pdf.groupby(groups, sort=True, dropna=False):
-                # Rows arrive sorted by group, so only the last one can continue.
-                if waiting is not None and group == at:
-                    same = pd.concat([waiting, same])
-                elif waiting is not None:
-                    yield flush(waiting)
-                waiting, at = None, group
-                while len(same) >= batch_size:
-                    yield flush(same.iloc[:batch_size])
-                    same = same.iloc[batch_size:]
-                waiting = same if len(same) else None
-        if waiting is not None:
-            yield flush(waiting)
+            if pdf.empty:
+                continue
+            rows = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+            changed = np.zeros(len(rows), dtype=bool)
+            for g in groups:
+                code = pd.factorize(rows[g], use_na_sentinel=False)[0]
+                changed[1:] |= code[1:] != code[:-1]
+            edges = [*np.flatnonzero(changed).tolist(), len(rows)]
+            ends = [e for lo, hi in zip([0, *edges], edges) for e in (*range(lo + batch_size, hi, batch_size), hi)]  # noqa: B905
+            last = ends[-2] if len(ends) > 1 else 0
+            if len(rows) - last < batch_size:
+                ends.pop()
+            waiting = rows.iloc[ends[-1] if ends else 0 :]
+            if ends:
+                yield scored_part(rows, ends)
+        if waiting is not None and len(waiting):
+            yield scored_part(waiting, [len(waiting)])
 
     return ordered.mapInPandas(run, out)
 

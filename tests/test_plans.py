@@ -1,9 +1,11 @@
 """What must reach the scan, and results under other partition counts."""
 
+import pandas as pd
 import pytest
 from check_oracle import rows_of
 
 import __spark_entry__ as entry
+from crossblock.operators import score
 from crossblock.plans import inputs
 from crossblock.session import cut
 
@@ -96,3 +98,33 @@ def test_the_signal_reads_its_blocks_once(spark, monkeypatch):
     seen.append(plan(entry.queries()["d4_confidence_signal"](spark, SMALL)))
     single = plan(inputs.behavior(spark, SMALL)).count("lineitem.parquet")
     assert sum(text.count("lineitem.parquet") for text in seen) <= 2 * single
+
+
+def test_rows_to_score_are_never_broadcast(spark):
+    """Rows of a grid repeat their columns: small as files, large in memory."""
+    rows = cut(spark.range(40).selectExpr("cast(id % 10 as string) AS block_id", "cast(floor(id / 10) as int) AS layer", "'x' AS text"))
+    key = ["block_id", "layer"]
+    placed = score.in_batches(rows, rows.select(*key), key=key, length="layer", batch_size=4)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert placed.count() == 40
+
+
+def test_scores_come_in_whole_frames(spark):
+    """Batches keep their size and length across frames, and a worker returns few frames, not one per batch."""
+    def factory():
+        def run(batch):
+            assert batch["n_tokens"].nunique(dropna=False) == 1 and len(batch) <= 4
+            return pd.DataFrame({"size": [len(batch)] * len(batch), "twice": batch["id"] * 2})
+
+        return run
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(60).selectExpr("id", "cast(if(id % 3 = 0, null, id % 3) as int) AS n_tokens").coalesce(1)
+        scored = score.score(rows, factory, "size int, twice long", key=["id"], keep=["id", "n_tokens"], batch_size=4, spread=False)
+        seen = scored.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["id"], r["twice"]) for r in seen) == [(i, 2 * i) for i in range(60)]
+    assert all(r["size"] == 4 for r in seen)
