@@ -30,14 +30,22 @@ from crossblock.session import cut
 EMPTY = "a group has no block with a finite value"
 
 
-#: Sums of a row and a replicate that one task makes, about.
-TASK_SUMS = 50_000_000
+#: Sums of a row and a replicate that one task makes, about, up to FEW tasks, and beyond them. A
+#: task emits an array per group, so many small tasks would shuffle more than they add up.
+TASK_SUMS, FULL_SUMS = 50_000_000, 2_000_000_000
+FEW = 32
 #: Session setting for the numbers that a task holds, and its default.
 BUDGET, NUMBERS = "crossblock.bootstrap.numbers", 16_000_000
 #: Arrays of one group that one task adds up, about.
 FAN = 64
 
 
+def sum_tasks(rows: int, n_boot: int) -> int:
+    """Tasks that the sums of so many rows ask for."""
+    sums = rows * n_boot
+    return max(1, min(-(-sums // TASK_SUMS), max(FEW, -(-sums // FULL_SUMS))))
+
+
 def _seeded(df: DataFrame, block: str, seed: int, n_boot: int) -> tuple[DataFrame, int]:
     """Block words for the draws, spread by block, and the number of tasks.
 
@@ -45,7 +53,7 @@ def _seeded(df: DataFrame, block: str, seed: int, n_boot: int) -> tuple[DataFram
     would be merged into one.
     """
     hashed = keyed.digest(seed, block)
-    tasks = max(1, -(-df.count() * n_boot // TASK_SUMS))
+    tasks = sum_tasks(df.count(), n_boot)
     return df.repartition(tasks, block).withColumn("_h", hashed).withColumns(
         {f"_h{i}": keyed.word(F.col("_h"), i) for i in range(3)}
     ), tasks

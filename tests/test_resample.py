@@ -272,3 +272,10 @@ def test_draws_reach_indices_beyond_32_bits(spark):
     drawn = spark.range(4000).select(keyed.index_draw(F.lit(size), 1, "id").alias("u")).toPandas()["u"]
     assert drawn.between(0, size - 1).all() and (drawn % 4 != 0).sum() > 2500
     assert abs(drawn.mean() / size - 0.5) < 0.02
+
+
+def test_tasks_stay_few_where_each_emits_an_array_per_group(spark, monkeypatch):
+    """Every task writes groups x replicates numbers, so their number must not follow every small lot of rows."""
+    monkeypatch.setattr(resample, "TASK_SUMS", 10)
+    df = frame(spark, range(180))
+    assert resample._seeded(df, "block_id", 0, 50)[1] <= 32
