@@ -19,6 +19,9 @@ TOKENS = T.ArrayType(
 #: Pieces of the default tokenizer: a word with its leading blank, or one other character.
 PIECES = r" ?[A-Za-z0-9]+|[^A-Za-z0-9]"
 
+#: Texts whose tokens a worker holds as Python objects at a time.
+TEXTS = 64
+
 Tokenizer = Callable[[str], list[tuple[int, int, int]]]
 
 
@@ -40,33 +43,42 @@ def default_tokens(text: Column) -> Column:
     return F.when(text.isNotNull(), bound(pieces, placed)).cast(TOKENS)
 
 
+def token_arrays(run: Tokenizer, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Tokens of the texts as Arrow arrays of at most TEXTS texts, whatever the batches hold."""
+    for texts in (c.slice(i, TEXTS).to_pylist() for c in batches for i in range(0, len(c), TEXTS)):
+        found = [run(t) if t is not None else [] for t in texts]
+        flat = [token for tokens_ in found for token in tokens_]
+        columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["id", "start", "end"])
+        yield pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), spans, mask=pa.array([t is None for t in texts], pa.bool_())
+        )
+
+
 def encode(text: str | Column, factory: Callable[[], Tokenizer] | None = None) -> Column:
     """Token ids with character offsets.
 
     Without a factory these are the default pieces. A factory is called once per worker
-    iterator and its tokenizer once per text.
+    iterator and its tokenizer once per text. A worker holds the tokens of TEXTS texts at a time.
     """
-    names = ["id", "start", "end"]
     if factory is None:
         return default_tokens(as_column(text))
 
     @F.arrow_udf(TOKENS)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = factory()
-        for column in batches:
-            texts = column.to_pylist()
-            found = [run(t) if t is not None else [] for t in texts]
-            flat = [token for tokens_ in found for token in tokens_]
-            columns = np.array(flat, dtype=np.int32).reshape(-1, 3).T
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-            spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), spans, mask=pa.array([t is None for t in texts], pa.bool_())
-            )
+        yield from token_arrays(factory(), batches)
 
     return tokens(as_column(text))
 
 
+def count_tokens(text: str | Column, factory: Callable[[], Tokenizer] | None = None) -> Column:
+    """How many tokens `encode` makes, without their ids and offsets where it can do without."""
+    if factory is None:
+        return F.size(F.regexp_extract_all(as_column(text), F.lit(PIECES), F.lit(0)))
+    return F.size(encode(text, factory))
+
+
 def tokens_from_parts(ids: str, offsets: str) -> Column:
     """Join separate id and offset arrays of an external tokenizer; their lengths must agree."""
     same = F.size(ids) == F.size(offsets)
