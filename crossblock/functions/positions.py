@@ -164,14 +164,29 @@ def resolve_positions(
         "answer_colon", "answer_boundary", "answer_start", "answer_end", "newline",
         "confidence_colon",
     )}
-    hits = F.struct(
-        covering_token(tokens, at["answer_colon"]).alias("ac"),
-        covering_token(tokens, at["answer_start"]).alias("first"),
-        covering_token(tokens, at["answer_end"] - 1).alias("lat"),
-        covering_token(tokens, at["newline"]).alias("nl"),
-        covering_token(tokens, at["confidence_colon"]).alias("cc"),
-        F.size(tokens).alias("n"),
-    )
+    chars = {
+        "ac": at["answer_colon"], "first": at["answer_start"], "lat": at["answer_end"] - 1,
+        "nl": at["newline"], "cc": at["confidence_colon"],
+    }
+
+    def covered(asked: Column) -> Column:
+        """All five from one scan of the tokens: only those that reach into their span are looked at."""
+        numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t["start"].alias("start"), t["end"].alias("end")))
+        near = F.filter(numbered, lambda t: (t["end"] > asked["low"]) & (t["start"] <= asked["high"]))
+
+        def last(held: Column, char: Column) -> Column:
+            hits = F.filter(held, lambda t: (t["start"] <= char) & (char < t["end"]))
+            return F.coalesce(F.array_max(F.transform(hits, lambda t: t["at"])), F.lit(-1))
+
+        return bound(near, lambda held: F.struct(
+            *[last(held, asked[c]).alias(c) for c in chars], F.size(tokens).alias("n")
+        ))
+
+    asked = F.struct(
+        *[c.alias(name) for name, c in chars.items()],
+        F.least(*chars.values()).alias("low"), F.greatest(*chars.values()).alias("high"),
+    )
+    hits = bound(asked, covered)
 
     def describe(h: Column) -> Column:
         def edge(index: Column, field: str) -> Column:

@@ -21,19 +21,31 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Elements that are added up one after the other; longer arrays are cut into runs of so many.
+RUN = 64
+
+
 def running_totals(values: Column) -> Column:
     """Inclusive running sums of an array of ints.
 
-    By doubling steps: a round adds what lies 2^k places before. An array that grows by one
-    would be copied whole for every element.
+    By runs: an array that grows by one is copied for every element, so only short ones grow. The
+    sums before each run are added to its own.
     """
-    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
 
-    def add(sums: Column, k: Column) -> Column:
-        back = F.pow(F.lit(2), k).cast("int")
-        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, F.when(i >= back, i - back)), F.lit(0)))
+    def along(xs: Column) -> Column:
+        last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0))
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
+
+    def added(runs: Column) -> Column:
+        before = along(F.transform(runs, lambda r: F.coalesce(F.element_at(r, -1), F.lit(0))))
+        return bound(before, lambda t: F.flatten(F.transform(runs, lambda r, i: F.when(i == 0, r).otherwise(
+            F.transform(r, lambda x: x + F.get(t, i - 1))
+        ))))
 
-    return F.aggregate(F.sequence(F.lit(0), rounds - 1), values, add)
+    n = F.size(values)
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int"))
+    runs = F.transform(starts, lambda k: along(F.slice(values, k * RUN + 1, F.lit(RUN))))
+    return F.when(n <= RUN, along(values)).otherwise(bound(runs, added))
 
 
 def finite(value: str | Column) -> Column:

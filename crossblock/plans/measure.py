@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossblock.functions.likelihood import with_array_stats
 from crossblock.functions.names import SOURCE_KINDS, PositionNames
-from crossblock.functions.positions import encode, resolve_positions
+from crossblock.functions.positions import count_tokens, encode, resolve_positions
 from crossblock.functions.prompts import PromptText, render_prompts
 from crossblock.functions.values import with_readouts
 from crossblock.operators.contrast import confidence_signal
@@ -54,6 +54,19 @@ def resolved_cells(
     )
 
 
+def counted_cells(
+    cells: DataFrame,
+    *,
+    tokenizer: Callable | None = None,
+    text: PromptText = PromptText(),
+    prefix: str | None = None,
+    strict: bool = True,
+) -> DataFrame:
+    """Key and number of tokens of every cell. Positions are left to `resolved_cells`, `strict` too."""
+    rendered = render_prompts(cells, prefix=prefix, text=text)
+    return rendered.select(*KEY, count_tokens("prompt", tokenizer).alias("n_tokens"))
+
+
 def measure(
     cells: DataFrame,
     factory: Callable[[], Scorer],
@@ -72,7 +85,7 @@ def measure(
     log-probabilities as an array, that is replaced by its ten statistics.
     """
     cells = cut(cells)
-    lengths = resolved_cells(spread_rows(cells, KEY), names=names, **options).select(*KEY, "n_tokens")
+    lengths = counted_cells(spread_rows(cells, KEY), **options)
     placed = in_batches(cells, lengths, key=KEY, length="n_tokens", batch_size=batch_size)
     resolved = resolved_cells(placed.drop("n_tokens"), names=names, **options)
     positions = [f"{p}_{n}" for n in names.ordered() for p in ("pos", "tok")]

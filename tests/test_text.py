@@ -2,10 +2,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from crossblock.functions import likelihood, positions, prompts, text
+from crossblock.functions.values import running_totals
 from crossblock.operators import donors, score
 from crossblock.plans import measure
 from crossblock.sources import manifest, vectors
@@ -307,3 +309,31 @@ def test_default_tokens_of_long_and_odd_texts(spark):
             for m in re.finditer(positions.PIECES, r["t"])
         ]
         assert [tuple(k) for k in r["k"]] == want
+
+
+def test_a_worker_holds_the_tokens_of_few_texts():
+    """However many texts a batch has, their tokens are made and handed over in small lots."""
+    texts = pa.array([None if i % 7 == 0 else "a b" * (i % 3) for i in range(300)])
+    run = lambda t: [(len(m[0]), *m.span()) for m in re.finditer("[^ ]+", t)]
+    lots = list(positions.token_arrays(run, iter([texts, texts.slice(0, 5)])))
+    assert max(map(len, lots)) <= positions.TEXTS
+    got = [None if x is None else [tuple(t.values()) for t in x] for lot in lots for x in lot.to_pylist()]
+    assert got == [None if t is None else run(t) for t in [*texts.to_pylist(), *texts.slice(0, 5).to_pylist()]]
+
+
+def test_running_totals_across_runs(spark):
+    """Short arrays, whole runs, and arrays of several runs."""
+    rows = [(n, [(i * 7) % 5 for i in range(n)]) for n in (0, 1, 2, 63, 64, 65, 128, 500)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "n int, x array<int>")
+    got = {r["n"]: r["t"] for r in df.select("n", running_totals(F.col("x")).alias("t")).collect()}
+    for n, x in rows:
+        assert got[n] == (None if x is None else np.cumsum(x).tolist())
+
+
+def test_cells_are_counted_without_their_ids(spark):
+    """The length of a prompt needs no token ids; they were made and dropped in a pass of their own."""
+    cells = rendered(spark).withColumns({"block_id": F.lit("b"), "cell": F.lit("q1a1")})
+    counted = measure.counted_cells(cells.drop("prompt", "anchors", "prompt_sha256", "template_hash"))
+    assert "md5" not in counted._jdf.queryExecution().optimizedPlan().toString().lower()
+    whole = positions.resolve_positions(cells.withColumn("tokens", positions.encode("prompt")))
+    assert counted.first()["n_tokens"] == whole.first()["n_tokens"]
