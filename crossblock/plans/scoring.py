@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossblock.functions.names import PositionNames
-from crossblock.functions.positions import encode
+from crossblock.functions.positions import count_tokens
 from crossblock.functions.prompts import PromptText, render_prompts
 from crossblock.functions.text import fill_template, first_line
 from crossblock.operators.blocks import pick_templates
-from crossblock.operators.score import Scorer, score_flags, score_once
+from crossblock.operators.score import Scorer, score_flags, score_once, spread_rows
 from crossblock.plans.measure import resolved_cells
 from crossblock.session import cut
 from crossblock.sources.facts import read_facts, with_ids
@@ -50,14 +50,16 @@ def score_facts(
     rendered = render_prompts(asked, text=text).withColumnRenamed("prompt", "_whole")
     head = F.substring(F.col("_whole"), F.lit(1), F.col("anchors.answer_boundary"))
     opened = rendered.withColumn("prompt", head).withColumns(
-        {"_address": F.sha2("prompt", 256), "n_tokens": F.size(encode("prompt", tokenizer))}
+        {"_address": F.sha2("prompt", 256), "n_tokens": count_tokens("prompt", tokenizer)}
     )
     answered = score_once(
         cut(opened), answerer, "generated string", address="_address", carry=["prompt"], batch_size=batch_size
     )
     columns = ["fact_id", "relation_family", "subject", "question", "answer"]
     kept = answered.select(*columns, "prompt_sha256", first_line("generated").alias("greedy_answer"))
-    resolved = resolved_cells(kept, tokenizer=tokenizer, text=text, names=names)
+    # Few bytes and much work: by bytes alone one task would make the tokens of many facts.
+    spread = spread_rows(kept, ["fact_id", "prompt_sha256"])
+    resolved = resolved_cells(spread, tokenizer=tokenizer, text=text, names=names)
     read = ["prompt", "input_ids", "answer_start", "answer_end", *[f"pos_{n}" for n in names.ordered()]]
     measured = score_once(
         cut(resolved.select(*kept.columns, *read, "n_tokens")), scorer,

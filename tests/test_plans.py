@@ -6,7 +6,7 @@ from check_oracle import rows_of
 
 import __spark_entry__ as entry
 from crossblock.operators import score
-from crossblock.plans import inputs
+from crossblock.plans import inputs, scoring
 from crossblock.session import cut
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -128,3 +128,14 @@ def test_scores_come_in_whole_frames(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["id"], r["twice"]) for r in seen) == [(i, 2 * i) for i in range(60)]
     assert all(r["size"] == 4 for r in seen)
+
+
+def test_facts_are_spread_before_their_tokens(spark, monkeypatch):
+    """Facts of one small file are much work: they must not all be resolved by one task."""
+    from conftest import toy_facts, toy_templates
+
+    seen, whole = [], scoring.resolved_cells
+    monkeypatch.setattr(scoring, "resolved_cells", lambda cells, **o: seen.append(plan(cells)) or whole(cells, **o))
+    got = scoring.score_facts(toy_facts(spark).coalesce(1), toy_templates(spark), inputs.guess_answerer(["A", "B"]), inputs.id_gold_scorer)
+    assert got.count() == 120
+    assert "REPARTITION_BY_NUM" in seen[0]
