@@ -18,6 +18,7 @@ from crossblock.functions.names import SOURCE_KINDS
 from crossblock.functions.values import insist, insist_once
 from crossblock.operators.patch import sweep_grid
 from crossblock.operators.ranking import hash_bucketed, prefix_sums
+from crossblock.operators.score import spread_rows
 from crossblock.session import cut
 
 
@@ -170,10 +171,33 @@ def gaussian_vectors(
 DONOR_POOLS = {"random_cell": None, "matched_donor": True, "crossed_donor": False}
 
 
-def _by_layer(long: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The vectors of a pair at one position as one array along the layers."""
-    each = F.sort_array(F.collect_list(F.struct("layer", "vec")))
-    return long.groupBy("_row", *columns).agg(each.alias("sources")).drop("_row")
+def _along_layers(where: Column | None = None) -> Column:
+    """Aggregate the vectors of a group to one array along the layers, on request only some of them."""
+    held = F.struct("layer", "vec")
+    return F.sort_array(F.collect_list(held if where is None else F.when(where, held)))
+
+
+def gather_sources(
+    requests: DataFrame, vectors: DataFrame, *, positions: Sequence[str], layers: Sequence[int]
+) -> DataFrame:
+    """Requests (_row, position, ...) with the vectors of their row at their position, as `sources`.
+
+    The store is read once: a row's vectors become an array for each position, where they lie if
+    they are stored in buckets of rows, and each request takes one of them. A request whose row
+    has not one vector at each wanted layer fails the job, which names the row.
+    """
+    wanted = vectors.where(F.col("layer").isin(list(layers)) & F.col("position").isin(list(positions)))
+    held = {p: f"_at{i}" for i, p in enumerate(positions)}
+    rows = wanted.groupBy(F.col("row").alias("_row")).agg(
+        *[_along_layers(F.col("position") == p).alias(name) for p, name in held.items()]
+    )
+    own = F.coalesce(*[F.when(F.col("position") == p, F.col(name)) for p, name in held.items()])
+    met = requests.join(rows, "_row", "left").select(*requests.columns, own.alias("sources"))
+    name = F.coalesce(F.col("_row").cast("string"), F.lit("NULL"))
+    n, found = F.lit(len(layers)), F.col("sources.layer")
+    whole = (F.size(found) == n) & (F.size(F.array_distinct(found)) == n)
+    met = insist(met, whole, F.concat(F.lit("missing or repeated vectors of row "), name))
+    return insist(met, F.size(F.array_compact("sources.vec")) == n, F.concat(F.lit("no vector of row "), name))
 
 
 def control_sources(
@@ -191,7 +215,7 @@ def control_sources(
     `pairs` has block_id, target_cell and source_row, `cells` the block_id, cell, row and matched
     of all rows, `vectors` theirs (row, layer, position, vec). Adds position, source_kind and
     `sources`, an array of structs (layer, vec). One donor is drawn per (pair, position, kind)
-    and serves all layers. Vectors are joined per position on the row, where they lie if they
+    and serves all layers. Vectors are read once and joined on the row, where they lie if they
     are stored in buckets of rows; only noise is moved. The means, positions x layers vectors,
     are broadcast.
     """
@@ -215,20 +239,17 @@ def control_sources(
     parts = []
     if asked:
         requests = cut(reduce(DataFrame.unionByName, asked))
-        for position in positions:
-            here = requests.where(F.col("position") == position).drop("position")
-            long = gather_vectors(here, vectors, row="_row", layers=layers, positions=[position])
-            parts.append(_by_layer(long.where("source_kind <> 'gaussian'"), columns))
-            if "gaussian" in kinds:
-                noise = gaussian_vectors(
-                    long.where("source_kind = 'gaussian'"), key=["block_id", "target_cell"], seed=seed
-                )
-                parts.append(_by_layer(noise, columns))
+        met = gather_sources(requests, vectors, positions=positions, layers=layers)
+        parts.append(met.where("source_kind <> 'gaussian'"))
+        if "gaussian" in kinds:
+            long = met.where("source_kind = 'gaussian'").select(*columns, "_row", F.inline("sources"))
+            noise = gaussian_vectors(long, key=["block_id", "target_cell"], seed=seed)
+            parts.append(noise.groupBy("_row", *columns).agg(_along_layers().alias("sources")))
     if "mean" in kinds:
         held = vectors.where(F.col("layer").isin(layers) & F.col("position").isin(list(positions)))
-        each = F.sort_array(F.collect_list(F.struct("layer", "vec")))
-        means = mean_vectors(held).groupBy("position").agg(each.alias("sources"))
-        own = placed.withColumn("source_kind", F.lit("mean"))
+        means = mean_vectors(held).groupBy("position").agg(_along_layers().alias("sources"))
+        # Few bytes that grow to many: by bytes alone few tasks would hold and score all of them.
+        own = spread_rows(placed, ["block_id", "target_cell"]).withColumn("source_kind", F.lit("mean"))
         met = insist(
             own.join(F.broadcast(means), "position", "left"),
             F.size("sources") == len(layers),

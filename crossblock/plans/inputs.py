@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -353,7 +354,13 @@ def probe_scorer():
     """A stand-in model that reads vectors: the margin moves towards the sum of the replaced ones."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        read = [sum(float(np.sum(s["vec"], dtype=np.float64)) for s in held) for held in batch["sources"]]
+        vecs = [s["vec"] for held in batch["sources"] for s in held]
+        if len(set(map(len, vecs))) == 1:
+            sums = np.concatenate(vecs).reshape(len(vecs), -1).sum(axis=1, dtype=np.float64).tolist()
+        else:
+            sums = [float(np.sum(v, dtype=np.float64)) for v in vecs]
+        each = iter(sums)
+        read = [sum(islice(each, len(held))) for held in batch["sources"]]
         share = batch["position"].map(SHARES)
         return pd.DataFrame({"patched": batch["target_clean"] * (1.0 - share) + np.array(read) * share})
 

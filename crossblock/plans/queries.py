@@ -1001,7 +1001,9 @@ def l9_fact_score_summary(spark, sf):
 def _control_sweep(spark, sf, kinds=SOURCE_KINDS):
     """Pairs with replacement vectors from a store, scored by a model that reads them."""
     path = scratch_path(spark, "vectors")
-    vectors.write_vectors(inputs.position_vectors(spark, sf), path, half=False)
+    rows = inputs.table(spark, sf, "embeddings").count()
+    held = inputs.position_vectors(spark, sf)
+    vectors.write_vectors(held, path, half=False, buckets=vectors.buckets_for(rows))
     cells = cut(inputs.probed_cells(spark, sf))
     return measure.control_sweep(
         cells, vectors.read_vectors(spark, path), inputs.probe_scorer, positions=list(inputs.PLACES),

@@ -42,9 +42,16 @@ def half_precision(vec: str | Column) -> Column:
 KEY = ["row", "layer", "position"]
 #: Buckets of a new store. Few for small ones: a commit writes a file per layer and bucket.
 BUCKETS = 16
+#: Rows of a bucket, about, where a store is known to be large; a bucket is a task of every join.
+BUCKET_ROWS, MOST_BUCKETS = 10_000, 1024
 _COMMIT = "_commit"
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of a new store of so many rows."""
+    return min(max(BUCKETS, -(-rows // BUCKET_ROWS)), MOST_BUCKETS)
+
+
 def _layout(spark: SparkSession, path: str) -> tuple[int, str] | None:
     """Buckets and columns of the store at `path`; None if there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_layout")

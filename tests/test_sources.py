@@ -192,6 +192,57 @@ def test_control_sources_refuse_gaps(spark):
         donors.control_sources(pairs, cells, held, kinds=["other"], **options)
 
 
+def _names(leaf):
+    schema = leaf.schema()
+    return [schema.fieldNames()[i] for i in range(schema.size())]
+
+
+def test_control_sources_read_the_store_once(spark):
+    cells = cells_of(spark)
+    pairs = cut(patch.partner_pairs(cells))
+    held = cut(vectors_of(spark, range(24)))
+    options = {"positions": ["NL", "AC"], "layers": [0, 1]}
+    donors_only = donors.control_sources(pairs, cells, held, kinds=["partner", "random_cell"], **options)
+    leaves = donors_only._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("layer" in _names(leaves.apply(i)) for i in range(leaves.size())) == 1
+    assert donors_only.count() == 24 * 2 * 2
+    # The means' rows are few bytes, and are scored by all cores all the same.
+    means = donors.control_sources(pairs, cells, held, kinds=["mean"], **options)
+    assert means.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_control_sources_refuse_missing_and_repeated(spark):
+    cells = cells_of(spark)
+    pairs = cut(patch.partner_pairs(cells))
+    table = vectors_of(spark, range(24))
+    options = {"positions": ["NL", "AC"], "layers": [0, 1], "kinds": ["partner"]}
+    twice = table.unionByName(table.where("row = 4 AND layer = 1 AND position = 'AC'"))
+    gap = table.where("NOT (row = 5 AND layer = 1 AND position = 'AC')")
+    # Two rows where two are wanted, but of one layer.
+    wrong = gap.unionByName(table.where("row = 5 AND layer = 0 AND position = 'AC'"))
+    for held, row in ((twice, 4), (gap, 5), (wrong, 5)):
+        with pytest.raises(Exception, match=f"missing or repeated vectors of row {row}"):
+            donors.control_sources(pairs, cells, cut(held), **options).collect()
+    none = table.withColumn("vec", F.when(F.col("row") != 6, F.col("vec")))
+    with pytest.raises(Exception, match="no vector of row 6"):
+        donors.control_sources(pairs, cells, cut(none), **options).collect()
+    assert donors.control_sources(pairs, cells, cut(twice), **{**options, "positions": ["NL"]}).count() == 24
+
+
+def test_buckets_follow_the_rows(spark):
+    assert vectors.buckets_for(0) == vectors.BUCKETS == vectors.buckets_for(100_000)
+    assert vectors.buckets_for(3_000_000) == 300 and vectors.buckets_for(10**9) == vectors.MOST_BUCKETS
+
+
+def test_probe_reads_vectors_of_any_width():
+    rows = [[[1.0, 2.0], [3.0, 4.0]], [[5.0], [0.25, 0.5]], []]
+    held = [[{"layer": i, "vec": np.array(v, np.float32)} for i, v in enumerate(r)] for r in rows]
+    for part in (held, held[:1]):
+        batch = pd.DataFrame({"sources": part, "position": ["NL"] * len(part), "target_clean": [8.0] * len(part)})
+        got = inputs.probe_scorer()(batch)["patched"].tolist()
+        assert got == [1.0 + 0.875 * sum(float(x.sum()) for x in [s["vec"] for s in h]) for h in part]
+
+
 # Lookups.
 
 
