@@ -8,7 +8,15 @@ linked set must share one of; rarity comes from counts over all documents, hashe
 number of slots (the order only has to be the same everywhere). An index list is sorted into
 blocks of equal size and position. Size and position bound what two blocks can still have in
 common, so whole pairs of blocks are skipped; sets of blocks that are not go to the same
-candidate group. Inside a group the exact overlaps of one set with all others are counted from
+candidate group.
+
+Counts by slot tell rare n-grams of a large corpus badly, so sets meet in lists by chance and more
+of them the larger the corpus is, until they are all one group. So a set is also posted under
+every n-gram of the rarest slots. There a list of one set means that no other set has that n-gram,
+and a set with enough of those links with nothing and leaves all lists, by which others are left
+alone; this is repeated while it takes much away.
+
+Inside a group the exact overlaps of one set with all others are counted from
 an inverted index, and the answers of a set that is highly similar to one already answered are
 derived from that one's by the n-grams in which they differ. Members of the component of the
 first set answered need no answer of their own: every pair that leaves it is seen from outside.
@@ -43,6 +51,8 @@ from crossblock.session import cut
 
 #: Slots that n-grams are counted in, and the rows they travel in.
 SLOT_BITS, SLICES = 22, 64
+#: n-grams that all sets which have them are posted under, as a multiple of the share that a prefix takes.
+WITNESSES = 1.5
 #: Postings of an index list that one task sorts, about; n-grams of a block of a group.
 LIST_ROWS, BLOCK_TOKENS = 100_000, 1_000_000
 #: Documents up to which their keys are broadcast to fetch their texts again.
@@ -168,17 +178,30 @@ def named(name: np.ndarray, spare: np.ndarray, shared: np.ndarray) -> np.ndarray
     return np.where(np.isin(name, shared), spare, name) if len(shared) else name
 
 
+def rarest(counts: np.ndarray, share: float) -> np.ndarray:
+    """The slots that come first by count and hold this share of all n-grams at most."""
+    order = np.argsort(counts, kind="stable")
+    sums = np.cumsum(counts[order], dtype=np.float64)
+    out = np.zeros(len(counts), bool)
+    out[order[: np.searchsorted(sums, share * sums[-1], side="right")]] = True
+    return out
+
+
 def postings(docs: DataFrame, rule: Rule, counts: np.ndarray, shared: np.ndarray, *, text: str,
              list_rows: int) -> DataFrame:
-    """(token, route, place, id): each set under its rarest n-grams; place is size and position.
+    """(token, route, place, id, spare): each set under its rarest n-grams; place is size and position.
 
-    A list that is long by the counts is dealt to several routes.
+    A set is in the lists of its prefix and of all its n-grams of the rarest slots. Lists of the
+    latter have route 0 and hold every set with their n-gram; other lists have route -1, or
+    are dealt to several routes above 0 where they are long by the counts. `spare` counts the
+    lists that the set is in beyond its prefix.
     """
     usual = float(np.median(counts))
-    held = docs.sparkSession.sparkContext.broadcast((counts, shared))  # 2^SLOT_BITS numbers
+    sure = rarest(counts, min(1.0, WITNESSES * (1 - rule.part / rule.whole)))
+    held = docs.sparkSession.sparkContext.broadcast((counts, shared, sure))  # 2^SLOT_BITS numbers
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shared = held.value
+        counts, shared, sure = held.value
         seen: set[int] = set()  # ids of this task, so that its copies are posted once
         for batch in batches:
             for chunk in chunks(batch.column(0)):
@@ -195,22 +218,81 @@ def postings(docs: DataFrame, rule: Rule, counts: np.ndarray, shared: np.ndarray
                     slot = tokens >> np.uint64(64 - SLOT_BITS)
                     # Tokens are sorted, so equal counts keep the order of the hashes.
                     often = counts[slot]
-                    rare = np.argsort(often, kind="stable")[: rule.prefix(n)]
+                    # In that order the n-grams of the rarest slots come first.
+                    certain, prefix = int(np.count_nonzero(sure[slot])), rule.prefix(n)
+                    rare = np.argsort(often, kind="stable")[: max(certain, prefix)]
                     routes = np.maximum(1, np.ceil((often[rare] - usual) / list_rows)).astype(np.int64)
+                    at = np.arange(len(rare), dtype=np.int64)
                     out.append((
-                        tokens[rare].view(np.int64), routes,
-                        (n << 32) + np.arange(len(rare), dtype=np.int64), np.full(len(rare), own, np.int64),
+                        tokens[rare].view(np.int64), routes, np.where(at < certain, 0, -1), (n << 32) + at,
+                        np.full(len(rare), own, np.int64), np.full(len(rare), len(rare) - prefix, np.int64),
                     ))
                 if out:
-                    token, width, place, ids = (np.concatenate(x) for x in zip(*out, strict=True))
-                    route = np.where(width > 1, 1 + (ids & 0x7FFFFFFF) % np.maximum(width, 1), 0)
+                    token, width, kind, place, ids, spare = (np.concatenate(x) for x in zip(*out, strict=True))
+                    route = np.where(width > 1, 1 + (ids & 0x7FFFFFFF) % np.maximum(width, 1), kind)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(token), pa.array(route), pa.array(place), pa.array(ids)],
-                        names=["token", "route", "place", "id"],
+                        [pa.array(token), pa.array(route), pa.array(place), pa.array(ids), pa.array(spare)],
+                        names=["token", "route", "place", "id", "spare"],
                     )
 
     slim = docs.select(F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(apply, "token long, route long, place long, id long")
+    return slim.mapInArrow(apply, "token long, route long, place long, id long, spare long")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of batches that lie in order of (token, route), cut where a list ends."""
+    rest = None
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy() for i in range(batch.num_columns)])
+        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        # The last list may go on in the next batch.
+        change = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+        last = int(change[-1]) + 1 if len(change) else 0
+        rest = rows[:, last:]
+        if last:
+            yield rows[:, :last]
+    if rest is not None and rest.shape[1]:
+        yield rest
+
+
+def in_lists(rows: DataFrame) -> DataFrame:
+    """Rows of one list side by side, in order of place and id."""
+    return rows.repartition("token", "route").sortWithinPartitions("token", "route", "place", "id")
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """A written table of the postings without those of n-grams that only one of these sets has."""
+    fields = posted.columns
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_lists(batches):
+            first = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+            rows = rows[:, first | np.append(True, rows[3, 1:] != rows[3, :-1])]  # without copies of a set
+            first = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+            alone = first & np.append(first[1:], True) & (rows[1] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~alone]) for x in rows], names=fields)
+
+    return cut(in_lists(posted).mapInArrow(apply, posted.schema))
+
+
+def contenders(posted: DataFrame, rule: Rule) -> DataFrame:
+    """(token, route, place, id): the prefixes of the sets that others may be linked with.
+
+    A set that is alone in as many of its lists as its prefix has cannot share enough with
+    any other. Its rows go, which may leave others alone. For the rest the n-grams that a set
+    is alone with come first in the order, so fewer others are left in its prefix and their
+    positions are later.
+    """
+    own = Window.partitionBy("id")  # as many rows as a set has n-grams, at most
+    rows, before = met(posted), None
+    while before is None or rows.count() * 10 < before * 9:
+        before = rows.count()
+        rows = met(rows.withColumn("_rows", F.count("*").over(own)).where(F.col("_rows") > F.col("spare")).drop("_rows"))
+    placed = rows.withColumn("_rows", F.count("*").over(own)).withColumn("_nth", F.row_number().over(own.orderBy("place")))
+    n = F.shiftright("place", 32)
+    prefix = n - F.expr(f"({rule.part} * shiftright(place, 32) + {rule.whole - 1}) div {rule.whole}") + 1
+    at = prefix + F.col("spare") - F.col("_rows") + F.col("_nth") - 1
+    return placed.where(at < prefix).select("token", "route", (F.shiftleft(n, 32) + at).alias("place"), "id")
 
 
 def block_links(places: np.ndarray, heads: np.ndarray, members: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -273,7 +355,6 @@ def candidate_links(posted: DataFrame, rule: Rule) -> DataFrame:
     first set of every block (a = b), to meet the other routes' blocks by token."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
         fields = ["a", "b", "token", "place"]
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -291,17 +372,8 @@ def candidate_links(posted: DataFrame, rule: Rule) -> DataFrame:
             if head.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (ids, ids, token, place)], names=fields)
 
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
-            rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-            # The last list may go on in the next batch.
-            change = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
-            last = int(change[-1]) + 1 if len(change) else 0
-            rest = rows[:, last:]
-            if last:
-                yield from out(rows[:, :last])
-        if rest is not None and rest.shape[1]:
-            yield from out(rest)
+        for rows in whole_lists(batches):
+            yield from out(rows)
 
     return posted.mapInArrow(apply, "a long, b long, token long, place long")
 
@@ -444,8 +516,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_i
         .agg(F.min("key").alias("first"), F.first("n").alias("n"), F.count("*").alias("rows"))
     )
     posted = postings(docs, rule, counts, shared, text=text, list_rows=list_rows)
-    ordered = posted.repartition("token", "route").sortWithinPartitions("token", "route", "place", "id")
-    candidates = cut(candidate_links(ordered, rule))
+    candidates = cut(candidate_links(in_lists(contenders(posted, rule)), rule))
     links = candidates.where("token IS NULL").select("a", "b")
     if counts.max() - np.median(counts) > list_rows:
         heads = candidates.where("token IS NOT NULL").select(
@@ -480,7 +551,7 @@ def with_blocks(roots: DataFrame, sizes: DataFrame, block_tokens: int) -> tuple[
 
 
 def part_names(held: DataFrame, rule: Rule) -> DataFrame:
-    """(name, id): names of the parts of each set, of which linked sets have one in common.
+    """(name, id): names of the parts of each set, of which linked sets of a group have one in common.
 
     Sets are in classes of sizes within the rule's ratio, and a linked pair is in one class or
     in two next to each other. For both, the n-grams are dealt to more parts than a linked pair
@@ -508,14 +579,14 @@ def part_names(held: DataFrame, rule: Rule) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             for i in range(batch.num_rows):
-                found = named_parts(np.frombuffer(batch.column(1)[i].as_py(), "<u8")).view(np.int64)
+                found = mix(named_parts(np.frombuffer(batch.column(1)[i].as_py(), "<u8")) ^ roots[i]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), pa.array(np.full(len(found), ids[i]))], names=["name", "id"]
                 )
 
-    return held.select("id", "tokens").mapInArrow(apply, "name long, id long")
+    return held.select("id", "tokens", "root").mapInArrow(apply, "name long, id long")
 
 
 def finer(held: DataFrame, rule: Rule) -> DataFrame:
@@ -616,8 +687,9 @@ def _grouped(docs: DataFrame, groups: DataFrame, classes: DataFrame, rule: Rule,
     if totals.where("blocks > 1").isEmpty():
         flat = alone(fetched(wanted))
     else:
-        large = cut(fetched(wanted.where("blocks > 1")).select("id", "tokens").dropDuplicates(["id"]))
+        large = cut(fetched(wanted.where("blocks > 1")).select("root", "id", "tokens").dropDuplicates(["id"]))
         again, parts = with_blocks(finer(large, rule), sizes, block_tokens)
+        large = large.drop("root")
         flat = alone(fetched(wanted.where("blocks = 1")))
         flat = flat.unionByName(alone(large.join(again.where("blocks = 1").select("id", "root"), "id")))
         if not parts.where("blocks > 1").isEmpty():

@@ -334,3 +334,29 @@ def test_sets_inside_a_star_are_not_paired(spark):
     assert ngram_join._meeting(held, stars, sizes, 100).count() == 0
     got = ngram_join.linked_components(docs, rule, block_tokens=1000).collect()
     assert {r["component"] for r in got} == {0}
+
+
+def test_sets_that_meet_by_chance_form_no_group(spark, monkeypatch):
+    """Texts of common words share some n-grams with many others, though their slots tell none of them from rare ones."""
+    rng = np.random.default_rng(5)
+    rule, rows = ngram_join.Rule(5, 4, 5), []
+    common = [" ".join(f"c{i}_{k}" for k in range(5)) for i in range(60)]
+    for i in range(300):  # 24 words of its own, then a passage that others have, six times
+        own = [" ".join(f"w{i}_{j}_{k}" for k in range(24)) for j in range(6)]
+        rows.append((i, " ".join(x for j in range(6) for x in (own[j], common[int(rng.integers(0, 60))]))))
+    for i in range(20):  # copies of some with one word changed
+        words = rows[i][1].split(" ")
+        words[90] = f"x{i}"
+        rows.append((1000 + i, " ".join(words)))
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    monkeypatch.setattr(ngram_join, "slot_counts", lambda _: np.ones(1 << ngram_join.SLOT_BITS, np.uint32))
+    grouped, most = ngram_join._grouped, []
+
+    def noted(docs, groups, *rest):
+        most.append(groups.groupBy("root").count().agg(F.max("count")).first()[0])
+        return grouped(docs, groups, *rest)
+
+    monkeypatch.setattr(ngram_join, "_grouped", noted)
+    got = {r["key"]: (r["n"], r["component"]) for r in ngram_join.linked_components(docs, rule).collect()}
+    assert got == plain_components(dict(rows), 5, 4, 5)
+    assert most[0] <= 20
